@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    out = out.where(F.col("a") != F.col("b"))
+    return out if large else out.distinct()  # repeated edges do no harm in between
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ set also joins the band below if a partner may lie there. In a band, shingles ar
   segments of each, chosen by one global order, keeps a common one (prefix filtering over segments). The order is by cost: segments
   with several shingles first, then single ones, then those made of very frequent shingles only, empty ones last.
 
-Sets are compared by their words, exactly. Only connection is wanted, so each index list is first compared against one pivot, over
-several rounds with other pivots, and then all pairs that are still in different components are compared: no link is lost.
+Sets are compared by their words, exactly. Only connection is wanted, so each index list is first compared against a few pivots, and
+then all its pairs that are still in different components are compared: no link is lost.
 
 Null or empty texts have no shingles and link with nothing. Texts of fewer than five words have one shingle. Rows with equal
 sets, repeated rows included, form one class. Class ids are 64-bit hashes of the sets.
@@ -37,8 +37,8 @@ DELETION_BANDS = (2, 3)
 #: Entries of a task's summary of frequent shingles, and of the list that orders segments; they steer cost only.
 SUMMARY = 20_000
 FREQUENT = 50_000
-#: Star rounds before the remaining pairs of different components are compared in full.
-ROUNDS = 8
+#: Pivots of a list's first round.
+PIVOTS = 3
 
 _WORD_TABLE = bytes(shared._LOWER.tolist())
 
@@ -252,33 +252,28 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = stash(_texts(docs, sized), "texts")
     index = index.join(sized.select("set_id", "n"), "set_id")
 
-    edges = stash(spark.createDataFrame([], "a long, b long"), "links")
-    tried = stash(spark.createDataFrame([], "a long, b long"), "tried")
-    for k in range(ROUNDS + 1):
-        label = components(edges)
-        now = index.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        now = now.withColumn("first", F.min("component").over(in_list)).withColumn("last", F.max("component").over(in_list)).where("first < last").select("sign", "set_id", "n", "component")
-        now = index = stash(now, "open")
-        sizes = now.groupBy("sign", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("sign").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("left"), F.sum("c").alias("rows"))
-        left, rows = sizes.agg(F.sum("left"), F.sum("rows")).first()
-        if not left:
-            break
-        last = k == ROUNDS or left <= 2 * rows
-        if last:
-            other = now.select("sign", F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-            pairs = now.withColumnRenamed("set_id", "a").join(other, "sign").where("component < component_b")
-        else:
-            pivot = F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id", "n", "component")).over(in_list)
-            pairs = now.withColumn("p", pivot).where("p.component != component").select(F.col("p.set_id").alias("a"), F.col("p.n").alias("n"), F.col("set_id").alias("b"), F.col("n").alias("n_b"))
-        fits = F.greatest("n", "n_b") * SHARE <= F.least("n", "n_b") * 100
-        pairs = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        edges = stash(edges.union(_verified(pairs, texts)), "links")
-        if last:
-            break
-        tried = tried.union(pairs)
-        index = now.drop("component")
-    return classes, edges
+    # a first round of stars around a few pivots of each list joins most of each group
+    pivots = [F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id", "n")).over(in_list) for k in range(PIVOTS)]
+    stars = index.select("set_id", "n", F.explode(F.array(*pivots)).alias("p"))
+    tried = stash(_candidates(stars.select("set_id", "n", F.col("p.set_id").alias("other"), F.col("p.n").alias("n_other"))), "pairs")
+    edges = stash(_verified(tried, texts), "links")
+    # then lists that still hold several components are compared in full, lists of equal members once
+    label = components(edges).withColumnRenamed("node", "set_id")
+    labelled = index.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    spread = labelled.groupBy("sign").agg(
+        F.min("component").alias("first"), F.max("component").alias("last"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.xxhash64("set_id", F.lit(1)).cast("decimal(38,0)")).alias("y")
+    )
+    lists = spread.where("first < last").groupBy("x", "y").agg(F.min("sign").alias("sign")).select("sign")
+    rest = stash(labelled.join(lists, "sign", "left_semi"), "open")
+    other = rest.select("sign", F.col("set_id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("component_other"))
+    pairs = stash(_candidates(rest.join(other, "sign").where("component < component_other")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    return classes, stash(edges.union(_verified(pairs, texts)), "links")
+
+
+def _candidates(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of (set_id, n, other, n_other) whose sizes fit."""
+    fits = (F.col("set_id") != F.col("other")) & (F.greatest("n", "n_other") * SHARE <= F.least("n", "n_other") * 100)
+    return pairs.where(fits).select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
