@@ -254,7 +254,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # a first round of stars around a few pivots of each list joins most of each group
     pivots = [F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id", "n")).over(in_list) for k in range(PIVOTS)]
-    stars = index.select("set_id", "n", F.explode(F.array(*pivots)).alias("p"))
+    stars = index.withColumn("pivots", F.array(*pivots)).select("set_id", "n", F.explode("pivots").alias("p"))
     tried = stash(_candidates(stars.select("set_id", "n", F.col("p.set_id").alias("other"), F.col("p.n").alias("n_other"))), "pairs")
     edges = stash(_verified(tried, texts), "links")
     # then lists that still hold several components are compared in full, lists of equal members once
