@@ -41,7 +41,7 @@ def grams(hashes: str, n: int) -> Column:
     """Hashes of the n-word grams in order; none where there are fewer words."""
     h = F.col(hashes)
     return F.when(
-        F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(h.getItem(i + k) if k else h.getItem(i) for k in range(n))))
+        F.size(h) >= n, F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(h[i + k] for k in range(n))))
     ).otherwise(F.array().cast("array<bigint>"))
 
 
