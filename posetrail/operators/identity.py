@@ -39,7 +39,7 @@ def swap_orders(pose: DataFrame, orders: DataFrame) -> DataFrame:
     """Ordered decisions (video_id, frame, kind): 'i' swaps one frame, 't' from it to the end; the parity of all that apply decides."""
     o = orders.groupBy("video_id", "frame").agg(F.sum((F.col("kind") == "i").cast("int")).alias("i"), F.sum((F.col("kind") == "t").cast("int")).alias("t"))
     frames = pose.select("video_id", "frame").distinct().join(o, ["video_id", "frame"], "full")
-    parity = (F.sum(F.coalesce("t", F.lit(0))).over(R.VIDEO) + F.coalesce("i", F.lit(0))) % 2
+    parity = (F.sum(F.coalesce("t", F.lit(0))).over(R.video()) + F.coalesce("i", F.lit(0))) % 2
     flags = frames.select("video_id", "frame", parity.alias("swap"))
     return pose.join(flags, ["video_id", "frame"]).withColumn("instance", F.when(F.col("swap") == 1, 1 - F.col("instance")).otherwise(F.col("instance"))).drop("swap")
 
@@ -77,7 +77,7 @@ def motion_sweep(centres: DataFrame, lengths: DataFrame, swap_gap: float = 0.15,
     import pandas as pd
 
     f = centres.groupBy("video_id", "frame").agg(*(F.max(F.when(F.col("instance") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1) for c in ("cx", "cy")))
-    f = f.withColumn("cut", F.sum(F.coalesce((F.col("frame") - F.lag("frame").over(R.VIDEO) > SWEEP_SILENCE).cast("int"), F.lit(0))).over(R.VIDEO))
+    f = f.withColumn("cut", F.sum(F.coalesce((F.col("frame") - F.lag("frame").over(R.video()) > SWEEP_SILENCE).cast("int"), F.lit(0))).over(R.video()))
     f = f.join(lengths, "video_id")
 
     def helper(p: pd.DataFrame) -> pd.DataFrame:

@@ -329,20 +329,22 @@ def out_envelop(pose: DataFrame, padding: float = 20.0) -> DataFrame:
     return p.where(inside).select("video_id", "frame", "instance").distinct()
 
 
-TRACK = Window.partitionBy("video_id", "instance").orderBy("frame")
+def track():
+    """The frames of an animal of a video in order."""
+    return Window.partitionBy("video_id", "instance").orderBy("frame")
 
 
 def out_speed(pose: DataFrame, threshold: float = 50.0) -> DataFrame:
     """Column out: the centroid moved further than the threshold since the frame before; absent rows are gaps."""
     p = with_centroid(pose.where(visible() > 0))
-    lag = lambda c: F.lag(c).over(TRACK)
+    lag = lambda c: F.lag(c).over(track())
     moved = F.hypot(F.col("cx") - lag("cx"), F.col("cy") - lag("cy")) > threshold
     return p.withColumn("out", F.coalesce(moved & (lag("frame") == F.col("frame") - 1), F.lit(False))).drop("cx", "cy")
 
 
 def out_jump_kp(pose: DataFrame, threshold: float = 50.0) -> DataFrame:
     """(keys, keypoint) of keypoints that moved further than the threshold since the frame before."""
-    p = pose.withColumn("was", F.lag("kps").over(TRACK)).withColumn("at", F.lag("frame").over(TRACK)).where(F.col("at") == F.col("frame") - 1)
+    p = pose.withColumn("was", F.lag("kps").over(track())).withColumn("at", F.lag("frame").over(track())).where(F.col("at") == F.col("frame") - 1)
     far = F.zip_with("kps", "was", lambda a, b: F.coalesce(F.hypot(a["x"] - b["x"], a["y"] - b["y"]) > threshold, F.lit(False)))
     return p.select(*KEYS, F.posexplode(far).alias("keypoint", "far")).where("far").select(*KEYS, "keypoint")
 
@@ -350,6 +352,6 @@ def out_jump_kp(pose: DataFrame, threshold: float = 50.0) -> DataFrame:
 def out_flicker(pose: DataFrame) -> DataFrame:
     """(keys) of poses that are there in one frame only, with none in the frames before and after."""
     p = pose.where(visible() > 0)
-    before = F.coalesce(F.lag("frame").over(TRACK) == F.col("frame") - 1, F.lit(False))
-    after = F.coalesce(F.lead("frame").over(TRACK) == F.col("frame") + 1, F.lit(False))
+    before = F.coalesce(F.lag("frame").over(track()) == F.col("frame") - 1, F.lit(False))
+    after = F.coalesce(F.lead("frame").over(track()) == F.col("frame") + 1, F.lit(False))
     return p.withColumn("alone", ~before & ~after).where("alone").select(*KEYS)

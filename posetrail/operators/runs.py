@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-VIDEO = Window.partitionBy("video_id").orderBy("frame")
+def video():
+    """The frames of a video in order."""
+    return Window.partitionBy("video_id").orderBy("frame")
 
 
 def spans(frames: DataFrame) -> DataFrame:
     """Contiguous inclusive spans (video_id, start, end) of a set of frames."""
-    f = frames.select("video_id", "frame").distinct().withColumn("g", F.col("frame") - F.row_number().over(VIDEO))
+    f = frames.select("video_id", "frame").distinct().withColumn("g", F.col("frame") - F.row_number().over(video()))
     return f.groupBy("video_id", "g").agg(F.min("frame").alias("start"), F.max("frame").alias("end")).drop("g")
 
 
 def runs(series: DataFrame, value: str, by_gap: bool = False) -> DataFrame:
     """(video_id, start, end, value, length) of equal neighbours in frame order; with by_gap a missing frame ends a run."""
-    before = F.lag(value).over(VIDEO)
-    change = ~before.eqNullSafe(F.col(value)) | F.lag("frame").over(VIDEO).isNull()
+    before = F.lag(value).over(video())
+    change = ~before.eqNullSafe(F.col(value)) | F.lag("frame").over(video()).isNull()
     if by_gap:
-        change = change | (F.lag("frame").over(VIDEO) != F.col("frame") - 1)
-    s = series.withColumn("c", change.cast("int")).withColumn("r", F.sum("c").over(VIDEO))
+        change = change | (F.lag("frame").over(video()) != F.col("frame") - 1)
+    s = series.withColumn("c", change.cast("int")).withColumn("r", F.sum("c").over(video()))
     return s.groupBy("video_id", "r", value).agg(F.min("frame").alias("start"), F.max("frame").alias("end"), F.count(F.lit(1)).alias("length")).drop("r")
 
 
 def changes(series: DataFrame, value: str, first: bool = False) -> DataFrame:
     """(video_id, frame) where the value differs from that of the frame before; with first the first frame counts."""
-    before = F.lag(value).over(VIDEO)
+    before = F.lag(value).over(video())
     return series.withColumn("b", before).where((F.col("b") != F.col(value)) | (F.col("b").isNull() if first else F.lit(False))).select("video_id", "frame")
 
 
@@ -38,9 +40,9 @@ def buffered(frames: DataFrame, b: int, last: DataFrame) -> DataFrame:
 
 def next_change(series: DataFrame, value: str) -> DataFrame:
     """Column next: the next frame with a change after each frame, or the number of frames."""
-    s = series.withColumn("c", F.when(F.lag(value).over(VIDEO) != F.col(value), F.col("frame")))
+    s = series.withColumn("c", F.when(F.lag(value).over(video()) != F.col(value), F.col("frame")))
     total = F.max("frame").over(Window.partitionBy("video_id")) + 1
-    return s.withColumn("next", F.coalesce(F.min("c").over(VIDEO.rowsBetween(1, Window.unboundedFollowing)), total)).drop("c")
+    return s.withColumn("next", F.coalesce(F.min("c").over(video().rowsBetween(1, Window.unboundedFollowing)), total)).drop("c")
 
 
 def annotate_fill(series: DataFrame, edits: DataFrame, value: str = "label") -> DataFrame:
@@ -62,14 +64,14 @@ def nearest_marks(frames: DataFrame, marks: DataFrame) -> DataFrame:
     m = marks.select("video_id", "frame", F.col("frame").alias("mark")).distinct()
     j = frames.join(m, ["video_id", "frame"], "left")
     return j.select(
-        "video_id", "frame", F.last("mark", ignorenulls=True).over(VIDEO.rowsBetween(Window.unboundedPreceding, -1)).alias("previous"),
-        F.first("mark", ignorenulls=True).over(VIDEO.rowsBetween(1, Window.unboundedFollowing)).alias("following"),
+        "video_id", "frame", F.last("mark", ignorenulls=True).over(video().rowsBetween(Window.unboundedPreceding, -1)).alias("previous"),
+        F.first("mark", ignorenulls=True).over(video().rowsBetween(1, Window.unboundedFollowing)).alias("following"),
     )
 
 
 def last_nonempty(counts: DataFrame, value: str, back: int = 10) -> DataFrame:
     """The last frame with a value within ``back`` frames before each, else frame - 1."""
-    w = VIDEO.rangeBetween(-back, -1)
+    w = video().rangeBetween(-back, -1)
     return counts.select("video_id", "frame", F.coalesce(F.last(F.when(F.col(value) > 0, F.col("frame")), ignorenulls=True).over(w), F.col("frame") - 1).alias("source"))
 
 
@@ -89,13 +91,13 @@ def interpolated(long: DataFrame, grid: DataFrame, columns: tuple[str, ...], key
 def evenly(frames: DataFrame, k: int) -> DataFrame:
     """k evenly spaced frames of each video's sorted frames (truncated steps); all of them if there are k at most."""
     n = F.count(F.lit(1)).over(Window.partitionBy("video_id"))
-    f = frames.withColumn("n", n).withColumn("r", F.row_number().over(VIDEO) - 1)
+    f = frames.withColumn("n", n).withColumn("r", F.row_number().over(video()) - 1)
     steps = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("n") - 1) / F.lit(k - 1)))
     return f.where((F.col("n") <= k) | F.array_contains(steps, F.col("r").cast("bigint"))).select("video_id", "frame")
 
 
 def chunks(frames: DataFrame, size: int) -> DataFrame:
-    return frames.withColumn("chunk", F.floor((F.row_number().over(VIDEO) - 1) / size))
+    return frames.withColumn("chunk", F.floor((F.row_number().over(video()) - 1) / size))
 
 
 def resolve(marks: DataFrame, priority: dict[str, int]) -> DataFrame:

@@ -61,7 +61,7 @@ def merge(spark, d):
 
 @query("join_remap_infer", f"{LB}, f as (select video_id, frame, row_number() over (partition by video_id order by frame) - 1 pos from blobs where animal_count >= 2), n as (select video_id, frame, row_number() over (partition by video_id order by frame) - 1 pos from (select distinct video_id, frame from pose_long)) select f.video_id, f.frame, n.frame as source from f left join n using (video_id, pos)")
 def remap(spark, d):
-    pos = lambda t: t.withColumn("pos", F.row_number().over(R.VIDEO) - 1)
+    pos = lambda t: t.withColumn("pos", F.row_number().over(R.video()) - 1)
     f = pos(X.blobs(spark, d).where("animal_count >= 2").select("video_id", "frame"))
     n = pos(X.pose_long(spark, d).select("video_id", "frame").distinct()).withColumnRenamed("frame", "source")
     return f.join(n, ["video_id", "pos"], "left").select("video_id", "frame", "source")
@@ -96,7 +96,7 @@ f as (select c.video_id, c.frame from counts c join r on c.video_id = r.video_id
 def infer(spark, d):
     full = X.pose(spark, d).where(P.visible() > 0).groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
     frames = R.spans(full).where("`end` - `start` >= 4").select("video_id", F.explode(F.sequence("start", "end")).alias("frame"))
-    return frames.select("video_id", "frame", F.round((F.row_number().over(R.VIDEO) - 1) / 10, 6).alias("time"))
+    return frames.select("video_id", "frame", F.round((F.row_number().over(R.video()) - 1) / 10, 6).alias("time"))
 
 
 simple("idt_prepare", lambda p: p.where(P.visible() > 1).join(P.out_duplicate(p), KEYS, "left_anti").groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n")), f"{PAIR}, dup as (select video_id, frame, cast(case when close > greatest(n_i, n_j) * 0.5 then case when c_i >= c_j then 1 else 0 end else case when n_i > n_j then 1 else 0 end end as integer) instance from pr where close > 0 and close >= least(n_i, n_j) * 0.5) select video_id, frame, count(*) n from inst anti join dup using (video_id, frame, instance) where n > 1 group by all")
@@ -168,5 +168,5 @@ sl as (select j.video_id, j.instance, j.frame, n, sum(w * (t - mt) * (x - mx)) /
 select video_id, instance, frame, round(sqrt(sx * sx + sy * sy + sz * sz), 2) speed from sl""")
 def velocity(spark, d):
     t = X.pose_long(spark, d).where("keypoint = 1").withColumn("z", F.expr(Z))
-    v = I.velocity3d(t, ["video_id", "instance"]).withColumn("n", F.count(F.lit(1)).over(P.TRACK.rangeBetween(-5, 0)))
+    v = I.velocity3d(t, ["video_id", "instance"]).withColumn("n", F.count(F.lit(1)).over(P.track().rangeBetween(-5, 0)))
     return v.where("n >= 3").select("video_id", "instance", "frame", F.round("speed", 2).alias("speed"))

@@ -38,7 +38,7 @@ annot("agg_composition", lambda a: a.groupBy("label").agg(F.count(F.lit(1)).alia
 annot("agg_segment_stats", lambda a: R.runs(a, "label").agg(F.percentile("length", 0.5).alias("median"), F.round(F.avg("length"), 6).alias("mean"), F.min("length").alias("least"), F.max("length").alias("most")), f"{RUNS} select quantile_cont(n, 0.5)::double median, round(avg(n), 6) mean, min(n) least, max(n) most from runs")
 annot("agg_area_hist", lambda a: a.where("frame % 3 = 0").crossJoin(F.broadcast(a.where("frame % 3 = 0").agg((1.2 * F.percentile("area", 0.99) + 500).alias("hi")))).where("area <= hi").select(F.least(F.floor(F.col("area") / (F.col("hi") / 100)), F.lit(99)).cast("bigint").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")), ", s as (select * from annot where frame % 3 = 0), h as (select 1.2 * quantile_cont(area, 0.99) + 500 hi from s) select cast(least(floor(area / (hi / 100)), 99) as bigint) bin, count(*) n from s, h where area <= hi group by all")
 annot("agg_dup_entries", lambda a: a.groupBy("frame", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), " select frame, label, count(*) n from annot group by all having count(*) > 1")
-annot("win_agree_roll", lambda a: a.withColumn("m", F.avg((F.col("label") == 0).cast("double")).over(R.VIDEO.rangeBetween(-3, 3))).select("video_id", "frame", F.round("m", 6).alias("m"), F.when(F.col("m") > 0.6, 2).when(F.col("m") < 0.4, 1).otherwise(0).alias("class")), ", m as (select video_id, frame, avg(case when label = 0 then 1.0 else 0.0 end) over (partition by video_id order by frame range between 3 preceding and 3 following) m from annot) select video_id, frame, round(m, 6) m, cast(case when m > 0.6 then 2 when m < 0.4 then 1 else 0 end as integer) class from m")
+annot("win_agree_roll", lambda a: a.withColumn("m", F.avg((F.col("label") == 0).cast("double")).over(R.video().rangeBetween(-3, 3))).select("video_id", "frame", F.round("m", 6).alias("m"), F.when(F.col("m") > 0.6, 2).when(F.col("m") < 0.4, 1).otherwise(0).alias("class")), ", m as (select video_id, frame, avg(case when label = 0 then 1.0 else 0.0 end) over (partition by video_id order by frame range between 3 preceding and 3 following) m from annot) select video_id, frame, round(m, 6) m, cast(case when m > 0.6 then 2 when m < 0.4 then 1 else 0 end as integer) class from m")
 annot("ann_remove_category", lambda a: a.select("video_id", "frame", F.when(F.col("label") == 2, 0).when(F.col("label") > 2, F.col("label") - 1).otherwise(F.col("label")).alias("label")), " select video_id, frame, cast(case when label = 2 then 0 when label > 2 then label - 1 else label end as integer) label from annot")
 annot("ann_from_frames", lambda a: a.where("frame < 40").select("video_id", "frame", F.explode(F.array("label", (F.col("frame") % 3).cast("int"))).alias("l")).groupBy("video_id", "frame").agg(F.max("l").alias("label")), " select video_id, frame, cast(greatest(label, frame % 3) as integer) label from annot where frame < 40")
 annot("exp_onehot", lambda a: a.select("video_id", F.round(F.col("frame") / 10, 6).alias("time"), *((F.col("label") == i).cast("int").alias(NAMES[i]) for i in (1, 2, 3, 4, 0))), " select video_id, round(frame / 10.0, 6)::double as time, " + ", ".join(f"cast(label = {i} as integer) as {NAMES[i]}" for i in (1, 2, 3, 4, 0)) + " from annot")
