@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,28 @@ def components(edges: DataFrame) -> DataFrame:
         now = stash(_star(_star(now, large=True), large=False), "edges")
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(pairs.select(F.col("component").alias("node"), "component").distinct())
+
+
+def spanning_edges(groups: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Positions of edges (i, j) between nodes that connect what all the edges do; nodes of equal ``groups`` count as connected."""
+    _, label = np.unique(groups, return_inverse=True)
+    at, chosen = np.arange(len(i)), []
+    while len(at := at[label[i[at]] != label[j[at]]]):
+        x, y = label[i[at]], label[j[at]]
+        pick = np.full(len(groups), len(at))
+        np.minimum.at(pick, x, np.arange(len(at)))
+        np.minimum.at(pick, y, np.arange(len(at)))
+        picked = np.unique(pick[pick < len(at)])
+        chosen.append(at[picked])
+        root = np.arange(len(groups))
+        while True:
+            low = np.minimum(root[x[picked]], root[y[picked]])
+            new = root.copy()
+            np.minimum.at(new, x[picked], low)
+            np.minimum.at(new, y[picked], low)
+            new = new[new]
+            if np.array_equal(new, root):
+                break
+            root = new
+        label = root[label]
+    return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)

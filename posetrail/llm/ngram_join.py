@@ -9,8 +9,9 @@ set also joins the band below if a partner may lie there. In a band, shingles ar
   segments of each, chosen by one global order, keeps a common one (prefix filtering over segments). The order is by cost: segments
   with several shingles first, then single ones, then those made of very frequent shingles only, empty ones last.
 
-Sets are compared by their words, exactly. Only connection is wanted, so each index list is first compared against a few pivots, and
-then all its pairs that are still in different components are compared: no link is lost.
+Sets are compared by their words, exactly. Only connection is wanted, so each index list is first compared against a few pivots.
+Lists that still hold several components are then compared in full, so no link is lost: short ones by a join of their pairs, long
+ones in blocks, whose tasks count common shingles by matrix products and return a spanning forest instead of pairs.
 
 Null or empty texts have no shingles and link with nothing. Texts of fewer than five words have one shingle. Rows with equal
 sets, repeated rows included, form one class. Class ids are 64-bit hashes of the sets.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posetrail.llm import shared
-from posetrail.llm.components import components
+from posetrail.llm.components import components, spanning_edges
 from posetrail.llm.shared import stash
 
 WIDTH = 5
@@ -39,6 +40,9 @@ SUMMARY = 20_000
 FREQUENT = 50_000
 #: Pivots of a list's first round.
 PIVOTS = 3
+#: Members of a list whose pairs are joined; longer lists are compared in blocks of about so many sets and shingles.
+SHORT_LIST = 32
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 200_000
 
 _WORD_TABLE = bytes(shared._LOWER.tolist())
 
@@ -261,15 +265,116 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = components(edges).withColumnRenamed("node", "set_id")
     labelled = index.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     spread = labelled.groupBy("sign").agg(
-        F.min("component").alias("first"), F.max("component").alias("last"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.xxhash64("set_id", F.lit(1)).cast("decimal(38,0)")).alias("y")
-    )
-    lists = spread.where("first < last").groupBy("x", "y").agg(F.min("sign").alias("sign")).select("sign")
-    rest = stash(labelled.join(lists, "sign", "left_semi"), "open")
-    other = rest.select("sign", F.col("set_id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("component_other"))
-    pairs = stash(_candidates(rest.join(other, "sign").where("component < component_other")).join(tried, ["a", "b"], "left_anti"), "pairs")
+        F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("members"),
+        F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.xxhash64("set_id", F.lit(1)).cast("decimal(38,0)")).alias("y"),
+        *(F.min(F.xxhash64("set_id", F.lit(k))).alias(f"least_{k}") for k in (2, 3)),
+    )
+    lists = spread.where("first < last").groupBy("x", "y").agg(F.min(F.struct("sign", "members", "least_2", "least_3")).alias("list"))
+    lists = stash(lists.select("list.sign", "list.members", F.xxhash64("list.least_2", "list.least_3").alias("crowd")), "lists")
+    rest = stash(labelled.join(lists, "sign"), "open")
+    short = rest.where(F.col("members") <= SHORT_LIST).select("sign", "set_id", "n", "component")
+    other = short.select("sign", F.col("set_id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("component_other"))
+    pairs = _candidates(short.join(other, "sign").where("component < component_other"))
+    # long lists of nearly the same members (by two min-hashes) are one crowd
+    crowds = rest.where(F.col("members") > SHORT_LIST).select("crowd", "set_id", "n", "component").distinct()
+    pairs = stash(pairs.union(_within_crowds(stash(crowds, "crowds"), texts)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     return classes, stash(edges.union(_verified(pairs, texts)), "links")
 
 
+def _common(of_a: np.ndarray, hashes_a: np.ndarray, n_a: int, of_b: np.ndarray, hashes_b: np.ndarray, n_b: int) -> np.ndarray:
+    """Intersection sizes of n_a sets with n_b sets: common shingles by matrix products, the others pair by pair."""
+    values, at = np.unique(np.concatenate([hashes_a, hashes_b]), return_inverse=True)
+    at_a, at_b = at[: len(hashes_a)], at[len(hashes_a) :]
+    in_a, in_b = np.bincount(at_a, minlength=len(values)), np.bincount(at_b, minlength=len(values))
+    work = in_a * in_b
+    dense = work * 64 > n_a * n_b
+    out = np.zeros((n_a, n_b), dtype=np.float32)  # whole numbers below 2^24
+    place = np.cumsum(dense) - 1
+    use_a, use_b = dense[at_a], dense[at_b]
+    row_a, col_a, row_b, col_b = of_a[use_a], place[at_a[use_a]], of_b[use_b], place[at_b[use_b]]
+    for low in range(0, int(dense.sum()), 2048):
+        some_a, some_b = (col_a >= low) & (col_a < low + 2048), (col_b >= low) & (col_b < low + 2048)
+        left, right = np.zeros((n_a, 2048), dtype=np.float32), np.zeros((n_b, 2048), dtype=np.float32)
+        left[row_a[some_a], col_a[some_a] - low] = 1
+        right[row_b[some_b], col_b[some_b] - low] = 1
+        out += left @ right.T
+    sparse = ~dense & (work > 0)
+    order = np.argsort(at_a, kind="stable")
+    first = np.cumsum(in_a) - in_a
+    pick = np.flatnonzero(sparse[at_b])
+    times = in_a[at_b[pick]]
+    ends = np.cumsum(times)
+    flat = out.reshape(-1)
+    low = 0
+    while low < len(pick):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 4_000_000, "right")))
+        t = times[low:high]
+        step = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+        rows = of_a[order[np.repeat(first[at_b[pick[low:high]]], t) + step]]
+        cells, counts = np.unique(rows * n_b + np.repeat(of_b[pick[low:high]], t), return_counts=True)
+        flat[cells] += counts
+        low = high
+    return out
+
+
+def _within_crowds(crowds: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect all linked sets of each crowd (crowd, set_id, n, component), but for those of one component.
+
+    A crowd is dealt by a hash into parts of bounded size, and each two parts meet in one row; shingles count by their hashes here.
+    """
+    sizes = crowds.groupBy("crowd").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    dealt = crowds.join(sizes, "crowd").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(7)), "parts"))
+    dealt = dealt.join(texts, "set_id").select("crowd", "part", "parts", "set_id", "component", "text")
+
+    kept = ("sets", "labels", "lengths", "texts")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
+            texts = [x.encode("utf-8", "surrogatepass") for x in held[2]]
+            columns = [np.array(x, dtype=np.int64).tobytes() for x in (held[0], held[1], [len(x) for x in texts])]
+            columns.append(pa.compress(b"".join(texts), "zstd", asbytes=True))
+            return pa.RecordBatch.from_arrays([pa.array([c]) for c in (*key, *columns)], names=["crowd", "part", "parts", *kept])
+
+        key, held = None, ([], [], [])
+        for batch in batches:
+            for crowd, part, parts, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key is not None and key != (crowd, part, parts):
+                    yield block()
+                    held = ([], [], [])
+                key = (crowd, part, parts)
+                for to, x in zip(held, row, strict=True):
+                    to.append(x)
+        if key is not None:
+            yield block()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unpack(sets: bytes, labels: bytes, lengths: bytes, packed: bytes):
+            sets, labels, lengths = (np.frombuffer(x, dtype=np.int64) for x in (sets, labels, lengths))
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            data = pa.decompress(packed, int(offsets[-1]), "zstd", asbytes=True)
+            return sets, labels, *shingle_sets(np.frombuffer(data, dtype=np.uint8), offsets)
+
+        for batch in batches:
+            for same, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sets_a, labels_a, of_a, hashes_a, n_a = unpack(*row[:4])
+                sets_b, labels_b, of_b, hashes_b, n_b = (sets_a, labels_a, of_a, hashes_a, n_a) if same else unpack(*row[4:])
+                both = _common(of_a, hashes_a, len(sets_a), of_b, hashes_b, len(sets_b))
+                linked = 100 * both >= SHARE * (n_a[:, None] + n_b[None, :] - both)
+                linked &= labels_a[:, None] != labels_b[None, :]
+                i, j = np.nonzero(linked)
+                keep = spanning_edges(np.concatenate([labels_a, labels_b]), i, j + len(sets_a))
+                a, b = sets_a[i[keep]], sets_b[j[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    blocks = dealt.repartition("crowd", "part").sortWithinPartitions("crowd", "part")
+    blocks = stash(blocks.mapInArrow(pack, "crowd long, part long, parts long, sets binary, labels binary, lengths binary, texts binary"), "blocks")
+    left = blocks.select("crowd", F.col("part").alias("one"), F.explode(F.expr("sequence(part, parts - 1)")).alias("other"), *(F.col(c).alias(f"{c}_a") for c in kept))
+    right = blocks.select("crowd", F.col("part").alias("other"), *(F.col(c).alias(f"{c}_b") for c in kept))
+    tiles = left.join(right, ["crowd", "other"]).repartition("crowd", "one", "other")
+    tiles = tiles.select((F.col("one") == F.col("other")).alias("same"), *(f"{c}_{side}" for side in "ab" for c in kept))
+    return tiles.mapInArrow(compare, "a long, b long")
+
+
 def _candidates(pairs: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of (set_id, n, other, n_other) whose sizes fit."""
     fits = (F.col("set_id") != F.col("other")) & (F.greatest("n", "n_other") * SHARE <= F.least("n", "n_other") * 100)

@@ -123,6 +123,50 @@ def test_jaccard_groups_by_brute_force(spark):
     assert ngram_join.jaccard_groups(docs.limit(0)).count() == 0
 
 
+def test_jaccard_crowds_by_brute_force(spark, monkeypatch):
+    """Many near copies that share index entries, linked or not: the block comparison loses no link and adds none."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 40)
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = []
+    for n in (60, 90):
+        base = [rng.choice(vocab) for _ in range(n)]
+        for _ in range(110):
+            w = list(base)
+            for _ in range(rng.choice((1, 1, 2, 2, 3))):
+                w[rng.randrange(n)] = rng.choice(vocab) if rng.random() < 0.8 else "nul\0nul"
+            texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    least = list(range(len(texts)))
+    for _ in texts:  # labels spread until nothing changes
+        new = [min(least[j] for j in range(len(texts)) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in range(len(texts))]
+        if new == least:
+            break
+        least = new
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_groups(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == least and len(set(least)) > 2
+
+
+def test_common_shingles_and_spanning_edges():
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(rng.choice(500, rng.integers(0, 60)) if k % 3 else rng.choice(40, 30)) for k in range(n)] for n in (33, 21))
+    flat = lambda sets: (np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets).astype(np.uint64), len(sets))
+    assert ngram_join._common(*flat(a), *flat(b)).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    i, j = rng.integers(0, 80, 60), rng.integers(0, 80, 60)
+    groups = np.arange(80) // 2
+    keep = C.spanning_edges(groups, i, j)
+
+    def labels(x, y):
+        _, at = np.unique(groups, return_inverse=True)
+        for _ in range(80):
+            for p, q in zip(x, y, strict=True):
+                at[at == max(at[p], at[q])] = min(at[p], at[q])
+        return at.tolist()
+
+    assert labels(i[keep], j[keep]) == labels(i, j) and len(keep) < 40
+    assert len(C.spanning_edges(groups, i[:0], j[:0])) == 0
+
+
 def test_every_linked_pair_shares_a_signature():
     """The pigeonhole itself: sets at the bound, of all sizes, meet in the index."""
     rng = np.random.default_rng(1)
