@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from posetrail.operators import files as O
 from posetrail.operators import identity as I
 from posetrail.operators import pose as P
 from posetrail.operators import runs as R
@@ -57,6 +58,18 @@ def test_bbox_padding(spark):
     assert (b.x1, b.x2) == (-1.0, 11.0)
 
 
+def test_names_that_do_not_parse_are_null(spark):
+    t = spark.createDataFrame([("a/img00000012.png", "20240103"), ("a/other.png", "no day"), (None, None)], "p string, d string")
+    got = t.select(O.image_frame("p").alias("f"), O.day_number("d", "2024-01-01").alias("n"), O.prediction_name("p", r"^(a)/(img)")[0].alias("v")).collect()
+    assert [tuple(r) for r in got] == [(12, 3, "a"), (None, 1, None), (None, 1, None)]
+
+
+def test_gap_with_one_bound_is_left(spark):
+    track = spark.createDataFrame([(0, 0, 1, 1.0), (0, 0, 5, 9.0), (0, 1, 1, 1.0)], "video_id bigint, instance int, frame bigint, x double")
+    gaps = spark.createDataFrame([(0, 0, 2, 4), (0, 1, 2, 4)], "video_id bigint, instance int, start bigint, end bigint")
+    assert sorted((r.instance, r.frame, r.x) for r in O.fill_gap(track, gaps, ("x",)).collect()) == [(0, 2, 3.0), (0, 3, 5.0), (0, 4, 7.0)]
+
+
 def test_change_buffer(spark):
     s = series(spark, [1, 1, 2, 2, 2])
     got = R.buffered(R.changes(s, "v"), 1, s.groupBy("video_id").agg(F.max("frame").alias("last")))
