@@ -44,6 +44,9 @@ PIVOTS = 3
 SHORT_LIST = 32
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 200_000
 
+#: Buckets of a set's sketch.
+BUCKETS = 256
+
 _WORD_TABLE = bytes(shared._LOWER.tolist())
 
 
@@ -198,17 +201,40 @@ def _index(docs: DataFrame, frequent) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, text) of the wanted (set_id, doc_id), one text for each set."""
+    """(set_id, text, sketch) of the wanted (set_id, doc_id), one text for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0)
             for at, end, data, offsets in shared.slices(batch):
-                ids = class_ids(*shingle_sets(data, offsets)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), texts.slice(at, end - at)], names=["set_id", "text"])
+                sets = shingle_sets(data, offsets)
+                ids, rows = class_ids(*sets).view(np.int64), sketches(*sets)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), texts.slice(at, end - at), pa.array([r.tobytes() for r in rows], pa.binary())], names=["set_id", "text", "sketch"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
-    return found.mapInArrow(run, "set_id long, text string").join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    return found.mapInArrow(run, "set_id long, text string, sketch binary").join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+
+
+def sketches(of: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shingles of each set by bucket of their hash, up to 255: two sets differ in at least the summed differences of their buckets."""
+    bucket = of * BUCKETS + (shared.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BUCKETS)).astype(np.int64)
+    return np.minimum(np.bincount(bucket, minlength=len(sizes) * BUCKETS), 255).astype(np.uint8).reshape(-1, BUCKETS)
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, sized: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches leave a link possible; none that link are lost, and no text is moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int16) for k in (4, 5))
+                n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+                near = np.abs(a - b).sum(axis=1) <= most_apart(n, 0)
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near))
+
+    known = texts.select("set_id", "sketch").join(sized.select("set_id", "n"), "set_id")
+    of = lambda x: known.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def _shingles(text: str | None) -> set:
@@ -254,13 +280,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = classes.join(members, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     sized = stash(sized, "members")
     texts = stash(_texts(docs, sized), "texts")
-    index = index.join(sized.select("set_id", "n"), "set_id")
+    index = stash(index.join(sized.select("set_id", "n"), "set_id"), "index")
 
     # a first round of stars around a few pivots of each list joins most of each group
     pivots = [F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id", "n")).over(in_list) for k in range(PIVOTS)]
     stars = index.withColumn("pivots", F.array(*pivots)).select("set_id", "n", F.explode("pivots").alias("p"))
     tried = stash(_candidates(stars.select("set_id", "n", F.col("p.set_id").alias("other"), F.col("p.n").alias("n_other"))), "pairs")
-    edges = stash(_verified(tried, texts), "links")
+    edges = stash(_verified(stash(_possible(tried, texts, sized), "near"), texts), "links")
     # then lists that still hold several components are compared in full, lists of equal members once
     label = components(edges).withColumnRenamed("node", "set_id")
     labelled = index.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -274,10 +300,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = stash(labelled.join(lists, "sign"), "open")
     short = rest.where(F.col("members") <= SHORT_LIST).select("sign", "set_id", "n", "component")
     other = short.select("sign", F.col("set_id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("component_other"))
-    pairs = _candidates(short.join(other, "sign").where("component < component_other"))
+    pairs = _candidates(short.join(other, "sign").where("component < component_other")).join(tried, ["a", "b"], "left_anti")
+    pairs = _possible(pairs, texts, sized)
     # long lists of nearly the same members (by two min-hashes) are one crowd
     crowds = rest.where(F.col("members") > SHORT_LIST).select("crowd", "set_id", "n", "component").distinct()
-    pairs = stash(pairs.union(_within_crowds(stash(crowds, "crowds"), texts)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = stash(pairs.union(_within_crowds(stash(crowds, "crowds"), texts)).distinct(), "pairs")
     return classes, stash(edges.union(_verified(pairs, texts)), "links")
 
 

@@ -167,6 +167,16 @@ def test_common_shingles_and_spanning_edges():
     assert len(C.spanning_edges(groups, i[:0], j[:0])) == 0
 
 
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 150, 3000, 200_000):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) * 2 // 3], rng.integers(0, 1 << 62, 5).astype(np.uint64)]))
+        x, y = (ngram_join.sketches(np.zeros(len(s), dtype=np.int64), s, np.array([len(s)])).astype(int) for s in (a, b))
+        least = np.abs(x - y).sum()
+        assert least <= len(np.setxor1d(a, b)) and (least > 0) == (n < 100_000)  # full buckets say nothing
+
+
 def test_every_linked_pair_shares_a_signature():
     """The pigeonhole itself: sets at the bound, of all sizes, meet in the index."""
     rng = np.random.default_rng(1)
