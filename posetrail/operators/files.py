@@ -132,3 +132,16 @@ def centre_track(long: DataFrame, keypoint: int, grid: DataFrame) -> DataFrame:
     """One keypoint as the 3D centre of each instance on every grid frame, linear between known frames, edges held."""
     track = long.where(F.col("keypoint") == keypoint).select("video_id", "instance", "frame", "x", "y", "z")
     return R.interpolated(track, grid, ("x", "y", "z"), ("video_id", "instance"))
+
+
+# fixed values: words of head and tail keypoint names, in order of priority
+HEAD_NAMES = ("nose", "head", "forehead", "front", "snout", "face", "mouth", "muzzle", "spinF", "neck", "eye", "ear", "cheek", "chin", "anterior")
+TAIL_NAMES = ("tailbase", "base_tail", "tail_base", "butt", "hip", "rump", "thorax", "ass", "pelvis", "tail", "spineM", "cent", "posterior", "back")
+
+
+def first_named(names: str, words: tuple[str, ...]) -> Column:
+    """Index of the first name that holds the earliest word, both by letters and digits alone; null if no word is found."""
+    plain = F.transform(names, lambda n: F.lower(F.regexp_replace(n, "[^A-Za-z0-9]", "")))
+    keys = ["".join(c for c in w.lower() if c.isalnum()) for w in words]
+    place = lambda w: F.array_position(F.transform(plain, lambda n: n.contains(w)), F.lit(True))
+    return F.coalesce(*(F.nullif(place(w), F.lit(0)) - 1 for w in keys)).cast("int")

@@ -172,3 +172,65 @@ def _weighted(c: str):
 
 def _moment(c: str):
     return lambda o: o["w"] * (o["t"] - F.col("_mt")) * (o[c] - F.col(f"_m{c}"))
+
+
+# --- centres, agreement, calibration ---
+
+def anatomical_center(pose: DataFrame, head: int, center: int, tail: int, least: int = 3) -> DataFrame:
+    """Columns cx, cy: the centre keypoint once missing keypoints are filled, else the centroid."""
+    p = P.with_centroid(fill_missing(pose, P.canonical(pose, head, tail), least))
+    k = F.get("kps", F.lit(center))
+    return p.withColumn("cx", F.coalesce(k["x"], "cx")).withColumn("cy", F.coalesce(k["y"], "cy"))
+
+
+def aligned_local(pose: DataFrame, head: int, center: int, tail: int) -> DataFrame:
+    """Keypoints about the anatomical centre, rotated by minus the angle; absent ones stay absent, confidence stays."""
+    at = anatomical_center(pose, head, center, tail).select(*P.KEYS, F.col("cx").alias("ax"), F.col("cy").alias("ay"))
+    r = P.rotation(pose, head, center, tail).join(at, P.KEYS)
+    move = lambda p: F.struct((p["x"] - F.col("ax")).alias("x"), (p["y"] - F.col("ay")).alias("y"), p["conf"].alias("conf"))
+    return r.withColumn("kps", F.transform("kps", lambda p: P.turned(move(p), -F.col("angle"))))
+
+
+def agreement(samples: DataFrame, least: float = 0.3) -> DataFrame:
+    """(video_id, frame, agreement): half a point for each sure sample whose cluster is its motion id; clusters of a video are flipped if
+    under half agree. Frames without sure samples have no row."""
+    sure = samples.where(F.col("confidence") >= least)
+    same = F.col("cluster") == F.col("motion_id")
+    flip = sure.groupBy("video_id").agg((F.avg(same.cast("double")) < 0.5).alias("flip"))
+    return sure.join(flip, "video_id").groupBy("video_id", "frame").agg(F.sum(F.when(same != F.col("flip"), 0.5).otherwise(0.0)).alias("agreement"))
+
+
+def cameras_together(by_cam: dict[int, DataFrame]) -> DataFrame:
+    """One table with a column cam, cut to the frames that the shortest camera of each video has."""
+    rows = None
+    for cam, t in by_cam.items():
+        t = t.withColumn("cam", F.lit(cam))
+        rows = t if rows is None else rows.unionByName(t, allowMissingColumns=True)
+    shortest = rows.groupBy("video_id", "cam").agg(F.max("frame").alias("last")).groupBy("video_id").agg(F.min("last").alias("last"))
+    return rows.join(shortest, "video_id").where(F.col("frame") <= F.col("last")).drop("last")
+
+
+def calibrated(cameras: DataFrame) -> DataFrame:
+    """Columns p (12), position and direction of cameras (k array of 9, r array of 9, t array of 3): P = K [R t], -R't, third row of R."""
+    dot = lambda i, c: sum((F.col("k")[3 * i + j] * c(j) for j in range(1, 3)), F.col("k")[3 * i] * c(0))
+    right = lambda col: (lambda j: F.col("r")[3 * j + col]) if col < 3 else (lambda j: F.col("t")[j])
+    p = F.array(*(dot(i, right(col)) for i in range(3) for col in range(4)))
+    position = F.array(*(-(F.col("r")[i] * F.col("t")[0] + F.col("r")[3 + i] * F.col("t")[1] + F.col("r")[6 + i] * F.col("t")[2]) for i in range(3)))
+    return cameras.withColumn("p", p).withColumn("position", position).withColumn("direction", F.slice("r", 7, 3))
+
+
+def undistorted(x: Column, y: Column, k: tuple[float, float, float, float], lens: tuple[float, float, float, float], steps: int = 5) -> tuple[Column, Column]:
+    """Pixel places without lens distortion by fixed-point steps; k: fx, fy, cx, cy; lens: k1, k2 (radial), p1, p2 (tangential)."""
+    fx, fy, cx, cy = k
+    k1, k2, p1, p2 = lens
+    start = F.struct(((x - cx) / fx).alias("x"), ((y - cy) / fy).alias("y"))
+
+    def step(s: Column, _: Column) -> Column:
+        r2 = s["x"] * s["x"] + s["y"] * s["y"]
+        dx = 2 * p1 * s["x"] * s["y"] + p2 * (r2 + 2 * s["x"] * s["x"])
+        dy = p1 * (r2 + 2 * s["y"] * s["y"]) + 2 * p2 * s["x"] * s["y"]
+        radial = 1 + (k1 + k2 * r2) * r2
+        return F.struct(((start["x"] - dx) / radial).alias("x"), ((start["y"] - dy) / radial).alias("y"))
+
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    return out["x"] * fx + cx, out["y"] * fy + cy

@@ -1,0 +1,91 @@
+"""Frames as pixel rows (video_id, frame, x, y, b, g, r), values 0 to 255: grey, backgrounds, masks, tones and blob counts.
+
+Rows shard by video, frame and place, so a statistic over frames is a grouping by place and never holds a whole film in one task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from posetrail.operators import runs as R
+
+CHANNELS = ("b", "g", "r")
+PLACE = ["video_id", "x", "y"]
+QUANTILES = {"median": 0.5, "p5": 0.05, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+
+
+def gray() -> Column:
+    """Weighted sum of the channels, halves up."""
+    return F.expr("cast((114 * b + 587 * g + 299 * r + 500) div 1000 as int)")
+
+
+def _byte(v: Column) -> Column:
+    """Bounded to a byte and truncated; a millionth guards sums whose last bit depends on their order."""
+    return F.floor(F.least(F.greatest(F.round(v, 6), F.lit(0.0)), F.lit(255.0))).cast("int")
+
+
+def background(pixels: DataFrame, value: str, frames: int = 100) -> DataFrame:
+    """One row per place: mean, least, most and quantiles of a value over evenly spaced frames (all, if there are fewer), as bytes."""
+    sample = R.evenly(pixels.select("video_id", "frame").distinct(), frames)
+    near = pixels.join(sample, ["video_id", "frame"], "left_semi")
+    return near.groupBy(*PLACE).agg(
+        _byte(F.avg(value)).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"),
+        *(_byte(F.percentile(value, q)).alias(k) for k, q in QUANTILES.items()),
+    )
+
+
+def smart_mask(pixels: DataFrame, ground: DataFrame, threshold: int = 25, margin: float = 0.3, least: int = 100, dark: bool = True) -> DataFrame:
+    """Places of the background (b, g, r) whose grey lies in the band of the animals' grey: (video_id, x, y, mask), mask 255 or -255.
+
+    Foreground pixels differ from the background by the threshold in some channel; their grey's 20th (dark) or 80th (light) percentile
+    makes the band. Videos with fewer foreground pixels than ``least`` have no rows.
+    """
+    g = ground.select(*PLACE, *(F.col(c).alias(f"{c}0") for c in CHANNELS))
+    apart = F.greatest(*(F.abs(F.col(c) - F.col(f"{c}0")) for c in CHANNELS))
+    weighted = lambda s: (114 * F.col(f"b{s}") + 587 * F.col(f"g{s}") + 299 * F.col(f"r{s}")) / 1000
+    front = pixels.join(g, PLACE).where(apart >= threshold).withColumn("tone", weighted(""))
+    tones = front.groupBy("video_id").agg(F.percentile("tone", 0.2 if dark else 0.8).alias("tone"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    band = F.round(weighted("0"), 6) <= F.round(F.col("tone") * (1 + margin), 6) if dark else F.round(weighted("0"), 6) >= F.round(F.col("tone") * (1 - margin), 6)
+    return g.join(tones, "video_id").where(band).select(*PLACE, F.lit(255 if dark else -255).alias("mask"))
+
+
+def augmented(pixels: DataFrame, mask: DataFrame, x1: int, y1: int, x2: int, y2: int) -> DataFrame:
+    """Paint the masked places with their value (255 or 0), crop to the half-open box and shift to its origin; column gray is added."""
+    inside = (F.col("x") >= x1) & (F.col("x") < x2) & (F.col("y") >= y1) & (F.col("y") < y2)
+    j = pixels.where(inside).join(mask, PLACE, "left")
+    painted = j.withColumns({c: F.coalesce("paint", c) for c in CHANNELS}).withColumn("gray", gray())
+    return painted.withColumns({"x": F.col("x") - x1, "y": F.col("y") - y1}).drop("paint")
+
+
+def scaled(c: str, contrast: float, brightness: float) -> Column:
+    """abs(contrast * value + brightness), rounded and bounded to a byte."""
+    return F.least(F.round(F.abs(F.col(c) * contrast + brightness)), F.lit(255)).cast("int")
+
+
+def shifted(c: str, by: int) -> Column:
+    return F.least(F.greatest(F.col(c) + by, F.lit(0)), F.lit(255)).cast("int")
+
+
+def tones(pixels: DataFrame, bins: int = 8) -> DataFrame:
+    """(video_id, frame, channel, tone): shares of ``bins`` equal bins, least to 0 and most to 1; equal counts give 0. Channels come as they are."""
+    rows = pixels.select("video_id", "frame", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in CHANNELS))).alias("p"))
+    at = F.floor(F.col("p.v") * bins / 256)
+    counts = rows.groupBy("video_id", "frame", F.col("p.channel").alias("channel")).agg(F.array(*(F.count(F.when(at == k, 1)) for k in range(bins))).alias("n"))
+    low, high = F.array_min("n"), F.array_max("n")
+    return counts.select("video_id", "frame", "channel", F.transform("n", lambda v: F.when(high > low, (v - low) / (high - low)).otherwise(0.0)).alias("tone"))
+
+
+def tone_distance(tone: DataFrame, reference: DataFrame, bins: int = 8) -> DataFrame:
+    """(video_id, frame, distance): mean over channels of the Bhattacharyya distance to the mean tone of the video's reference frames."""
+    ref = tone.join(reference, ["video_id", "frame"], "left_semi").groupBy("video_id", "channel").agg(F.array(*(F.avg(F.col("tone")[k]) for k in range(bins))).alias("ref"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    down = F.sqrt(total(F.col("tone")) * total(F.col("ref")))
+    apart = F.sqrt(F.greatest(F.lit(0.0), 1 - total(F.zip_with("tone", "ref", lambda a, b: F.sqrt(a * b))) / F.when(down > 0, down).otherwise(1.0)))
+    return tone.join(ref, ["video_id", "channel"]).groupBy("video_id", "frame").agg(F.avg(apart).alias("distance"))
+
+
+def blob_counts(areas: DataFrame, double: float) -> DataFrame:
+    """(video_id, frame, animal_count, merged) of blob areas: a blob of the double area counts two and sets merged."""
+    big = F.col("area") >= double
+    return areas.groupBy("video_id", "frame").agg(F.sum(F.when(big, 2).otherwise(1)).alias("animal_count"), F.max(big.cast("int")).alias("merged"))

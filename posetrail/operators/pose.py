@@ -355,3 +355,19 @@ def out_flicker(pose: DataFrame) -> DataFrame:
     before = F.coalesce(F.lag("frame").over(track()) == F.col("frame") - 1, F.lit(False))
     after = F.coalesce(F.lead("frame").over(track()) == F.col("frame") + 1, F.lit(False))
     return p.withColumn("alone", ~before & ~after).where("alone").select(*KEYS)
+
+
+def weighted_vectors(pose: DataFrame, pairs: list[tuple[int, int, float]], least: float = 0.1, most: int = 6) -> DataFrame:
+    """Column vectors: weight * (j - i) of the first ``most`` pairs (i, j, weight) of the least weight; null parts where an end is absent."""
+    at = lambda k: F.get("kps", F.lit(k))
+    kept = [t for t in pairs if t[2] >= least][:most]
+    vectors = [F.struct(*((F.lit(w) * (at(j)[c] - at(i)[c])).alias(f"d{c}") for c in "xy")) for i, j, w in kept]
+    return pose.withColumn("vectors", F.array(*vectors))
+
+
+def cutout_size(aligned_pose: DataFrame, margin: float = 1.15) -> DataFrame:
+    """(video_id, size): the larger 90th percentile of widths and heights with a margin, truncated, made even."""
+    b = bbox(aligned_pose, 0.0)
+    side = F.greatest(F.percentile(F.col("x2") - F.col("x1"), 0.9), F.percentile(F.col("y2") - F.col("y1"), 0.9)) * margin
+    s = b.groupBy("video_id").agg(F.floor(F.round(side, 6)).cast("bigint").alias("s"))
+    return s.select("video_id", (F.col("s") + F.col("s") % 2).alias("size"))
