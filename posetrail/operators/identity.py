@@ -219,18 +219,18 @@ def calibrated(cameras: DataFrame) -> DataFrame:
     return cameras.withColumn("p", p).withColumn("position", position).withColumn("direction", F.slice("r", 7, 3))
 
 
-def undistorted(x: Column, y: Column, k: tuple[float, float, float, float], lens: tuple[float, float, float, float], steps: int = 5) -> tuple[Column, Column]:
-    """Pixel places without lens distortion by fixed-point steps; k: fx, fy, cx, cy; lens: k1, k2 (radial), p1, p2 (tangential)."""
+def undistorted(points: DataFrame, k: tuple[float, float, float, float], lens: tuple[float, float, float, float], steps: int = 5) -> DataFrame:
+    """Pixel places (x, y) without lens distortion by fixed-point steps; k: fx, fy, cx, cy; lens: k1, k2 (radial), p1, p2 (tangential).
+
+    Each step is a projection of its own: columns, not the state of a fold, carry the point.
+    """
     fx, fy, cx, cy = k
     k1, k2, p1, p2 = lens
-    start = F.struct(((x - cx) / fx).alias("x"), ((y - cy) / fy).alias("y"))
-
-    def step(s: Column, _: Column) -> Column:
-        r2 = s["x"] * s["x"] + s["y"] * s["y"]
-        dx = 2 * p1 * s["x"] * s["y"] + p2 * (r2 + 2 * s["x"] * s["x"])
-        dy = p1 * (r2 + 2 * s["y"] * s["y"]) + 2 * p2 * s["x"] * s["y"]
+    x, y = F.col("_x"), F.col("_y")
+    out = points.withColumns({"_x0": (F.col("x") - cx) / fx, "_y0": (F.col("y") - cy) / fy}).withColumns({"_x": F.col("_x0"), "_y": F.col("_y0")})
+    for _ in range(steps):
+        r2 = x * x + y * y
         radial = 1 + (k1 + k2 * r2) * r2
-        return F.struct(((start["x"] - dx) / radial).alias("x"), ((start["y"] - dy) / radial).alias("y"))
-
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
-    return out["x"] * fx + cx, out["y"] * fy + cy
+        dx, dy = 2 * p1 * x * y + p2 * (r2 + 2 * x * x), p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
+        out = out.withColumns({"_x": (F.col("_x0") - dx) / radial, "_y": (F.col("_y0") - dy) / radial})
+    return out.withColumns({"x": x * fx + cx, "y": y * fy + cy}).drop("_x0", "_y0", "_x", "_y")

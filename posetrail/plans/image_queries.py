@@ -155,9 +155,8 @@ def _undistorted_sql():
 
 @query("tri_undistort", _undistorted_sql())
 def undistort(spark, d):
-    p = X.pose_long(spark, d)
-    x, y = I.undistorted(F.col("x"), F.col("y"), (800.0, 800.0, 320.0, 240.0), K1)
-    return p.select(*KEYS, "keypoint", R6(x, "x"), R6(y, "y"), "conf")
+    p = I.undistorted(X.pose_long(spark, d), (800.0, 800.0, 320.0, 240.0), K1)
+    return p.select(*KEYS, "keypoint", R6("x"), R6("y"), "conf")
 
 
 @query("tri_roi_frames", f"select video_id, frame from ({oracle_sql()['win_velocity3d']}) where instance = 1 and speed >= 20")
