@@ -42,7 +42,7 @@ def ground(p):
 _byte = lambda v: f"cast(floor(round({v}, 6)) as integer)"
 image("img_gray", lambda p: p.select("video_id", "frame", "x", "y", G.gray().alias("gray")), f" select video_id, frame, x, y, {GRAY} gray from px")
 image("agg_background", lambda p: G.background(p.withColumn("gray", G.gray()), "gray"), f"{NEAR}, gr as (select *, {GRAY} v from near) select video_id, x, y, {_byte('avg(v)')} as mean, min(v) as least, max(v) as most, {', '.join(f'{_byte(f'quantile_cont(v, {q})')} as {k}' for k, q in G.QUANTILES.items())} from gr group by all")
-image("agg_smart_mask", lambda p: G.smart_mask(p, ground(p)), f"{NEAR}, gd as (select video_id, x, y, {', '.join(f'{_byte(f'quantile_cont({c}, 0.5)')} {c}0' for c in 'bgr')} from near group by all), fr as (select video_id, (114 * b + 587 * g + 299 * r) / 1000.0::double tone from px join gd using (video_id, x, y) where greatest(abs(b - b0), abs(g - g0), abs(r - r0)) >= 25), tn as (select video_id, quantile_cont(tone, 0.2) tone from fr group by all having count(*) >= 100) select video_id, x, y, cast(255 as integer) mask from gd join tn using (video_id) where round((114 * b0 + 587 * g0 + 299 * r0) / 1000.0::double, 6) <= round(tone * 1.3::double, 6)")
+image("agg_smart_mask", lambda p: G.smart_mask(p, ground(p), dark=False), f"{NEAR}, gd as (select video_id, x, y, {', '.join(f'{_byte(f'quantile_cont({c}, 0.5)')} {c}0' for c in 'bgr')} from near group by all), fr as (select video_id, (114 * b + 587 * g + 299 * r) / 1000.0::double tone from px join gd using (video_id, x, y) where greatest(abs(b - b0), abs(g - g0), abs(r - r0)) >= 25), tn as (select video_id, quantile_cont(tone, 0.8) tone from fr group by all having count(*) >= 100) select video_id, x, y, cast(-255 as integer) mask from gd join tn using (video_id) where round((114 * b0 + 587 * g0 + 299 * r0) / 1000.0::double, 6) >= round(tone * 0.7::double, 6)")
 
 
 def mask(p, paint):
