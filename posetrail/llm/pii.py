@@ -3,9 +3,10 @@
 E-mail addresses, phone numbers, IPv4 addresses, card numbers, social security numbers, IBANs and titled names are found. A replacement
 moves each character within its class (digits, vowels or consonants of one script and case) by a keyed, non-zero amount that depends on
 the type and on all that precedes it, so it is a bijection on entities of one type and format: equal entities get equal surrogates
-anywhere in the corpus (coreference), different ones different surrogates (distinctness), and none stays as it was. Given names move
-within the list of their gender and script. Card numbers keep their check digit right if it was. Separators and letter case do not
-change an entity. A batch checks that its surrogates are distinct.
+anywhere in the corpus (coreference), different ones different surrogates (distinctness). What must keep a form moves within the values
+of that form: given names within the list of their gender and script, and other given names to names outside the lists; the middle
+group 555 stays and the others move among the 999 others. Card numbers keep their check digit right if it was. Separators, letter case,
+scripts of digits and leading zeros of an IPv4 address do not change an entity (``same``). ``collisions`` checks a corpus.
 
 Null texts stay null, empty ones empty; repeated rows get equal texts; other columns stay as they are.
 """
@@ -59,6 +60,30 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+#: Country codes of two digits; 1 and 7 have one, all others three. None starts another, so the digits alone tell the code.
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _digits_of(text: str) -> str:
+    digits = re.sub(r"\D", "", text)
+    return digits if digits.isascii() else "".join(str(int(c)) for c in digits)
+
+
+def _country(digits: str) -> int:
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGITS else 3
+
+
+def same(kind: str, text: str) -> str:
+    """One form for all spellings of an entity, or of a surrogate."""
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in text.split("."))
+    if kind == "phone":
+        return ("+" if text[0] == "+" else "") + _digits_of(text)
+    if kind in ("card", "ssn"):
+        return _digits_of(text)
+    return text.replace(" ", "") if kind == "iban" else text.replace(".", "").lower() if kind == "person" else text.lower()
+
+
 class Surrogates:
     """Replacements under one key."""
 
@@ -81,6 +106,10 @@ class Surrogates:
             out.append(chars[(i + by) % len(chars)])
         return "".join(out)
 
+    def _stepped(self, x: int, n: int, *what: str) -> int:
+        """x of 0 to n - 1 moves by 1 or more."""
+        return (x + 1 + self._number(*what) % (n - 1)) % n
+
     def _digits(self, kind: str, text: str, moved: str) -> str:
         digits = iter(moved)
         return "".join(next(digits) if c.isdigit() else c for c in text)
@@ -100,13 +129,13 @@ class Surrogates:
         return ".".join(map(str, out))
 
     def card(self, text: str) -> str:
-        digits = re.sub(r"\D", "", text)
+        digits = _digits_of(text)
         body = self.moved("card", digits[:-1], fixed=1)
         off = (int(digits[-1]) - luhn(digits[:-1])) % 10
         return self._digits("card", text, body + str((luhn(body) + off) % 10))
 
     def ssn(self, text: str) -> str:
-        return self._digits("ssn", text, self.moved("ssn", re.sub(r"\D", "", text)))
+        return self._digits("ssn", text, self.moved("ssn", _digits_of(text)))
 
     def iban(self, text: str) -> str:
         whole = text.replace(" ", "")
@@ -114,16 +143,19 @@ class Surrogates:
         return "".join(c if c == " " else next(letters) for c in text)
 
     def phone(self, text: str) -> str:
-        """The country code stays, and 555 in the middle; an area code's first digit stays within 2 to 9."""
-        digits = re.sub(r"\D", "", text)
-        country = len(re.match(r"\+?(\d{1,3})(?=\D)", text)[1]) if text[0] == "+" and re.match(r"\+(\d{1,3})(?=\D)", text) else 1 if text[0] == "+" else 0
+        """The country code stays, and 555 in the middle; an area code's first digit stays within 2 to 9, or within 0 and 1."""
+        digits = _digits_of(text)
+        country = _country(digits) if text[0] == "+" else 0
         rest = digits[country:]
-        out = list(self.moved("phone", rest))
+        out = list(self.moved("phone", rest, fixed=len(rest) == 10))
         if len(rest) == 10:
-            if rest[0] >= "2":
-                out[0] = str(2 + (int(rest[0]) - 2 + 1 + self._number("phone", "area", digits[:country]) % 7) % 8)
-            if rest[3:6] == "555":
-                out[3:6] = "555"
+            first, middle = int(rest[0]), int(rest[3:6])
+            low, n = (2, 8) if first >= 2 else (0, 2)
+            out[0] = str(low + self._stepped(first - low, n, "phone", "area"))
+            if middle != 555:
+                middle = self._stepped(middle - (middle > 555), 999, "phone", "middle", rest[:3])
+                middle += middle >= 555
+            out[3:6] = f"{middle:03d}"
         return self._digits("phone", text, digits[:country] + "".join(out))
 
     def person(self, text: str) -> str:
@@ -131,11 +163,14 @@ class Surrogates:
         out = [title]
         for k, n in enumerate(names):
             kind, i = _NAME_LIST.get(n, (None, 0))
-            if kind and (k == 0 and len(names) > 1 or len(names) == 1):
+            if kind and k == 0:
                 names_of = NAMES[kind]
-                out.append(names_of[(i + 1 + self._number("given", kind) % (len(names_of) - 1)) % len(names_of)])
+                out.append(names_of[self._stepped(i, len(names_of), "given", kind)])
             else:
-                out.append(self.moved("name", n))
+                new = self.moved("name", n)
+                while k == 0 and new in _NAME_LIST:  # walks on to a name outside the lists, whose names are taken
+                    new = self.moved("name", new)
+                out.append(new)
         return " ".join(out)
 
     def replace(self, text: str, seen: dict[tuple[str, str], str]) -> tuple[str, list[str]]:
@@ -157,13 +192,6 @@ class Surrogates:
         return _FIND.sub(one, text), kinds
 
 
-def _checked(seen: dict[tuple[str, str], str]) -> None:
-    taken: dict[tuple[str, str], str] = {}
-    for (kind, whole), new in seen.items():
-        if taken.setdefault((kind, new), whole) != whole:
-            raise ValueError(f"two entities of kind {kind} got one surrogate")
-
-
 def surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """docs with the text replaced, and pii_kinds array<string>: the kind of each replaced entity, in order. A narrow job."""
     kept = docs.drop("pii_kinds")
@@ -177,7 +205,6 @@ def surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame
                 new, found = (None, []) if (t := t.as_py()) is None else make.replace(t, seen)
                 texts.append(new)
                 kinds.append(found)
-            _checked(seen)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=schema.names)
@@ -185,6 +212,23 @@ def surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame
     return kept.mapInArrow(run, schema)
 
 
+def collisions(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+    """(kind, surrogate, entities) of the surrogates that stand for two entities or more anywhere in docs: none, unless a map is no bijection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Surrogates(key)
+        for batch in batches:
+            seen: dict[tuple[str, str], str] = {}
+            for t in batch.column(0).to_pylist():
+                if t is not None:
+                    make.replace(t, seen)
+            rows = sorted({(kind, same(kind, whole), same(kind, new)) for (kind, whole), new in seen.items()})
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["kind", "entity", "surrogate"])
+
+    found = docs.select(text).mapInArrow(run, "kind string, entity string, surrogate string").distinct()
+    return found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("entities")).where("entities > 1")
+
+
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with surrogates in text, and n_chars after it where that column exists."""
     out = surrogates(docs, key)

@@ -315,6 +315,27 @@ def test_surrogates(spark):
     assert pii.replaced(documents(spark, texts)).columns == documents(spark, texts).columns
 
 
+def test_surrogates_of_a_form_are_distinct(spark):
+    """Forms that stay (555, area codes, listed names) take no other's surrogate; spellings of one entity are one entity."""
+    make = pii.Surrogates()
+    # the middle group that the plain move takes onto 555, and 555 itself
+    middle = next(m for m in range(1000) if m != 555 and make.moved("phone", f"234{m:03d}0000")[3:6] == "555")
+    tails = [f"({a}) {m:03d}-{n:04d}" for a, m in (("234", middle), ("234", 555)) for n in range(10_000)]
+    assert len({make.phone(p) for p in tails}) == len(tails)
+    # area codes below 200 that the plain move takes above, and the codes that stay above
+    areas = {a: make.phone(f"({a}) 555-0000")[1:4] for a in (f"{a:03d}" for a in range(1000))}
+    assert all((new >= "200") == (a >= "200") for a, new in areas.items()) and len(set(areas.values())) == 1000
+    assert pii.same("phone", make.phone("+491701234567")) == pii.same("phone", make.phone("+49 170 1234567"))
+    assert make.phone("(812) 555-9048")[1:] in make.phone("+1 (812) 555-9048")
+    small = "bcdfghjklmnpqrstvwxyz"
+    names = {a + b + c + d for a in "AEIOU" for b in small for c in small for d in "aeiou"}.union(*pii.NAMES.values())  # Anna and Emma are of this shape
+    assert len({make.person(f"Mr. {n}") for n in names}) == len(names)
+    zeros = documents(spark, ["from 10.01.2.3 and 10.1.2.3", *tails[::20]])
+    out = {r.doc_id: r.text for r in pii.surrogates(zeros).collect()}
+    assert len(set(re.findall(r"[\d.]+\d", out[0]))) == 1
+    assert pii.collisions(zeros).count() == 0
+
+
 def test_secrets(spark):
     rng = random.Random(9)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
