@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posetrail.llm import shared
@@ -150,18 +150,23 @@ def _among(values: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
     return sorted_list[np.minimum(np.searchsorted(sorted_list, values), len(sorted_list) - 1)] == values
 
 
+def _row_key() -> Column:
+    """A hash of doc_id and text that names a row also where the id is null or repeated; rows equal in both share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text"))
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, set_id) of all documents, and rows (shingle, seen) of each task's frequent shingles."""
+    """Rows (doc_id, row_key, n_shingles, set_id) of all documents, and rows (shingle, seen) of each task's frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts, n_docs = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 0
         for batch in batches:
-            ids = batch.column(0)
+            ids, keys = batch.column(0), batch.column(1)
             for at, end, data, offsets in shared.slices(batch):
                 of, hashes, sizes = shingle_sets(data, offsets)
                 out = class_ids(of, hashes, sizes).view(np.int64)
                 n, n_docs = end - at, n_docs + end - at
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(sizes), pa.array(out), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["doc_id", "n_shingles", "set_id", "shingle", "seen"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), keys.slice(at, n), pa.array(sizes), pa.array(out), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
                 # a bounded summary: repeated shingles of this slice join it, the least counts go
                 found, times = np.unique(hashes, return_counts=True)
                 found, times = found[times > 1], times[times > 1]
@@ -173,9 +178,10 @@ def set_table(docs: DataFrame) -> DataFrame:
                 seen, counts = both, total
         keep = counts >= max(3, n_docs // 1000)
         n = int(keep.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(seen[keep].view(np.int64)), pa.array(counts[keep])], names=["doc_id", "n_shingles", "set_id", "shingle", "seen"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(seen[keep].view(np.int64)), pa.array(counts[keep])], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long, shingle long, seen long")
+    names = ["doc_id", "row_key", "n_shingles", "set_id", "shingle", "seen"]
+    return docs.select(F.col("doc_id").cast("long"), _row_key().alias("row_key"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _index(docs: DataFrame, frequent) -> DataFrame:
@@ -201,7 +207,7 @@ def _index(docs: DataFrame, frequent) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, text, sketch) of the wanted (set_id, doc_id), one text for each set."""
+    """(set_id, text, sketch) of the wanted (set_id, row_key), one text for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +217,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ids, rows = class_ids(*sets).view(np.int64), sketches(*sets)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), texts.slice(at, end - at), pa.array([r.tobytes() for r in rows], pa.binary())], names=["set_id", "text", "sketch"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
+    found = docs.select(_row_key().alias("row_key"), "text").join(wanted.select("row_key"), "row_key", "left_semi").select("text")
     return found.mapInArrow(run, "set_id long, text string, sketch binary").join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 
@@ -266,10 +272,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, edges): (doc_id, n_shingles, set_id) of every document, and links (a, b) of set ids that connect all linked sets."""
+    """(classes, edges): (doc_id, row_key, n_shingles, set_id) of every document, and links (a, b) of set ids that connect all linked sets."""
     spark = docs.sparkSession
     table = stash(set_table(docs), "sets")
-    classes = table.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "set_id")
+    classes = table.where(F.col("n_shingles").isNotNull()).select("doc_id", "row_key", "n_shingles", "set_id")
     top = table.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top.select("shingle").collect()], dtype=np.int64).view(np.uint64)))
 
@@ -277,7 +283,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = _index(docs, frequent).withColumn("least", F.min("set_id").over(in_list)).withColumn("most", F.max("set_id").over(in_list))
     index = stash(index.where("least < most").select("sign", "set_id").distinct(), "index")
     members = index.select("set_id").distinct()
-    sized = classes.join(members, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    sized = classes.join(members, "set_id", "left_semi").groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n"))
     sized = stash(sized, "members")
     texts = stash(_texts(docs, sized), "texts")
     index = stash(index.join(sized.select("set_id", "n"), "set_id"), "index")
@@ -408,11 +414,17 @@ def _candidates(pairs: DataFrame) -> DataFrame:
     return pairs.where(fits).select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document, component_id being the smallest doc_id reachable by links."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, n_shingles, component) of every document."""
     classes, edges = links(docs)
     label = components(edges)
-    labelled = classes.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    labelled = classes.join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return labelled.select("doc_id", "row_key", "n_shingles", F.coalesce("component", "set_id").alias("component"))
+
+
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document, component_id being the smallest doc_id reachable by links; null where all are null."""
+    labelled = _labelled(docs)
     # a set's rows come down to their smallest id before the group's do, so a hot set or group is summed up by the partial step
     least = labelled.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = labelled.join(least, "component", "left")
@@ -420,11 +432,18 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id; of rows that repeat its id, one stays."""
-    groups = stash(jaccard_groups(docs), "groups")
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    keep = stash(keep.withColumnRenamed("doc_id", "_key"), "kept")
-    kept = docs.withColumn("_key", F.col("doc_id").cast("long")).join(keep, "_key", "left_semi")
+    """docs with one document of each group, that of the smallest doc_id, nulls last, ties by a hash of the text.
+
+    Rows are told apart by doc_id and text, so rows that repeat an id with other texts are documents of their own, and so are rows
+    without an id; of rows that repeat both, one stays.
+    """
+    groups = stash(_labelled(docs), "groups")
+    rows = groups.groupBy("row_key", "doc_id", "n_shingles", "component").agg(F.count(F.lit(1)).alias("rows"))
+    some = F.col("n_shingles") > 0
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "rows"))
+    keep = rows.groupBy(some.alias("some"), F.when(some, F.col("component")).otherwise(F.col("row_key")).alias("group")).agg(first.alias("first"))
+    keep = stash(keep.select(F.col("first.row_key").alias("_key"), "first.rows"), "kept")
+    kept = docs.withColumn("_key", _row_key()).join(keep, "_key", "left_semi")
     if not keep.where("rows > 1").isEmpty():
         kept = kept.dropDuplicates(["_key"])
     return kept.drop("_key")

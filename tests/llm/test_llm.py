@@ -123,6 +123,17 @@ def test_jaccard_groups_by_brute_force(spark):
     assert ngram_join.jaccard_groups(docs.limit(0)).count() == 0
 
 
+def test_one_per_group_of_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    long, near, far = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(words[::-1])
+    alone, null_a, null_b = "a text of no other row at all", " ".join(f"n{i}" for i in range(60)), " ".join([*(f"n{i}" for i in range(59)), "end"])
+    rows = [(1, long), (2, near), (2, far), (3, far), (1, "another text under the first id here"), (None, alone), (None, null_a), (None, null_b), (None, near), (7, "same row twice"), (7, "same row twice"), (8, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], ROW)
+    got = sorted(((r.doc_id or 0, r.text) for r in ngram_join.one_per_group(docs).collect()), key=str)
+    (null_kept,) = {null_a, null_b} & {t for _, t in got}
+    assert got == sorted([(1, long), (2, far), (1, rows[4][1]), (0, alone), (0, null_kept), (7, "same row twice"), (8, None), (0, "")], key=str)
+
+
 def test_jaccard_crowds_by_brute_force(spark, monkeypatch):
     """Many near copies that share index entries, linked or not: the block comparison loses no link and adds none."""
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 40)
