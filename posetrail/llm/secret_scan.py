@@ -1,9 +1,10 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are key-shaped runs of 16 characters or more, and values after password, secret, token or key. The forest sees length, character
-transitions and classes, entropy, coverage by frequent letter groups (a dictionary), the path (source) and the words beside. It is
+Candidates are key-shaped runs of 16 characters or more, and runs of 8 or more after a quote, = or :, or, with blanks between, after
+password, secret, token or key. The forest sees length, character
+transitions and classes, entropy, coverage by frequent letter groups (a dictionary), the path (source) and the words before and after. It is
 trained from labelled findings; ``weak_labels`` labels findings of well-known formats where no hand labels exist. Learning uses a
-bounded, hashed sample.
+bounded sample by a hash of where a finding stands, so a value that many documents repeat is sampled like others.
 
 Null and empty texts have no candidates. Rows that repeat a doc_id are scanned each. Without two label values, all candidates stay.
 """
@@ -24,7 +25,7 @@ from posetrail.llm import shared
 LEARN_ROWS = 20_000
 TREES, DEPTH = 25, 6
 
-_FIND = re.compile(r"(?P<key>\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[:=]\s*[\"']?)?(?P<value>(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}|(?<=[=:\"'])[A-Za-z0-9+/_-]{8,})", re.IGNORECASE)
+_FIND = re.compile(r"(?P<key>\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|key)\b[\"']?\s*[:=]\s*[\"']?)?(?P<value>(?(key)[A-Za-z0-9+/_-]{8,}={0,2}|(?:(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}|(?<=[=:\"'])[A-Za-z0-9+/_-]{8,})))", re.IGNORECASE)
 #: Formats that are secrets wherever they stand.
 KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35})$"
 #: Words that stand before secrets.
@@ -33,7 +34,7 @@ CONTEXT = ("password", "passwd", "pwd", "secret", "token", "key", "bearer", "aut
 GROUPS = "the and ing ion tio ent ati for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat que des les ich ein sch und der die den cht con aci los del ado est nte par ment eau aux oir ou".split()
 _GROUP = re.compile("|".join(sorted(set(GROUPS), key=len, reverse=True)))
 
-FEATURES = ("length", "upper", "lower", "digit", "other", "transitions", "entropy", "coverage", "hex", "after_key", "equals", "word_before", "path", "runs")
+FEATURES = ("length", "upper", "lower", "digit", "other", "transitions", "entropy", "coverage", "hex", "after_key", "equals", "word_before", "path", "runs", "key_after", "closed", "word_after")
 
 
 def describe(value: str, before: str, after: str, source: str) -> list[float]:
@@ -47,6 +48,7 @@ def describe(value: str, before: str, after: str, source: str) -> list[float]:
         sum(len(m) for m in _GROUP.findall(low)) / n, float(all(c in "0123456789abcdef" for c in low)), float(any(w in near[-40:] for w in CONTEXT)),
         float(before.rstrip(" \"'")[-1:] in ("=", ":") if before.strip() else 0), len(before.split()[-1]) if before.split() else 0.0, float(sum(map(ord, source)) % 17),
         max((len(m) for m in re.findall(r"[A-Za-z]+|\d+", value)), default=0),
+        float(any(w in after.lower() for w in CONTEXT)), float(after[:1] in ('"', "'")), len(after.split()[0]) if after.split() else 0.0,
     ]
 
 
@@ -130,14 +132,21 @@ def predict(trees: list[list[tuple]], x: np.ndarray) -> np.ndarray:
     return total / len(trees)
 
 
+def sample(findings: DataFrame, limit: int) -> DataFrame:
+    """limit rows of findings at most, by a hash of (doc_id, start), or of the row where these are not known; rows that repeat all stand once."""
+    place = [F.col(c) for c in ("doc_id", "start") if c in findings.columns]
+    place = F.xxhash64(*(place if len(place) == 2 else [F.monotonically_increasing_id()]))
+    part = int(1_000_000 * min(1.0, limit / max(findings.count(), 1)))
+    chosen = findings.withColumn("place", place).where(F.pmod("place", F.lit(1_000_000)) < part)
+    return chosen.select("place", "features", "label").distinct().orderBy("place", "features", "label").limit(limit)
+
+
 def scan(docs: DataFrame, findings: DataFrame | None = None, fold: int = 0, threshold: float = 0.5, limit: int = LEARN_ROWS) -> DataFrame:
-    """(doc_id, start, value, score) of the findings kept. ``findings`` (features, label) trains; without it, weak labels outside the fold do."""
+    """(doc_id, start, value, score) of the findings kept. ``findings`` (features, label; doc_id and start if known) trains; without it, weak labels outside the fold do."""
     found = shared.stash(candidates(docs), "candidates")
     if findings is None:
-        findings = found.where(shared.crc_mod() != fold).select("features", weak_labels().alias("label")).where(F.col("label").isNotNull())
-    n = findings.count()
-    part = int(1_000_000 * min(1.0, limit / max(n, 1)))
-    rows = findings.where(F.pmod(F.xxhash64("features"), F.lit(1_000_000)) < part).select("label", "features").orderBy("features", "label").collect()  # a bounded sample
+        findings = found.where(shared.crc_mod() != fold).select("doc_id", "start", "features", weak_labels().alias("label")).where(F.col("label").isNotNull())
+    rows = sample(findings, limit).select("label", "features").orderBy("features", "label").collect()  # limit rows at most
     x, y = np.array([r[1] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[0] for r in rows])
     trees = docs.sparkSession.sparkContext.broadcast(forest(x, y))
 

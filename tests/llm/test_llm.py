@@ -356,6 +356,19 @@ def test_secrets(spark):
     assert secret_scan.scan(documents(spark, [None, ""])).count() == 0
 
 
+def test_short_secrets_repeats_and_words_after(spark):
+    texts = ["password: hunter2abc", "token = abc12345", "key : 'k3yk3yk3y'", '{"secret": "s3cr3t99"}', "pwd=short1", "the password hunter2abc", "plain hunter2abc"]
+    got = {r.doc_id: r.value for r in secret_scan.candidates(documents(spark, texts)).collect()}
+    assert got == {0: "hunter2abc", 1: "abc12345", 2: "k3yk3yk3y", 3: "s3cr3t99"}
+    one, other = (secret_scan.describe("abc12345", "id = ", after, "src0") for after in (" is the secret", " lies here"))
+    assert one != other and len(one) == len(secret_scan.FEATURES)
+    # half of the rows have one vector: it is sampled in its share, and the bound holds
+    rows = [(i, 0, [1.0 if i % 2 else float(i)], float(i % 2)) for i in range(4000)] + [(None, 5, [2.0], 1.0)] * 3000
+    kept = secret_scan.sample(spark.createDataFrame(rows, "doc_id long, start long, features array<double>, label double"), 700).collect()
+    share = np.mean([r.features == [1.0] for r in kept])
+    assert 200 < len(kept) <= 700 and 0.4 < share < 0.6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
