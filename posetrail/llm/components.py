@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posetrail.llm.shared import stash
+from posetrail.llm.shared import free, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         if seen[0] == 0 or seen == mark:
             break
         mark = seen
-        now = stash(_star(_star(now, large=True), large=False), "edges")
+        last, now = now, stash(_star(_star(now, large=True), large=False), "edges")
+        free(last)
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(pairs.select(F.col("component").alias("node"), "component").distinct())
 

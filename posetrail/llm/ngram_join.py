@@ -9,12 +9,15 @@ set also joins the band below if a partner may lie there. In a band, shingles ar
   segments of each, chosen by one global order, keeps a common one (prefix filtering over segments). The order is by cost: segments
   with several shingles first, then single ones, then those made of very frequent shingles only, empty ones last.
 
-Sets are compared by their words, exactly. Only connection is wanted, so each index list is first compared against a few pivots.
-Lists that still hold several components are then compared in full, so no link is lost: short ones by a join of their pairs, long
-ones in blocks, whose tasks count common shingles by matrix products and return a spanning forest instead of pairs.
+A task's sets with one signature enter the index as one block once they are many, and index lists of equal members are kept once.
+Only texts of listed sets move, once, to a table bucketed by set; a Bloom filter of bounded size holds the others back. Sets are
+compared by their words, exactly. Only connection is wanted, so each index list, or each part of a long one, is first compared
+against a few pivots. Lists that still hold several components are then compared in full, so no link is lost: short ones by a join
+of their pairs, long ones in blocks, whose tasks count common shingles by matrix products and return a spanning forest.
 
 Null or empty texts have no shingles and link with nothing. Texts of fewer than five words have one shingle. Rows with equal
-sets, repeated rows included, form one class. Class ids are 64-bit hashes of the sets.
+sets, repeated rows included, form one class. Sets are told apart by 128-bit hashes and named by 64 bits of them; the few sets whose
+names clash get others.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posetrail.llm import shared
 from posetrail.llm.components import components, spanning_edges
-from posetrail.llm.shared import stash
+from posetrail.llm.shared import bucketed, free, stash
 
 WIDTH = 5
 #: Linked when 100 * intersection >= SHARE * union.
@@ -38,8 +42,12 @@ DELETION_BANDS = (2, 3)
 #: Entries of a task's summary of frequent shingles, and of the list that orders segments; they steer cost only.
 SUMMARY = 20_000
 FREQUENT = 50_000
-#: Pivots of a list's first round.
-PIVOTS = 3
+#: Sets of one signature that a task indexes as a block, and pairs of signatures and sets that it groups at once.
+BLOCK_RUN, GROUPED = 16, 2_000_000
+#: Pivots of a list's first round, and members of a part that has its own.
+PIVOTS, PART = 3, 1024
+#: Bits of the Bloom filter of wanted rows, at most (2^27 bits are 16 MB): beyond that more texts move, none is lost.
+BLOOM_BITS = 27
 #: Members of a list whose pairs are joined; longer lists are compared in blocks of about so many sets and shingles.
 SHORT_LIST = 32
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 200_000
@@ -92,12 +100,35 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return of, hashes, np.bincount(of, minlength=n_docs)
 
 
-def class_ids(of: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each set."""
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(shared.mix(hashes ^ np.uint64(0x51ED270B)), out=sums[1:])
-    ends = np.cumsum(sizes)
-    return shared.mix((sums[ends] - sums[ends - sizes]) ^ shared.mix(sizes.astype(np.uint64)))
+def class_ids(of: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set."""
+    ends, out = np.cumsum(sizes), []
+    for salt in (0x51ED270B, 0x2127599BF4325C37):
+        sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(shared.mix(hashes ^ np.uint64(salt)), out=sums[1:])
+        out.append(shared.mix((sums[ends] - sums[ends - sizes]) ^ shared.mix(sizes.astype(np.uint64) + np.uint64(salt))).view(np.int64))
+    return out[0], out[1]
+
+
+Renamed = dict[tuple[int, int], int]
+
+
+def set_names(of: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, renamed: Renamed) -> np.ndarray:
+    low, high = class_ids(of, hashes, sizes)
+    out = low.copy()
+    for (one, other), name in renamed.items():
+        out[(low == one) & (high == other)] = name
+    return out
+
+
+def clashes(table: DataFrame) -> Renamed:
+    """New names of sets that share their first hash with another set: n * n / 2^65 of n sets are expected."""
+    sets = table.where(F.col("n_shingles").isNotNull()).groupBy("low").agg(F.min("high").alias("least"), F.max("high").alias("most")).where("least < most")
+    out: Renamed = {}
+    for low, high in table.join(sets.select("low"), "low", "left_semi").select("low", "high").distinct().collect():
+        both = np.array([low, high], dtype=np.int64).view(np.uint64)
+        out[low, high] = int(shared.mix(both[:1] + shared.mix(both[1:])).view(np.int64)[0])
+    return out
 
 
 def signatures(of: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +187,7 @@ def _row_key() -> Column:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, row_key, n_shingles, set_id) of all documents, and rows (shingle, seen) of each task's frequent shingles."""
+    """Rows (doc_id, row_key, n_shingles, low, high) of all documents, and rows (shingle, seen) of each task's frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts, n_docs = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 0
@@ -164,9 +195,10 @@ def set_table(docs: DataFrame) -> DataFrame:
             ids, keys = batch.column(0), batch.column(1)
             for at, end, data, offsets in shared.slices(batch):
                 of, hashes, sizes = shingle_sets(data, offsets)
-                out = class_ids(of, hashes, sizes).view(np.int64)
+                low, high = class_ids(of, hashes, sizes)
                 n, n_docs = end - at, n_docs + end - at
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), keys.slice(at, n), pa.array(sizes), pa.array(out), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+                columns = [ids.slice(at, n), keys.slice(at, n), pa.array(sizes), pa.array(low), pa.array(high), *(pa.nulls(n, pa.int64()) for _ in range(2))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 # a bounded summary: repeated shingles of this slice join it, the least counts go
                 found, times = np.unique(hashes, return_counts=True)
                 found, times = found[times > 1], times[times > 1]
@@ -178,21 +210,58 @@ def set_table(docs: DataFrame) -> DataFrame:
                 seen, counts = both, total
         keep = counts >= max(3, n_docs // 1000)
         n = int(keep.sum())
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.array(seen[keep].view(np.int64)), pa.array(counts[keep])], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(5)), pa.array(seen[keep].view(np.int64)), pa.array(counts[keep])], names=names)
 
-    names = ["doc_id", "row_key", "n_shingles", "set_id", "shingle", "seen"]
+    names = ["doc_id", "row_key", "n_shingles", "low", "high", "shingle", "seen"]
     return docs.select(F.col("doc_id").cast("long"), _row_key().alias("row_key"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _index(docs: DataFrame, frequent) -> DataFrame:
-    """(sign, set_id) rows; a task indexes equal sets once."""
+#: Kinds of index rows: (signature, set), (signature, block) and (block, set).
+SINGLE, BLOCK, MEMBER = 0, 1, 2
+
+
+def grouped(signs: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, kind) index rows of a task's (signature, set) pairs: BLOCK_RUN or more sets of one signature are a block.
+
+    Blocks are named by their members, so equal ones are listed once. Should two names clash, a list gets members that the exact
+    comparison removes.
+    """
+    order = np.lexsort((sets, signs))
+    s, x = signs[order], sets[order]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = (s[1:] != s[:-1]) | (x[1:] != x[:-1])
+    s, x = s[new], x[new]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, dtype=np.int64)
+    length = np.diff(np.append(first, len(s)))
+    long = length >= BLOCK_RUN
+    sums = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(shared.mix(x.view(np.uint64)), out=sums[1:])
+    name = shared.mix((sums[first + length] - sums[first]) ^ shared.mix(length.astype(np.uint64))).view(np.int64)
+    single = ~np.repeat(long, length)
+    _, pick = np.unique(name[long], return_index=True)
+    chosen = np.flatnonzero(long)[pick]
+    n = length[chosen]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[chosen], n)
+    by_set = np.argsort(x[single], kind="stable")  # runs of one set pack well
+    parts = [(s[single][by_set], x[single][by_set]), (s[first[long]], name[long]), (np.repeat(name[chosen], n), x[at])]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.repeat([SINGLE, BLOCK, MEMBER], [len(p[0]) for p in parts]).astype(np.int32)
+
+
+def _index(docs: DataFrame, frequent, renamed: Renamed) -> DataFrame:
+    """Index rows (first, second, kind); a task indexes equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done, held, size = set(), [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = grouped(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["first", "second", "kind"])
+
         for batch in batches:
             for _, _, data, offsets in shared.slices(batch):
                 of, hashes, sizes = shingle_sets(data, offsets)
-                ids = class_ids(of, hashes, sizes).view(np.int64)
+                ids = set_names(of, hashes, sizes, renamed)
                 fresh = np.zeros(len(ids), dtype=bool)
                 for k, i in enumerate(ids.tolist()):
                     if i not in done:
@@ -200,25 +269,53 @@ def _index(docs: DataFrame, frequent) -> DataFrame:
                         fresh[k] = True
                 kept = fresh[of]
                 docs_of, signs = signatures(of[kept], hashes[kept], np.where(fresh, sizes, 0), frequent.value)
-                order = np.argsort(docs_of, kind="stable")
-                yield pa.RecordBatch.from_arrays([pa.array(signs[order].view(np.int64)), pa.array(ids[docs_of[order]])], names=["sign", "set_id"])
+                held.append((signs.view(np.int64), ids[docs_of]))
+                size += len(signs)
+                if size > GROUPED:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    return docs.select("text").mapInArrow(run, "first long, second long, kind int")
+
+
+def _bloom(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(bits as bytes, their number) of a Bloom filter of the n row keys; Spark builds it in pieces of 4 KB."""
+    size = 1 << min(BLOOM_BITS, max(15, (10 * n).bit_length()))
+    at = keys.select(F.explode(F.array(*(F.pmod(F.shiftrightunsigned("row_key", k), F.lit(size)) + 1 for k in (0, 16, 32)))).alias("at"))
+    pieces = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for b, bits in pieces:
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, dtype=np.uint8)
+    return out, size
+
 
-    return docs.select("text").mapInArrow(run, "sign long, set_id long")
+def _texts(docs: DataFrame, wanted: DataFrame, n: int, renamed: Renamed) -> DataFrame:
+    """(set_id, n, text, sketch) of the n wanted (set_id, row_key), one text for each set, bucketed by set_id.
 
+    A Bloom filter of row_key chooses the texts before they move; the few that it lets through in vain are sets that nothing asks for.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, n))
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, text, sketch) of the wanted (set_id, row_key), one text for each set."""
+    @F.pandas_udf("boolean")
+    def may(keys: pd.Series) -> pd.Series:
+        bits, size = shipped.value
+        key, out = keys.to_numpy().view(np.uint64), np.ones(len(keys), dtype=bool)
+        for k in (0, 16, 32):
+            at = (key >> np.uint64(k)) & np.uint64(size - 1)
+            out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0)
             for at, end, data, offsets in shared.slices(batch):
                 sets = shingle_sets(data, offsets)
-                ids, rows = class_ids(*sets).view(np.int64), sketches(*sets)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), texts.slice(at, end - at), pa.array([r.tobytes() for r in rows], pa.binary())], names=["set_id", "text", "sketch"])
+                columns = [pa.array(set_names(*sets, renamed)), pa.array(sets[2]), batch.column(0).slice(at, end - at)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([r.tobytes() for r in sketches(*sets)], pa.binary())], names=["set_id", "n", "text", "sketch"])
 
-    found = docs.select(_row_key().alias("row_key"), "text").join(wanted.select("row_key"), "row_key", "left_semi").select("text")
-    return found.mapInArrow(run, "set_id long, text string, sketch binary").join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    found = docs.select(_row_key().alias("row_key"), "text").where(may("row_key")).select("text")
+    return bucketed(found.mapInArrow(run, "set_id long, n long, text string, sketch binary"), "texts", "set_id")
 
 
 def sketches(of: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -227,7 +324,7 @@ def sketches(of: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return np.minimum(np.bincount(bucket, minlength=len(sizes) * BUCKETS), 255).astype(np.uint8).reshape(-1, BUCKETS)
 
 
-def _possible(pairs: DataFrame, texts: DataFrame, sized: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches leave a link possible; none that link are lost, and no text is moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +335,7 @@ def _possible(pairs: DataFrame, texts: DataFrame, sized: DataFrame) -> DataFrame
                 near = np.abs(a - b).sum(axis=1) <= most_apart(n, 0)
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near))
 
-    known = texts.select("set_id", "sketch").join(sized.select("set_id", "n"), "set_id")
-    of = lambda x: known.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    of = lambda x: texts.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
@@ -271,47 +367,86 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
 
 
+def _lists(docs: DataFrame, frequent, renamed: Renamed) -> DataFrame:
+    """(sign, set_id) of the index lists of two sets or more, those of equal members once."""
+    in_list = Window.partitionBy("first", "member")
+    index = _index(docs, frequent, renamed).withColumn("member", F.col("kind") == MEMBER)
+    index = index.withColumn("several", (F.max("kind").over(in_list) > SINGLE) | (F.min("second").over(in_list) < F.max("second").over(in_list)))
+    prints = [F.xxhash64("second", "kind", F.lit(k)) for k in (1, 2)]
+    low, high = (lambda h: h.bitwiseAND(0xFFFFFFFF)), (lambda h: F.shiftrightunsigned(h, 32))  # sums of 32 bits do not overflow
+    sums = {"x": low(prints[0]), "y": high(prints[0]), "z": low(prints[1])}
+    index = index.where("several").select("first", "second", "kind", *(F.sum(h).over(in_list).alias(k) for k, h in sums.items()))
+    index = stash(index, "index")
+    once = index.where(F.col("kind") != MEMBER).groupBy("x", "y", "z").agg(F.min("first").alias("first"))
+    kept = index.where(F.col("kind") != MEMBER).select("first", "second", "kind").join(once.select("first"), "first", "left_semi")
+    member = index.where(F.col("kind") == MEMBER).select(F.col("first").alias("second"), F.col("second").alias("set_id"))
+    singles = kept.where(F.col("kind") == SINGLE).select(F.col("first").alias("sign"), F.col("second").alias("set_id"))
+    blocks = kept.where(F.col("kind") == BLOCK).join(member, "second").select(F.col("first").alias("sign"), "set_id")
+    out = stash(singles.union(blocks).distinct(), "lists")
+    free(index)
+    return out
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """Candidate pairs of each list's members, of (sign, set_id, n), with a few pivots; parts of a long list have their own, so no
+    pivot meets more than a few parts' members, and meet by those pivots."""
+    size = F.count(F.lit(1))
+    parts = lists.groupBy("sign").agg(size.alias("members")).where(F.col("members") > PART)
+    parts = parts.select("sign", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("members") / PART))).cast("long").alias("parts"))
+    dealt = lists.join(parts, "sign", "left").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(9)), F.coalesce("parts", F.lit(1))))
+    dealt = dealt.select("sign", "part", "set_id", "n")
+    least = [F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id", "n")).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = dealt.groupBy("sign", "part").agg(*least)
+    stars = dealt.join(pivots, ["sign", "part"]).select("set_id", "n", F.explode(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("p"))
+    tops = pivots.groupBy("sign").agg(F.min("p0").alias("p"), size.alias("parts")).where("parts > 1").select("sign", "p")
+    bridges = pivots.join(tops, "sign").select("p0.set_id", "p0.n", "p")
+    return _candidates(stars.union(bridges).select("set_id", "n", F.col("p.set_id").alias("other"), F.col("p.n").alias("n_other")))
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, edges): (doc_id, row_key, n_shingles, set_id) of every document, and links (a, b) of set ids that connect all linked sets."""
     spark = docs.sparkSession
     table = stash(set_table(docs), "sets")
-    classes = table.where(F.col("n_shingles").isNotNull()).select("doc_id", "row_key", "n_shingles", "set_id")
-    top = table.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(FREQUENT)
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top.select("shingle").collect()], dtype=np.int64).view(np.uint64)))
-
-    in_list = Window.partitionBy("sign")
-    index = _index(docs, frequent).withColumn("least", F.min("set_id").over(in_list)).withColumn("most", F.max("set_id").over(in_list))
-    index = stash(index.where("least < most").select("sign", "set_id").distinct(), "index")
-    members = index.select("set_id").distinct()
-    sized = classes.join(members, "set_id", "left_semi").groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n"))
-    sized = stash(sized, "members")
-    texts = stash(_texts(docs, sized), "texts")
-    index = stash(index.join(sized.select("set_id", "n"), "set_id"), "index")
+    renamed = clashes(table)
+    name = F.col("low")
+    for (low, high), new in renamed.items():
+        name = F.when((F.col("low") == low) & (F.col("high") == high), F.lit(new)).otherwise(name)
+    classes = table.where(F.col("n_shingles").isNotNull()).select("doc_id", "row_key", "n_shingles", name.alias("set_id"))
+    seen = table.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
+    top = np.array([r[0] for r in shared.most_frequent(seen, "shingle", "seen", FREQUENT)], dtype=np.int64)
+    frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))
+
+    listed = _lists(docs, frequent, renamed)
+    sized = classes.groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n"))
+    sized = stash(sized.join(listed.select("set_id").distinct(), "set_id", "left_semi"), "members")
+    texts = _texts(docs, sized, sized.count(), renamed)
+    lists = stash(listed.join(sized.select("set_id", "n"), "set_id"), "lists")
+    free(listed)
 
     # a first round of stars around a few pivots of each list joins most of each group
-    pivots = [F.min(F.struct(F.xxhash64("set_id", F.lit(k)).alias("h"), "set_id", "n")).over(in_list) for k in range(PIVOTS)]
-    stars = index.withColumn("pivots", F.array(*pivots)).select("set_id", "n", F.explode("pivots").alias("p"))
-    tried = stash(_candidates(stars.select("set_id", "n", F.col("p.set_id").alias("other"), F.col("p.n").alias("n_other"))), "pairs")
-    edges = stash(_verified(stash(_possible(tried, texts, sized), "near"), texts), "links")
-    # then lists that still hold several components are compared in full, lists of equal members once
+    tried = stash(_stars(lists), "pairs")
+    near = stash(_possible(tried, texts), "near")
+    edges = stash(_verified(near, texts), "links")
+    free(near)
+    # then lists that still hold several components are compared in full
     label = components(edges).withColumnRenamed("node", "set_id")
-    labelled = index.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    labelled = lists.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     spread = labelled.groupBy("sign").agg(
         F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("members"),
-        F.bit_xor(F.xxhash64("set_id")).alias("x"), F.sum(F.xxhash64("set_id", F.lit(1)).cast("decimal(38,0)")).alias("y"),
         *(F.min(F.xxhash64("set_id", F.lit(k))).alias(f"least_{k}") for k in (2, 3)),
     )
-    lists = spread.where("first < last").groupBy("x", "y").agg(F.min(F.struct("sign", "members", "least_2", "least_3")).alias("list"))
-    lists = stash(lists.select("list.sign", "list.members", F.xxhash64("list.least_2", "list.least_3").alias("crowd")), "lists")
-    rest = stash(labelled.join(lists, "sign"), "open")
+    still = stash(spread.where("first < last").select("sign", "members", F.xxhash64("least_2", "least_3").alias("crowd")), "open")
+    rest = stash(labelled.join(still, "sign"), "rest")
     short = rest.where(F.col("members") <= SHORT_LIST).select("sign", "set_id", "n", "component")
     other = short.select("sign", F.col("set_id").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("component_other"))
     pairs = _candidates(short.join(other, "sign").where("component < component_other")).join(tried, ["a", "b"], "left_anti")
-    pairs = _possible(pairs, texts, sized)
+    near = stash(_possible(pairs, texts), "near")
     # long lists of nearly the same members (by two min-hashes) are one crowd
-    crowds = rest.where(F.col("members") > SHORT_LIST).select("crowd", "set_id", "n", "component").distinct()
-    pairs = stash(pairs.union(_within_crowds(stash(crowds, "crowds"), texts)).distinct(), "pairs")
-    return classes, stash(edges.union(_verified(pairs, texts)), "links")
+    crowds = stash(rest.where(F.col("members") > SHORT_LIST).select("crowd", "set_id", "n", "component").distinct(), "crowds")
+    within = stash(_within_crowds(crowds, texts), "near")
+    out = stash(edges.union(_verified(near.union(within).distinct(), texts)), "links")
+    free(texts, lists, tried, edges, still, rest, near, crowds, within)
+    return classes, out
 
 
 def _common(of_a: np.ndarray, hashes_a: np.ndarray, n_a: int, of_b: np.ndarray, hashes_b: np.ndarray, n_b: int) -> np.ndarray:
@@ -357,7 +492,7 @@ def _within_crowds(crowds: DataFrame, texts: DataFrame) -> DataFrame:
     """
     sizes = crowds.groupBy("crowd").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
     dealt = crowds.join(sizes, "crowd").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(7)), "parts"))
-    dealt = dealt.join(texts, "set_id").select("crowd", "part", "parts", "set_id", "component", "text")
+    dealt = dealt.join(texts.select("set_id", "text"), "set_id").select("crowd", "part", "parts", "set_id", "component", "text")
 
     kept = ("sets", "labels", "lengths", "texts")
 
@@ -418,6 +553,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, n_shingles, component) of every document."""
     classes, edges = links(docs)
     label = components(edges)
+    free(edges)
     labelled = classes.join(label.withColumnRenamed("node", "set_id"), "set_id", "left")
     return labelled.select("doc_id", "row_key", "n_shingles", F.coalesce("component", "set_id").alias("component"))
 
@@ -435,15 +571,18 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     """docs with one document of each group, that of the smallest doc_id, nulls last, ties by a hash of the text.
 
     Rows are told apart by doc_id and text, so rows that repeat an id with other texts are documents of their own, and so are rows
-    without an id; of rows that repeat both, one stays.
+    without an id; of rows that repeat both, one stays. The keys of the rows that go (the fewer) are joined away.
     """
-    groups = stash(_labelled(docs), "groups")
-    rows = groups.groupBy("row_key", "doc_id", "n_shingles", "component").agg(F.count(F.lit(1)).alias("rows"))
     some = F.col("n_shingles") > 0
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "rows"))
-    keep = rows.groupBy(some.alias("some"), F.when(some, F.col("component")).otherwise(F.col("row_key")).alias("group")).agg(first.alias("first"))
-    keep = stash(keep.select(F.col("first.row_key").alias("_key"), "first.rows"), "kept")
-    kept = docs.withColumn("_key", _row_key()).join(keep, "_key", "left_semi")
-    if not keep.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["_key"])
-    return kept.drop("_key")
+    group = F.struct(some.alias("some"), F.when(some, F.col("component")).otherwise(F.col("row_key")).alias("group"))
+    rows = stash(_labelled(docs).groupBy("row_key", "doc_id", group.alias("group")).agg(F.count(F.lit(1)).alias("rows")), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    keep = rows.groupBy("group").agg(first.alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1").select("group", F.col("first.row_key").alias("kept"))
+    key = shared.free_name(docs, "row_key")
+    gone = stash(rows.join(keep, "group").where("row_key != kept").select(F.col("row_key").alias(key)), "gone")
+    kept = docs.withColumn(key, _row_key()).join(gone, key, "left_anti")
+    twice = stash(rows.where("rows > 1").select(F.col("row_key").alias(key)).distinct(), "twice")
+    free(rows)
+    if not twice.isEmpty():
+        kept = kept.join(twice, key, "left_anti").union(kept.join(twice, key, "left_semi").dropDuplicates([key]))
+    return kept.drop(key)

@@ -8,13 +8,14 @@ learn from, the score is the (clipped) share of the label.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posetrail.llm import shared
 
@@ -74,19 +75,20 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ], axis=1)
 
 
-def statistics_table(docs: DataFrame) -> DataFrame:
-    """docs without text, with a column for each of STATS (columns of those names are replaced)."""
-    kept = [c for c in docs.columns if c != "text" and c not in STATS]
+def with_statistics(docs: DataFrame, names: list[str], keep_text: bool = False) -> DataFrame:
+    """docs with the statistics of text under these names (one for each of STATS); without text unless kept. A narrow job."""
+    kept = [c for c in docs.columns if c != "text" or keep_text]
+    held = [docs.columns.index(c) for c in kept]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in shared.slices(batch):
                 table = np.round(statistics(data, offsets), 9)
-                others = [batch.column(k).slice(at, end - at) for k in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*others, *(pa.array(c) for c in np.ascontiguousarray(table.T))], names=[*kept, *STATS])
+                others = [batch.column(k).slice(at, end - at) for k in held]
+                yield pa.RecordBatch.from_arrays([*others, *(pa.array(c) for c in np.ascontiguousarray(table.T))], names=[*kept, *names])
 
-    ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{s} double" for s in STATS)])
-    return docs.select(*kept, "text").mapInArrow(run, ddl)
+    return docs.mapInArrow(run, schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, greater, cut) parts, all of which hold
@@ -154,11 +156,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> tuple[list[tuple[Rule, float]], f
     return [(r, float(c)) for r, c in zip(rules, w, strict=True) if c], float(b)
 
 
-def compiled(rules: list[tuple[Rule, float]], bias: float) -> Column:
-    """The score as a column over STATS."""
+def compiled(rules: list[tuple[Rule, float]], bias: float, names: Sequence[str] = STATS) -> Column:
+    """The score as a column over the statistics, which have these names."""
 
     def condition(rule: Rule) -> Column:
-        return reduce(Column.__and__, [F.col(STATS[k]) > c if greater else F.col(STATS[k]) <= c for k, greater, c in rule])
+        return reduce(Column.__and__, [F.col(names[k]) > c if greater else F.col(names[k]) <= c for k, greater, c in rule])
 
     total = F.lit(bias)
     for rule, weight in rules:
@@ -166,26 +168,22 @@ def compiled(rules: list[tuple[Rule, float]], bias: float) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 0, limit: int = LEARN_ROWS) -> tuple[list[tuple[Rule, float]], float]:
-    sample = F.broadcast(shared.bounded_labels(labels, label, fold, limit))  # about ``limit`` ids at most
-    rows = stats.select("doc_id", *STATS).join(sample, "doc_id").select("doc_id", "label", *STATS).collect()
-    rows = sorted(map(tuple, rows))
-    table = np.array(rows, dtype=float).reshape(-1, len(STATS) + 2)
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 0, limit: int = LEARN_ROWS) -> tuple[list[tuple[Rule, float]], float]:
+    """Rules and bias from a bounded sample of labelled rows; only its texts are described, and only its statistics reach the driver."""
+    rows = with_statistics(shared.learning_rows(docs, labels, label, fold, limit), list(STATS)).collect()
+    table = np.array(sorted(map(tuple, rows)), dtype=float).reshape(-1, len(STATS) + 2)
     return fit_rules(table[:, 2:], table[:, 1])
 
 
 def quality(docs: DataFrame, labels: DataFrame, fold: int = 0, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs, learned without the held-out fold."""
-    stats = shared.stash(statistics_table(docs.select("doc_id", "text")), "statistics")
-    rules, bias = learn(stats, labels, fold=fold)
-    scored = stats.select("doc_id", compiled(rules, bias).alias("score"))
+    """doc_id, held_out, score and predicted of every row of docs, learned without the held-out fold; a narrow job once learned."""
+    rules, bias = learn(docs, labels, fold=fold)
+    scored = with_statistics(docs.select("doc_id", "text"), list(STATS)).select("doc_id", compiled(rules, bias).alias("score"))
     return scored.select("doc_id", (shared.crc_mod() == fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fold: int = 0, threshold: float = 0.3) -> DataFrame:
-    """docs without the rejected rows; the statistics are written once; the rejected ids (few) are joined away."""
-    stats = shared.stash(statistics_table(docs.select("doc_id", F.xxhash64("text").alias("_key"), "text")), "statistics")
-    rules, bias = learn(stats, labels, fold=fold)
-    bad = shared.stash(stats.where(compiled(rules, bias) < threshold).select("doc_id", "_key").distinct(), "rejected")
-    named = docs.withColumn("_key", F.xxhash64("text"))
-    return named.join(bad, named["doc_id"].eqNullSafe(bad["doc_id"]) & (named["_key"] == bad["_key"]), "left_anti").drop("_key")
+    """docs without the rejected rows: each row is described, judged and dropped or kept in its place, without a join."""
+    rules, bias = learn(docs, labels, fold=fold)
+    names = [shared.free_name(docs, s) for s in STATS]
+    return with_statistics(docs, names, keep_text=True).where(compiled(rules, bias, names) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))

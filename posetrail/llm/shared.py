@@ -6,13 +6,16 @@ Nulls count as empty texts everywhere in this subpackage unless a docstring says
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,30 +23,87 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2_000_000
 
 _FOLDERS: dict[str, str] = {}
+_STASHED: weakref.WeakKeyDictionary[DataFrame, tuple[str, str | None]] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; where that is unset (tests), a temporary folder."""
+    """This application's folder below spark.checkpoint.dir; only a local session (tests) may leave that unset and gets a temporary folder."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="posetrail-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="posetrail-")
         _FOLDERS[app] = f"{root.rstrip('/')}/posetrail-{app}"
         context = spark.sparkContext
 
         def drop(folder: str = _FOLDERS[app]) -> None:
             if context._jsc is not None:
-                path = context._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(context, folder)
 
         atexit.register(drop)
     return _FOLDERS[app]
 
 
+def _delete(context: SparkContext, folder: str) -> None:
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: it cuts lineage and gives later joins true sizes."""
+    """Write df as Parquet to the shared folder and read it back: it cuts lineage and gives later joins true sizes.
+
+    It stays until ``free`` or the end of the application; operators free what their result no longer reads.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STASHED[out] = (path, None)
+    return out
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``stash``, one row for each key, as a table bucketed by it, so that joins on the key do not move its rows again."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", f"posetrail_{uuid.uuid4().hex}"
+    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).option("path", path).saveAsTable(table, format="parquet")
+    out = spark.table(table)
+    _STASHED[out] = (path, table)
+    return out
+
+
+def free(*stashes: DataFrame) -> None:
+    """Delete stashes whose last reader has run."""
+    for df in stashes:
+        if known := _STASHED.pop(df, None):
+            if known[1]:
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {known[1]}")
+            _delete(df.sparkSession.sparkContext, known[0])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def most_frequent(table: DataFrame, key: str, count: str, limit: int) -> list:
+    """(key, count) rows of the most frequent keys, ``limit`` at most and near it where counts allow: those above a threshold found
+    by a histogram of counts, so no task sends more than it holds of them. Keys of equal count come or stay together."""
+    step = F.floor(F.log2(F.col(count)) * 16)
+    bars = sorted(table.where(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.max(count).alias("most")).collect(), reverse=True)
+    least, total = None, 0
+    for bar in bars:  # some 16 a doubling
+        total += bar["n"]
+        if total > limit:
+            least = bar["most"]
+            break
+    rows = table.where(F.col(count) > 0) if least is None else table.where(F.col(count) > least)
+    return rows.select(key, count).orderBy(F.desc(count), key).collect()
 
 
 def crc_mod(column: str = "doc_id", n: int = 5) -> Column:
@@ -65,6 +125,13 @@ def bounded_labels(labels: DataFrame, label: str, fold: int, limit: int) -> Data
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
 
 
+def learning_rows(docs: DataFrame, labels: DataFrame, label: str, fold: int, limit: int) -> DataFrame:
+    """(doc_id, label, text) to learn from: about ``limit`` ids at most, and one row each (of texts that repeat an id, that of the least hash)."""
+    sample = F.broadcast(bounded_labels(labels, label, fold, limit))
+    rows = docs.select("doc_id", "text").join(sample, "doc_id")
+    return rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 # --- numpy helpers: texts as one byte buffer with offsets ---
 
 _LOWER = np.arange(256, dtype=np.uint8)

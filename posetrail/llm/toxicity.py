@@ -64,8 +64,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 0, limit: int = LEARN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """(places, weights, bias) of the non-zero weights, from labelled rows outside the fold."""
-    sample = F.broadcast(shared.bounded_labels(labels, label, fold, limit))  # about ``limit`` ids at most
-    chosen = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text")
+    chosen = shared.learning_rows(docs, labels, label, fold, limit)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,8 +86,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int =
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*w[at].tolist(), bias])], names=["place", "weight"])
 
-    sampled = shared.stash(chosen.mapInArrow(extract, "doc_id long, label double, places array<int>"), "toxic-sample")
-    fitted = sampled.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id").mapInArrow(fit, "place long, weight double").collect()  # a bounded sample
+    sampled = chosen.mapInArrow(extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label double, places array<int>")
+    one = sampled.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id")  # a bounded sample
+    fitted = one.mapInArrow(fit, "place long, weight double").collect()
     model = {r[0]: r[1] for r in fitted}
     bias = model.pop(-1, 0.0)
     places = np.array(sorted(model), dtype=np.int64)
