@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posetrail.operators import numbers as N
 from posetrail.operators import pose as P
 from posetrail.operators import runs as R
+from posetrail.operators.lineage import cut
 
 
 def fill_missing(pose: DataFrame, canon: DataFrame, least: int = 3) -> DataFrame:
@@ -67,40 +70,108 @@ def keep_newest(files: DataFrame, n: int) -> DataFrame:
 SWEEP_SILENCE = 10
 
 
-def motion_sweep(centres: DataFrame, lengths: DataFrame, swap_gap: float = 0.15, far: float = 1.2) -> DataFrame:
-    """Frame by frame assignment of two animals by their last places: (video_id, frame, swap, ambiguous).
+def single_frames(counts: DataFrame, poses: DataFrame, least: int = 5) -> DataFrame:
+    """(video_id, frame, single, single_before, blobs, locked) for the id lock of ``motion_sweep``.
 
-    centres: (video_id, frame, instance, cx, cy) of present animals; lengths: (video_id, body_length). The state is lost after ten silent
-    frames, so a video is cut there and its pieces are swept apart; only centres travel to the helper.
+    counts: (video_id, frame, animal_count) of every frame; poses: (video_id, frame, instance) of present animals. A frame is single
+    where both count one animal at most, in runs of ``least`` frames or more. The locked id is that of most of the first ten frames
+    with one pose and one animal at most; the other one where under five of them show id 0.
     """
-    import numpy as np
-    import pandas as pd
-
-    f = centres.groupBy("video_id", "frame").agg(*(F.max(F.when(F.col("instance") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1) for c in ("cx", "cy")))
-    f = f.withColumn("cut", F.sum(F.coalesce((F.col("frame") - F.lag("frame").over(R.video()) > SWEEP_SILENCE).cast("int"), F.lit(0))).over(R.video()))
-    f = f.join(lengths, "video_id")
-
-    def helper(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("frame")
-        last, when, swaps, doubts = {}, {}, [], []
-        for frame, x0, y0, x1, y1, size in p[["frame", "cx0", "cy0", "cx1", "cy1", "body_length"]].itertuples(index=False):
-            now = {i: (x, y) for i, (x, y) in enumerate(((x0, y0), (x1, y1))) if not np.isnan(x)}
-            ref = {i: at for i, at in last.items() if frame - when[i] <= SWEEP_SILENCE}
-            cost = [0.0, 0.0]
-            for i, at in now.items():
-                for s in (0, 1):
-                    to = ref.get(i if s == 0 else 1 - i)
-                    cost[s] += 1e6 if to is None else float(np.hypot(at[0] - to[0], at[1] - to[1]))
-            swap = bool(ref) and cost[1] < cost[0]
-            best, total = min(cost), sum(cost)
-            doubts.append(bool(ref) and (best > far * size * max(1, len(now)) or abs(cost[0] - cost[1]) < swap_gap * total))
-            swaps.append(swap)
-            for i, at in now.items():
+    of = poses.groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("instance") == 0).cast("int")).alias("zero"))
+    f = counts.join(of, ["video_id", "frame"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    f = f.withColumn("one", (F.col("animal_count") <= 1) & (F.col("n") <= 1))
+    r = R.runs(f, "one").where(F.col("one") & (F.col("length") >= least)).select("video_id", F.explode(F.sequence("start", "end")).alias("frame"), F.lit(True).alias("single"))
+    first = f.where("animal_count <= 1 and n = 1").withColumn("k", F.row_number().over(R.video())).where("k <= 10")
+    locked = first.groupBy("video_id").agg(F.when(F.sum("zero") >= 5, 0).otherwise(1).alias("locked"))
+    out = f.join(r, ["video_id", "frame"], "left").join(locked, "video_id", "left")
+    out = out.select("video_id", "frame", F.coalesce("single", F.lit(False)).alias("single"), F.col("animal_count").alias("blobs"), F.coalesce("locked", F.lit(1)).alias("locked"))
+    return out.withColumn("single_before", F.coalesce(F.lag("single").over(R.video()), F.lit(False)))
+
+
+def motion_sweep(centres: DataFrame, lengths: DataFrame, singles: DataFrame | None = None, swap_gap: float = 0.15, far: float = 1.2) -> DataFrame:
+    """Frame by frame assignment of two animals by their last places: (video_id, frame, swap, ambiguous, locked_from).
+
+    centres: (video_id, frame, instance, cx, cy) of present animals; lengths: (video_id, body_length). A place is forgotten after ten
+    frames. A cost over ``far`` lengths (1.5 times that for two animals against two places) makes a frame ambiguous and leaves ids and
+    places as they were; a cost gap under ``swap_gap`` of the sum makes it ambiguous as well; the cheaper assignment is taken.
+    With ``singles`` (see ``single_frames``) ids are locked: single frames force the locked id, and where a sweep comes back to it with
+    the other, the frames from locked_from to before the frame are a stable swap. Without it, a video is cut where ten frames are
+    silent, as no place survives them, and its pieces are swept apart. Rows stream through a task with the state of one piece.
+    """
+    wide = [F.max(F.when(F.col("instance") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1) for c in ("cx", "cy")]
+    f = centres.groupBy("video_id", "frame").agg(*wide).join(lengths, "video_id")
+    lock = singles is not None
+    if lock:
+        f = f.join(singles, ["video_id", "frame"], "left").withColumn("piece", F.lit(0).cast("bigint"))
+    else:
+        silent = F.coalesce((F.col("frame") - F.lag("frame").over(R.video()) > SWEEP_SILENCE).cast("int"), F.lit(0))
+        f = f.withColumn("piece", F.sum(silent).over(R.video()).cast("bigint"))
+    columns = ["cx0", "cy0", "cx1", "cy1", "body_length", *(["single", "single_before", "blobs", "locked"] if lock else [])]
+
+    def make():
+        place, seen, checked = [None, None], [0, 0], [0]
+
+        def step(frame, x0, y0, x1, y1, length, single=False, before=False, blobs=None, locked=0):
+            now = {i: p for i, p in ((0, (x0, y0)), (1, (x1, y1))) if p[0] is not None}
+            for i in (0, 1):
+                if place[i] is not None and frame - seen[i] > SWEEP_SILENCE:
+                    place[i] = None
+            ref = [i for i in (0, 1) if place[i] is not None]
+            gap = lambda i, j: math.hypot(place[i][0] - now[j][0], place[i][1] - now[j][1])
+            swap, doubt, since, most = False, False, None, far * (length if length is not None else math.inf)
+            if ref and len(now) == 1:
+                (i,) = now
+                if len(ref) == 1:
+                    if lock and single:
+                        swap, checked[0] = i != locked, frame
+                    elif gap(ref[0], i) > most:
+                        return False, True, None
+                    else:
+                        swap = i != ref[0]
+                elif lock and single and before:
+                    swap, checked[0] = i != locked, frame
+                else:
+                    keep, cross = gap(i, i), gap(1 - i, i)
+                    if min(keep, cross) > most or lock and (blobs or 0) > 1 and keep + cross < (length or 0):
+                        return False, True, None
+                    doubt, swap = abs(keep - cross) < swap_gap * (keep + cross), keep > cross
+                    if lock and single:
+                        if (i if not swap else 1 - i) != locked and frame > checked[0] + 1:
+                            swap, doubt, since = not swap, True, checked[0] + 1
+                        checked[0] = frame
+            elif ref:
+                two = len(ref) == 2
+                keep = sum(gap(i, i) for i in ref)
+                cross = sum(gap(i, 1 - i) for i in ref)
+                if min(keep, cross) > most * (1.5 if two else 1):
+                    return False, True, None
+                doubt, swap = abs(keep - cross) < swap_gap * (keep + cross), keep > cross
+            for i, p in now.items():
                 k = 1 - i if swap else i
-                last[k], when[k] = at, frame
-        return pd.DataFrame({"video_id": p["video_id"], "frame": p["frame"], "swap": swaps, "ambiguous": doubts})
+                place[k], seen[k] = p, frame
+            return swap, doubt, since
+
+        return step
+
+    out = R.streamed(f, ["video_id", "piece"], "frame", columns, make, "video_id bigint, piece bigint, frame bigint, swap boolean, ambiguous boolean, locked_from bigint")
+    return out.drop("piece")
 
-    return f.groupBy("video_id", "cut").applyInPandas(helper, "video_id bigint, frame bigint, swap boolean, ambiguous boolean")
+
+def two_clusters(rows: DataFrame, key: str = "vec_id", seed: int = 7) -> DataFrame:
+    """(key, cluster, confidence) of embeddings by two-means; cluster 0 holds the smallest key. The margin is the gap of the distances to the
+    centres, the confidence sigmoid((margin - p75) / (0.5 p75)), p75 being the exact 75th percentile of the margins (where 0: a half)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    e = rows.withColumn("features", array_to_vector("embedding"))
+    a, b = (F.array(*map(F.lit, map(float, c))) for c in KMeans(k=2, seed=seed).fit(e).clusterCenters())
+    dist = lambda c: F.sqrt(F.aggregate(F.zip_with("embedding", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+    m = e.select(key, dist(a).alias("d0"), dist(b).alias("d1"))
+    m = cut(m.select(key, (F.col("d1") < F.col("d0")).cast("int").alias("cluster"), F.abs(F.col("d0") - F.col("d1")).alias("margin")))
+    zero = (m.agg(F.min_by("cluster", key)).first() or [0])[0]
+    (p75,) = N.quantiles(m, "margin", (0.75,))
+    confidence = N.sigmoid((F.col("margin") - p75) / (0.5 * p75)) if p75 else F.lit(0.5)
+    return m.select(key, F.abs(F.col("cluster") - F.lit(zero)).alias("cluster"), confidence.alias("confidence"))
 
 
 def swap_candidates(classes: DataFrame) -> DataFrame:
@@ -149,21 +220,30 @@ def triangulate(views: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     return g.mapInArrow(run, ddl)
 
 
-def velocity3d(track: DataFrame, keys: list[str], back: int = 5, order: str = "frame") -> DataFrame:
-    """Norm of the slopes of a weighted linear fit over the trailing frames; weights conf - min(conf) + 1e-8; null under two frames."""
-    w = Window.partitionBy(*keys).orderBy(order).rangeBetween(-back, 0)
+def velocity3d(track: DataFrame, keys: list[str], back: int = 5, order: str = "frame", keypoint: str = "keypoint", least: int = 2) -> DataFrame:
+    """(keys, order, speed): norms of the slopes of weighted linear fits over each keypoint's trailing frames, averaged over the keypoints.
+
+    Weights are conf - min(conf) + 1e-8 in the window; a keypoint with under ``least`` frames there has no speed. The frames asked for
+    are those of the keys' rows; a keypoint that is absent from one still has its frames before it.
+    """
+    places = track.select(*keys, order).distinct()
+    points = track.select(*keys, keypoint).distinct()
+    some = track.where("x is not null and y is not null and z is not null").select(*keys, keypoint, order, "x", "y", "z", "conf")
+    grid = places.join(points, keys).join(some, [*keys, keypoint, order], "left")
+    w = Window.partitionBy(*keys, keypoint).orderBy(order).rangeBetween(-back, 0)
     # a window holds back + 1 rows at most; sums are taken about the weighted means, which differences of large sums would not survive
-    near = track.withColumn("o", F.collect_list(F.struct(F.col(order).cast("double").alias("t"), "x", "y", "z", "conf")).over(w))
-    near = near.withColumn("least", F.array_min(F.transform("o", lambda o: o["conf"])))
-    near = near.withColumn("o", F.transform("o", lambda o: F.struct(o["t"].alias("t"), o["x"].alias("x"), o["y"].alias("y"), o["z"].alias("z"), (o["conf"] - F.col("least") + 1e-8).alias("w"))))
+    row = F.when(F.col("x").isNotNull(), F.struct(F.col(order).cast("double").alias("t"), "x", "y", "z", "conf"))
+    near = grid.withColumn("o", F.collect_list(row).over(w)).where(F.size("o") >= least)
+    near = near.withColumn("low", F.array_min(F.transform("o", lambda o: o["conf"])))
+    near = near.withColumn("o", F.transform("o", lambda o: F.struct(o["t"].alias("t"), o["x"].alias("x"), o["y"].alias("y"), o["z"].alias("z"), (o["conf"] - F.col("low") + 1e-8).alias("w"))))
     total = lambda f: F.aggregate(F.transform("o", f), F.lit(0.0), lambda s, v: s + v)
     near = near.withColumn("_w", total(lambda o: o["w"]))
     for c in ("t", "x", "y", "z"):
         near = near.withColumn(f"_m{c}", total(_weighted(c)) / F.col("_w"))
     down = total(lambda o: o["w"] * (o["t"] - F.col("_mt")) * (o["t"] - F.col("_mt")))
     up = [total(_moment(c)) for c in "xyz"]
-    speed = F.when(F.size("o") >= 2, F.sqrt(up[0] * up[0] + up[1] * up[1] + up[2] * up[2]) / down)
-    return near.withColumn("speed", speed).drop("o", "least", "_w", "_mt", "_mx", "_my", "_mz")
+    speed = F.sqrt(up[0] * up[0] + up[1] * up[1] + up[2] * up[2]) / down
+    return near.select(*keys, order, speed.alias("speed")).groupBy(*keys, order).agg(F.avg("speed").alias("speed"))
 
 
 def _weighted(c: str):

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posetrail.operators import runs as R
+
 KEYS = ["video_id", "frame", "instance"]
 POINT = "struct<x:double,y:double,conf:double>"
 
@@ -371,3 +373,12 @@ def cutout_size(aligned_pose: DataFrame, margin: float = 1.15) -> DataFrame:
     side = F.greatest(F.percentile(F.col("x2") - F.col("x1"), 0.9), F.percentile(F.col("y2") - F.col("y1"), 0.9)) * margin
     s = b.groupBy("video_id").agg(F.floor(F.round(side, 6)).cast("bigint").alias("s"))
     return s.select("video_id", (F.col("s") + F.col("s") % 2).alias("size"))
+
+
+def interpolated(long: DataFrame, max_gap: int = 0) -> DataFrame:
+    """x, y and conf of every keypoint on each frame up to the video's last, linear with edges held; frames of whole-instance gaps over
+    max_gap are null again (0: no limit). One row per track, keypoint and frame."""
+    last = long.groupBy("video_id").agg(F.max("frame").alias("last"))
+    tracks = long.select("video_id", "instance", "keypoint").distinct().join(last, "video_id")
+    grid = tracks.select("video_id", "instance", "keypoint", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("frame"))
+    return R.interpolated(long, grid, ("x", "y", "conf"), ("video_id", "instance", "keypoint"), max_gap, ("video_id", "instance"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posetrail.operators.lineage import cut
+
+
 def video():
     """The frames of a video in order."""
     return Window.partitionBy("video_id").orderBy("frame")
@@ -22,14 +28,16 @@ def runs(series: DataFrame, value: str, by_gap: bool = False) -> DataFrame:
     change = ~before.eqNullSafe(F.col(value)) | F.lag("frame").over(video()).isNull()
     if by_gap:
         change = change | (F.lag("frame").over(video()) != F.col("frame") - 1)
-    s = series.withColumn("c", change.cast("int")).withColumn("r", F.sum("c").over(video()))
-    return s.groupBy("video_id", "r", value).agg(F.min("frame").alias("start"), F.max("frame").alias("end"), F.count(F.lit(1)).alias("length")).drop("r")
+    s = series.withColumn("_change", change.cast("int")).withColumn("_run", F.sum("_change").over(video()))
+    out = s.groupBy("video_id", "_run", value).agg(F.min("frame").alias("start"), F.max("frame").alias("end"), F.count(F.lit(1)).alias("length"))
+    return out.drop("_run")
 
 
 def changes(series: DataFrame, value: str, first: bool = False) -> DataFrame:
     """(video_id, frame) where the value differs from that of the frame before; with first the first frame counts."""
     before = F.lag(value).over(video())
-    return series.withColumn("b", before).where((F.col("b") != F.col(value)) | (F.col("b").isNull() if first else F.lit(False))).select("video_id", "frame")
+    changed = (F.col("_before") != F.col(value)) | (F.col("_before").isNull() if first else F.lit(False))
+    return series.withColumn("_before", before).where(changed).select("video_id", "frame")
 
 
 def buffered(frames: DataFrame, b: int, last: DataFrame) -> DataFrame:
@@ -38,11 +46,16 @@ def buffered(frames: DataFrame, b: int, last: DataFrame) -> DataFrame:
     return j.select("video_id", F.explode(F.sequence(F.greatest(F.col("frame") - b, F.lit(0)), F.least(F.col("frame") + b, F.col("last")))).alias("frame")).distinct()
 
 
+def backwards():
+    """The frames of a video from the last; a running window over it looks ahead at linear cost."""
+    return Window.partitionBy("video_id").orderBy(F.desc("frame"))
+
+
 def next_change(series: DataFrame, value: str) -> DataFrame:
     """Column next: the next frame with a change after each frame, or the number of frames."""
-    s = series.withColumn("c", F.when(F.lag(value).over(video()) != F.col(value), F.col("frame")))
+    s = series.withColumn("_change", F.when(F.lag(value).over(video()) != F.col(value), F.col("frame")))
     total = F.max("frame").over(Window.partitionBy("video_id")) + 1
-    return s.withColumn("next", F.coalesce(F.min("c").over(video().rowsBetween(1, Window.unboundedFollowing)), total)).drop("c")
+    return s.withColumn("next", F.coalesce(F.min("_change").over(backwards().rowsBetween(Window.unboundedPreceding, -1)), total)).drop("_change")
 
 
 def annotate_fill(series: DataFrame, edits: DataFrame, value: str = "label") -> DataFrame:
@@ -65,7 +78,7 @@ def nearest_marks(frames: DataFrame, marks: DataFrame) -> DataFrame:
     j = frames.join(m, ["video_id", "frame"], "left")
     return j.select(
         "video_id", "frame", F.last("mark", ignorenulls=True).over(video().rowsBetween(Window.unboundedPreceding, -1)).alias("previous"),
-        F.first("mark", ignorenulls=True).over(video().rowsBetween(1, Window.unboundedFollowing)).alias("following"),
+        F.last("mark", ignorenulls=True).over(backwards().rowsBetween(Window.unboundedPreceding, -1)).alias("following"),
     )
 
 
@@ -75,17 +88,34 @@ def last_nonempty(counts: DataFrame, value: str, back: int = 10) -> DataFrame:
     return counts.select("video_id", "frame", F.coalesce(F.last(F.when(F.col(value) > 0, F.col("frame")), ignorenulls=True).over(w), F.col("frame") - 1).alias("source"))
 
 
-def interpolated(long: DataFrame, grid: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
-    """Linear values of the columns on every grid frame of each key, edges held; grid has (keys, frame)."""
-    w = Window.partitionBy(*keys).orderBy("frame")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    g = grid.join(long, [*keys, "frame"], "left")
+def interpolated(long: DataFrame, grid: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...], max_gap: int = 0, whole: tuple[str, ...] | None = None) -> DataFrame:
+    """Linear values of the columns on every grid frame of each key, edges held; grid has (keys, frame).
+
+    With max_gap, frames of gaps longer than it are nulled again, where ``whole`` (keys by default) have no value at all: a track
+    of several keypoints, say, has a gap where all are absent. Windows run forwards and backwards, each at linear cost.
+    """
+    back = Window.partitionBy(*keys).orderBy("frame")
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("frame"))
+    g = grid.join(long.select(*keys, "frame", *columns), [*keys, "frame"], "left")
+    place = lambda c: F.struct(F.col("frame").alias("f"), F.col(c).alias("v"))
+    some = lambda c: F.when(F.col(c).isNotNull(), place(c))
+    g = g.withColumns({f"_b_{c}": F.last(some(c), True).over(back) for c in columns})
+    g = g.withColumns({f"_a_{c}": F.last(some(c), True).over(ahead) for c in columns})
     out = []
     for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.col("frame"))
-        v0, v1, f0, f1 = F.last(c, True).over(back), F.first(c, True).over(ahead), F.last(at, True).over(back), F.first(at, True).over(ahead)
-        out.append(F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.coalesce(v0 + (v1 - v0) * (F.col("frame") - f0) / (f1 - f0), v0, v1)).alias(c))
-    return g.select(*keys, "frame", *out)
+        b, a = F.col(f"_b_{c}"), F.col(f"_a_{c}")
+        line = b["v"] + (a["v"] - b["v"]) * (F.col("frame") - b["f"]) / (a["f"] - b["f"])
+        out.append(F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.coalesce(line, b["v"], a["v"])).alias(c))
+    filled = g.select(*keys, "frame", *out)
+    if not max_gap:
+        return filled
+    whole = whole or keys
+    absent = g.groupBy(*whole, "frame").agg(F.min(F.coalesce(*columns).isNull()).alias("absent")).where("absent")
+    absent = absent.withColumn("_g", F.col("frame") - F.row_number().over(Window.partitionBy(*whole).orderBy("frame")))
+    gaps = absent.groupBy(*whole, "_g").agg(F.min("frame").alias("start"), F.max("frame").alias("end")).where(F.col("end") - F.col("start") + 1 > max_gap)
+    lost = gaps.select(*whole, F.explode(F.sequence("start", "end")).alias("frame"), F.lit(True).alias("_lost"))
+    joined = filled.join(lost, [*whole, "frame"], "left")
+    return joined.select(*keys, "frame", *(F.when(F.col("_lost").isNull(), F.col(c)).alias(c) for c in columns))
 
 
 def evenly(frames: DataFrame, k: int) -> DataFrame:
@@ -113,77 +143,107 @@ def apply_marks(old: DataFrame, new: DataFrame, mode: str, kept_out: DataFrame)
     return out.distinct().join(kept_out, ["video_id", "frame"], "left_anti")
 
 
-# --- sequential steps on one video's bouts: few rows, small helpers ---
+# --- steps that depend on the ones before ---
 
 def short_bouts(series: DataFrame, value: str, least: int) -> DataFrame:
-    """Inner bouts shorter than ``least`` take the longer neighbour's label (tie: the left one's) until stable. (video_id, start, end, value)"""
-    import pandas as pd
-
-    b = runs(series, value).select("video_id", "start", "end", value)
-
-    def helper(p: pd.DataFrame) -> pd.DataFrame:
-        bouts = [list(r) for r in p.sort_values("start")[["start", "end", value]].itertuples(index=False)]
-        changed = True
-        while changed:
-            changed = False
-            for k in range(1, len(bouts) - 1):
-                s, e, _ = bouts[k]
-                if e - s + 1 < least:
-                    left, right = (bouts[m][1] - bouts[m][0] + 1 for m in (k - 1, k + 1))
-                    bouts[k][2] = bouts[k - 1][2] if left >= right else bouts[k + 1][2]
-                    merged = [bouts[0]]
-                    for x in bouts[1:]:
-                        if x[2] == merged[-1][2]:
-                            merged[-1][1] = x[1]
-                        else:
-                            merged.append(x)
-                    bouts, changed = merged, True
-                    break
-        out = pd.DataFrame(bouts, columns=["start", "end", value])
-        out.insert(0, "video_id", p["video_id"].iloc[0])
-        return out
-
-    return b.groupBy("video_id").applyInPandas(helper, f"video_id bigint, start bigint, end bigint, {value} int")
+    """Inner bouts shorter than ``least`` take the longer neighbour's label (tie: the left one's) until none is short. (video_id, start, end, value)
+
+    A pass goes by the lengths at its start. In it a bout sees its left neighbour as the pass has left it and its right one as it
+    was, so a chain of bouts that look left takes the label of what stands before it: one window over the bouts of a video.
+    """
+    w = Window.partitionBy("video_id").orderBy("start")
+    bouts = cut(runs(series, value).select("video_id", "start", "end", F.col(value).alias("v")))
+    while True:
+        n = F.col("end") - F.col("start") + 1
+        b = bouts.withColumn("n", n).withColumns({"left": F.lag("n").over(w), "right": F.lead("n").over(w), "next": F.lead("v").over(w)})
+        b = b.withColumn("short", (F.col("n") < least) & F.col("left").isNotNull() & F.col("right").isNotNull())
+        if b.where("short").isEmpty():
+            return bouts.select("video_id", "start", "end", F.col("v").alias(value))
+        own = F.when(~F.col("short"), F.col("v")).when(F.col("left") < F.col("right"), F.col("next"))
+        b = b.withColumn("v", F.last(own, ignorenulls=True).over(w)).select("video_id", "start", "end", "v")
+        b = b.withColumn("r", F.sum(F.coalesce((F.lag("v").over(w) != F.col("v")).cast("int"), F.lit(1))).over(w))
+        bouts = cut(b.groupBy("video_id", "r", "v").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("r"))
+
+
+def _settled(series: DataFrame, value: str, on: int, buffer: int) -> DataFrame:
+    """(video_id, frame, base, near): base is the value, in single-frame runs that of the last longer run before them (before all of
+    those: of the video's last frame); near where the frame is within the buffer of a longer run of ``on``."""
+    w, ahead = Window.partitionBy("video_id").orderBy("start"), Window.partitionBy("video_id").orderBy(F.desc("start"))
+    r = runs(series, value).withColumnRenamed(value, "v")
+    long = F.col("length") > 1
+    held = long & (F.col("v") == on)
+    last = F.last("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    r = r.withColumns({
+        "reach": F.max(F.when(held, F.col("end") + buffer)).over(w), "next": F.min(F.when(held, F.col("start") - buffer)).over(ahead),
+        "base": F.when(long, F.col("v")).otherwise(F.coalesce(F.last(F.when(long, F.col("v")), ignorenulls=True).over(w), last)),
+        "before": F.last(F.when(long, F.col("end")), ignorenulls=True).over(w),
+    })
+    change = ~F.lag(value).over(video()).eqNullSafe(F.col(value)) | F.lag("frame").over(video()).isNull()
+    frames = series.select("video_id", "frame", F.max(F.when(change, F.col("frame"))).over(video()).alias("start"))
+    j = frames.join(r, ["video_id", "start"])
+    near = F.coalesce(F.col("frame") <= F.col("reach"), F.lit(False)) | F.coalesce(F.col("frame") >= F.col("next"), F.lit(False))
+    follows = ~long & F.coalesce(F.col("before") <= F.col("reach"), F.lit(False))  # a single run copies what the buffer has put before it
+    return j.select("video_id", "frame", "base", near.alias("near"), follows.alias("follows"))
 
 
 def blob_clean(counts: DataFrame, buffer: int = 5) -> DataFrame:
-    """Counts clipped to 2; single-frame runs take the value before (the first run stays); runs of 2 and merged runs grow by the buffer; merged means 2."""
-    import numpy as np
-    import pandas as pd
-
-    def grown(on: np.ndarray) -> np.ndarray:
-        return np.convolve(on.astype(int), np.ones(2 * buffer + 1, dtype=int), "same")[: len(on)] > 0 if len(on) > 2 * buffer else np.full(len(on), on.any())
-
-    def helper(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("frame").reset_index(drop=True)
-        c, m = p["animal_count"].clip(upper=2).to_numpy().copy(), p["merged"].to_numpy().astype(bool)
-        cuts = [0, *(np.flatnonzero(np.diff(c)) + 1), len(c)]
-        for a, b in zip(cuts[1:-1], cuts[2:], strict=True):
-            if b - a == 1:
-                c[a] = c[a - 1]
-        m, two = grown(m), grown(c == 2)
-        c[two | m] = 2
-        return p.assign(animal_count=c.astype("int32"), merged=m.astype("int32"))
-
-    return counts.groupBy("video_id").applyInPandas(helper, "video_id bigint, frame bigint, animal_count int, merged int")
-
-
-def kalman(track: DataFrame, q: float = 0.8, r: float = 0.7, p0: float = 50.0) -> DataFrame:
-    """Constant-velocity filter of each track's (x, y): (video_id, instance, frame, x, y) after each update."""
-    import numpy as np
-    import pandas as pd
-
-    def helper(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("frame")
-        a, h = np.eye(4) + np.eye(4, k=2), np.eye(2, 4)
-        s, c, out = np.zeros(4), p0 * np.eye(4), []
-        for n, z in enumerate(p[["x", "y"]].to_numpy()):
-            if n == 0:
-                s[:2] = z
-            s, c = a @ s, a @ c @ a.T + q * np.eye(4)
-            g = c @ h.T @ np.linalg.inv(h @ c @ h.T + r * np.eye(2))
-            s, c = s + g @ (z - h @ s), (np.eye(4) - g @ h) @ c
-            out.append(s[:2].copy())
-        return p.assign(x=[o[0] for o in out], y=[o[1] for o in out])
-
-    return track.select("video_id", "instance", "frame", "x", "y").groupBy("video_id", "instance").applyInPandas(helper, "video_id bigint, instance int, frame bigint, x double, y double")
+    """Counts clipped to 2; single-frame runs take the value before; longer runs of 2 and merged runs grow by the buffer; merged means 2.
+
+    Frames are dense. Windows over the runs of a video replace the walk over its frames; a single run at the start takes the value of
+    the video's last frame.
+    """
+    c = counts.select("video_id", "frame", F.least("animal_count", F.lit(2)).alias("c"), F.col("merged").cast("int").alias("m"))
+    m = _settled(c, "m", 1, buffer).select("video_id", "frame", (F.col("near") | F.col("follows") | (F.col("base") == 1)).cast("int").alias("merged"))
+    n = _settled(c, "c", 2, buffer).select("video_id", "frame", F.when(F.col("near"), 2).otherwise(F.col("base")).alias("animal_count"))
+    j = n.join(m, ["video_id", "frame"])
+    return j.select("video_id", "frame", F.when(F.col("merged") == 1, 2).otherwise(F.col("animal_count")).cast("int").alias("animal_count"), "merged")
+
+
+def streamed(rows: DataFrame, keys: list[str], order: str, columns: list[str], make: Callable[[], Callable], ddl: str) -> DataFrame:
+    """Each key's rows in order through ``make()``, a function of (values of the columns) with a state, called anew for each key; its
+    tuples follow the key and order columns. Rows stream through a task in Arrow batches, so a key may have any number of them."""
+    ordered = rows.select(*keys, order, *columns).repartition(*keys).sortWithinPartitions(*keys, order)
+    names = [f.split()[0] for f in ddl.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for batch in batches:
+            table, out = [c.to_pylist() for c in batch.columns], []
+            for *of, at in zip(*table[: len(keys) + 1], strict=True):
+                if of != key:
+                    key, step = of, make()
+                out.append(step(at, *(c[len(out)] for c in table[len(keys) + 1 :])))
+            made = [pa.array([o[k] for o in out]) for k in range(len(names) - len(keys) - 1)]
+            head = list(batch.columns[: len(keys) + 1])
+            schema = pa.schema([pa.field(n, t) for n, t in zip(names, types, strict=True)])
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip([*head, *made], types, strict=True)], schema=schema)
+
+    types = [{"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[f.split()[1]] for f in ddl.split(", ")]
+    return ordered.mapInArrow(run, ddl)
+
+
+def kalman(track: DataFrame, keys: tuple[str, ...] = ("video_id", "instance"), q: float = 0.8, r: float = 0.7, p0: float = 50.0) -> DataFrame:
+    """Constant-velocity filter of each track's (x, y) in frame order: (keys, frame, x, y) after each update; rows without x or y are left out.
+
+    The process noise is that of a constant acceleration over a frame. The axes do not meet and the gains do not depend on the data, so
+    both share one 2 x 2 covariance.
+    """
+
+    def make():
+        state = {"c": (p0, 0.0, p0), "s": None}
+
+        def step(_, x, y):
+            a, b, d = state["c"]
+            a, b, d = a + 2 * b + d + q / 4, b + d + q / 2, d + q
+            g, h = a / (a + r), b / (a + r)
+            state["c"] = ((1 - g) * a, (1 - g) * b, d - h * b)
+            px, vx, py, vy = state["s"] or (x, 0.0, y, 0.0)
+            ex, ey = x - (px + vx), y - (py + vy)
+            state["s"] = (px + vx + g * ex, vx + h * ex, py + vy + g * ey, vy + h * ey)
+            return state["s"][0], state["s"][2]
+
+        return step
+
+    kinds = ", ".join(f"{k} {track.schema[k].dataType.simpleString()}" for k in keys)
+    some = track.where("x is not null and y is not null").withColumn("frame", F.col("frame").cast("bigint"))
+    return streamed(some, list(keys), "frame", ["x", "y"], make, f"{kinds}, frame bigint, x double, y double")

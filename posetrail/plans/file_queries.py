@@ -14,17 +14,17 @@ from posetrail.plans.series_queries import NAMES, annot, blob
 
 
 def images(spark, d):
-    long = X.pose_long(spark, d).where("frame % 10 = 3")
+    long = X.pose_long(spark, d)
     return long.withColumn("path", O.image_path(F.concat(F.lit("v"), F.col("video_id")), F.col("frame"))).drop("frame")
 
 
-@query("src_labeled", f"{L} select video_id, frame, instance, keypoint, x + case when frame % 20 = 3 then 40 + video_id else 0 end x, y + case when frame % 20 = 3 then 25 else 0 end y from pose_long where frame % 10 = 3")
+@query("src_labeled", f"{L} select video_id, frame, instance, keypoint, x + case when frame % 20 = 3 then 40 + video_id else 0 end x, y + case when frame % 20 = 3 then 25 else 0 end y from pose_long")
 def src_labeled(spark, d):
     crops = X.pose_long(spark, d).where("frame % 20 = 3").select("video_id", "frame").distinct().select("video_id", "frame", (F.col("video_id") + 40).cast("double").alias("cx"), F.lit(25.0).alias("cy"))
     return O.labeled(images(spark, d), crops).select(*KEYS, "keypoint", "x", "y")
 
 
-@query("src_frame_list", f"{L} select distinct video_id, frame from pose_long where frame % 10 = 3")
+@query("src_frame_list", f"{L} select distinct video_id, frame from pose_long")
 def src_frame_list(spark, d):
     return O.labeled(images(spark, d)).select("video_id", "frame").distinct()
 

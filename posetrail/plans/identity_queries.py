@@ -105,7 +105,13 @@ simple("idt_segments", lambda p: R.chunks(p.where(P.visible() > 0).groupBy("vide
 
 @query("idt_motion_sweep")
 def sweep(spark, d):
-    return I.motion_sweep(centres(spark, d), P.body_length(X.pose(spark, d), 0, 2))
+    return I.motion_sweep(centres(spark, d), P.body_length(X.pose(spark, d), 0, 2)).drop("locked_from")
+
+
+@query("idt_id_lock")
+def id_lock(spark, d):
+    c = centres(spark, d)
+    return I.motion_sweep(c, P.body_length(X.pose(spark, d), 0, 2), I.single_frames(X.blobs(spark, d), c))
 
 
 @query("idt_swap_candidates", """with cl as (select cast(o_orderkey // 2000 as bigint) video_id, cast(o_orderkey % 2000 as bigint) frame, cast((o_custkey // 7) % 3 as integer) class from orders),
@@ -120,17 +126,7 @@ def candidates(spark, d):
 
 @query("idt_kmeans_conf")
 def kmeans(spark, d):
-    """Two clusters of all embeddings; confidence from the margin between the centres' distances."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    e = X.embeddings(spark, d).withColumn("features", array_to_vector("embedding"))
-    model = KMeans(k=2, seed=7).fit(e)
-    a, b = (F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters())
-    dist = lambda c: F.sqrt(F.aggregate(F.zip_with("embedding", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-    m = e.select("vec_id", dist(a).alias("d0"), dist(b).alias("d1")).withColumn("margin", F.abs(F.col("d0") - F.col("d1")))
-    p75 = F.broadcast(m.agg(F.percentile("margin", 0.75).alias("p75")))
-    return m.crossJoin(p75).select("vec_id", (F.col("d1") < F.col("d0")).cast("int").alias("cluster"), (1 / (1 + F.exp(-(F.col("margin") - F.col("p75")) / (0.5 * F.col("p75"))))).alias("confidence"))
+    return I.two_clusters(X.embeddings(spark, d))
 
 
 CAMS = [[800.0, 0.0, 320.0, 0.0, 0.0, 800.0, 240.0, 0.0, 0.0, 0.0, 1.0, 1000.0], [800.0, 0.0, 320.0, 80000.0, 0.0, 800.0, 240.0, 0.0, 0.0, 0.0, 1.0, 1000.0], [800.0, 0.0, 320.0, 0.0, 0.0, 800.0, 240.0, 80000.0, 0.0, 0.0, 1.0, 1100.0]]
@@ -162,11 +158,12 @@ def valid_views(spark, d):
     return s.where("n >= 2").groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n_views")).where("n_views >= 2")
 
 
-@query("win_velocity3d", f"""{L}, t as (select *, {Z} z from pose_long), j as (select a.video_id, a.instance, a.keypoint, a.frame, b.frame t, b.x, b.y, b.z, b.conf - min(b.conf) over (partition by a.video_id, a.instance, a.keypoint, a.frame) + 1e-8 w from t a join t b on a.video_id = b.video_id and a.instance = b.instance and a.keypoint = b.keypoint and b.frame between a.frame - 5 and a.frame where a.keypoint = 1),
-m as (select video_id, instance, keypoint, frame, count(*) n, sum(w) s, sum(w * t) / sum(w) mt, sum(w * x) / sum(w) mx, sum(w * y) / sum(w) my, sum(w * z) / sum(w) mz from j group by all),
-sl as (select j.video_id, j.instance, j.frame, n, sum(w * (t - mt) * (x - mx)) / sum(w * (t - mt) ** 2) sx, sum(w * (t - mt) * (y - my)) / sum(w * (t - mt) ** 2) sy, sum(w * (t - mt) * (z - mz)) / sum(w * (t - mt) ** 2) sz from j join m using (video_id, instance, keypoint, frame) where n >= 3 group by all)
-select video_id, instance, frame, round(sqrt(sx * sx + sy * sy + sz * sz), 2) speed from sl""")
+@query("win_velocity3d", f"""{L}, t as (select *, {Z} z from pose_long), pl as (select distinct video_id, instance, frame from t), kp as (select distinct video_id, instance, keypoint from t),
+j as (select pl.video_id, pl.instance, kp.keypoint, pl.frame, b.frame t, b.x, b.y, b.z, b.conf - min(b.conf) over (partition by pl.video_id, pl.instance, kp.keypoint, pl.frame) + 1e-8 w
+from pl join kp using (video_id, instance) join t b on b.video_id = pl.video_id and b.instance = pl.instance and b.keypoint = kp.keypoint and b.frame between pl.frame - 5 and pl.frame),
+m as (select video_id, instance, keypoint, frame, count(*) n, sum(w) s, sum(w * t) / sum(w) mt, sum(w * x) / sum(w) mx, sum(w * y) / sum(w) my, sum(w * z) / sum(w) mz from j group by all having count(*) >= 2),
+sl as (select j.video_id, j.instance, j.keypoint, j.frame, sum(w * (t - mt) * (x - mx)) / sum(w * (t - mt) ** 2) sx, sum(w * (t - mt) * (y - my)) / sum(w * (t - mt) ** 2) sy, sum(w * (t - mt) * (z - mz)) / sum(w * (t - mt) ** 2) sz from j join m using (video_id, instance, keypoint, frame) group by all)
+select video_id, instance, frame, round(avg(sqrt(sx * sx + sy * sy + sz * sz)), 2) speed from sl group by all""")
 def velocity(spark, d):
-    t = X.pose_long(spark, d).where("keypoint = 1").withColumn("z", F.expr(Z))
-    v = I.velocity3d(t, ["video_id", "instance"]).withColumn("n", F.count(F.lit(1)).over(P.track().rangeBetween(-5, 0)))
-    return v.where("n >= 3").select("video_id", "instance", "frame", F.round("speed", 2).alias("speed"))
+    t = X.pose_long(spark, d).withColumn("z", F.expr(Z))
+    return I.velocity3d(t, ["video_id", "instance"]).select("video_id", "instance", "frame", F.round("speed", 2).alias("speed"))

@@ -91,15 +91,15 @@ def head_tail(spark, d):
 # --- joins, exports, cameras ---
 
 
-@query("join_unlabeled", f"{L}, im as (select distinct video_id, frame from pose_long where frame % 10 = 3) select video_id, frame from im where frame % 4 <> 3")
+@query("join_unlabeled", f"{L}, im as (select distinct video_id, frame from pose_long) select video_id, frame from im where frame % 4 <> 3")
 def unlabeled(spark, d):
-    im = X.pose_long(spark, d).where("frame % 10 = 3").select("video_id", "frame").distinct()
+    im = X.pose_long(spark, d).select("video_id", "frame").distinct()
     return im.join(im.where("frame % 4 = 3"), ["video_id", "frame"], "left_anti")
 
 
-@query("exp_label_crop", f"{L} select 'labeled-data/v' || video_id || '/img' || lpad(cast(frame as varchar), 8, '0') || '.png' as path, instance, keypoint, x - 10 - video_id as x, y - 20 as y from pose_long where frame % 10 = 3")
+@query("exp_label_crop", f"{L} select 'labeled-data/v' || video_id || '/img' || lpad(cast(frame as varchar), 8, '0') || '.png' as path, instance, keypoint, x - 10 - video_id as x, y - 20 as y from pose_long")
 def label_crop(spark, d):
-    p = X.pose(spark, d).where("frame % 10 = 3")
+    p = X.pose(spark, d)
     roi = p.select("video_id").distinct().select("video_id", (F.col("video_id") + 10).cast("double").alias("x1"), F.lit(20.0).alias("y1"))
     rows = P.to_long(P.crop_shift(p, roi, -1))
     return rows.select(O.image_path(F.concat(F.lit("v"), F.col("video_id")), F.col("frame")).alias("path"), "instance", "keypoint", "x", "y")

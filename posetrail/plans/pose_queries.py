@@ -131,17 +131,31 @@ def infer_nmi(spark, d):
     return g.where("(animal_count >= 2 and coalesce(n, 0) <= 1) or (coalesce(near, false) and coalesce(n, 0) = 0)").select("video_id", "frame")
 
 
-@query("trk_interp_all", f"""{L}, c as (select video_id, instance, frame, x from pose_long where keypoint = 1), lim as (select video_id, instance, max(frame) last from c group by all),
-grid as (select video_id, instance, unnest(generate_series(0::bigint, last)) as frame from lim), j as (select g.*, x from grid g left join c using (video_id, instance, frame)),
-k as (select *, last_value(x ignore nulls) over b v0, first_value(x ignore nulls) over a v1, last_value(case when x is not null then frame end ignore nulls) over b f0, first_value(case when x is not null then frame end ignore nulls) over a f1 from j
-window b as (partition by video_id, instance order by frame rows between unbounded preceding and current row), a as (partition by video_id, instance order by frame rows between current row and unbounded following))
-select video_id, instance, frame, round(case when x is not null then x else coalesce(v0 + (v1 - v0) * (frame - f0) / (f1 - f0), v0, v1) end, 6) x from k""")
+def _filled(c: str) -> str:
+    return f"case when {c} is not null then {c} else coalesce({c}0 + ({c}1 - {c}0) * (frame - {c}f0) / ({c}f1 - {c}f0), {c}0, {c}1) end"
+
+
+_ENDS = ", ".join(f"last_value({c} ignore nulls) over b {c}0, first_value({c} ignore nulls) over a {c}1, last_value(case when {c} is not null then frame end ignore nulls) over b {c}f0, first_value(case when {c} is not null then frame end ignore nulls) over a {c}f1" for c in ("x", "y", "conf"))
+INTERP = f"""lim as (select video_id, max(frame) last from pose_long group by all), tr as (select distinct video_id, instance, keypoint from pose_long),
+grid as (select video_id, instance, keypoint, unnest(generate_series(0::bigint, last)) as frame from tr join lim using (video_id)), ij as (select g.*, x, y, conf from grid g left join pose_long using (video_id, instance, keypoint, frame)),
+ik as (select *, {_ENDS} from ij window b as (partition by video_id, instance, keypoint order by frame rows between unbounded preceding and current row), a as (partition by video_id, instance, keypoint order by frame rows between current row and unbounded following)),
+ab as (select video_id, instance, frame from ij group by all having bool_and(x is null)), ag as (select *, frame - row_number() over (partition by video_id, instance order by frame) g from ab),
+lost as (select video_id, instance, min(frame) s, max(frame) e from ag group by video_id, instance, g having count(*) > {{gap}}),
+filled as (select video_id, instance, keypoint, frame, {", ".join(f"{_filled(c)} as {c}" for c in ("x", "y", "conf"))} from ik)"""
+MAX_GAP = 3
+
+
+def interpolated(spark, d, max_gap):
+    """All keypoints and coordinates on the dense grid of each video; whole-instance gaps over max_gap are null again."""
+    return P.interpolated(X.pose_long(spark, d), max_gap)
+
+
+@query("trk_interp_all", f"""{L}, {INTERP.format(gap=MAX_GAP)}, far as (select video_id, instance, unnest(generate_series(s, e)) frame, true as off from lost)
+select video_id, instance, keypoint, frame, case when off is null then round(x, 6) end x, case when off is null then round(y, 6) end y, case when off is null then round(conf, 6) end conf from filled left join far using (video_id, instance, frame)""")
 def interp_all(spark, d):
-    c = X.pose_long(spark, d).where("keypoint = 1").select("video_id", "instance", "frame", "x")
-    grid = c.groupBy("video_id", "instance").agg(F.max("frame").alias("last")).select("video_id", "instance", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("frame"))
-    return R.interpolated(c, grid, ("x",), ("video_id", "instance")).select("video_id", "instance", "frame", R6("x"))
+    return interpolated(spark, d, MAX_GAP).select("video_id", "instance", "keypoint", "frame", R6("x"), R6("y"), R6("conf"))
 
 
 @query("trk_kalman")
 def kalman(spark, d):
-    return R.kalman(X.pose_long(spark, d).where("keypoint = 1"))
+    return R.kalman(X.pose_long(spark, d), ("video_id", "instance", "keypoint"))

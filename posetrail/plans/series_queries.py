@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from posetrail.operators import numbers as N
 from posetrail.operators import runs as R
+from posetrail.operators.lineage import cut
 from posetrail.plans import fixtures as X
 from posetrail.plans.registry import query
 
@@ -35,12 +37,32 @@ annot("win_annotate_fill", lambda a: R.annotate_fill(a.select("video_id", "frame
 annot("win_segment_neutral", lambda a: R.runs(a.withColumn("neutral", F.col("label").isin(0, 2)), "neutral").where("not neutral").select("video_id", "start", "end"), f', n0 as (select *, label in (0, 2) neutral from annot), r0 as (select *, case when lag(neutral) over w is distinct from neutral then 1 else 0 end c from n0 {V}), r1 as (select *, sum(c) over w r from r0 {V}) select video_id, min(frame) "start", max(frame) "end" from r1 where not neutral group by video_id, r')
 annot("win_bout_cluster", lambda a: R.bout_clusters(a, "label", 5).select("video_id", "label", F.col("cluster").cast("bigint").alias("cluster"), "size", F.round("centre", 6).alias("centre")), ", g as (select *, case when frame - lag(frame) over x > 5 or lag(frame) over x is null then 1 else 0 end c from annot window x as (partition by video_id, label order by frame)), h as (select *, cast(sum(c) over (partition by video_id, label order by frame) as bigint) cluster from g) select video_id, label, cluster, count(*) size, round(avg(frame), 6) centre from h group by all")
 annot("agg_composition", lambda a: a.groupBy("label").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(a.agg(F.count(F.lit(1)).alias("total")))).select("label", F.round(100 * F.col("n") / F.col("total"), 6).alias("percent")), " select label, round(100.0 * count(*) / (select count(*) from annot), 6) percent from annot group by all")
-annot("agg_segment_stats", lambda a: R.runs(a, "label").agg(F.percentile("length", 0.5).alias("median"), F.round(F.avg("length"), 6).alias("mean"), F.min("length").alias("least"), F.max("length").alias("most")), f"{RUNS} select quantile_cont(n, 0.5)::double median, round(avg(n), 6) mean, min(n) least, max(n) most from runs")
-annot("agg_area_hist", lambda a: a.where("frame % 3 = 0").crossJoin(F.broadcast(a.where("frame % 3 = 0").agg((1.2 * F.percentile("area", 0.99) + 500).alias("hi")))).where("area <= hi").select(F.least(F.floor(F.col("area") / (F.col("hi") / 100)), F.lit(99)).cast("bigint").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n")), ", s as (select * from annot where frame % 3 = 0), h as (select 1.2 * quantile_cont(area, 0.99) + 500 hi from s) select cast(least(floor(area / (hi / 100)), 99) as bigint) bin, count(*) n from s, h where area <= hi group by all")
+
+
+@query("agg_segment_stats", f"{A}{RUNS} select quantile_cont(n, 0.5)::double median, round(avg(n), 6) mean, min(n) least, max(n) most from runs")
+def segment_stats(spark, d):
+    lengths = cut(R.runs(X.annot(spark, d), "label").select("length"))
+    (median,) = N.quantiles(lengths, "length", (0.5,))
+    return lengths.agg(F.lit(median).cast("double").alias("median"), F.round(F.avg("length"), 6).alias("mean"), F.min("length").alias("least"), F.max("length").alias("most"))
+
+
+@query("agg_segment_lengths", f"{A}{RUNS} select n as length, count(*) segments from runs group by all")
+def segment_lengths(spark, d):
+    return R.runs(X.annot(spark, d), "label").groupBy("length").agg(F.count(F.lit(1)).alias("segments"))
+
+
+@query("agg_area_hist", f"""{A}, s as (select * from annot where frame % 3 = 0), h as (select 1.2 * quantile_cont(area, 0.99) + 500 hi, 0.95 * min(area) as lo from s)
+select cast(least(floor(area / (hi / 100)), 99) as bigint) bin, count(*) n, any_value(round(lo, 6)) as x_min from s, h where area >= 0 and area <= hi group by all""")
+def area_hist(spark, d):
+    """Every third frame is the feature's own sample."""
+    sampled = X.annot(spark, d).where("frame % 3 = 0").select("area")
+    return N.area_histogram(sampled, "area")
+
+
 annot("agg_dup_entries", lambda a: a.groupBy("frame", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), " select frame, label, count(*) n from annot group by all having count(*) > 1")
 annot("win_agree_roll", lambda a: a.withColumn("m", F.avg((F.col("label") == 0).cast("double")).over(R.video().rangeBetween(-3, 3))).select("video_id", "frame", F.round("m", 6).alias("m"), F.when(F.col("m") > 0.6, 2).when(F.col("m") < 0.4, 1).otherwise(0).alias("class")), ", m as (select video_id, frame, avg(case when label = 0 then 1.0 else 0.0 end) over (partition by video_id order by frame range between 3 preceding and 3 following) m from annot) select video_id, frame, round(m, 6) m, cast(case when m > 0.6 then 2 when m < 0.4 then 1 else 0 end as integer) class from m")
 annot("ann_remove_category", lambda a: a.select("video_id", "frame", F.when(F.col("label") == 2, 0).when(F.col("label") > 2, F.col("label") - 1).otherwise(F.col("label")).alias("label")), " select video_id, frame, cast(case when label = 2 then 0 when label > 2 then label - 1 else label end as integer) label from annot")
-annot("ann_from_frames", lambda a: a.where("frame < 40").select("video_id", "frame", F.explode(F.array("label", (F.col("frame") % 3).cast("int"))).alias("l")).groupBy("video_id", "frame").agg(F.max("l").alias("label")), " select video_id, frame, cast(greatest(label, frame % 3) as integer) label from annot where frame < 40")
+annot("ann_from_frames", lambda a: a.select("video_id", "frame", F.explode(F.array("label", (F.col("frame") % 3).cast("int"))).alias("l")).groupBy("video_id", "frame").agg(F.max("l").alias("label")), " select video_id, frame, cast(greatest(label, frame % 3) as integer) label from annot")
 annot("exp_onehot", lambda a: a.select("video_id", F.round(F.col("frame") / 10, 6).alias("time"), *((F.col("label") == i).cast("int").alias(NAMES[i]) for i in (1, 2, 3, 4, 0))), " select video_id, round(frame / 10.0, 6)::double as time, " + ", ".join(f"cast(label = {i} as integer) as {NAMES[i]}" for i in (1, 2, 3, 4, 0)) + " from annot")
 annot("src_onehot", lambda a: a.select("video_id", "frame", *((F.col("label") == i).cast("int").alias(NAMES[i]) for i in (1, 2, 3, 4))).unpivot(["video_id", "frame"], NAMES[1:], "behaviour", "v").where("v = 1").select("video_id", "frame", "behaviour"), " select video_id, frame, case label when 1 then 'click' when 2 then 'error' when 3 then 'purchase' else 'signup' end behaviour from annot where label <> 0")
 annot("snk_annot_txt", lambda a: R.runs(a, "label").select("video_id", F.format_string("%d\t%d\t%s", "start", "end", F.element_at(F.array(*map(F.lit, NAMES)), F.col("label") + 1)).alias("line")), f"{RUNS} select video_id, s || chr(9) || e || chr(9) || case label when 0 then 'other' when 1 then 'click' when 2 then 'error' when 3 then 'purchase' else 'signup' end line from runs")
