@@ -43,7 +43,7 @@ DELETION_BANDS = (2, 3)
 SUMMARY = 20_000
 FREQUENT = 50_000
 #: Sets of one signature that a task indexes as a block, and pairs of signatures and sets that it groups at once.
-BLOCK_RUN, GROUPED = 16, 2_000_000
+BLOCK_RUN, GROUPED = 16, 400_000
 #: Pivots of a list's first round, and members of a part that has its own.
 PIVOTS, PART = 3, 1024
 #: Bits of the Bloom filter of wanted rows, at most (2^27 bits are 16 MB): beyond that more texts move, none is lost.

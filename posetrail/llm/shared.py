@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers take at once; their temporaries are about 30 times that.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _FOLDERS: dict[str, str] = {}
 _STASHED: weakref.WeakKeyDictionary[DataFrame, tuple[str, str | None]] = weakref.WeakKeyDictionary()
