@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -298,14 +297,14 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int, renamed: Renamed) -> Data
     """
     shipped = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, n))
 
-    @F.pandas_udf("boolean")
-    def may(keys: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
         bits, size = shipped.value
-        key, out = keys.to_numpy().view(np.uint64), np.ones(len(keys), dtype=bool)
+        key, out = np.asarray(keys).view(np.uint64), np.ones(len(keys), dtype=bool)
         for k in (0, 16, 32):
             at = (key >> np.uint64(k)) & np.uint64(size - 1)
             out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return pd.Series(out)
+        return pa.array(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
