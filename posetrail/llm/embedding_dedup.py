@@ -1,50 +1,72 @@
 """Near-duplicate embeddings: PCA-ordered tiled comparison by cosine.
 
-Equal vectors are merged first (a vector with its number of copies). The rest are rotated to principal axes, dealt to cells of a k-d
-tree over leading axes (fitted on a bounded sample) and cut into blocks. Blocks whose boxes are too far apart are not compared. Two
-blocks accumulate products of leading axes, bound the rest by the norms of the suffixes, and stop once no cosine can reach the
-threshold; pairs that remain are decided in double precision on the original vectors. A comparison returns link counts and a
+Equal vectors are merged first (a vector with its number of copies) and scaled by a power of two, which no finite vector under- or
+overflows and no cosine notices. Vectors of one length meet only each other. Those of a length with more than BLOCK vectors are
+rotated to its principal axes and dealt to cells of a k-d tree over leading axes (fitted on a bounded sample); rarer lengths keep their
+axes and have one cell. Cells are cut into blocks. Boxes are compared down the tree, level by level, so far-apart parts are never
+paired. Two blocks accumulate products of leading axes, bound the rest by the norms of the suffixes, and stop once no cosine can
+reach the threshold; pairs that remain are decided in double precision on the scaled vectors. A comparison returns link counts and a
 spanning forest, not pairs.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing, and so do vectors of another length than the
-most common one (ties: the longest). Rows that repeat a vec_id and vector count as copies of each other.
+Vectors that are null, zero or empty, or hold null or non-finite components, and rows without a vec_id, link with nothing. Rows that
+repeat a vec_id and vector count as copies of each other; different vectors under one vec_id have their own counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posetrail.llm.components import components
-from posetrail.llm.shared import stash
+from posetrail.llm.shared import free, stash
 
 THRESHOLD = 0.9
 BLOCK = 4096
-#: Vectors that the k-d tree is fitted on, at most; every vector is dealt and compared.
+#: Vectors that the k-d tree of a length is fitted on, at most; every vector is dealt and compared.
 TREE_ROWS = 20_000
 AXES = 8
+#: Binary splits that one step down the tree takes, and those of the level that it starts from.
+STRIDE, TOP = 3, 5
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component lies in [0.5, 1)."""
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -power[:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, scaled rows) of each length of vectors in the column."""
+    flat, cuts = np.asarray(column.flatten(), dtype=np.float64), np.asarray(column.offsets)
+    cuts = cuts - cuts[0]
+    sizes = np.diff(cuts)
+    for dim in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dim)
+        yield dim, at, scaled(flat[cuts[at][:, None] + np.arange(dim)])
 
 
 def _moments(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Sum of outer products of the unit vectors, added up by Spark."""
+    """Sum of outer products of the unit vectors of one length, added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for batch in batches:
-            x = _matrix(batch.column(0), dim)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            total += x.T @ x
+            for _, _, x in _by_length(batch.column(0)):
+                u = unit(x)
+                total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], names=["k", "v"])
 
-    rows = vectors.select("embedding").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # dim * dim rows
+    some = vectors.where(F.size("embedding") == dim).select("embedding")
+    rows = some.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # dim * dim rows
     out = np.zeros(dim * dim)
     for k, v in rows:
         out[k] = v
@@ -114,60 +136,124 @@ def _forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+def _fit(classes: DataFrame, dim: int, total: int) -> tuple[np.ndarray, list[tuple[int, float]]]:
+    """(principal axes, splits of the k-d tree) of the vectors of one length."""
+    values, vectors = np.linalg.eigh(_moments(classes, dim))
+    basis = vectors[:, np.argsort(-values)]
+    part = int(1_000_000 * min(1.0, TREE_ROWS / total))
+    rows = classes.where((F.size("embedding") == dim) & (F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < part)).select("embedding").collect()
+    sample = np.array([r[0] for r in rows], dtype=np.float64).reshape(-1, dim)
+    return basis, _tree(unit(scaled(sample)) @ basis[:, :AXES], max(0, int(np.ceil(np.log2(total / BLOCK)))))
+
+
+def _near_blocks(blocks: DataFrame, depth: dict[int, int], threshold: float) -> DataFrame:
+    """(a, b), a <= b, of blocks whose boxes leave a link possible. Boxes of tree nodes are joined from a level of few nodes down to the
+    leaves; a pair of nodes hands on only pairs of their children, each within reach."""
+    deepest = max(depth.values(), default=0)
+    axes = range(AXES)
+    leaf = blocks.select("dim", "leaf", "block", "low", "high")
+
+    def boxes(level: int) -> DataFrame:
+        """Nodes of a level (0: the roots), of trees cut to their own depth."""
+        node = F.col("leaf")
+        for dim, d in depth.items():
+            node = F.when(F.col("dim") == dim, F.floor(F.col("leaf") / 2 ** max(0, d - level))).otherwise(node)
+        ends = [F.min(F.col("low")[k]).alias(f"l{k}") for k in axes] + [F.max(F.col("high")[k]).alias(f"h{k}") for k in axes]
+        out = leaf.groupBy("dim", node.cast("long").alias("node")).agg(*ends)
+        return out.select("dim", "node", F.array(*(f"l{k}" for k in axes)).alias("low"), F.array(*(f"h{k}" for k in axes)).alias("high"))
+
+    def within(low_a: str, high_a: str, low_b: str, high_b: str) -> Column:
+        gaps = [F.greatest(F.lit(0.0), F.col(low_a)[k] - F.col(high_b)[k], F.col(low_b)[k] - F.col(high_a)[k]) for k in axes]
+        return reduce(lambda x, y: x + y, [g * g for g in gaps]) <= 2 - 2 * threshold + 1e-9
+
+    side = lambda t, s: t.select("dim", *(F.col(c).alias(f"{c}_{s}") for c in t.columns if c != "dim"))
+    level = min(TOP, deepest)
+    now = boxes(level)  # 2^TOP nodes of a length at most
+    pairs = side(now, "a").join(side(now, "b"), "dim").where(F.col("node_a") <= F.col("node_b"))
+    pairs = pairs.where(within("low_a", "high_a", "low_b", "high_b")).select("dim", "node_a", "node_b")
+    while level < deepest:
+        last, level = level, min(level + STRIDE, deepest)
+        up = F.col("node")
+        for dim, d in depth.items():
+            up = F.when(F.col("dim") == dim, F.floor(F.col("node") / 2 ** (min(d, level) - min(d, last)))).otherwise(up)
+        now = boxes(level).withColumn("up", up.cast("long"))
+        pairs = stash(pairs, "tree-pairs")
+        pairs = _down(pairs, now, side)
+        pairs = pairs.where((F.col("node_a") <= F.col("node_b")) & within("low_a", "high_a", "low_b", "high_b")).select("dim", "node_a", "node_b").distinct()
+    found = leaf.withColumnRenamed("leaf", "node")
+    out = pairs.join(side(found, "a"), ["dim", "node_a"]).join(side(found, "b"), ["dim", "node_b"])
+    out = out.where(within("low_a", "high_a", "low_b", "high_b"))
+    return out.select(F.least("block_a", "block_b").alias("a"), F.greatest("block_a", "block_b").alias("b")).distinct()
+
+
+def _down(pairs: DataFrame, now: DataFrame, side) -> DataFrame:
+    """Pairs of the children of each pair of nodes, with their boxes; also those of a node with itself, in one order."""
+    p = pairs.select("dim", F.col("node_a").alias("up_a"), F.col("node_b").alias("up_b"))
+    both = p.join(side(now, "a"), ["dim", "up_a"]).join(side(now, "b"), ["dim", "up_b"])
+    # children of a < b may come in any order
+    flip = F.col("node_a") > F.col("node_b")
+    names = ("node", "low", "high")
+    ordered = [F.when(flip, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_a") for c in names]
+    ordered += [F.when(flip, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_b") for c in names]
+    return both.select("dim", *ordered)
+
+
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per row of the table."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("fine", F.coalesce(F.col("vec_id").isNotNull() & finite, F.lit(False)))
-    sizes = rows.where("fine").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if sizes is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = int(sizes["d"])
-    rows = rows.withColumn("fine", F.col("fine") & (F.size("embedding") == dim))
-    # -0.0 equals 0.0 in the key; equal vectors are one class
+    # -0.0 equals 0.0 in the key; equal vectors are one class, numbered as they are written
     key = F.transform("embedding", lambda v: v + F.lit(0.0))
-    classes = stash(rows.where("fine").groupBy(key.alias("embedding")).agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("copies")), "vectors")
-    total = classes.count()
-    values, vectors = np.linalg.eigh(_moments(classes, dim))
-    basis = vectors[:, np.argsort(-values)]
-    sample = classes.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, TREE_ROWS / total))).select("embedding").collect()
-    sample = np.array([r[0] for r in sample], dtype=np.float64).reshape(-1, dim)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    depth = max(0, int(np.ceil(np.log2(total / BLOCK))))
-    splits = _tree(unit @ basis[:, :AXES], depth)
+    classes = rows.where("fine").groupBy(key.alias("embedding")).agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("copies"))
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    common = classes.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).collect()
+    models = {r["dim"]: _fit(classes, r["dim"], r["n"]) for r in common}
+    depth = {dim: int(np.log2(len(splits) + 1)) for dim, (_, splits) in models.items()}
+
+    def turned(dim: int, x: np.ndarray) -> np.ndarray:
+        return unit(x) @ models[dim][0] if dim in models else unit(x)
+
+    def leading(dim: int, x: np.ndarray) -> np.ndarray:
+        lead = turned(dim, x)[:, :AXES]
+        return np.pad(lead, ((0, 0), (0, AXES - lead.shape[1])))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(0), dim)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([pa.array(_cells(x @ basis[:, :AXES], splits)), *batch.columns], names=["cell", "embedding", "vec", "copies"])
+            leaf, dims = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int32)
+            for dim, at, x in _by_length(batch.column(0)):
+                dims[at] = dim
+                if dim in models:
+                    leaf[at] = _cells(leading(dim, x), models[dim][1]) - len(models[dim][1])
+            yield pa.RecordBatch.from_arrays([pa.array(dims), pa.array(leaf), *batch.columns], names=["dim", "leaf", "embedding", "node", "copies"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of a cell, named after their first vector; the rows come sorted by cell and vector."""
-        held: list = []
+        held, n, last = [], 0, None
 
         def block() -> pa.RecordBatch:
-            vec, copies, x = (np.concatenate([h[k] for h in held]) for k in range(3))
+            node, copies, x = (np.concatenate([h[k] for h in held]) for k in range(3))
             held.clear()
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True) @ basis[:, :AXES]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([int(vec[0])]), pa.array([vec.tobytes()]), pa.array([copies.tobytes()]), pa.array([x.tobytes()]), pa.array([unit.min(axis=0).tolist()]), pa.array([unit.max(axis=0).tolist()])],
-                names=["block", "vecs", "copies", "vectors", "low", "high"],
-            )
+            lead = leading(last[0], x)
+            values = [last[0], last[1], int(node[0]), node.tobytes(), copies.tobytes(), x.tobytes(), lead.min(axis=0).tolist(), lead.max(axis=0).tolist()]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["dim", "leaf", "block", "nodes", "copies", "vectors", "low", "high"])
 
-        last, n = None, 0
         for batch in batches:
-            cells = np.asarray(batch.column(0))
-            vec, copies, x = np.asarray(batch.column(2)), np.asarray(batch.column(3)), _matrix(batch.column(1), dim)
-            edges = np.flatnonzero(np.diff(cells)) + 1
-            for a, b in zip([0, *edges], [*edges, len(cells)], strict=True):
-                if n and cells[a] != last:
+            dims, leaf = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            node, copies = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+            edges = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(dims) != 0)) + 1
+            for a, b in zip([0, *edges], [*edges, len(leaf)], strict=True):
+                if a == b:
+                    continue
+                if n and (int(dims[a]), int(leaf[a])) != last:
                     yield block()
                     n = 0
-                last = cells[a]
+                last = (int(dims[a]), int(leaf[a]))
+                ((_, _, x),) = _by_length(batch.column(2).slice(a, b - a))
                 while a < b:
                     c = min(b, a + BLOCK - n)
-                    held.append((vec[a:c], copies[a:c], x[a:c]))
+                    held.append((node[a:c], copies[a:c], x[len(x) - (b - a) : len(x) - (b - c)]))
                     n, a = n + c - a, c
                     if n == BLOCK:
                         yield block()
@@ -175,34 +261,24 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         if n:
             yield block()
 
-    dealt = classes.select("embedding", "vec", "copies").mapInArrow(deal, "cell long, embedding array<double>, vec long, copies long")
-    blocks = dealt.repartition("cell").sortWithinPartitions("cell", "vec").mapInArrow(cut, "block long, vecs binary, copies binary, vectors binary, low array<double>, high array<double>")
-    blocks = stash(blocks, "blocks")
-
-    # boxes of blocks meet over a small grid: a box is sent to each row of the grid, and waits in its own column
-    grid = max(1, int(np.ceil(np.sqrt(2 ** depth))))
-    boxes = blocks.select("block", "low", "high", F.pmod(F.xxhash64("block"), F.lit(grid)).alias("g"))
-    left = boxes.select(F.col("block").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence(F.lit(0), F.lit(grid - 1)).cast("array<bigint>")).alias("g"))
-    right = boxes.select(F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), "g")
-    gaps = F.aggregate(
-        F.arrays_zip("low_a", "high_a", "low_b", "high_b"), F.lit(0.0),
-        lambda s, v: s + F.pow(F.greatest(F.lit(0.0), v["low_a"] - v["high_b"], v["low_b"] - v["high_a"]), F.lit(2.0)),
-    )
-    near = left.join(right, "g").where((F.col("a") <= F.col("b")) & (gaps <= 2 - 2 * threshold + 1e-9)).select("a", "b")
-    tiles = near.join(blocks.select(F.col("block").alias("a"), F.col("vecs").alias("vecs_a"), F.col("copies").alias("copies_a"), F.col("vectors").alias("x_a")), "a")
-    tiles = tiles.join(blocks.select(F.col("block").alias("b"), F.col("vecs").alias("vecs_b"), F.col("copies").alias("copies_b"), F.col("vectors").alias("x_b")), "b")
+    dealt = classes.select("embedding", "node", "copies").mapInArrow(deal, "dim int, leaf long, embedding array<double>, node long, copies long")
+    ddl = "dim int, leaf long, block long, nodes binary, copies binary, vectors binary, low array<double>, high array<double>"
+    blocks = stash(dealt.repartition("dim", "leaf").sortWithinPartitions("dim", "leaf", "node").mapInArrow(cut, ddl), "blocks")
+    near = stash(_near_blocks(blocks, depth, threshold), "near")
+    of = lambda s: blocks.select(F.col("block").alias(s), "dim", *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "copies", "vectors")))
+    tiles = near.join(of("a"), "a").join(of("b").drop("dim"), "b").repartition("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack(batch, r: int, side: str):
-            get = lambda name, kind: np.frombuffer(batch.column(batch.schema.get_field_index(f"{name}_{side}"))[r].as_py(), dtype=kind)
-            raw = get("x", np.float64).reshape(-1, dim)
-            return get("vecs", np.int64), get("copies", np.int64), raw, raw / np.linalg.norm(raw, axis=1, keepdims=True) @ basis
+        def unpack(row: dict, side: str):
+            raw = np.frombuffer(row[f"vectors_{side}"]).reshape(-1, row["dim"])
+            return np.frombuffer(row[f"nodes_{side}"], dtype=np.int64), np.frombuffer(row[f"copies_{side}"], dtype=np.int64), raw, turned(row["dim"], raw)
 
         for batch in batches:
             for r in range(batch.num_rows):
-                vec_a, copies_a, raw_a, a = unpack(batch, r, "a")
-                vec_b, copies_b, raw_b, b = unpack(batch, r, "b")
-                same = vec_a[0] == vec_b[0]
+                row = {name: batch.column(k)[r].as_py() for k, name in enumerate(batch.schema.names)}
+                node_a, copies_a, raw_a, a = unpack(row, "a")
+                node_b, copies_b, raw_b, b = unpack(row, "b")
+                same = node_a[0] == node_b[0]
                 links_a, links_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
                 nodes, roots = [], []
                 for k in range(0, len(a), 1024):
@@ -215,27 +291,28 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
                             continue
                         links_a += np.bincount(i, weights=copies_b[j], minlength=len(a)).astype(np.int64)
                         links_b += np.bincount(j, weights=copies_a[i], minlength=len(b)).astype(np.int64)
-                        node, root = _forest(vec_a[i], vec_b[j])
+                        node, root = _forest(node_a[i], node_b[j])
                         nodes.append(node)
                         roots.append(root)
                 if nodes:
                     node, root = _forest(np.concatenate(nodes), np.concatenate(roots))
                     some_a, some_b = np.flatnonzero(links_a), np.flatnonzero(links_b)
                     n = len(some_a) + len(some_b)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([vec_a[some_a], vec_b[some_b], node])),
-                            pa.array(np.concatenate([links_a[some_a], links_b[some_b], np.zeros(len(node), dtype=np.int64)])),
-                            pa.array([None] * n + root.tolist(), pa.int64()),
-                        ],
-                        names=["vec", "links", "root"],
-                    )
-
-    found = stash(tiles.repartition(F.col("a"), F.col("b")).select("vecs_a", "copies_a", "x_a", "vecs_b", "copies_b", "x_b").mapInArrow(compare, "vec long, links long, root long"), "links")
-    links = found.groupBy("vec").agg(F.sum("links").alias("links"))
-    label = components(found.where(F.col("root").isNotNull()).select(F.col("vec").alias("a"), F.col("root").alias("b")))
-    known = classes.select("embedding", "vec", "copies").join(links, "vec", "left").join(label.withColumnRenamed("node", "vec"), "vec", "left")
-    known = known.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component_id"))
+                    columns = [
+                        np.concatenate([node_a[some_a], node_b[some_b], node]), np.concatenate([links_a[some_a], links_b[some_b], np.zeros(len(node), dtype=np.int64)]),
+                    ]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([None] * n + root.tolist(), pa.int64())], names=["node", "links", "root"])
+
+    found = tiles.select("dim", *(f"{c}_{s}" for s in "ab" for c in ("nodes", "copies", "vectors")))
+    found = stash(found.mapInArrow(compare, "node long, links long, root long"), "links")
+    free(near, blocks)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    label = components(found.where(F.col("root").isNotNull()).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    known = classes.join(links, "node", "left").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = stash(known.select("embedding", "vec", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    free(found, classes)
+    least = known.groupBy("component").agg(F.min("vec").alias("component_id"))
+    known = known.join(least, "component").select("embedding", "n_links", "component_id")
     fine = rows.where("fine").select("vec_id", key.alias("embedding")).join(known, "embedding").select("vec_id", "n_links", "component_id")
     rest = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return fine.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -237,28 +237,49 @@ def test_decontamination_by_brute_force(spark, given):
     assert clean == {d for d in got if not got[d].contaminated}
 
 
+def linked(spark, rows):
+    """(vec_id, vector) rows through the operator, as (n_links, component_id, kept) in their order, and by brute force."""
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, component_id string"))
+    seen: dict = {}
+    for r in got.collect():
+        seen.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
+    fine = [k for k, (i, v) in enumerate(rows) if i is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v)]
+    unit = {}
+    for k in fine:
+        x = np.array(rows[k][1]) / max(map(abs, rows[k][1]))
+        unit[k] = x / np.linalg.norm(x)
+    near = {k: [m for m in fine if m != k and len(unit[m]) == len(unit[k]) and (rows[m][1] == rows[k][1] or unit[m] @ unit[k] >= 0.9)] for k in fine}
+    least = {k: rows[k][0] for k in fine}
+    while True:
+        new = {k: min([least[k], *(least[m] for m in near[k])]) for k in fine}
+        if new == least:
+            break
+        least = new
+    want: dict = {}
+    for k, (i, _) in enumerate(rows):
+        want.setdefault(i, []).append((len(near.get(k, [])), least.get(k, i), least.get(k, i) == i))
+    return {i: sorted(x, key=str) for i, x in seen.items()}, {i: sorted(x, key=str) for i, x in want.items()}
+
+
 def test_embeddings_by_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
     x = np.concatenate([base, base[:20] + rng.normal(scale=0.12, size=(20, 16)), base[:5], base[:5] * 3])
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, 2.0]), (904, [None] + [1.0] * 15)]
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    link = unit @ unit.T >= 0.9
-    np.fill_diagonal(link, False)
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    reach = np.eye(len(x), dtype=bool) | link
-    for _ in range(8):
-        reach = reach @ reach
-    for i in range(len(x)):
-        assert got[i].n_links == link[i].sum() and got[i].component_id == int(np.flatnonzero(reach[i]).min())
-        assert got[i].kept == (got[i].component_id == i)
-    assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(900, 905))
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, 2.0]), (904, [None] + [1.0] * 15), (905, []), (906, [float("inf")] + [1.0] * 15)]
+    rows += [(910, [1e-200, 0.0]), (911, [1e200, 0.0]), (912, [1.0, 0.01]), (913, [5e-324, 0.0]), (914, [-1.0, 0.0]), (915, [0.0, 1e308]), (916, [1e308, 1e308])]
+    rows += [(920, [3.0, 4.0, 5.0]), (921, [3.0, 4.0, 5.1]), (922, [7.0]), (923, [1e-300]), (924, [-2.0]), (None, [1.0, 0.0])]
+    rows += [(3, rows[3][1]), (3, rows[4][1]), (3, [1.0, 0.0]), (930, [0.0, -0.0, 1.0]), (931, [-0.0, 0.0, 1.0])]
+    got, want = linked(spark, rows)
+    assert got == want
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().kept
 
 
 def test_blocks_of_embeddings_agree(spark, monkeypatch):
-    """Small blocks and a deep tree give what one block gives."""
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    """Small blocks and deep trees, walked down in small steps, give what one block gives."""
+    for name, value in (("BLOCK", 8), ("TOP", 1), ("STRIDE", 1)):
+        monkeypatch.setattr(embedding_dedup, name, value)
     test_embeddings_by_brute_force(spark)
 
 
