@@ -5,8 +5,11 @@ moves each character within its class (digits, vowels or consonants of one scrip
 the type and on all that precedes it, so it is a bijection on entities of one type and format: equal entities get equal surrogates
 anywhere in the corpus (coreference), different ones different surrogates (distinctness). What must keep a form moves within the values
 of that form: given names within the list of their gender and script, and other given names to names outside the lists; the middle
-group 555 stays and the others move among the 999 others. Card numbers keep their check digit right if it was. Separators, letter case,
-scripts of digits and leading zeros of an IPv4 address do not change an entity (``same``). ``collisions`` checks a corpus.
+group 555, a leading 0 and country codes stay and the others move among the others. Card and IBAN numbers keep their check digits right
+if they were. Mail hosts move to reserved ones: those of example.com, .net and .org stay there, all others go below .example, so that
+no surrogate is somebody's mailbox. Names count with a title, or untitled if a listed given name and a second name stand together.
+Separators, letter case, scripts of digits and leading zeros of an IPv4 address do not change an entity (``same``). The maps need no
+look at other entities, so nothing is gathered; ``collisions`` checks a corpus by grouping its entities by surrogate.
 
 Null texts stay null, empty ones empty; repeated rows get equal texts; other columns stay as they are.
 """
@@ -40,14 +43,17 @@ _CLASSES = (
 )
 _CLASS_OF = {c: (k, i) for k, chars in enumerate(_CLASSES) for i, c in enumerate(chars)}
 
+_TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Г-н|г-н|Г-жа|г-жа|Господин|господин|Госпожа|госпожа"
+_NAME = "[A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]+"
 _FIND = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-]))"
+    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,254}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]))"
-    r"|(?P<person>(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]+(?: [A-ZÀ-ÞА-ЯЁ][a-zß-ÿа-яё]+)?)"
+    r"|(?P<phone>(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+    r"|0[1-9](?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{6,8})(?![\w-]))"
+    rf"|(?P<person>(?<!\w)(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(_NAME_LIST)}) {_NAME}))"
 )
 
 
@@ -115,10 +121,20 @@ class Surrogates:
         return "".join(next(digits) if c.isdigit() else c for c in text)
 
     def email(self, text: str) -> str:
+        """Hosts below example.com, .net or .org keep these; all others get .example after them, one more where they end so already."""
         name, _, host = text.rpartition("@")
         labels = host.split(".")
-        # the last two labels stay: the domain's kind is kept, and example.com stays reserved
-        return self.moved("email", name + "@" + ".".join(labels[:-2]) if len(labels) > 2 else name + "@") + ("." if len(labels) > 2 else "") + ".".join(labels[-2:])
+        if labels[-2].lower() == "example" and labels[-1].lower() in ("com", "net", "org"):
+            keep = 2
+        else:
+            ends = 0
+            while ends < len(labels) - 1 and labels[-1 - ends].lower() == "example":
+                ends += 1
+            keep = min(ends + 1, len(labels) - 1)
+            labels = [*labels, "example"]
+            keep += 1
+        moved, rest = labels[:-keep], labels[-keep:]
+        return self.moved("email", f"{name}@{'.'.join(moved)}") + ("." if moved else "") + ".".join(rest)
 
     def ip(self, text: str) -> str:
         parts, out = [int(x) for x in text.split(".")], []
@@ -138,29 +154,36 @@ class Surrogates:
         return self._digits("ssn", text, self.moved("ssn", _digits_of(text)))
 
     def iban(self, text: str) -> str:
+        """The country stays; the check digits are as far from the right ones as they were."""
         whole = text.replace(" ", "")
-        letters = iter(whole[:4] + self.moved("iban", whole[4:]))
+        right = lambda account: 98 - int("".join(str(int(c, 36)) for c in account + whole[:2]) + "00") % 97
+        account = self.moved("iban", whole[4:])
+        check = (right(account) + int(whole[2:4]) - right(whole[4:])) % 100
+        letters = iter(f"{whole[:2]}{check:02d}{account}")
         return "".join(c if c == " " else next(letters) for c in text)
 
     def phone(self, text: str) -> str:
-        """The country code stays, and 555 in the middle; an area code's first digit stays within 2 to 9, or within 0 and 1."""
+        """The country code and a first 0 stay. Of ten digits, a first 1 stays too, 2 to 9 move among themselves, and 555 in the middle stays."""
         digits = _digits_of(text)
         country = _country(digits) if text[0] == "+" else 0
         rest = digits[country:]
-        out = list(self.moved("phone", rest, fixed=len(rest) == 10))
+        out = list(self.moved("phone", rest, fixed=1))
+        first = int(rest[0]) if rest else 0
         if len(rest) == 10:
-            first, middle = int(rest[0]), int(rest[3:6])
-            low, n = (2, 8) if first >= 2 else (0, 2)
-            out[0] = str(low + self._stepped(first - low, n, "phone", "area"))
+            if first >= 2:
+                out[0] = str(2 + self._stepped(first - 2, 8, "phone", "area"))
+            middle = int(rest[3:6])
             if middle != 555:
                 middle = self._stepped(middle - (middle > 555), 999, "phone", "middle", rest[:3])
                 middle += middle >= 555
             out[3:6] = f"{middle:03d}"
+        elif first:
+            out[0] = str(1 + self._stepped(first - 1, 9, "phone", "first", str(len(rest))))
         return self._digits("phone", text, digits[:country] + "".join(out))
 
     def person(self, text: str) -> str:
-        title, *names = text.split(" ")
-        out = [title]
+        names = text.split(" ")
+        out = [] if names[0] in _NAME_LIST else [names.pop(0)]
         for k, n in enumerate(names):
             kind, i = _NAME_LIST.get(n, (None, 0))
             if kind and k == 0:

@@ -368,6 +368,41 @@ def test_surrogates_of_a_form_are_distinct(spark):
     assert pii.collisions(zeros).count() == 0
 
 
+def test_surrogates_are_injective_over_many_entities():
+    """No two of very many entities of a kind share a surrogate, and no entity is its own; check digits stay right or wrong."""
+    make, rng = pii.Surrogates(), random.Random(8)
+    hosts = ["example.com", "mail1.example.com", "gmail.com", "gmail.com.example", "example.com.example", "foo.example", "foo.example.example", "a.b.co.uk", "wotep.com.example", "x.test"]
+    small = "bcdfg"
+    kinds = {
+        "email": [f"{a}{b}{n}@{h}" for a in small for b in "aeiou" for n in range(100) for h in hosts],
+        "ip": [f"{a}.{b}.{c}.{n}" for a in (0, 10, 127, 192, 223, 224, 255) for b in (0, 1, 255) for c in (0, 9) for n in range(256)],
+        "card": [f"{n:015d}{d}" for n in rng.sample(range(10**15), 3000) for d in range(3)],
+        "ssn": [f"{n // 10000:03d}-{n // 100 % 100:02d}-{n % 10000:04d}" for n in range(30_000)],
+        "iban": [f"DE{c:02d}{n:018d}" for n in range(300) for c in range(100)],
+        "phone": [p for n in range(3000) for p in (f"030 {1234000 + n}", f"06 12 34 {n // 100:02d} {n % 100:02d}", f"+49 170 {1234000 + n}", f"(234) 554-{n:04d}", f"(234) 555-{n:04d}")],
+        "person": [f"{a}{b}{c} Smith" for a in small.upper() for b in "aeiou" for c in small] and [f"Mr. {n} {s}" for n in ("Mary", "John", "Zed", "Ivo") for s in ("Kobu", "Kebu", "Smith", "Иванов")] + ["Mary Kobu", "Anna Kobu", "Анна Иванова"],
+    }
+    for kind, entities in kinds.items():
+        made = [getattr(make, kind)(e) for e in entities]
+        assert len(set(map(lambda m: pii.same(kind, m), made))) == len({pii.same(kind, e) for e in entities}), kind
+        assert all(m != e for m, e in zip(made, entities, strict=True)), kind
+    assert all(make.email(e).endswith((".example", "example.com")) for e in kinds["email"])
+    valid = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    assert valid("DE89370400440532013000") and valid(make.iban("DE89370400440532013000")) and valid(make.iban("GB82 WEST 1234 5698 7654 32").replace(" ", ""))
+    assert make.iban("GB82 WEST 1234 5698 7654 32")[4] == " " and not valid(make.iban("DE88370400440532013000"))
+    assert make.phone("030 1234567")[0] == "0" and make.phone("06 12 34 56 78")[0] == "0" and make.phone("+49 170 1234567").startswith("+49 ")
+
+
+def test_names_without_titles_and_in_other_scripts(spark):
+    texts = ["Mary Kobu wrote to Mrs. Mary Kobu", "г-жа Анна Петрова и Иван Сидоров", "Mary had a lamb", "call 06 12 34 56 78 or 030 1234567", "at somebody@gmail.com", "from 10.0.0.1 and 10.0.0.01, ３.1.2.3"]
+    out = {r.doc_id: r for r in pii.surrogates(documents(spark, texts)).collect()}
+    one, other = re.fullmatch(r"(\w+ \w+) wrote to Mrs. (\w+ \w+)", out[0].text).groups()
+    assert one == other != "Mary Kobu" and one.split()[0] in pii.NAMES["female latin"]
+    assert out[1].pii_kinds == ["person", "person"] and out[1].text.split()[1] in pii.NAMES["female cyrillic"] and "Сидоров" not in out[1].text
+    assert out[2].text == texts[2] and out[3].pii_kinds == ["phone", "phone"] and out[4].text.endswith(".com.example") and "gmail" not in out[4].text
+    assert len(out[5].pii_kinds) >= 2 and pii.collisions(documents(spark, texts)).count() == 0
+
+
 def test_secrets(spark):
     rng = random.Random(9)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
