@@ -71,4 +71,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_pii_surrogates, op8_benchmark_decontamination, op9_secret_scan, op10_sentencepiece,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS, _ALNUM = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')", rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Components of links (x, y): everything that is reachable, then the smallest of it.
+_REACH = "reach(x, y) as (select x, y from link union select r.x, l.y from reach r join link l on r.y = l.x)"
+
+#: What SQL can express; the others depend on learned weights, merges, keys or regular expressions with a state.
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_near_dedup": f"""with recursive v as (select vec_id, embedding::double[] e, sqrt(list_dot_product(embedding::double[], embedding::double[])) n from embeddings where embedding is not null),
+f as (select vec_id, e, n, len(e) d from v where n > 0 and isfinite(n)), link as (select a.vec_id x, b.vec_id y from f a join f b on a.d = b.d and a.vec_id <> b.vec_id where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9), {_REACH},
+c as (select x, count(*) n from link group by x), m as (select x, min(y) y from reach group by x)
+select vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(y, vec_id)) component_id, vec_id = least(vec_id, coalesce(y, vec_id)) as kept from (select vec_id from embeddings) t left join c on vec_id = c.x left join m on vec_id = m.x""",
+    "op4_ngram_jaccard_join": f"""with recursive w as (select doc_id, {_WORDS} w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') s from w, unnest(range(1, greatest(len(w) - 3, 2))) u(i) where len(w) > 0), n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+link as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)), {_REACH}, m as (select x, min(y) y from reach group by x)
+select w.doc_id, coalesce(n, 0) n_shingles, least(w.doc_id, coalesce(y, w.doc_id)) component_id from w left join n using (doc_id) left join m on w.doc_id = m.x""",
+    "op8_benchmark_decontamination": f"""with d as (select doc_id, {_ALNUM} w from documents), b as (select cast(item_id as varchar) item_id, {_ALNUM} w from benchmark where item_id is not null),
+bi as (select item_id, w, least(len(w), 13) n from b where len(w) > 0), bw as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') t from bi, unnest(range(1, len(w) - n + 2)) u(i)),
+dw as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') t from d, (select distinct n from bi) l, unnest(range(1, len(w) - n + 2)) u(i)),
+h as (select doc_id, n, i, item_id from dw join bw using (n, t)), hp as (select doc_id, count(*) n_hit from (select distinct doc_id, unnest(range(i, i + n)) p from h) group by doc_id),
+it as (select doc_id, count(*) n_items, sha256(string_agg(item_id, ',' order by item_id)) s from (select distinct doc_id, item_id from h) group by doc_id)
+select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated from d left join hp using (doc_id) left join it using (doc_id)""",
+}

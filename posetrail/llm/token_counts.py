@@ -1,15 +1,20 @@
-"""Token counts under a unigram vocabulary, by dynamic programming that shares prefixes.
+"""Token counts under a unigram vocabulary, by dynamic programming over a trie.
 
-The distinct pre-tokens of an Arrow batch are sorted, which walks their trie in order: the forward scores of a prefix are computed
-once and kept on a stack while the words below it are visited; a terminal's best score gives its token count, kept in a bounded
-table. The best segmentation has the largest sum of piece scores, then the fewest tokens. A character that no piece covers costs
-the lowest score less 10 and counts its UTF-8 bytes as tokens where the vocabulary has byte pieces, else one.
+A task inserts its distinct pre-tokens in one trie. A node holds the best forward score of its prefix and the tokens of that
+segmentation, computed once when the node is made, so pre-tokens share the work of their common prefixes; the node where a pre-token
+ends holds its count. The trie and the table of ends start anew when they are full.
+
+The vocabulary's file has merge ranks, not probabilities, and tokenizers are never trained here; so a piece's probability follows
+from its rank r by Zipf's law as 1 / (r + ZIPF), normalised over the vocabulary. The best segmentation has the largest sum of log
+probabilities, then the fewest tokens. A character that no piece covers costs the least log probability less 10 and counts its UTF-8
+bytes as tokens where the vocabulary has byte pieces, else one.
 
 Null and empty texts have no tokens. Rows that repeat a doc_id are counted each.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -17,23 +22,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Pre-tokens kept by a task; beyond that the table starts anew.
-KEPT = 600_000
+#: Nodes of a task's trie, and pre-tokens whose ends it keeps; beyond these it starts anew.
+NODES, KEPT = 500_000, 600_000
+#: Shift of ranks in Zipf's law.
+ZIPF = 2.7
 
 
 def pieces(model_path: str) -> tuple[dict[str, float], bool]:
-    """(piece -> score, whether bytes are pieces) of a SentencePiece model file."""
+    """(piece -> log probability, whether bytes are pieces) of a SentencePiece model file of the merge type."""
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     with open(model_path, "rb") as f:
         proto.ParseFromString(f.read())
     kinds = proto.SentencePiece
-    return {p.piece: p.score for p in proto.pieces if p.type == kinds.NORMAL}, any(p.type == kinds.BYTE for p in proto.pieces)
+    ranked = [p.piece for p in sorted((p for p in proto.pieces if p.type == kinds.NORMAL), key=lambda p: -p.score)]
+    total = math.log(sum(1 / (r + ZIPF) for r in range(1, len(ranked) + 1)))
+    return {p: -math.log(r + ZIPF) - total for r, p in enumerate(ranked, 1)}, any(p.type == kinds.BYTE for p in proto.pieces)
 
 
 class Counter:
-    """Counts of the best segmentation."""
+    """Counts of the best segmentation, in a trie."""
 
     def __init__(self, scores: dict[str, float], bytes_too: bool):
         self.longest = max(map(len, scores), default=1)
@@ -42,46 +51,49 @@ class Counter:
         self.starts: dict[str, int] = {}  # longest piece by its first character
         for p in scores:
             self.starts[p[0]] = max(self.starts.get(p[0], 1), len(p))
+        self.steps = 0  # nodes whose forward scores were computed
+        self.clear()
+
+    def clear(self) -> None:
+        self.below: list[dict[str, int]] = [{}]
+        self.best, self.tokens = [0.0], [0]
         self.kept: dict[str, int] = {}
-        self.steps = 0  # characters at which forward scores were computed
-
-    def count_sorted(self, words: list[str]) -> list[int]:
-        """Token counts of sorted words; forward scores of the prefix shared with the word before stay on the stack."""
-        get, longest, starts = self.scores.get, self.longest, self.starts
-        best, tokens, out, last = [0.0], [0], [], ""
-        for w in words:
-            k = 0
-            for x, y in zip(last, w, strict=False):
-                if x != y:
-                    break
-                k += 1
-            del best[k + 1 :], tokens[k + 1 :]
-            reach = [starts.get(c, 1) for c in w]
-            for end in range(k + 1, len(w) + 1):
-                c = w[end - 1]
-                top, fewest = best[end - 1] + self.unknown, tokens[end - 1] + (len(c.encode("utf-8", "surrogatepass")) if self.bytes_too else 1)
-                for begin in range(max(0, end - longest), end):
-                    if end - begin <= reach[begin] and (s := get(w[begin:end])) is not None:
-                        s += best[begin]
-                        n = tokens[begin] + 1
+
+    def insert(self, word: str) -> int:
+        """The token count of a word; nodes of its prefixes that are not there yet are made."""
+        node, path, get = 0, [0], self.scores.get
+        for end, c in enumerate(word, 1):
+            below = self.below[node]
+            node = below.get(c, -1)
+            if node < 0:
+                last = path[-1]
+                top, fewest = self.best[last] + self.unknown, self.tokens[last] + (len(c.encode("utf-8", "surrogatepass")) if self.bytes_too else 1)
+                for begin in range(max(0, end - self.longest), end):
+                    if end - begin <= self.starts.get(word[begin], 1) and (s := get(word[begin:end])) is not None:
+                        s += self.best[path[begin]]
+                        n = self.tokens[path[begin]] + 1
                         if s > top or s == top and n < fewest:
                             top, fewest = s, n
-                best.append(top)
-                tokens.append(fewest)
+                node = below[c] = len(self.best)
+                self.below.append({})
+                self.best.append(top)
+                self.tokens.append(fewest)
                 self.steps += 1
-            out.append(tokens[len(w)])
-            last = w
-        return out
+            path.append(node)
+        return self.tokens[node]
 
     parts = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
     def count(self, texts: list[str]) -> list[int]:
         split = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        new = sorted({p for parts in split for p in parts if p not in self.kept})
-        self.kept.update(zip(new, self.count_sorted(new), strict=True))
-        get = self.kept.__getitem__
+        if len(self.kept) > KEPT or len(self.best) > NODES:
+            self.clear()
+        kept = self.kept
+        for parts in split:
+            for p in parts:
+                if p not in kept:
+                    kept[p] = self.insert(p)
+        get = kept.__getitem__
         return [sum(map(get, parts)) for parts in split]
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from posetrail.llm import components as C
 from posetrail.llm import decontam, embedding_dedup, lm, ngram_join, pii, quality, secret_scan, sentencepiece_bpe, token_counts, toxicity
-from posetrail.llm.queries import vocabulary
+from posetrail.llm.queries import ORACLE_SQL, QUERIES, vocabulary
 
 SF = "/root/testdata/sf0.001"
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
@@ -72,11 +72,25 @@ def test_token_counts_by_brute_force(spark):
     for i, t in enumerate(texts):
         assert got[i] == sum(brute(p) for p in parts.findall("▁" + t.replace(" ", "▁")))
     counter = token_counts.Counter(scores, has_bytes)
-    counter.count_sorted(["abcde", "abcdf", "abcdg"])
-    assert counter.steps == 7  # four shared characters once, then one for each word
+    assert [counter.insert(w) for w in ("abcde", "abcdf", "abc", "abcdg")] == [brute(w) for w in ("abcde", "abcdf", "abc", "abcdg")]
+    assert counter.steps == 7  # four shared characters once, then one for each longer word
+    assert math.isclose(sum(map(math.exp, scores.values())), 1.0)
     assert [r.n_tokens for r in token_counts.token_counts(documents(spark, [None, ""]), vocabulary()).collect()] == [0, 0]
 
 
+def test_token_counts_are_near_the_merges(spark, given, monkeypatch):
+    """Frequent words are whole tokens: the counts are within a tenth of those of the merges, and a full trie that starts anew changes none."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=vocabulary())
+    docs = given["documents"].where("lang = 'en'")
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, vocabulary()).collect()}
+    want = {r.doc_id: len(lib.encode(r.text or "")) for r in docs.collect()}
+    assert abs(sum(got.values()) / sum(want.values()) - 1) < 0.1
+    monkeypatch.setattr(token_counts, "NODES", 50)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, vocabulary()).collect()} == got
+
+
 def shingles(t):
     w = (t or "").encode().translate(LOW).split()
     return set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} - {()}
@@ -425,6 +439,19 @@ def test_short_secrets_repeats_and_words_after(spark):
     assert 200 < len(kept) <= 700 and 0.4 < share < 0.6
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        duck.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    want = duck.execute(ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
+    by = list(want.columns)[:1]
+    assert len(got) == len(want) and (got.sort_values(by).to_numpy() == want.sort_values(by).to_numpy()).all()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
