@@ -27,9 +27,9 @@ NEVER = np.int32(0x7FFFFFFF)
 #: Symbols of the longest part that merges in a numpy matrix; longer ones use a heap.
 SIDE_BY_SIDE = 40
 #: Parts kept by a task; beyond that the table starts anew.
-KEPT_PARTS = 600_000
+KEPT_PARTS = 150_000
 #: Bytes of the texts of an output batch.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -110,8 +110,8 @@ class Codec:
         plain = np.add.reduceat(known, starts) == lengths
         for low, high in ((0, 8), (8, 14), (14, 24), (24, SIDE_BY_SIDE)):
             chosen = np.flatnonzero(plain & (lengths > low) & (lengths <= high))
-            for k in range(0, len(chosen), 20_000):
-                some = chosen[k : k + 20_000]
+            for k in range(0, len(chosen), 5_000):
+                some = chosen[k : k + 5_000]
                 for i, row in zip(some.tolist(), self._side_by_side(ids, starts[some], lengths[some]), strict=True):
                     out[i] = row
         for i in np.flatnonzero(~plain | (lengths > SIDE_BY_SIDE)).tolist():
