@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session may leave that unset and gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not folder and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="posetrail-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for files that last as long as the application."""
+    path, context = f"{_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", spark.sparkContext
+
+    def drop() -> None:
+        if context._jsc is not None:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+    atexit.register(drop)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in spark.checkpoint.dir; only a local session may leave that unset and gets a temporary folder."""
+    """df as a checkpoint in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="posetrail-"))
+        context.setCheckpointDir(_root(df.sparkSession))
     return df.checkpoint()

@@ -89,3 +89,87 @@ def blob_counts(areas: DataFrame, double: float) -> DataFrame:
     """(video_id, frame, animal_count, merged) of blob areas: a blob of the double area counts two and sets merged."""
     big = F.col("area") >= double
     return areas.groupBy("video_id", "frame").agg(F.sum(F.when(big, 2).otherwise(1)).alias("animal_count"), F.max(big.cast("int")).alias("merged"))
+
+
+def blob_areas(pixels: DataFrame, ground: DataFrame | None = None, threshold: int = 25, least: float = 100.0, dark: bool = True, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(video_id, frame, blob, area) of the blobs of grey pixels (video_id, frame, x, y, gray) larger than ``least``.
+
+    With a background (video_id, x, y, gray) a pixel belongs to a blob where it is darker (or lighter) than it by more than the threshold,
+    else where it is at most (or above) the threshold itself. Pixels meet over edges and corners; holes count as filled. The area is that of the
+    polygon through the centres of a blob's border pixels, so a blob one pixel wide has none. Blobs are numbered in order of their first
+    pixel, row by row. The helper sees one frame's blob pixels at a time.
+    """
+    import numpy as np
+    import pandas as pd
+
+    p = pixels if roi is None else pixels.where((F.col("x") >= roi[0]) & (F.col("x") < roi[2]) & (F.col("y") >= roi[1]) & (F.col("y") < roi[3]))
+    if ground is None:
+        on = F.col("gray") <= threshold if dark else F.col("gray") > threshold
+    else:
+        p = p.join(ground.select("video_id", "x", "y", F.col("gray").alias("_ground")), ["video_id", "x", "y"])
+        on = F.col("gray") - F.col("_ground") < -threshold if dark else F.col("gray") - F.col("_ground") > threshold
+
+    def labels(mask: np.ndarray, corners: bool) -> np.ndarray:
+        """The smallest place of each pixel's component, by spreading until nothing changes."""
+        n = mask.size
+        now = np.where(mask, np.arange(n).reshape(mask.shape), n)
+        while True:
+            pad = np.pad(now, 1, constant_values=n)
+            around = [pad[1 + i : pad.shape[0] - 1 + i, 1 + j : pad.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if corners or not (i and j)]
+            new = np.where(mask, np.minimum.reduce(around), n)
+            flat = np.append(new.ravel(), n)
+            new = np.where(mask, flat[new], n)  # a step towards the component's root
+            if np.array_equal(new, now):
+                return now
+            now = new
+
+    def helper(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
+        mask = np.zeros((y.max() - y.min() + 3, x.max() - x.min() + 3), dtype=bool)
+        mask[y - y.min() + 1, x - x.min() + 1] = True
+        of, out = labels(mask, True), []
+        for k in np.unique(of[mask]):
+            blob = of == k
+            outside = labels(~blob, False) == 0  # the frame's rim is free, so its component starts at place 0
+            full = (~outside).astype(int)
+            corners = full[1:, 1:] + full[1:, :-1] + full[:-1, 1:] + full[:-1, :-1]
+            out.append((corners == 4).sum() + 0.5 * (corners == 3).sum())
+        rows = [(i, a) for i, a in enumerate(out) if a > least]
+        return pd.DataFrame({"video_id": frame["video_id"].iloc[0], "frame": frame["frame"].iloc[0], "blob": [r[0] for r in rows], "area": [float(r[1]) for r in rows]}, index=range(len(rows)))
+
+    return p.where(on).select("video_id", "frame", "x", "y").groupBy("video_id", "frame").applyInPandas(helper, "video_id bigint, frame bigint, blob int, area double")
+
+
+# fixed values: sRGB to XYZ (D65) rows, and the white point
+_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+_WHITE = (0.950456, 1.0, 1.088754)
+
+
+def lab(pixels: DataFrame) -> DataFrame:
+    """Columns l, a, b2 (0 to 255) of the 8-bit CIE Lab of b, g, r: L times 255/100, a and b moved by 128."""
+    linear = lambda c: F.when(F.col(c) / 255.0 > 0.04045, F.pow((F.col(c) / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(F.col(c) / 255.0 / 12.92)
+    r, g, b = linear("r"), linear("g"), linear("b")
+    x, y, z = ((m[0] * r + m[1] * g + m[2] * b) / w for m, w in zip(_XYZ, _WHITE, strict=True))
+    f = lambda t: F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16.0 / 116)
+    light = F.when(y > 0.008856, 116 * F.cbrt(y) - 16).otherwise(903.3 * y)
+    byte = lambda v: F.least(F.greatest(F.floor(v + 0.5), F.lit(0)), F.lit(255)).cast("int")
+    return pixels.withColumns({"l": byte(light * 255 / 100), "a": byte(500 * (f(x) - f(y)) + 128), "b2": byte(200 * (f(y) - f(z)) + 128)})
+
+
+def cutouts(pixels: DataFrame, crops: DataFrame, size: int) -> DataFrame:
+    """(video_id, frame, instance, u, v, value) of square cutouts: crops (video_id, frame, instance, cx, cy, angle in degrees) turn the frame by the
+    angle about the centre, so that the animal lies level, and take size x size pixels of ``value`` about it.
+
+    Each cutout pixel reads the four frame pixels about its source place, weighted by nearness; places outside the frame count 0. The
+    four meet by equality joins.
+    """
+    half, c, s = size / 2, F.cos(F.radians("angle")), F.sin(F.radians("angle"))
+    grid = crops.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("u")).select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("v"))
+    du, dv = F.col("u") - half, F.col("v") - half
+    at = grid.withColumns({"_x": F.col("cx") + du * c - dv * s, "_y": F.col("cy") + du * s + dv * c})
+    near = F.array(*(F.struct((F.floor("_x") + i).cast("int").alias("x"), (F.floor("_y") + j).cast("int").alias("y"),
+                              ((F.col("_x") - F.floor("_x") if i else 1 - F.col("_x") + F.floor("_x")) * (F.col("_y") - F.floor("_y") if j else 1 - F.col("_y") + F.floor("_y"))).alias("w")) for i in (0, 1) for j in (0, 1)))
+    key = ["video_id", "frame", "instance", "u", "v"]
+    parts = at.select(*key, F.explode(near).alias("n")).select(*key, "n.x", "n.y", "n.w")
+    j = parts.join(pixels.select("video_id", "frame", "x", "y", "value"), ["video_id", "frame", "x", "y"], "left")
+    return j.groupBy(*key).agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0))).alias("value"))

@@ -18,12 +18,6 @@ def images(spark, d):
     return long.withColumn("path", O.image_path(F.concat(F.lit("v"), F.col("video_id")), F.col("frame"))).drop("frame")
 
 
-@query("src_labeled", f"{L} select video_id, frame, instance, keypoint, x + case when frame % 20 = 3 then 40 + video_id else 0 end x, y + case when frame % 20 = 3 then 25 else 0 end y from pose_long")
-def src_labeled(spark, d):
-    crops = X.pose_long(spark, d).where("frame % 20 = 3").select("video_id", "frame").distinct().select("video_id", "frame", (F.col("video_id") + 40).cast("double").alias("cx"), F.lit(25.0).alias("cy"))
-    return O.labeled(images(spark, d), crops).select(*KEYS, "keypoint", "x", "y")
-
-
 @query("src_frame_list", f"{L} select distinct video_id, frame from pose_long")
 def src_frame_list(spark, d):
     return O.labeled(images(spark, d)).select("video_id", "frame").distinct()
@@ -35,7 +29,6 @@ def crops(b):
 
 blob("snk_crop_notes", lambda b: crops(b).select("video_id", "x", "y", F.array_join("frames", ",").alias("frames")), " select video_id, animal_count * 40 x, merged * 10 y, string_agg(cast(frame as varchar), ',' order by frame) frames from blobs group by all")
 blob("src_crop_notes", lambda b: O.noted_frames(crops(b)), " select distinct video_id, animal_count * 40 x, merged * 10 y, frame from blobs")
-annot("snk_annot_struct", lambda a: a.groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("frame", "label"))), lambda r: r["label"].cast("string")), ",").alias("labels")), " select video_id, string_agg(cast(label as varchar), ',' order by frame) labels from annot group by all")
 annot("join_missing_images", lambda a: O.missing(a.where("label = 1"), a.where("frame % 3 = 0")), " select video_id, frame, case when label = 1 then 'absent' else 'unlisted' end what from annot where (label = 1) <> (frame % 3 = 0)")
 annot("smp_random", lambda a: O.random_frames(a, 10, 7), " select video_id, frame from (select video_id, frame, row_number() over (partition by video_id order by (frame * 2654435761 + 7) % 4294967296, frame) r from annot) where r <= 10")
 annot("scl_map_invert", lambda a: a.withColumn("keys", F.create_map(*(x for i, n in enumerate(NAMES) for x in (F.lit(n), F.lit(i))))).select("video_id", "frame", F.map_from_arrays(F.map_values("keys"), F.map_keys("keys"))[F.col("label")].alias("name")), " select video_id, frame, case label when 0 then 'other' when 1 then 'click' when 2 then 'error' when 3 then 'purchase' else 'signup' end as name from annot")
@@ -64,13 +57,6 @@ def day_num(spark, d):
     return o.select("o_orderkey", O.day_number("day").alias("day_num"))
 
 
-@query("join_catalogue", "with o as (select o_orderkey, strftime(o_orderdate, '%Y%m%d') as day_text, o_custkey % 5 as cage from orders), c as (select day_text, cage, cast(min(o_orderkey % 3) as bigint) as type from o where o_orderkey % 2 = 0 group by all) select o_orderkey, type from o left join c using (day_text, cage)")
-def join_catalogue(spark, d):
-    o = X.read(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").alias("day_text"), (F.col("o_custkey") % 5).alias("cage"))
-    c = o.where("o_orderkey % 2 = 0").groupBy("day_text", "cage").agg(F.min(F.col("o_orderkey") % 3).cast("bigint").alias("type"))
-    return o.join(c, ["day_text", "cage"], "left").select("o_orderkey", "type")
-
-
 @query("trk_swap_cam", f"{L} select video_id, frame, cast(cam as integer) cam, cast(case when cam = 1 and frame between 100 and 200 then 1 - instance else instance end as integer) instance, keypoint, x, y from pose_long, generate_series(0, 2) t(cam)")
 def swap_cam(spark, d):
     p = X.pose_long(spark, d).withColumn("cam", F.explode(F.array(*map(F.lit, range(3)))))

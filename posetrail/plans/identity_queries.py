@@ -91,16 +91,7 @@ def refine(spark, d):
     return r.withColumn("q", F.row_number().over(Window.partitionBy("video_id").orderBy("start"))).where("q <= 10").drop("q")
 
 
-@query("exp_infer", f"""{L}, {COUNTS}, m as (select video_id, frame, frame - row_number() over (partition by video_id order by frame) g from counts where n = 2), r as (select video_id, min(frame) s, max(frame) e, count(*) len from m group by video_id, g having count(*) >= 5),
-f as (select c.video_id, c.frame from counts c join r on c.video_id = r.video_id and c.frame between r.s and r.e) select video_id, frame, round((row_number() over (partition by video_id order by frame) - 1) / 10.0::double, 6) as "time" from f""")
-def infer(spark, d):
-    full = X.pose(spark, d).where(P.visible() > 0).groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-    frames = R.spans(full).where("`end` - `start` >= 4").select("video_id", F.explode(F.sequence("start", "end")).alias("frame"))
-    return frames.select("video_id", "frame", F.round((F.row_number().over(R.video()) - 1) / 10, 6).alias("time"))
-
-
 simple("idt_prepare", lambda p: p.where(P.visible() > 1).join(P.out_duplicate(p), KEYS, "left_anti").groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n")), f"{PAIR}, dup as (select video_id, frame, cast(case when close > greatest(n_i, n_j) * 0.5 then case when c_i >= c_j then 1 else 0 end else case when n_i > n_j then 1 else 0 end end as integer) instance from pr where close > 0 and close >= least(n_i, n_j) * 0.5) select video_id, frame, count(*) n from inst anti join dup using (video_id, frame, instance) where n > 1 group by all")
-simple("idt_segments", lambda p: R.chunks(p.where(P.visible() > 0).groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("video_id", "frame"), 1000).groupBy("video_id", "chunk").agg(F.count(F.lit(1)).alias("frames")), f", {COUNTS} select video_id, chunk, count(*) frames from (select video_id, cast((row_number() over (partition by video_id order by frame) - 1) // 1000 as bigint) chunk from counts where n = 2) group by all")
 
 
 @query("idt_motion_sweep")
@@ -134,10 +125,19 @@ Z = "cast((frame * 7 + keypoint * 13) % 50 as double)"
 CAM_SQL = ", cams as (select * from (values " + ", ".join(f"({i}, {p}::double[])" for i, p in enumerate(CAMS)) + ") t(cam, p))"
 
 
+def cameras(spark):
+    return spark.createDataFrame(list(enumerate(CAMS)), "cam int, p array<double>")
+
+
 def views(spark, d):
-    cams = spark.createDataFrame(list(enumerate(CAMS)), "cam int, p array<double>")
     pts = X.pose_long(spark, d).withColumn("z", F.expr(Z))
-    return I.project(pts, cams)
+    return I.project(pts, cameras(spark))
+
+
+def noisy(spark, d):
+    """Views that are off by some pixels, so weights and errors matter."""
+    off = lambda k: (F.col("frame") * k + F.col("keypoint") * 5 + F.col("cam") * 3) % 7 - 3
+    return views(spark, d).where("conf > 0").withColumns({"u": F.col("u") + off(3) / 10.0, "v": F.col("v") + off(4) / 10.0}).drop("p")
 
 
 @query("tri_project", f"{L}{CAM_SQL} select video_id, frame, instance, keypoint, cam, round((p[1] * x + p[2] * y + p[3] * {Z} + p[4]) / (p[9] * x + p[10] * y + p[11] * {Z} + p[12]), 6) u, round((p[5] * x + p[6] * y + p[7] * {Z} + p[8]) / (p[9] * x + p[10] * y + p[11] * {Z} + p[12]), 6) v from pose_long, cams")
@@ -148,10 +148,16 @@ def tri_project(spark, d):
 @query("tri_point", f"{L} select video_id, frame, instance, keypoint, round(x, 4) x, round(y, 4) y, round({Z}, 4) z from pose_long where conf > 0")
 def tri_point(spark, d):
     """Points projected into three cameras come back from their views."""
-    t = I.triangulate(views(spark, d).where("conf > 0"), [*KEYS, "keypoint"])
+    t = I.triangulate(views(spark, d).where("conf > 0").drop("p"), cameras(spark), [*KEYS, "keypoint"])
     return t.select(*KEYS, "keypoint", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in "xyz"))
 
 
+@query("tri_confidence")
+def tri_confidence(spark, d):
+    """Points from views with errors, and their confidence; tests hold it against a point-by-point calculation."""
+    return I.triangulate(noisy(spark, d), cameras(spark), [*KEYS, "keypoint"])
+
+
 @query("tri_valid_views", f"{L}{CAM_SQL}, s as (select video_id, frame, cam, count(distinct instance) n from pose_long, cams where (pose_long.instance + cam + frame) % 4 <> 0 group by all) select video_id, frame, count(*) n_views from s where n >= 2 group by all having count(*) >= 2")
 def valid_views(spark, d):
     s = views(spark, d).where("(instance + cam + frame) % 4 <> 0").groupBy("video_id", "frame", "cam").agg(F.count_distinct("instance").alias("n"))

@@ -9,7 +9,7 @@ from posetrail.operators import identity as I
 from posetrail.operators import pixels as G
 from posetrail.operators import pose as P
 from posetrail.plans import fixtures as X
-from posetrail.plans.identity_queries import CAM_SQL, Z, views
+from posetrail.plans.identity_queries import CAM_SQL, Z, cameras, views
 from posetrail.plans.pose_queries import ALIGN, KEYS, R6, VEC, L, simple
 from posetrail.plans.registry import oracle_sql, query
 from posetrail.plans.series_queries import annot
@@ -166,7 +166,9 @@ def roi_frames(spark, d):
     return velocity(spark, d).where("instance = 1 and speed >= 20").select("video_id", "frame")
 
 
-@query("tri_pose", f"{L} select video_id, frame, instance, count(*) n, round(sum(x), 3) sx, round(sum({Z}), 3) sz from pose_long where conf > 0 group by all")
+@query("tri_pose", f"{L} select video_id, frame, instance, k as keypoint, case when conf > 0 then round(x, 3) end x, case when conf > 0 then round(y, 3) end y, case when conf > 0 then round({Z.replace('keypoint', 'k')}, 3) end z from (select distinct video_id, frame, instance from pose_long where conf > 0) a cross join range(4) t(k) left join (select *, keypoint as k from pose_long) b using (video_id, frame, instance, k)")
 def tri_pose(spark, d):
-    t = I.triangulate(views(spark, d).where("conf > 0"), [*KEYS, "keypoint"])
-    return t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("x"), 3) + F.lit(0.0)).alias("sx"), (F.round(F.sum("z"), 3) + F.lit(0.0)).alias("sz"))
+    """Whole poses, null keypoints included."""
+    t = I.triangulated_poses(views(spark, d).drop("p"), cameras(spark), X.K)
+    rows = t.select(*KEYS, F.posexplode("kps").alias("keypoint", "p"))
+    return rows.select(*KEYS, F.col("keypoint").cast("bigint").alias("keypoint"), *((F.round(f"p.{c}", 3) + F.lit(0.0)).alias(c) for c in "xyz"))

@@ -40,9 +40,6 @@ def flagship(spark, d):
     return R.spans(R.changes(counts, "n"))
 
 
-simple("src_pred_wide", lambda p: long6(P.from_wide(P.to_wide(p, NAMES, 2), NAMES, 2)), "select video_id, frame, instance, keypoint, round(x, 6) x, round(y, 6) y, round(conf, 6) conf from pose_long where x >= 0 and y >= 0")
-simple("snk_pose_csv", lambda p: P.to_wide(p, NAMES, 2, conf=False), "select video_id, frame, " + ", ".join(f"max(case when instance = {i} and keypoint = {k} then {c} end) as i{i}_{n}_{c}" for i in range(2) for k, n in enumerate(NAMES) for c in "xy") + " from pose_long group by video_id, frame")
-simple("snk_pose_records", lambda p: p.groupBy("video_id", "frame").agg(F.sort_array(F.collect_list(F.struct("instance", "kps"))).alias("a")).select("video_id", "frame", F.size(F.flatten(F.transform("a", lambda r: F.flatten(F.transform(r["kps"], lambda k: F.array(k["x"], k["y"], k["conf"])))))).cast("bigint").alias("n_values"), R6(F.aggregate(F.flatten(F.transform("a", lambda r: F.transform(r["kps"], lambda k: F.coalesce(k["x"], F.lit(0.0))))), F.lit(0.0), lambda s, v: s + v), "sum_x")), "select video_id, frame, cast(count(distinct instance) * 12 as bigint) n_values, round(sum(x), 6) sum_x from pose_long group by all")
 simple("prj_mock_conf", lambda p: long6(P.mock_conf(p)), "select video_id, frame, instance, keypoint, round(x, 6) x, round(y, 6) y, 1.0::double conf from pose_long")
 simple("prj_drop_conf", lambda p: P.drop_conf(p).select(*KEYS, F.posexplode("kps").alias("keypoint", "k")).select(*KEYS, "keypoint", "k.x", "k.y").where("x is not null"), "select video_id, frame, instance, keypoint, x, y from pose_long")
 simple("prj_unflatten", lambda p: p.withColumn("flat", F.flatten(F.transform("kps", lambda k: F.array(k["x"], k["y"], k["conf"])))).select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("keypoint"), "flat").select(*KEYS, "keypoint", F.slice("flat", F.col("keypoint") * 3 + 1, 3).alias("v")).select(*KEYS, "keypoint", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"), F.col("v")[2].alias("conf")).where("x is not null"), "select video_id, frame, instance, keypoint, x, y, conf from pose_long")

@@ -63,14 +63,9 @@ annot("agg_dup_entries", lambda a: a.groupBy("frame", "label").agg(F.count(F.lit
 annot("win_agree_roll", lambda a: a.withColumn("m", F.avg((F.col("label") == 0).cast("double")).over(R.video().rangeBetween(-3, 3))).select("video_id", "frame", F.round("m", 6).alias("m"), F.when(F.col("m") > 0.6, 2).when(F.col("m") < 0.4, 1).otherwise(0).alias("class")), ", m as (select video_id, frame, avg(case when label = 0 then 1.0 else 0.0 end) over (partition by video_id order by frame range between 3 preceding and 3 following) m from annot) select video_id, frame, round(m, 6) m, cast(case when m > 0.6 then 2 when m < 0.4 then 1 else 0 end as integer) class from m")
 annot("ann_remove_category", lambda a: a.select("video_id", "frame", F.when(F.col("label") == 2, 0).when(F.col("label") > 2, F.col("label") - 1).otherwise(F.col("label")).alias("label")), " select video_id, frame, cast(case when label = 2 then 0 when label > 2 then label - 1 else label end as integer) label from annot")
 annot("ann_from_frames", lambda a: a.select("video_id", "frame", F.explode(F.array("label", (F.col("frame") % 3).cast("int"))).alias("l")).groupBy("video_id", "frame").agg(F.max("l").alias("label")), " select video_id, frame, cast(greatest(label, frame % 3) as integer) label from annot")
-annot("exp_onehot", lambda a: a.select("video_id", F.round(F.col("frame") / 10, 6).alias("time"), *((F.col("label") == i).cast("int").alias(NAMES[i]) for i in (1, 2, 3, 4, 0))), " select video_id, round(frame / 10.0, 6)::double as time, " + ", ".join(f"cast(label = {i} as integer) as {NAMES[i]}" for i in (1, 2, 3, 4, 0)) + " from annot")
-annot("src_onehot", lambda a: a.select("video_id", "frame", *((F.col("label") == i).cast("int").alias(NAMES[i]) for i in (1, 2, 3, 4))).unpivot(["video_id", "frame"], NAMES[1:], "behaviour", "v").where("v = 1").select("video_id", "frame", "behaviour"), " select video_id, frame, case label when 1 then 'click' when 2 then 'error' when 3 then 'purchase' else 'signup' end behaviour from annot where label <> 0")
-annot("snk_annot_txt", lambda a: R.runs(a, "label").select("video_id", F.format_string("%d\t%d\t%s", "start", "end", F.element_at(F.array(*map(F.lit, NAMES)), F.col("label") + 1)).alias("line")), f"{RUNS} select video_id, s || chr(9) || e || chr(9) || case label when 0 then 'other' when 1 then 'click' when 2 then 'error' when 3 then 'purchase' else 'signup' end line from runs")
-annot("src_annot_txt", lambda a: R.runs(a, "label").select("video_id", F.split(F.format_string("%d %d %d", "start", "end", "label"), " ").alias("t")).select("video_id", F.explode(F.sequence(F.col("t")[0].cast("bigint"), F.col("t")[1].cast("bigint"))).alias("frame"), F.col("t")[2].cast("int").alias("label")), " select video_id, frame, label from annot")
 annot("join_span_frames", lambda a: R.runs(a, "label").select("video_id", F.explode(F.sequence("start", "end")).alias("frame"), "start", "end"), f'{RUNS} select a.video_id, a.frame, r.s as "start", r.e as "end" from annot a join runs r on a.video_id = r.video_id and a.frame between r.s and r.e')
 annot("join_nearest_mark", lambda a: R.nearest_marks(a.select("video_id", "frame"), a.where("label = 3")), ", m as (select *, case when label = 3 then frame end mk from annot) select video_id, frame, last_value(mk ignore nulls) over (partition by video_id order by frame rows between unbounded preceding and 1 preceding) previous, first_value(mk ignore nulls) over (partition by video_id order by frame rows between 1 following and unbounded following) following from m")
 annot("snk_frame_list", lambda a: a.where("label in (3, 4)").groupBy("video_id").agg(F.array_join(F.sort_array(F.collect_set("frame")), ", ").alias("frames")), " select video_id, string_agg(cast(frame as varchar), ', ' order by frame) frames from annot where label in (3, 4) group by all")
-annot("snk_infer_meta", lambda a: a.groupBy("video_id").agg(F.count(F.lit(1)).alias("total_frames"), F.count(F.when(F.col("label") != 0, 1)).alias("total_exported_frames"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("label") != 0, F.col("frame")))), ",").alias("used_frames")), " select video_id, count(*) total_frames, count(*) filter (where label <> 0) total_exported_frames, coalesce(string_agg(cast(frame as varchar), ',' order by frame) filter (where label <> 0), '') used_frames from annot group by all")
 annot("smp_stride", lambda a: a.where("(frame - 2) % 7 = 0 and frame >= 2").select("video_id", "frame"), " select video_id, frame from annot where (frame - 2) % 7 = 0 and frame >= 2")
 annot("smp_linspace", lambda a: R.evenly(a.select("video_id", "frame"), 10), ", n as (select *, count(*) over (partition by video_id) n, row_number() over (partition by video_id order by frame) - 1 r from annot) select video_id, frame from n where n <= 10 or r in (select cast(floor(i * (n.n - 1) / 9.0) as bigint) from generate_series(0, 9) t(i))")
 annot("smp_chunks", lambda a: R.chunks(a.select("video_id", "frame"), 20), " select video_id, frame, cast((row_number() over (partition by video_id order by frame) - 1) // 20 as bigint) chunk from annot")
