@@ -412,8 +412,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         name = F.when((F.col("low") == low) & (F.col("high") == high), F.lit(new)).otherwise(name)
     classes = table.where(F.col("n_shingles").isNotNull()).select("doc_id", "row_key", "n_shingles", name.alias("set_id"))
     seen = table.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    top = np.array([r[0] for r in shared.most_frequent(seen, "shingle", "seen", FREQUENT)], dtype=np.int64)
-    frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))
+    top, _ = shared.most_frequent(seen, "shingle", "seen", FREQUENT)
+    frequent = spark.sparkContext.broadcast(np.sort(top.astype(np.int64).view(np.uint64)))
 
     listed = _lists(docs, frequent, renamed)
     sized = classes.groupBy("set_id").agg(F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n"))

@@ -91,9 +91,9 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def most_frequent(table: DataFrame, key: str, count: str, limit: int) -> list:
-    """(key, count) rows of the most frequent keys, ``limit`` at most and near it where counts allow: those above a threshold found
-    by a histogram of counts, so no task sends more than it holds of them. Keys of equal count come or stay together."""
+def most_frequent(table: DataFrame, key: str, count: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the most frequent keys, by count and then key: ``limit`` at most and near it where counts allow, those above a
+    threshold found by a histogram of counts, so no task sends more than it holds of them. Keys of equal count come or stay together."""
     step = F.floor(F.log2(F.col(count)) * 16)
     bars = sorted(table.where(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.max(count).alias("most")).collect(), reverse=True)
     least, total = None, 0
@@ -103,7 +103,10 @@ def most_frequent(table: DataFrame, key: str, count: str, limit: int) -> list:
             least = bar["most"]
             break
     rows = table.where(F.col(count) > 0) if least is None else table.where(F.col(count) > least)
-    return rows.select(key, count).orderBy(F.desc(count), key).collect()
+    found = rows.select(key, count).toArrow()
+    keys, counts = (found.column(k).to_numpy() for k in (0, 1))
+    order = np.lexsort((keys, -counts))
+    return keys[order], counts[order]
 
 
 def crc_mod(column: str = "doc_id", n: int = 5) -> Column:

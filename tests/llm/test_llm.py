@@ -312,12 +312,43 @@ def test_lm_base_score_and_normalisation(spark, given):
         assert abs(r.base_score - sum(math.log10(c[x] + 0.5) - down for x in w)) < 1e-6
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    share = np.full(lm.CLASSES, 1 / lm.CLASSES)
-    p = lm._start(share)
-    z = lm.normalisers(p)
-    q = p["c1"] * p["q"][5] + p["c2"] * p["q"][9]
-    prob = np.exp(p["r"] @ q + p["b"] - z[5, 9])
-    assert abs(np.delete(prob, lm.START).sum() - 1) < 1e-9
+
+
+def test_lm_probabilities_by_brute_force():
+    """Each context's probabilities sum to one over all symbols, and are products of two softmaxes worked out one by one."""
+    rng = np.random.default_rng(1)
+    layout = lm.Layout.of(rng.integers(0, 500, 300) + 0.5)
+    p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in lm.start(layout).items()}
+    symbols = np.array([s for s in range(300) if s != lm.START])
+    assert sorted(layout.place[symbols]) == list(range(299)) and len(layout.cuts) > 10
+    for one, two in ((5, 9), (lm.START, lm.START), (lm.END, 200)):
+        lp = lm.log_probabilities(symbols, np.full(299, one), np.full(299, two), layout, p)
+        assert abs(np.exp(lp).sum() - 1) < 1e-5
+        ctx = p["c1"] * p["q"][one] + p["c2"] * p["q"][two]
+        for s in (0, 17 + 3, lm.END, 299):
+            at = layout.place[s]
+            g = layout.group[at]
+            low, high = layout.cuts[g], layout.cuts[g + 1]
+            first, second = np.exp(p["t"] @ ctx + p["a"]), np.exp(p["r"][low:high] @ ctx + p["b"][low:high])
+            assert abs(lp[list(symbols).index(s)] - math.log(first[g] / first.sum() * second[at - low] / second.sum())) < 1e-4
+    # before training the model is the unigram shares
+    fresh = lm.log_probabilities(symbols, np.full(299, 3), np.full(299, 4), layout, lm.start(layout))
+    assert np.allclose(np.exp(fresh), layout.share[symbols], rtol=1e-3)
+    assert np.array_equal(lm.flat(lm.shaped(lm.flat(p), p)), lm.flat(p))
+
+
+def test_lm_learns_contexts(spark):
+    """Rare words keep their contexts: a text of pairs that always go together scores above the same words shuffled, however the table is cut."""
+    rng = random.Random(6)
+    pairs = [(f"left{i}", f"right{i}") for i in range(150)]
+    texts = [" ".join(w for _ in range(40) for w in rng.choice(pairs)) for _ in range(150)]
+    probe = [w for _ in range(60) for w in rng.choice(pairs)]
+    shuffled = rng.sample(probe, len(probe))
+    docs = documents(spark, [*texts, " ".join(probe), " ".join(shuffled)])
+    got = {r.doc_id: r.score for r in lm.scores(docs.repartition(5)).collect()}
+    assert got[150] > got[151] + 5
+    again = {r.doc_id: r.score for r in lm.scores(docs.coalesce(1)).collect()}
+    assert all(abs(got[i] - again[i]) < 1e-3 for i in got)
 
 
 def test_classifiers_on_held_out_rows(spark):
