@@ -1,10 +1,11 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
 Candidates are key-shaped runs of 16 characters or more, and runs of 8 or more after a quote, = or :, or, with blanks between, after
-password, secret, token or key. The forest sees length, character
-transitions and classes, entropy, coverage by frequent letter groups (a dictionary), the path (source) and the words before and after. It is
-trained from labelled findings; ``weak_labels`` labels findings of well-known formats where no hand labels exist. Learning uses a
-bounded sample by a hash of where a finding stands, so a value that many documents repeat is sampled like others.
+password, secret, token or key. The forest sees length, character transitions and classes, entropy, coverage by a dictionary of the
+corpus's own frequent words, the path (its depth, its last name and words like config or test) and the words before and after, how
+frequent they are and whether they speak of secrets. It is trained from labelled findings (a table of places or features with a label);
+``weak_labels`` labels findings of well-known formats where no hand labels exist. Learning uses a bounded sample by a hash of where a
+finding stands, so a value that many documents repeat is sampled like others.
 
 Null and empty texts have no candidates. Rows that repeat a doc_id are scanned each. Without two label values, all candidates stay.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,32 +32,66 @@ _FIND = re.compile(r"(?P<key>\b(?:password|passwd|pwd|secret|token|api[_-]?key|a
 KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35})$"
 #: Words that stand before secrets.
 CONTEXT = ("password", "passwd", "pwd", "secret", "token", "key", "bearer", "auth")
-#: Frequent letter groups of prose.
-GROUPS = "the and ing ion tio ent ati for her ter hat tha ere ate his con res ver all ons nce men ith ted ers pro thi wit are ess not ive was ect rea com eve per int est sta cti ica ist ear ain one our iti rat que des les ich ein sch und der die den cht con aci los del ado est nte par ment eau aux oir ou".split()
-_GROUP = re.compile("|".join(sorted(set(GROUPS), key=len, reverse=True)))
-
-FEATURES = ("length", "upper", "lower", "digit", "other", "transitions", "entropy", "coverage", "hex", "after_key", "equals", "word_before", "path", "runs", "key_after", "closed", "word_after")
-
-
-def describe(value: str, before: str, after: str, source: str) -> list[float]:
-    n = len(value)
+#: Words of the dictionary at most, and letters of the shortest.
+DICTIONARY, SHORTEST = 50_000, 4
+#: Words in a path that make secrets likelier, and less so.
+LIKELY, UNLIKELY = ("config", "conf", "env", "settings", "credentials", "secret", "deploy", "prod"), ("test", "example", "sample", "doc", "docs", "fixture", "mock", "readme")
+
+FEATURES = (
+    "length", "upper", "lower", "digit", "other", "transitions", "entropy", "coverage", "hex", "runs", "after_key", "equals", "word_before", "seen_before",
+    "key_after", "closed", "word_after", "seen_after", "depth", "likely_path", "unlikely_path", "name_0", "name_1", "name_2", "name_3",
+)
+_LETTERS = re.compile("[a-z]+")
+_PATH = re.compile(r"[a-z0-9]+")
+
+
+def dictionary(docs: DataFrame, limit: int = DICTIONARY) -> dict[str, float]:
+    """The logarithm of the count of the most frequent words of a-z in the corpus, counted over all texts; ``limit`` words at most."""
+    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")).alias("word")).where(F.length("word") >= SHORTEST)
+    counts = shared.stash(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "words")
+    found, n = shared.most_frequent(counts, "word", "n", limit)
+    shared.free(counts)
+    return dict(zip(found.tolist(), np.log1p(n).tolist(), strict=True))
+
+
+def covered(low: str, words: dict[str, float]) -> float:
+    """The share of a value's characters inside dictionary words, the longest first from each place on."""
+    total = 0
+    for m in _LETTERS.finditer(low):
+        run, at = m.group(), 0
+        while at <= len(run) - SHORTEST:
+            for end in range(min(len(run), at + 20), at + SHORTEST - 1, -1):
+                if run[at:end] in words:
+                    total += end - at
+                    at = end
+                    break
+            else:
+                at += 1
+    return total / max(1, len(low))
+
+
+def describe(value: str, before: str, after: str, source: str, words: dict[str, float]) -> list[float]:
+    """FEATURES of one candidate."""
+    n, low, near = len(value), value.lower(), before.lower()
     kinds = ["U" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "o" for c in value]
-    low = value.lower()
-    counts = [value.count(c) / n for c in set(value)]
-    near = before.lower()
+    shares = [value.count(c) / n for c in set(value)]
+    last, first = _LETTERS.findall(near), _LETTERS.findall(after.lower())
+    path = _PATH.findall(source.lower())
+    name = zlib.crc32((path[-1] if path else "").encode())
     return [
-        n, *(kinds.count(k) / n for k in "Uldo"), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1), -sum(p * math.log2(p) for p in counts),
-        sum(len(m) for m in _GROUP.findall(low)) / n, float(all(c in "0123456789abcdef" for c in low)), float(any(w in near[-40:] for w in CONTEXT)),
-        float(before.rstrip(" \"'")[-1:] in ("=", ":") if before.strip() else 0), len(before.split()[-1]) if before.split() else 0.0, float(sum(map(ord, source)) % 17),
-        max((len(m) for m in re.findall(r"[A-Za-z]+|\d+", value)), default=0),
-        float(any(w in after.lower() for w in CONTEXT)), float(after[:1] in ('"', "'")), len(after.split()[0]) if after.split() else 0.0,
+        n, *(kinds.count(k) / n for k in "Uldo"), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1), -sum(p * math.log2(p) for p in shares),
+        covered(low, words), float(all(c in "0123456789abcdef" for c in low)), max((len(m) for m in re.findall(r"[A-Za-z]+|\d+", value)), default=0),
+        float(any(w in near[-40:] for w in CONTEXT)), float(before.rstrip(" \"'")[-1:] in ("=", ":") if before.strip() else 0), float(len(last[-1]) if last else 0), words.get(last[-1], 0.0) if last else 0.0,
+        float(any(w in after.lower() for w in CONTEXT)), float(after[:1] in ('"', "'")), float(len(first[0]) if first else 0), words.get(first[0], 0.0) if first else 0.0,
+        float(source.count("/")), float(any(w in path for w in LIKELY)), float(any(w in path for w in UNLIKELY)), *(float(name >> k & 1) for k in range(4)),
     ]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, value, before, features) of every candidate; a narrow job."""
+def candidates(docs: DataFrame, words: dict[str, float] | None = None) -> DataFrame:
+    """(doc_id, start, value, before, features) of every candidate; a narrow job once the dictionary (by default the corpus's) is known."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+    known = docs.sparkSession.sparkContext.broadcast(dictionary(docs) if words is None else words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,13 +104,13 @@ def candidates(docs: DataFrame) -> DataFrame:
                     starts.append(at)
                     values.append(m["value"])
                     before.append(text[max(0, at - 60) : at])
-                    rows.append(describe(m["value"], before[-1], text[m.end() : m.end() + 30], path.as_py()))
+                    rows.append(describe(m["value"], before[-1], text[m.end() : m.end() + 30], path.as_py(), known.value))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.column(0).type), pa.array(starts, pa.int64()), pa.array(values, pa.string()), pa.array(before, pa.string()), pa.array(rows, pa.list_(pa.float64()))],
                 names=["doc_id", "start", "value", "before", "features"],
             )
 
-    return docs.select("doc_id", "text", source.alias("source")).mapInArrow(run, f"doc_id {kind}, start long, value string, before string, features array<double>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), source.alias("source")).mapInArrow(run, f"doc_id {kind}, start long, value string, before string, features array<double>")
 
 
 def weak_labels() -> Column:
@@ -142,8 +178,14 @@ def sample(findings: DataFrame, limit: int) -> DataFrame:
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, fold: int = 0, threshold: float = 0.5, limit: int = LEARN_ROWS) -> DataFrame:
-    """(doc_id, start, value, score) of the findings kept. ``findings`` (features, label; doc_id and start if known) trains; without it, weak labels outside the fold do."""
+    """(doc_id, start, value, score) of the findings kept.
+
+    ``findings`` trains: (doc_id, start, label) of candidates of these documents, or (features, label) with doc_id and start if known.
+    Without it, weak labels outside the fold do.
+    """
     found = shared.stash(candidates(docs), "candidates")
+    if findings is not None and "features" not in findings.columns:
+        findings = found.select("doc_id", "start", "features").join(findings.select("doc_id", "start", F.col("label").cast("double").alias("label")), ["doc_id", "start"])
     if findings is None:
         findings = found.where(shared.crc_mod() != fold).select("doc_id", "start", "features", weak_labels().alias("label")).where(F.col("label").isNotNull())
     rows = sample(findings, limit).select("label", "features").orderBy("features", "label").collect()  # limit rows at most

@@ -461,8 +461,11 @@ def test_short_secrets_repeats_and_words_after(spark):
     texts = ["password: hunter2abc", "token = abc12345", "key : 'k3yk3yk3y'", '{"secret": "s3cr3t99"}', "pwd=short1", "the password hunter2abc", "plain hunter2abc"]
     got = {r.doc_id: r.value for r in secret_scan.candidates(documents(spark, texts)).collect()}
     assert got == {0: "hunter2abc", 1: "abc12345", 2: "k3yk3yk3y", 3: "s3cr3t99"}
-    one, other = (secret_scan.describe("abc12345", "id = ", after, "src0") for after in (" is the secret", " lies here"))
-    assert one != other and len(one) == len(secret_scan.FEATURES)
+    words = {"lies": 2.0, "secret": 1.0, "correct": 3.0, "horse": 3.0}
+    one, other = (secret_scan.describe("abc12345", "id = ", after, "src/config/a.env", words) for after in (" is the secret", " lies here"))
+    assert one != other and len(one) == len(secret_scan.FEATURES) and one[secret_scan.FEATURES.index("likely_path")] == 1
+    assert secret_scan.covered("correcthorse-42", words) == 12 / 15 and secret_scan.covered("xq7zk", words) == 0
+    assert secret_scan.describe("x" * 20, "", "", "", {})[:1] == [20]
     # half of the rows have one vector: it is sampled in its share, and the bound holds
     rows = [(i, 0, [1.0 if i % 2 else float(i)], float(i % 2)) for i in range(4000)] + [(None, 5, [2.0], 1.0)] * 3000
     kept = secret_scan.sample(spark.createDataFrame(rows, "doc_id long, start long, features array<double>, label double"), 700).collect()
@@ -483,6 +486,42 @@ def test_sql(spark, name):
     assert len(got) == len(want) and (got.sort_values(by).to_numpy() == want.sort_values(by).to_numpy()).all()
 
 
+def test_secret_forest_from_labelled_findings(spark):
+    """Labelled places train it; on documents it has not learned from, it tells secrets from lookalikes of the same shape of place."""
+    rng = random.Random(12)
+    plain = "market river window correct horse battery staple garden paper silver mountain yellow winter summer".split()
+    rows, truth = [], []
+    for i in range(600):
+        secret = i % 2 == 0
+        if secret:
+            value = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(20, 40)))
+        else:
+            value = rng.choice(("-", "_", "/")).join(rng.sample(plain, 4))
+        name = rng.choice(("key", "value", "name"))
+        text = f"the {rng.choice(plain)} of the {rng.choice(plain)} has {name} = {value} and the {rng.choice(plain)} is here"
+        rows.append((i, text, "en", rng.choice(("app/config/prod.env", "app/docs/readme")), len(text)))
+        truth.append((i, text.index(value), int(secret)))
+    docs = spark.createDataFrame(rows, ROW)
+    labelled = spark.createDataFrame([t for t in truth if t[0] % 3], "doc_id long, start long, label int")
+    kept = {(r.doc_id, r.start) for r in secret_scan.scan(docs, labelled).collect()}
+    held = [t for t in truth if t[0] % 3 == 0]
+    hits = sum((d, s) in kept for d, s, y in held if y)
+    false = sum((d, s) in kept for d, s, y in held if not y)
+    assert hits / sum(y for *_, y in held) > 0.95 and hits / (hits + false) > 0.95
+    x, y = np.array([[0.0], [1.0], [2.0], [3.0]] * 5), np.array([0.0, 0, 1, 1] * 5)
+    trees = secret_scan.forest(np.hstack([x, x, x, x]), y)
+    by_hand = []
+    for row in np.hstack([x, x, x, x])[:4]:
+        shares = []
+        for nodes in trees:
+            at = 0
+            while nodes[at][0] >= 0:
+                at = nodes[at][2] if row[nodes[at][0]] <= nodes[at][1] else nodes[at][3]
+            shares.append(nodes[at][4])
+        by_hand.append(np.mean(shares))
+    assert np.allclose(secret_scan.predict(trees, np.hstack([x, x, x, x])[:4]), by_hand) and by_hand[0] < 0.1 and by_hand[3] > 0.9
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
