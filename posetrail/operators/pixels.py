@@ -67,9 +67,9 @@ def shifted(c: str, by: int) -> Column:
     return F.least(F.greatest(F.col(c) + by, F.lit(0)), F.lit(255)).cast("int")
 
 
-def tones(pixels: DataFrame, bins: int = 8) -> DataFrame:
+def tones(pixels: DataFrame, bins: int = 8, channels: tuple[str, ...] = ("b", "g", "r")) -> DataFrame:
     """(video_id, frame, channel, tone): shares of ``bins`` equal bins, least to 0 and most to 1; equal counts give 0. Channels come as they are."""
-    rows = pixels.select("video_id", "frame", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in CHANNELS))).alias("p"))
+    rows = pixels.select("video_id", "frame", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in channels))).alias("p"))
     at = F.floor(F.col("p.v") * bins / 256)
     counts = rows.groupBy("video_id", "frame", F.col("p.channel").alias("channel")).agg(F.array(*(F.count(F.when(at == k, 1)) for k in range(bins))).alias("n"))
     low, high = F.array_min("n"), F.array_max("n")

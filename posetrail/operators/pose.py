@@ -247,6 +247,12 @@ def out_confidence(threshold: float = 0.5) -> Column:
     return F.coalesce(_mean(F.transform(F.filter("kps", seen), lambda p: p["conf"])) < threshold, F.lit(False))
 
 
+def out_confidence_kp(pose: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(keys, keypoint) of present keypoints below the confidence."""
+    rows = pose.select(*KEYS, F.posexplode("kps").alias("keypoint", "p"))
+    return rows.where(seen(F.col("p")) & (F.col("p.conf") < threshold)).select(*KEYS, "keypoint")
+
+
 def out_bodypart(threshold: int = 2) -> Column:
     return (visible() > 0) & (visible() < threshold)
 
@@ -272,12 +278,19 @@ def bone_flags(pose: DataFrame, bones: list[tuple[int, int]], threshold: float =
     return e.join(ref, ["video_id", "bone"]).select(*KEYS, "bone", "a", "b", F.coalesce(F.col("len") / F.col("ref") > threshold, F.lit(False)).alias("bad"))
 
 
-def out_bone(pose: DataFrame, bones: list[tuple[int, int]], threshold: float = 2.0) -> DataFrame:
-    return bone_flags(pose, bones, threshold).groupBy(*KEYS).agg(F.max("bad").alias("out"))
+def active(bones: list[tuple[int, int]], ignored: tuple[tuple[int, int], ...]) -> list[tuple[int, int]]:
+    """The bones that are not ignored, whichever end comes first."""
+    off = {frozenset(b) for b in ignored}
+    return [b for b in bones if frozenset(b) not in off]
+
+
+def out_bone(pose: DataFrame, bones: list[tuple[int, int]], threshold: float = 2.0, ignored: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    return bone_flags(pose, active(bones, ignored), threshold).groupBy(*KEYS).agg(F.max("bad").alias("out"))
 
 
-def out_bone_kp(pose: DataFrame, bones: list[tuple[int, int]], threshold: float = 2.0) -> DataFrame:
-    """(keys, keypoint): one bad bone suffices at a leaf of the skeleton, else two."""
+def out_bone_kp(pose: DataFrame, bones: list[tuple[int, int]], threshold: float = 2.0, ignored: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+    """(keys, keypoint): one bad bone suffices at a leaf of the skeleton of active bones, else two."""
+    bones = active(bones, ignored)
     degree: dict[int, int] = {}
     for a, b in bones:
         degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1

@@ -59,27 +59,7 @@ def merge(spark, d):
     return I.merge_predictions(long, long.withColumn("x", F.col("x") + 1), long.where("frame % 10 = 0").select("video_id", "frame").distinct())
 
 
-@query("join_remap_infer", f"{LB}, f as (select video_id, frame, row_number() over (partition by video_id order by frame) - 1 pos from blobs where animal_count >= 2), n as (select video_id, frame, row_number() over (partition by video_id order by frame) - 1 pos from (select distinct video_id, frame from pose_long)) select f.video_id, f.frame, n.frame as source from f left join n using (video_id, pos)")
-def remap(spark, d):
-    pos = lambda t: t.withColumn("pos", F.row_number().over(R.video()) - 1)
-    f = pos(X.blobs(spark, d).where("animal_count >= 2").select("video_id", "frame"))
-    n = pos(X.pose_long(spark, d).select("video_id", "frame").distinct()).withColumnRenamed("frame", "source")
-    return f.join(n, ["video_id", "pos"], "left").select("video_id", "frame", "source")
-
-
-@query("join_review_merge", f"{LB} select video_id, frame, keypoint, instance, case when animal_count = 1 then x + 2 else x end x from pose_long join blobs using (video_id, frame)")
-def review(spark, d):
-    return X.pose_long(spark, d).join(X.blobs(spark, d), ["video_id", "frame"]).select("video_id", "frame", "keypoint", "instance", F.when(F.col("animal_count") == 1, F.col("x") + 2).otherwise(F.col("x")).alias("x"))
-
-
-@query("join_label_overlay", f"{LB}, {COUNTS} select video_id, frame, coalesce(n, cast(animal_count as bigint)) n from counts full join blobs using (video_id, frame)")
-def overlay(spark, d):
-    n = X.pose(spark, d).where(P.visible() > 0).groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(X.blobs(spark, d), ["video_id", "frame"], "full").select("video_id", "frame", F.coalesce("n", F.col("animal_count").cast("bigint")).alias("n"))
-
-
 simple("join_inst_pairs", lambda p: P.pairs(p).select("video_id", "frame", "i", "j"), "select video_id, frame, 0 as i, 1 as j from pose_long group by video_id, frame having count(distinct instance) = 2")
-simple("mrk_outlier", lambda p: p.where(P.out_bodypart(4) & F.col("frame").between(100, 500)).select("video_id", "frame").distinct(), f", {INST} select distinct video_id, frame from inst where n < 4 and frame between 100 and 500")
 
 
 @query("exp_refine", f"""{L}, {COUNTS}, m as (select video_id, frame, frame - row_number() over (partition by video_id order by frame) g from counts where n = 2), r as (select video_id, min(frame) s, max(frame) e, count(*) len from m group by video_id, g)

@@ -50,10 +50,6 @@ def mask(p, paint):
 
 
 image("img_augment", lambda p: G.augmented(p, mask(p, 255), 1, 1, 5, 4).select("video_id", "frame", "x", "y", "gray"), f" select video_id, frame, cast(x - 1 as integer) x, cast(y - 1 as integer) y, case when x = y then 255 else {GRAY} end gray from px where x >= 1 and x < 5 and y >= 1")
-image("img_tone_apply", lambda p: p.select("video_id", "frame", "x", "y", G.scaled("b", 1.25, -20.0).alias("b")).select("video_id", "frame", "x", "y", G.shifted("b", 9).alias("b")), " select video_id, frame, x, y, cast(least(greatest(least(round(abs(b * 1.25::double - 20)), 255) + 9, 0), 255) as integer) b from px")
-image("agg_tone_hist", lambda p: G.tone_distance(G.tones(p), p.where("frame % 10 = 0").select("video_id", "frame").distinct()).select("video_id", "frame", R6("distance"), (F.round("distance", 6) >= 0.1).alias("kept")), f""", ch as ({" union all ".join(f"select video_id, frame, '{c}' c, {c} v from px" for c in "bgr")}), bn as (select video_id, frame, c, k, count(*) filter (where v // 32 = k) n from ch, range(8) t(k) group by all),
-nm as (select *, coalesce((n - min(n) over w) / nullif(cast(max(n) over w - min(n) over w as double), 0), 0) t from bn window w as (partition by video_id, frame, c)), rf as (select video_id, c, k, avg(t) q from nm where frame % 10 = 0 group by all),
-ds as (select video_id, frame, c, sqrt(greatest(0, 1 - sum(sqrt(t * q)) / case when sum(t) * sum(q) > 0 then sqrt(sum(t) * sum(q)) else 1 end)) a from nm join rf using (video_id, c, k) group by all) select video_id, frame, round(avg(a), 6) distance, round(avg(a), 6) >= 0.1 kept from ds group by all""")
 annot("img_blob_count", lambda a: G.blob_counts(a.withColumn("frame", F.expr("frame div 3")), 50.0), " select video_id, frame // 3 as frame, cast(sum(case when area >= 50 then 2 else 1 end) as bigint) animal_count, max(case when area >= 50 then 1 else 0 end)::integer merged from annot group by all")
 
 

@@ -88,7 +88,6 @@ W = "window w as (partition by video_id, instance order by frame)"
 simple("out_speed", lambda p: P.out_speed(p, 50.0).where("out").select(*KEYS), f", {INST}, l as (select *, lag(cx) over w px, lag(cy) over w py, lag(frame) over w pf from inst {W}) select video_id, frame, instance from l where pf = frame - 1 and sqrt((cx - px) ** 2 + (cy - py) ** 2) > 50")
 simple("out_jump_kp", lambda p: P.out_jump_kp(p, 50.0), "select a.video_id, a.frame, a.instance, a.keypoint from pose_long a join pose_long b on a.video_id = b.video_id and a.instance = b.instance and a.keypoint = b.keypoint and b.frame = a.frame - 1 where sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) > 50")
 simple("out_flicker", lambda p: P.out_flicker(p), f", {INST}, l as (select *, lag(frame) over w a, lead(frame) over w b from inst {W}) select video_id, frame, instance from l where (a is null or a <> frame - 1) and (b is null or b <> frame + 1)")
-simple("out_combine", lambda p: p.where(P.out_confidence(0.4) | P.out_bodypart(4)).select(*KEYS), f", {INST} select video_id, frame, instance from inst where c < 0.4 or n < 4")
 simple("geo_centroid", lambda p: P.with_centroid(p).select(*KEYS, R6("cx"), R6("cy")), f", {INST} select video_id, frame, instance, round(cx, 6) cx, round(cy, 6) cy from inst")
 simple("geo_bbox", lambda p: P.bbox(p, 10.0).select(*KEYS, *(R6(c) for c in ("x1", "y1", "x2", "y2"))), "select video_id, frame, instance, round(min(x) - (max(x) - min(x)) * 0.1, 6) x1, round(min(y) - (max(y) - min(y)) * 0.1, 6) y1, round(max(x) + (max(x) - min(x)) * 0.1, 6) x2, round(max(y) + (max(y) - min(y)) * 0.1, 6) y2 from pose_long group by all")
 VEC = """, pt as (select video_id, frame, instance, max(x) filter (where keypoint = 0) hx, max(y) filter (where keypoint = 0) hy, max(x) filter (where keypoint = 1) mx, max(y) filter (where keypoint = 1) my, max(x) filter (where keypoint = 2) tx, max(y) filter (where keypoint = 2) ty from pose_long group by all),

@@ -30,13 +30,11 @@ def last(df):
 
 
 annot("win_runs", lambda a: R.runs(a, "label"), f'{RUNS} select video_id, label, s as "start", e as "end", n as length from runs')
-annot("win_bouts", lambda a: R.runs(a, "label").where("label <> 0").select("video_id", F.element_at(F.array(*map(F.lit, NAMES)), F.col("label") + 1).alias("category"), "start", "end"), f"""{RUNS} select video_id, case label when 1 then 'click' when 2 then 'error' when 3 then 'purchase' else 'signup' end category, s as "start", e as "end" from runs where label <> 0""")
 annot("win_bout_starts", lambda a: R.changes(a, "label", first=True), f"{RUNS} select video_id, s as frame from runs")
 annot("win_next_change", lambda a: R.next_change(a, "label").select("video_id", "frame", "next"), f"{RUNS} select a.video_id, a.frame, r.e + 1 as next from annot a join runs r on a.video_id = r.video_id and a.frame between r.s and r.e")
 annot("win_annotate_fill", lambda a: R.annotate_fill(a.select("video_id", "frame", "label"), a.where("frame % 10 = 3").select("video_id", "frame", F.lit(9).alias("new"))), f"{RUNS}, e as (select a.video_id, a.frame f, r.e t from annot a join runs r on a.video_id = r.video_id and a.frame between r.s and r.e where a.frame % 10 = 3) select video_id, frame, cast(case when exists (select 1 from e where e.video_id = a.video_id and a.frame between f and t) then 9 else label end as integer) label from annot a")
 annot("win_segment_neutral", lambda a: R.runs(a.withColumn("neutral", F.col("label").isin(0, 2)), "neutral").where("not neutral").select("video_id", "start", "end"), f', n0 as (select *, label in (0, 2) neutral from annot), r0 as (select *, case when lag(neutral) over w is distinct from neutral then 1 else 0 end c from n0 {V}), r1 as (select *, sum(c) over w r from r0 {V}) select video_id, min(frame) "start", max(frame) "end" from r1 where not neutral group by video_id, r')
 annot("win_bout_cluster", lambda a: R.bout_clusters(a, "label", 5).select("video_id", "label", F.col("cluster").cast("bigint").alias("cluster"), "size", F.round("centre", 6).alias("centre")), ", g as (select *, case when frame - lag(frame) over x > 5 or lag(frame) over x is null then 1 else 0 end c from annot window x as (partition by video_id, label order by frame)), h as (select *, cast(sum(c) over (partition by video_id, label order by frame) as bigint) cluster from g) select video_id, label, cluster, count(*) size, round(avg(frame), 6) centre from h group by all")
-annot("agg_composition", lambda a: a.groupBy("label").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(a.agg(F.count(F.lit(1)).alias("total")))).select("label", F.round(100 * F.col("n") / F.col("total"), 6).alias("percent")), " select label, round(100.0 * count(*) / (select count(*) from annot), 6) percent from annot group by all")
 
 
 @query("agg_segment_stats", f"{A}{RUNS} select quantile_cont(n, 0.5)::double median, round(avg(n), 6) mean, min(n) least, max(n) most from runs")
@@ -74,8 +72,6 @@ annot("set_union_any", lambda a: a.where("label in (1, 2)").select("video_id", "
 annot("set_intersect_all", lambda a: a.where("label in (1, 2)").groupBy("frame").agg(F.count_distinct("label").alias("n")).where("n = 2").select("frame"), " select frame from annot where label in (1, 2) group by frame having count(distinct label) = 2")
 annot("set_except", lambda a: a.where("label = 1").select("frame").distinct().join(a.where("label = 4").select("frame"), "frame", "left_anti"), " select distinct frame from annot where label = 1 and frame not in (select frame from annot where label = 4)")
 annot("set_add_remove", lambda a: a.where("label = 1").select("video_id", "frame").union(a.where("label = 2").select("video_id", "frame")).distinct().join(a.where("frame % 5 = 0").select("video_id", "frame"), ["video_id", "frame"], "left_anti"), " select video_id, frame from annot where label in (1, 2) and frame % 5 <> 0")
-annot("set_move", lambda a: a.withColumn("label", F.when(F.col("label").isin(3, 4), 1).otherwise(F.col("label"))).select("video_id", "frame", "label").distinct(), " select distinct video_id, frame, cast(case when label in (3, 4) then 1 else label end as integer) label from annot")
-annot("set_status_flow", lambda a: a.select("video_id", "frame", F.when(F.col("label") == 1, "refined").when(F.col("label") == 2, "marked").when(F.col("label") == 3, "none").when(F.col("label") == 4, "marked").otherwise("labeled").alias("status")), " select video_id, frame, case label when 1 then 'refined' when 2 then 'marked' when 3 then 'none' when 4 then 'marked' else 'labeled' end status from annot")
 annot("set_len", lambda a: a.groupBy("label").agg(F.count(F.lit(1)).alias("n")), " select label, count(*) n from annot group by all")
 annot("mrk_resolve", lambda a: R.resolve(a.select("video_id", "frame", F.explode(F.array(F.lit("marked"), F.when(F.col("label") == 1, "labeled"), F.when(F.col("label") == 2, "merged"))).alias("category")).where("category is not null"), {"marked": 1, "labeled": 2, "merged": 3}), " select video_id, frame, case label when 1 then 'labeled' when 2 then 'merged' else 'marked' end category from annot")
 annot("mrk_apply", lambda a: R.apply_marks(a.where("label = 1").select("video_id", "frame"), a.where("label = 2").select("video_id", "frame"), "COMBINE", a.where("frame % 7 = 0").select("video_id", "frame")), " select video_id, frame from annot where label in (1, 2) and frame % 7 <> 0")
