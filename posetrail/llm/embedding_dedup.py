@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posetrail.llm import shared
 from posetrail.llm.components import components
 from posetrail.llm.shared import free, stash
 
@@ -66,7 +67,7 @@ def _moments(vectors: DataFrame, dim: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], names=["k", "v"])
 
     some = vectors.where(F.size("embedding") == dim).select("embedding")
-    rows = some.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # dim * dim rows
+    rows = some.mapInArrow(shared.tidy(run), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # dim * dim rows
     out = np.zeros(dim * dim)
     for k, v in rows:
         out[k] = v
@@ -261,9 +262,9 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         if n:
             yield block()
 
-    dealt = classes.select("embedding", "node", "copies").mapInArrow(deal, "dim int, leaf long, embedding array<double>, node long, copies long")
+    dealt = classes.select("embedding", "node", "copies").mapInArrow(shared.tidy(deal), "dim int, leaf long, embedding array<double>, node long, copies long")
     ddl = "dim int, leaf long, block long, nodes binary, copies binary, vectors binary, low array<double>, high array<double>"
-    blocks = stash(dealt.repartition("dim", "leaf").sortWithinPartitions("dim", "leaf", "node").mapInArrow(cut, ddl), "blocks")
+    blocks = stash(dealt.repartition("dim", "leaf").sortWithinPartitions("dim", "leaf", "node").mapInArrow(shared.tidy(cut), ddl), "blocks")
     near = stash(_near_blocks(blocks, depth, threshold), "near")
     of = lambda s: blocks.select(F.col("block").alias(s), "dim", *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "copies", "vectors")))
     tiles = near.join(of("a"), "a").join(of("b").drop("dim"), "b").repartition("a", "b")
@@ -304,7 +305,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
                     yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([None] * n + root.tolist(), pa.int64())], names=["node", "links", "root"])
 
     found = tiles.select("dim", *(f"{c}_{s}" for s in "ab" for c in ("nodes", "copies", "vectors")))
-    found = stash(found.mapInArrow(compare, "node long, links long, root long"), "links")
+    found = stash(found.mapInArrow(shared.tidy(compare), "node long, links long, root long"), "links")
     free(near, blocks)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     label = components(found.where(F.col("root").isNotNull()).select(F.col("node").alias("a"), F.col("root").alias("b")))

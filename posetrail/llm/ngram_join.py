@@ -212,7 +212,7 @@ def set_table(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(5)), pa.array(seen[keep].view(np.int64)), pa.array(counts[keep])], names=names)
 
     names = ["doc_id", "row_key", "n_shingles", "low", "high", "shingle", "seen"]
-    return docs.select(F.col("doc_id").cast("long"), _row_key().alias("row_key"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long"), _row_key().alias("row_key"), "text").mapInArrow(shared.tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 #: Kinds of index rows: (signature, set), (signature, block) and (block, set).
@@ -276,7 +276,7 @@ def _index(docs: DataFrame, frequent, renamed: Renamed) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "first long, second long, kind int")
+    return docs.select("text").mapInArrow(shared.tidy(run), "first long, second long, kind int")
 
 
 def _bloom(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -314,7 +314,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int, renamed: Renamed) -> Data
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r.tobytes() for r in sketches(*sets)], pa.binary())], names=["set_id", "n", "text", "sketch"])
 
     found = docs.select(_row_key().alias("row_key"), "text").where(may("row_key")).select("text")
-    return bucketed(found.mapInArrow(run, "set_id long, n long, text string, sketch binary"), "texts", "set_id")
+    return bucketed(found.mapInArrow(shared.tidy(run), "set_id long, n long, text string, sketch binary"), "texts", "set_id")
 
 
 def sketches(of: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -335,7 +335,7 @@ def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near))
 
     of = lambda x: texts.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(shared.tidy(run), "a long, b long")
 
 
 def _shingles(text: str | None) -> set:
@@ -363,7 +363,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left, right = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "text_a", "b", "text_b")
-    return both.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    return both.sortWithinPartitions("a").mapInArrow(shared.tidy(run), "a long, b long")
 
 
 def _lists(docs: DataFrame, frequent, renamed: Renamed) -> DataFrame:
@@ -534,12 +534,12 @@ def _within_crowds(crowds: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     blocks = dealt.repartition("crowd", "part").sortWithinPartitions("crowd", "part")
-    blocks = stash(blocks.mapInArrow(pack, "crowd long, part long, parts long, sets binary, labels binary, lengths binary, texts binary"), "blocks")
+    blocks = stash(blocks.mapInArrow(shared.tidy(pack), "crowd long, part long, parts long, sets binary, labels binary, lengths binary, texts binary"), "blocks")
     left = blocks.select("crowd", F.col("part").alias("one"), F.explode(F.expr("sequence(part, parts - 1)")).alias("other"), *(F.col(c).alias(f"{c}_a") for c in kept))
     right = blocks.select("crowd", F.col("part").alias("other"), *(F.col(c).alias(f"{c}_b") for c in kept))
     tiles = left.join(right, ["crowd", "other"]).repartition("crowd", "one", "other")
     tiles = tiles.select((F.col("one") == F.col("other")).alias("same"), *(f"{c}_{side}" for side in "ab" for c in kept))
-    return tiles.mapInArrow(compare, "a long, b long")
+    return tiles.mapInArrow(shared.tidy(compare), "a long, b long")
 
 
 def _candidates(pairs: DataFrame) -> DataFrame:

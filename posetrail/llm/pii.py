@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from posetrail.llm import shared
 from pyspark.sql import types as T
 
 KEY = "surrogates-1"
@@ -232,7 +234,7 @@ def surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kinds, pa.list_(pa.string()))], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(shared.tidy(run), schema)
 
 
 def collisions(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
@@ -248,7 +250,7 @@ def collisions(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame
             rows = sorted({(kind, same(kind, whole), same(kind, new)) for (kind, whole), new in seen.items()})
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["kind", "entity", "surrogate"])
 
-    found = docs.select(text).mapInArrow(run, "kind string, entity string, surrogate string").distinct()
+    found = docs.select(text).mapInArrow(shared.tidy(run), "kind string, entity string, surrogate string").distinct()
     return found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("entities")).where("entities > 1")
 
 

@@ -88,7 +88,7 @@ def with_statistics(docs: DataFrame, names: list[str], keep_text: bool = False)
                 others = [batch.column(k).slice(at, end - at) for k in held]
                 yield pa.RecordBatch.from_arrays([*others, *(pa.array(c) for c in np.ascontiguousarray(table.T))], names=[*kept, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(shared.tidy(run), schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, greater, cut) parts, all of which hold

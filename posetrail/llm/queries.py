@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posetrail.llm import decontam, embedding_dedup, lm, ngram_join, pii, quality, secret_scan, sentencepiece_bpe, token_counts, toxicity
+from posetrail.llm import decontam, embedding_dedup, lm, ngram_join, pii, quality, secret_scan, sentencepiece_bpe, shared, token_counts, toxicity
 
 MODEL = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shared.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

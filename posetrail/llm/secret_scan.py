@@ -110,7 +110,7 @@ def candidates(docs: DataFrame, words: dict[str, float] | None = None) -> DataFr
                 names=["doc_id", "start", "value", "before", "features"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), source.alias("source")).mapInArrow(run, f"doc_id {kind}, start long, value string, before string, features array<double>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), source.alias("source")).mapInArrow(shared.tidy(run), f"doc_id {kind}, start long, value string, before string, features array<double>")
 
 
 def weak_labels() -> Column:
@@ -198,5 +198,5 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, fold: int = 0, thre
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(predict(trees.value, x))], names=["doc_id", "start", "value", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = found.select("doc_id", "start", "value", "features").mapInArrow(run, f"doc_id {kind}, start long, value string, score double")
+    scored = found.select("doc_id", "start", "value", "features").mapInArrow(shared.tidy(run), f"doc_id {kind}, start long, value string, score double")
     return scored.where(F.col("score") >= threshold)

@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from posetrail.llm import shared
 from pyspark.sql import types as T
 
 SPACE = "▁"
@@ -230,7 +232,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", check: b
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), decoded], names=[*part.schema.names, "piece_ids", "decoded"])
                 at = end
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(shared.tidy(run), schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

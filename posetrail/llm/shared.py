@@ -6,11 +6,14 @@ Nulls count as empty texts everywhere in this subpackage unless a docstring says
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +112,28 @@ def most_frequent(table: DataFrame, key: str, count: str, limit: int) -> tuple[n
     return keys[order], counts[order]
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of so many rows, as texts are long; a session that has its own setting keeps it."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, which gives freed memory back when it ends: Spark keeps its Python workers, and they would keep the memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+    return run
+
+
 def crc_mod(column: str = "doc_id", n: int = 5) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from posetrail.llm import shared
+
 SPACE = "▁"
 #: Nodes of a task's trie, and pre-tokens whose ends it keeps; beyond these it starts anew.
 NODES, KEPT = 500_000, 600_000
@@ -110,4 +112,4 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
                 n = counter.count([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(shared.tidy(run), f"doc_id {kind}, n_tokens long")

@@ -86,9 +86,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int =
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*w[at].tolist(), bias])], names=["place", "weight"])
 
-    sampled = chosen.mapInArrow(extract, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label double, places array<int>")
+    sampled = chosen.mapInArrow(shared.tidy(extract), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label double, places array<int>")
     one = sampled.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id")  # a bounded sample
-    fitted = one.mapInArrow(fit, "place long, weight double").collect()
+    fitted = one.mapInArrow(shared.tidy(fit), "place long, weight double").collect()
     model = {r[0]: r[1] for r in fitted}
     bias = model.pop(-1, 0.0)
     places = np.array(sorted(model), dtype=np.int64)
@@ -111,7 +111,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 total = bias + np.bincount(of, weights=dense[found], minlength=end - at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(shared.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 0, threshold: float = 0.5) -> DataFrame:
