@@ -108,9 +108,21 @@ def fill_gap(track: DataFrame, gaps: DataFrame, columns: tuple[str, ...]) -> Dat
     return out.select(*key[:2], "frame", *((F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * part).alias(c) for c in columns))
 
 
-def apply_spans(pose: DataFrame, spans: DataFrame, least: int = 4) -> DataFrame:
-    """Swap the two instances on every frame of the spans that hold ``least`` frames."""
-    frames = spans.where(F.col("end") - F.col("start") + 1 >= least).select("video_id", F.explode(F.sequence("start", "end")).alias("frame")).distinct()
+def apply_spans(pose: DataFrame, spans: DataFrame, least: int = 4, ambiguous: DataFrame | None = None) -> DataFrame:
+    """Swap the two instances on every frame of the spans that hold ``least`` frames.
+
+    With ambiguous frames (video_id, frame), as under an id lock, a span that holds some is swapped from the first of them to its end,
+    however long it is. Both tables are small beside the poses.
+    """
+    s = spans.select("video_id", "start", "end")
+    if ambiguous is not None:
+        inside = s.join(ambiguous.select("video_id", "frame").distinct(), "video_id").where(F.col("frame").between(F.col("start"), F.col("end")))
+        first = inside.groupBy("video_id", "start", "end").agg(F.min("frame").alias("_first"))
+        s = s.join(first, ["video_id", "start", "end"], "left")
+        s = s.where(F.col("_first").isNotNull() | (F.col("end") - F.col("start") + 1 >= least)).select("video_id", F.coalesce("_first", "start").alias("start"), "end")
+    else:
+        s = s.where(F.col("end") - F.col("start") + 1 >= least)
+    frames = s.select("video_id", F.explode(F.sequence("start", "end")).alias("frame")).distinct()
     j = pose.join(frames.withColumn("swap", F.lit(True)), ["video_id", "frame"], "left")
     return j.withColumn("instance", F.when(F.col("swap"), 1 - F.col("instance")).otherwise(F.col("instance"))).drop("swap")
 

@@ -70,6 +70,12 @@ def keep_newest(files: DataFrame, n: int) -> DataFrame:
 SWEEP_SILENCE = 10
 
 
+def prepared(pose: DataFrame, head: int, center: int, tail: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pose, centres, lengths) for the sweep: without duplicates and poses of one keypoint; anatomical centres (keys, cx, cy); body lengths."""
+    clean = pose.where(P.visible() > 1).join(P.out_duplicate(pose), P.KEYS, "left_anti")
+    return clean, anatomical_center(clean, head, center, tail).select(*P.KEYS, "cx", "cy"), P.body_length(clean, head, tail)
+
+
 def single_frames(counts: DataFrame, poses: DataFrame, least: int = 5) -> DataFrame:
     """(video_id, frame, single, single_before, blobs, locked) for the id lock of ``motion_sweep``.
 

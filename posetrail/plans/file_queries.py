@@ -88,6 +88,17 @@ def apply_spans(spark, d):
     return O.apply_spans(p, long.union(short)).select(*KEYS, "keypoint", "x", "y")
 
 
+@query("idt_apply_locked", f"{L} select video_id, frame, cast(case when frame % 40 between 2 and 5 or (frame % 40 = 22 and (frame // 40) % 2 = 0) then 1 - instance else instance end as integer) instance, keypoint, x, y from pose_long")
+def apply_locked(spark, d):
+    """Under the id lock: long spans with an ambiguous third frame, and short ones of which every second is ambiguous on its last frame."""
+    p = X.pose_long(spark, d)
+    starts = p.select("video_id", F.expr("(frame div 40) * 40").alias("start")).distinct()
+    long = starts.select("video_id", "start", (F.col("start") + 5).alias("end"))
+    short = starts.select("video_id", (F.col("start") + 20).alias("start"), (F.col("start") + 22).alias("end"))
+    doubt = starts.select("video_id", (F.col("start") + 2).alias("frame")).union(starts.where("start div 40 % 2 = 0").select("video_id", F.col("start") + 22))
+    return O.apply_spans(p, long.union(short), ambiguous=doubt).select(*KEYS, "keypoint", "x", "y")
+
+
 @query("tri_cam_angles", f"{L} select video_id, frame, instance, keypoint, round(degrees(atan2({Z}, sqrt(x * x + y * y))), 6) elevation, round(degrees(atan2(y, x)), 6) azimuth from pose_long")
 def cam_angles(spark, d):
     return O.bearings(X.pose_long(spark, d).withColumn("z", F.expr(Z))).select(*KEYS, "keypoint", R6("elevation"), R6("azimuth"))

@@ -33,8 +33,6 @@ def swap_orders(spark, d):
     return I.swap_orders(p, orders).select(*KEYS, P.visible().cast("bigint").alias("n"))
 
 
-simple("trk_copy_paste", lambda p: P.to_long(p.where("instance = 0 and frame % 100 = 7").withColumn("frame", F.col("frame") + 1).withColumn("instance", F.lit(1)).unionByName(p.join(p.where("instance = 0 and frame % 100 = 7").select("video_id", (F.col("frame") + 1).alias("frame"), F.lit(1).alias("instance")), KEYS, "left_anti"))), "select video_id, frame + 1 as frame, 1 as instance, keypoint, x, y, conf from pose_long where instance = 0 and frame % 100 = 7 union all select * from pose_long p where not (instance = 1 and exists (select 1 from pose_long s where s.instance = 0 and s.frame % 100 = 7 and s.video_id = p.video_id and s.frame + 1 = p.frame))")
-simple("trk_shift_inst", lambda p: P.to_long(p.withColumn("kps", F.when((F.col("instance") == 0) & (F.col("frame") % 20 == 0), F.transform("kps", lambda k: F.struct((k["x"] + 5).alias("x"), (k["y"] - 3).alias("y"), k["conf"].alias("conf")))).otherwise(F.col("kps")))), "select video_id, frame, instance, keypoint, case when instance = 0 and frame % 20 = 0 then x + 5 else x end x, case when instance = 0 and frame % 20 = 0 then y - 3 else y end y, conf from pose_long")
 
 
 @query("fix_rotate_inst", f"{CENTRES} select video_id, frame, instance, keypoint, round(cx + (x - cx) * cos(0.5) - (y - cy) * sin(0.5), 6) x, round(cy + (x - cx) * sin(0.5) + (y - cy) * cos(0.5), 6) y from pose_long join inst using (video_id, frame, instance)")
@@ -71,7 +69,7 @@ def refine(spark, d):
     return r.withColumn("q", F.row_number().over(Window.partitionBy("video_id").orderBy("start"))).where("q <= 10").drop("q")
 
 
-simple("idt_prepare", lambda p: p.where(P.visible() > 1).join(P.out_duplicate(p), KEYS, "left_anti").groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n")), f"{PAIR}, dup as (select video_id, frame, cast(case when close > greatest(n_i, n_j) * 0.5 then case when c_i >= c_j then 1 else 0 end else case when n_i > n_j then 1 else 0 end end as integer) instance from pr where close > 0 and close >= least(n_i, n_j) * 0.5) select video_id, frame, count(*) n from inst anti join dup using (video_id, frame, instance) where n > 1 group by all")
+simple("idt_prepare", lambda p: I.prepared(p, 0, 1, 2)[1].groupBy("video_id", "frame").agg(F.count("cx").alias("n")), f"{PAIR}, dup as (select video_id, frame, cast(case when close > greatest(n_i, n_j) * 0.5 then case when c_i >= c_j then 1 else 0 end else case when n_i > n_j then 1 else 0 end end as integer) instance from pr where close > 0 and close >= least(n_i, n_j) * 0.5) select video_id, frame, count(*) n from inst anti join dup using (video_id, frame, instance) where n > 1 group by all")
 
 
 @query("idt_motion_sweep")

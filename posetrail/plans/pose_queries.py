@@ -107,8 +107,6 @@ simple("agg_inst_list", lambda p: p.where(P.visible() > 0).groupBy("video_id", "
 simple("agg_circular_mean", lambda p: P.rotation(p, 0, 1, 2).groupBy("video_id").agg(R6(F.atan2(F.avg(F.sin("angle")), F.avg(F.cos("angle"))), "angle")), f"{VEC} select video_id, round(atan2(avg(sin(angle)), avg(cos(angle))), 6) angle from rot group by all")
 simple("win_count_change", lambda p: R.changes(p.where(P.visible() > 0).groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n")), "n"), f", {COUNTS} select video_id, frame from (select *, lag(n) over (partition by video_id order by frame) b from counts) where b <> n")
 simple("win_spans", lambda p: R.spans(p.where(P.visible() >= 4)), 'select video_id, min(frame) "start", max(frame) "end" from (select *, frame - row_number() over (partition by video_id order by frame) g from (select distinct video_id, frame from (select video_id, frame, instance from pose_long group by all having count(*) >= 4))) group by video_id, g')
-simple("trk_swap", lambda p: p.withColumn("instance", F.when(F.col("frame").between(100, 199), 1 - F.col("instance")).otherwise(F.col("instance"))).select(*KEYS, P.visible().cast("bigint").alias("n")), "select video_id, frame, cast(case when frame between 100 and 199 then 1 - instance else instance end as integer) instance, count(*) n from pose_long group by all")
-simple("trk_delete", lambda p: long6(P.remove(p, (F.col("instance") == 1) & F.col("frame").between(50, 150))), "select video_id, frame, instance, keypoint, round(x, 6) x, round(y, 6) y, round(conf, 6) conf from pose_long where not (instance = 1 and frame between 50 and 150)")
 
 
 @query("join_count_discrepancy", f"{LB}, {COUNTS} select video_id, frame, n, animal_count from counts join blobs using (video_id, frame) where n <> animal_count and animal_count <> 0")

@@ -276,7 +276,39 @@ def edits(spark, d):
     return P.to_long(out).select(*KEYS, "keypoint", "x", "y")
 
 
-@query("trk_copies", f"{L}, s as (select video_id, frame + 1 as frame, 1 as instance, keypoint, x, y, conf from pose_long where instance = 0 and frame % 100 = 7) select * from s union all select * from pose_long p where not (instance = 1 and exists (select 1 from s where s.video_id = p.video_id and s.frame = p.frame))")
+@query("trk_swap", f"{L} select video_id, frame, cast(case when frame between 100 and 199 then 1 - instance else instance end as integer) instance, count(*) n from pose_long group by all")
+def swap(spark, d):
+    p = X.pose(spark, d)
+    e = p.select("video_id").distinct().select("video_id", F.lit(100).cast("bigint").alias("start"), F.lit(199).cast("bigint").alias("end"))
+    return M.swap_tracks(p, e).select(*KEYS, P.visible().cast("bigint").alias("n"))
+
+
+@query("trk_delete", f"{L} select video_id, frame, instance, keypoint, round(x, 6) x, round(y, 6) y, round(conf, 6) conf from pose_long where not (instance = 1 and frame between 50 and 150) and not (instance = 0 and keypoint = 2 and frame = 60)")
+def delete(spark, d):
+    """An instance over a range, and one keypoint of one frame."""
+    p = X.pose(spark, d)
+    v = p.select("video_id").distinct()
+    row = lambda a, b, i, k: v.select("video_id", F.lit(a).cast("bigint").alias("start"), F.lit(b).cast("bigint").alias("end"), F.lit(i).alias("instance"), F.lit(k).cast("int").alias("keypoint"))
+    return long6(M.delete_tracks(p, row(50, 150, 1, None).union(row(60, 60, 0, 2))))
+
+
+@query("trk_shift_inst", f"{L} select video_id, frame, instance, keypoint, case when instance = 0 and frame % 20 = 0 then x + 5 else x end x, case when instance = 0 and frame % 20 = 0 then y - 3 else y end y, conf from pose_long")
+def shift(spark, d):
+    p = X.pose(spark, d)
+    e = p.where("instance = 0 and frame % 20 = 0").select(*KEYS, F.lit(None).cast("int").alias("keypoint"), F.lit(5.0).alias("dx"), F.lit(-3.0).alias("dy"))
+    return P.to_long(M.move_poses(p, e))
+
+
+@query("out_remove_kp", f"{L} select video_id, frame, instance, keypoint, round(x, 6) x, round(y, 6) y, round(conf, 6) conf from pose_long where conf >= 0.4")
+def remove_kp(spark, d):
+    """A mask of keypoints: those of low confidence go alone."""
+    p = X.pose(spark, d)
+    mask = P.out_confidence_kp(p, 0.4).groupBy(*KEYS).agg(F.collect_set("keypoint").alias("low"))
+    j = p.join(mask, KEYS, "left").withColumn("mask", F.transform("kps", lambda k, i: F.coalesce(F.array_contains("low", i), F.lit(False))))
+    return long6(P.remove_points(j, "mask").select(*KEYS, "kps"))
+
+
+@query("trk_copy_paste", f"{L}, s as (select video_id, frame + 1 as frame, 1 as instance, keypoint, x, y, conf from pose_long where instance = 0 and frame % 100 = 7) select * from s union all select * from pose_long p where not (instance = 1 and exists (select 1 from s where s.video_id = p.video_id and s.frame = p.frame))")
 def copies(spark, d):
     p = X.pose(spark, d)
     table = p.where("instance = 0 and frame % 100 = 7").select(*KEYS, (F.col("frame") + 1).alias("to_frame"), F.lit(1).alias("to_instance"))
