@@ -297,24 +297,22 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int, renamed: Renamed) -> Data
     """
     shipped = docs.sparkSession.sparkContext.broadcast(_bloom(wanted, n))
 
-    @F.arrow_udf("boolean")
-    def may(keys: pa.Array) -> pa.Array:
-        bits, size = shipped.value
-        key, out = np.asarray(keys).view(np.uint64), np.ones(len(keys), dtype=bool)
-        for k in (0, 16, 32):
-            at = (key >> np.uint64(k)) & np.uint64(size - 1)
-            out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return pa.array(out)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, size = shipped.value
         for batch in batches:
+            key, may = np.asarray(batch.column(0)).view(np.uint64), np.ones(batch.num_rows, dtype=bool)
+            for k in (0, 16, 32):
+                at = (key >> np.uint64(k)) & np.uint64(size - 1)
+                may &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            batch = batch.filter(pa.array(may))
             for at, end, data, offsets in shared.slices(batch):
                 sets = shingle_sets(data, offsets)
-                columns = [pa.array(set_names(*sets, renamed)), pa.array(sets[2]), batch.column(0).slice(at, end - at)]
+                columns = [pa.array(set_names(*sets, renamed)), pa.array(sets[2]), batch.column(1).slice(at, end - at)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r.tobytes() for r in sketches(*sets)], pa.binary())], names=["set_id", "n", "text", "sketch"])
 
-    found = docs.select(_row_key().alias("row_key"), "text").where(may("row_key")).select("text")
-    return bucketed(found.mapInArrow(shared.tidy(run), "set_id long, n long, text string, sketch binary"), "texts", "set_id")
+    # one Python node for both steps: a second one would keep workers of its own on each executor
+    found = docs.select(_row_key().alias("row_key"), "text").mapInArrow(shared.tidy(run), "set_id long, n long, text string, sketch binary")
+    return bucketed(found, "texts", "set_id")
 
 
 def sketches(of: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
