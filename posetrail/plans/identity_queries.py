@@ -9,7 +9,7 @@ from posetrail.operators import identity as I
 from posetrail.operators import pose as P
 from posetrail.operators import runs as R
 from posetrail.plans import fixtures as X
-from posetrail.plans.pose_queries import BONE, CANON, COUNTS, INST, KEYS, PAIR, R6, L, LB, simple
+from posetrail.plans.pose_queries import CANON, COUNTS, INST, KEYS, PAIR, R6, L, simple
 from posetrail.plans.registry import query
 
 CENTRES = f"{L}, {INST}"
