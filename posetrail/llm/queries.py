@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posetrail.llm import decontam, embedding_dedup, lm, ngram_join, pii, quality, secret_scan, sentencepiece_bpe, shared, token_counts, toxicity
+from posetrail.llm import decontam, embedding_dedup, fill_middle, lm, ngram_join, pii, quality, secret_scan, sentencepiece_bpe, shared, token_counts, toxicity
 
 MODEL = "piece_bpe_32k.model"
 
@@ -65,11 +65,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(docs, vocabulary()))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_token_counts, op3_embedding_near_dedup, op4_ngram_jaccard_join, op5_quality_classifier, op6_lm_scoring,
         op7_pii_surrogates, op8_benchmark_decontamination, op9_secret_scan, op10_sentencepiece,
+        op13_fill_in_middle,
     )
 }
 
@@ -95,4 +100,11 @@ dw as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') t from d, (se
 h as (select doc_id, n, i, item_id from dw join bw using (n, t)), hp as (select doc_id, count(*) n_hit from (select distinct doc_id, unnest(range(i, i + n)) p from h) group by doc_id),
 it as (select doc_id, count(*) n_items, sha256(string_agg(item_id, ',' order by item_id)) s from (select distinct doc_id, item_id from h) group by doc_id)
 select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated from d left join hp using (doc_id) left join it using (doc_id)""",
+    "op13_fill_in_middle": rf"""with t as (select doc_id, coalesce(text, '') t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') u, cast('0x' || h[1:8] as bigint) h1, cast('0x' || h[9:16] as bigint) h2, cast('0x' || h[17:24] as bigint) h3, cast('0x' || h[25:32] as bigint) h4 from t),
+c as (select *, len(u) n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) b from u),
+p as (select *, coalesce(array_to_string(u[1:a], ''), '') pre, coalesce(array_to_string(u[a + 1:b], ''), '') mid, coalesce(array_to_string(u[b + 1:n], ''), '') suf,
+case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end form from c)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(length(pre) as bigint) end prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end middle_chars,
+sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(t) restored_sha256 from p""",
 }
