@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posetrail.llm import decontam, embedding_dedup, fill_middle, lm, ngram_join, pii, quality, secret_scan, sentencepiece_bpe, shared, token_counts, toxicity
+from posetrail.llm import decontam, embedding_dedup, fill_middle, lm, ngram_join, packing, pii, quality, secret_scan, sentencepiece_bpe, shared, token_counts, toxicity
 
-MODEL = "piece_bpe_32k.model"
+MODEL, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_decode(docs, vocabulary()))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORDS))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -74,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity, op2_token_counts, op3_embedding_near_dedup, op4_ngram_jaccard_join, op5_quality_classifier, op6_lm_scoring,
         op7_pii_surrogates, op8_benchmark_decontamination, op9_secret_scan, op10_sentencepiece,
-        op13_fill_in_middle,
+        op11_best_fit_packing, op13_fill_in_middle,
     )
 }
 
