@@ -14,10 +14,11 @@ Null and empty texts are one end id. Repeated rows and null ids are packed each
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,19 +35,30 @@ from posetrail.llm import shared
 CLASSES, DEPTH = 128, 4
 #: Shares of the tokens, in the shortest documents, that may be kept back to fill what rounding leaves; the plan of fewest sequences wins.
 RESERVES = (0.05, 0.1, 0.2, 0.4)
-#: Words that a Python worker keeps with their ids; beyond that it starts anew.
-KEPT_WORDS = 600_000
+#: Word stems, marks and other words that a Python worker keeps with their ids; beyond that it starts anew.
+KEPT_WORDS = 500_000
 #: Words of one call to the library, and bytes of text that are split at once.
-LINE_WORDS, TEXT_BYTES = 200, 4_000_000
+LINE_WORDS, TEXT_BYTES = 200, 8_000_000
 
-#: One word of letters that neither compose nor change their number in lower case, then marks other than an apostrophe: a pre-token each.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: Letters that neither compose nor change their number in lower case, and ASCII marks but the apostrophe: a run of each is one pre-token.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_LETTER_SET = "".join(map(chr, (*range(97, 123), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)))))
+_MARK_SET = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+_SIMPLE = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+")
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the runs of so many from each start, where each run begins among them)."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1]), upto
 
 
 class WordEncoder:
-    """ids of texts by a tokenizers file that drops white space: distinct words between ASCII blanks are encoded once and kept."""
+    """ids of texts by a tokenizers file that drops white space and case: what stands between ASCII blanks is encoded once and kept, words of
+    letters apart from the marks after them."""
 
     def __init__(self, spec: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
@@ -56,49 +68,56 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.ids, self.offsets = pa.array([], pa.large_string()), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
-
-    def encode_words(self, words: list[str]) -> list[Sequence[int]]:
-        """Simple words go to the library many at a time and part at their last pieces; the others one by one."""
-        out: list = [None] * len(words)
-        simple = [(k, bool(m[1]) + bool(m[2])) for k, w in enumerate(words) if (m := _SIMPLE.fullmatch(w))]
-        lines = [simple[i : i + LINE_WORDS] for i in range(0, len(simple), LINE_WORDS)]
-        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(words[k] for k, _ in line) for line in lines], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=np.uint32)
-            stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
-            upto = np.cumsum([0, *(n for _, n in line)])
-            if len(stops) == upto[-1] + 1:
-                for (k, _), a, b in zip(line, stops[upto[:-1]], stops[upto[1:]], strict=True):
-                    out[k] = ids[a:b]
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, e in zip(rest, self.library.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        return out
+        self.kept: dict[str, int] = {}
+        self.ids, self.offsets = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+
+    def encode_units(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(the units in another order, all their ids, ids of each): those of one pre-token go to the library many at a time and part at last pieces."""
+        plain = [u for u in units if _SIMPLE.fullmatch(u)]
+        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        done, ids, sizes, rest = [], [], [], [u for u in units if not _SIMPLE.fullmatch(u)]
+        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, dtype=np.uint32)
+            stops = np.flatnonzero(self.ends[found]) + 1
+            if len(stops) == len(line):
+                done += line
+                ids.append(found)
+                sizes.append(np.diff(stops, prepend=0))
+            else:
+                rest += line
+        for e in self.library.encode_batch_fast(rest, add_special_tokens=False):
+            ids.append(np.array(e.ids, dtype=np.uint32))
+            sizes.append([len(e.ids)])
+        return done + rest, np.concatenate([np.zeros(0, dtype=np.uint32), *ids]), np.concatenate([np.zeros(0, dtype=np.int64), *sizes])
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, offsets of the texts)."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         coded = split.flatten().dictionary_encode()
-        found = coded.dictionary.cast(pa.large_string())
-        at = pc.index_in(found, value_set=self.words)
-        new = found.filter(pc.is_null(at))
-        if len(new):
-            if len(self.words) + len(new) > KEPT_WORDS:
-                self._forget()
-                new = found
-            ids = self.encode_words(new.to_pylist())
-            self.words = pa.concat_arrays([self.words, new])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in ids])])
-            self.ids = np.concatenate([self.ids, *(np.asarray(x, dtype=np.uint32) for x in ids)])
-            at = pc.index_in(found, value_set=self.words)
-        words = at.to_numpy()[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
+        words = coded.dictionary.cast(pa.large_string())
+        simple, low = pc.match_substring_regex(words, f"^[{_LETTERS}]+[{_MARKS}]*$"), pc.ascii_lower(words)
+        stems = pc.if_else(simple, pc.utf8_rtrim(low, _MARK_SET), words)
+        marks = pc.if_else(simple, pc.utf8_ltrim(low, _LETTER_SET), "")
+        units = pa.concat_arrays([stems, marks]).dictionary_encode()
+        pair = self._known(units.dictionary.to_pylist())[units.indices.to_numpy()].reshape(2, -1).T.ravel()
+        at, upto = _gather(self.offsets[:-1][pair], np.diff(self.offsets)[pair])
+        ids, offsets = np.append(self.ids[at], np.uint32(end)), upto[::2]  # of each word, and the end id behind them
+        codes = coded.indices.to_numpy()
         bounds = np.asarray(split.offsets)
         bounds = bounds - bounds[0]
-        sizes = np.insert((self.offsets[1:] - self.offsets[:-1])[words], bounds[1:], 1)  # and the end id
-        starts = np.insert(self.offsets[:-1][words], bounds[1:], len(self.ids))
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.append(self.ids, np.uint32(end))[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])]
-        return flat, upto[bounds + np.arange(len(bounds))]
+        places, upto = _gather(np.insert(offsets[:-1][codes], bounds[1:], len(ids) - 1), np.insert(np.diff(offsets)[codes], bounds[1:], 1))
+        return ids[places], upto[bounds + np.arange(len(bounds))]
+
+    def _known(self, units: list[str]) -> np.ndarray:
+        """The units' places in the table, where new ones are added."""
+        new = [u for u in units if u not in self.kept]
+        if len(self.kept) + len(new) > KEPT_WORDS:
+            self._forget()
+            new = units
+        new, ids, sizes = self.encode_units(new)
+        self.kept.update(zip(new, range(len(self.kept), len(self.kept) + len(new)), strict=True))
+        self.ids, self.offsets = np.concatenate([self.ids, ids]), np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        return np.fromiter(map(self.kept.__getitem__, units), dtype=np.int64, count=len(units))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
