@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posetrail.llm import decontam, embedding_dedup, fill_middle, lm, ngram_join, packing, pii, quality, secret_scan, sentencepiece_bpe, shared, token_counts, toxicity
+from posetrail.llm import decontam, embedding_dedup, fill_middle, lm, ngram_join, packing, pii, prefix_trie, quality, secret_scan, sentencepiece_bpe, shared, token_counts, toxicity
 
 MODEL, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
@@ -69,6 +69,10 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORDS))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -78,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity, op2_token_counts, op3_embedding_near_dedup, op4_ngram_jaccard_join, op5_quality_classifier, op6_lm_scoring,
         op7_pii_surrogates, op8_benchmark_decontamination, op9_secret_scan, op10_sentencepiece,
-        op11_best_fit_packing, op13_fill_in_middle,
+        op11_best_fit_packing, op12_conversation_trie, op13_fill_in_middle,
     )
 }
 
@@ -104,6 +108,18 @@ dw as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') t from d, (se
 h as (select doc_id, n, i, item_id from dw join bw using (n, t)), hp as (select doc_id, count(*) n_hit from (select distinct doc_id, unnest(range(i, i + n)) p from h) group by doc_id),
 it as (select doc_id, count(*) n_items, sha256(string_agg(item_id, ',' order by item_id)) s from (select distinct doc_id, item_id from h) group by doc_id)
 select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated from d left join hp using (doc_id) left join it using (doc_id)""",
+    # crc32 bit by bit; a node is a list of turns
+    "op12_conversation_trie": rf"""with t as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) p, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) u from conversations where conv_id is not null),
+c as (select c, count(*) n, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(cast(c as varchar), ''), lambda d: list_concat([ascii(d)::bigint], [-1::bigint, -1, -1, -1, -1, -1, -1, -1])))), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, (a & 1) * 3988292384) end) z from t group by c),
+h as (select c, n, xor(z, 4294967295) % 4 h, c - c % 20 b from c), m as (select h.*, least(h.h, coalesce(g.n, 0)) m from h left join c g on g.c = h.b),
+v as (select m.c, p - h + m p, u from m join t on t.c = m.c where p > h union all select m.c, p, u from m join t on t.c = m.b where p <= m),
+q as (select c, array_agg(u) over (partition by c order by p) path from v union all select c, [] from c),
+n as (select path, len(path) d, min(c) c, count(*) n from q group by path), k as (select path[1:len(path) - 1] path, count(*) n from n where len(path) > 0 group by 1),
+e as (select path, sha256(string_agg(cast(c as varchar), ',' order by c)) s from (select c, arg_max(path, len(path)) path from q group by c) group by path),
+w as (select n.*, case when d = 0 then 0 else (n.n - 1) * len(regexp_extract_all(n.path[d].x, '[^\x20\x09-\x0D]+')) end s, k.n kids from n left join k on k.path = n.path),
+z as (select path[1:j] path, sum(s) s, sum(case when kids is null then 1 else 0 end) l from w, unnest(range(0, d + 1)) u(j) group by 1)
+select n.c conv_id, n.d depth, p.c parent_conv_id, n.n n_convs, cast(coalesce(n.kids, 0) as bigint) n_children, cast(z.l as bigint) n_leaves, cast(z.s as bigint) saved_tokens, coalesce(e.s, sha256('')) ends_sha256
+from w n join z on z.path = n.path left join e on e.path = n.path left join n p on n.d > 0 and p.path = n.path[1:n.d - 1]""",
     "op13_fill_in_middle": rf"""with t as (select doc_id, coalesce(text, '') t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) h from documents),
 u as (select doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') u, cast('0x' || h[1:8] as bigint) h1, cast('0x' || h[9:16] as bigint) h2, cast('0x' || h[17:24] as bigint) h3, cast('0x' || h[25:32] as bigint) h4 from t),
 c as (select *, len(u) n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) b from u),
