@@ -42,7 +42,8 @@ def running(
     """df with a column for each fold: of the rows of its group up to each row in ``order``, without the row itself if exclusive.
 
     ``block`` must not fall along the order (``backwards``: not rise; order is then given from the last row on). Rows of equal order
-    come as the sort leaves them. Columns of df with the names of the folds are replaced.
+    come as the sort leaves them. Keys and blocks are not null; a null one's rows count in their own block only. Columns of df with the
+    names of the folds are replaced.
     """
     names = [n for n in df.columns if n not in folds]
     b, part, total = "__block", "__part_{}", "__total_{}"
@@ -58,5 +59,5 @@ def running(
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(b) if backwards else F.asc(b)))
     carry = sums.select(*keys, b, *(f.totals(F.col(total.format(n))).over(before).alias(total.format(n)) for n, (f, _) in folds.items()), place.alias("__place"))
     carry = carry.where("__place > 1").drop("__place")  # a group of one block carries nothing
-    joined = within.alias("l").join(carry.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, b)], "left")
+    joined = within.alias("l").join(carry.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*keys, b)], "left")
     return joined.select(*(F.col(f"l.{n}") for n in names), *(f.both(F.col(f"r.{total.format(n)}"), F.col(f"l.{part.format(n)}")).alias(n) for n, (f, _) in folds.items()))

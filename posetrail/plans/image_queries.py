@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from posetrail.operators import files as O
+from posetrail.operators import frames as G
 from posetrail.operators import identity as I
-from posetrail.operators import pixels as G
 from posetrail.operators import pose as P
 from posetrail.plans import fixtures as X
 from posetrail.plans.identity_queries import CAM_SQL, Z, cameras, views
@@ -14,6 +15,7 @@ from posetrail.plans.pose_queries import ALIGN, KEYS, R6, VEC, L, simple
 from posetrail.plans.registry import oracle_sql, query
 from posetrail.plans.series_queries import annot
 
+QUANTILES = {"median": 0.5, "p5": 0.05, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 TONES = {"b": "(frame * 7 + x * 13 + y * 29 + o_custkey) % 256", "g": "(frame * 3 + x * 17 + o_custkey * 5) % 256", "r": "(frame * 11 + y * 31 + o_custkey * 3) % 256"}
 PIXELS = f"with px0 as (select cast(o_orderkey // 2000 as bigint) video_id, cast(o_orderkey % 2000 as bigint) frame, o_custkey, cast(x as integer) x, cast(y as integer) y from orders, generate_series(0, 5) a(x), generate_series(0, 3) b(y)), px as (select video_id, frame, x, y, {', '.join(f'cast({v} as integer) {k}' for k, v in TONES.items())} from px0)"
 GRAY = "cast((114 * b + 587 * g + 299 * r + 500) // 1000 as integer)"
@@ -26,30 +28,40 @@ def pixels(spark, d):
     return o.selectExpr("video_id", "frame", "x", "y", *(f"cast({v} as int) {k}" for k, v in TONES.items()))
 
 
+def images(spark, d):
+    """The pixels as binary frames, a row each."""
+    return G.packed(pixels(spark, d))
+
+
 def image(name, make, sql):
-    query(name, f"{PIXELS}{sql}")(lambda spark, d: make(pixels(spark, d)))
+    query(name, f"{PIXELS}{sql}")(lambda spark, d: make(images(spark, d)))
 
 
-def ground(p):
-    """The background of each channel by its median."""
-    out = None
-    for c in G.CHANNELS:
-        one = G.background(p, c).select(*G.PLACE, F.col("median").alias(c))
-        out = one if out is None else out.join(one, G.PLACE)
-    return out
+def grounds(i):
+    """Pixel rows of every statistic of the gray background."""
+    rows = lambda a, *more: ((x, y, *(int(s[y, x, 0]) for s in (a, *(np.frombuffer(m, dtype=np.uint8).reshape(a.shape) for m in more)))) for y in range(a.shape[0]) for x in range(a.shape[1]))
+    first, *others = G.STATISTICS
+    return G.kernel(G.background(G.gray(i)), rows, f"x int, y int, {', '.join(f'{s} int' for s in G.STATISTICS)}", extra=tuple(others), data=first, keys=("video_id",))
 
 
-_byte = lambda v: f"cast(floor(round({v}, 6)) as integer)"
-image("img_gray", lambda p: p.select("video_id", "frame", "x", "y", G.gray().alias("gray")), f" select video_id, frame, x, y, {GRAY} gray from px")
-image("agg_background", lambda p: G.background(p.withColumn("gray", G.gray()), "gray"), f"{NEAR}, gr as (select *, {GRAY} v from near) select video_id, x, y, {_byte('avg(v)')} as mean, min(v) as least, max(v) as most, {', '.join(f'{_byte(f'quantile_cont(v, {q})')} as {k}' for k, q in G.QUANTILES.items())} from gr group by all")
-image("agg_smart_mask", lambda p: G.smart_mask(p, ground(p), dark=False), f"{NEAR}, gd as (select video_id, x, y, {', '.join(f'{_byte(f'quantile_cont({c}, 0.5)')} {c}0' for c in 'bgr')} from near group by all), fr as (select video_id, (114 * b + 587 * g + 299 * r) / 1000.0::double tone from px join gd using (video_id, x, y) where greatest(abs(b - b0), abs(g - g0), abs(r - r0)) >= 25), tn as (select video_id, quantile_cont(tone, 0.8) tone from fr group by all having count(*) >= 100) select video_id, x, y, cast(-255 as integer) mask from gd join tn using (video_id) where round((114 * b0 + 587 * g0 + 299 * r0) / 1000.0::double, 6) >= round(tone * 0.7::double, 6)")
+def masked(i):
+    """Places of the smart mask of light blobs, which is -255."""
+    ground = G.background(i).select("video_id", "h", "w", "c", F.col("median").alias("data"))
+    return G.unpacked(G.smart_mask(i, ground, dark=False), ("on",), keys=("video_id",)).where("on = 1").select("video_id", "x", "y", F.lit(-255).alias("mask"))
 
 
-def mask(p, paint):
-    return p.select(*G.PLACE).where("x = y").distinct().withColumn("paint", F.lit(paint))
+def diagonal(i):
+    """White paint on the diagonal of each video's frames."""
+    size = i.groupBy("video_id").agg(F.first("h").alias("h"), F.first("w").alias("w"))
+    line = F.concat(F.repeat(F.lit("00"), F.col("w")), F.lit("02"))  # a line on, the mark stands one pixel further right
+    return size.select("video_id", F.unhex(F.substr(F.concat(F.lit("02"), F.repeat(line, F.col("h"))), F.lit(1), 2 * F.col("h") * F.col("w"))).alias("data"))
 
 
-image("img_augment", lambda p: G.augmented(p, mask(p, 255), 1, 1, 5, 4).select("video_id", "frame", "x", "y", "gray"), f" select video_id, frame, cast(x - 1 as integer) x, cast(y - 1 as integer) y, case when x = y then 255 else {GRAY} end gray from px where x >= 1 and x < 5 and y >= 1")
+_byte = lambda v: f"cast(floor(round({v}, 6)) as integer)"
+image("img_gray", lambda i: G.unpacked(G.gray(i), ("gray",)), f" select video_id, frame, x, y, {GRAY} gray from px")
+image("agg_background", grounds, f"{NEAR}, gr as (select *, {GRAY} v from near) select video_id, x, y, {_byte('avg(v)')} as mean, min(v) as least, max(v) as most, {', '.join(f'{_byte(f'quantile_cont(v, {q})')} as {k}' for k, q in QUANTILES.items())} from gr group by all")
+image("agg_smart_mask", masked, f"{NEAR}, gd as (select video_id, x, y, {', '.join(f'{_byte(f'quantile_cont({c}, 0.5)')} {c}0' for c in 'bgr')} from near group by all), fr as (select video_id, (114 * b + 587 * g + 299 * r) / 1000.0::double tone from px join gd using (video_id, x, y) where greatest(abs(b - b0), abs(g - g0), abs(r - r0)) >= 25), tn as (select video_id, quantile_cont(tone, 0.8) tone from fr group by all having count(*) >= 100) select video_id, x, y, cast(-255 as integer) mask from gd join tn using (video_id) where round((114 * b0 + 587 * g0 + 299 * r0) / 1000.0::double, 6) >= round(tone * 0.7::double, 6)")
+image("img_augment", lambda i: G.unpacked(G.augmented(i, diagonal(i), (1, 1, 5, 4)), ("gray",)), f" select video_id, frame, cast(x - 1 as integer) x, cast(y - 1 as integer) y, case when x = y then 255 else {GRAY} end gray from px where x >= 1 and x < 5 and y >= 1")
 annot("img_blob_count", lambda a: G.blob_counts(a.withColumn("frame", F.expr("frame div 3")), 50.0), " select video_id, frame // 3 as frame, cast(sum(case when area >= 50 then 2 else 1 end) as bigint) animal_count, max(case when area >= 50 then 1 else 0 end)::integer merged from annot group by all")
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from posetrail.operators import frames as G
 from posetrail.operators import marks as K
-from posetrail.operators import pixels as G
 from posetrail.operators import pose as P
 from posetrail.operators import runs as R
 from posetrail.plans import fixtures as X
-from posetrail.plans.image_queries import PIXELS, pixels
+from posetrail.plans.image_queries import PIXELS, images
 from posetrail.plans.pose_queries import ALIGN, BONE, INST, KEYS, R6, L, LB
 from posetrail.plans.registry import query
 from posetrail.plans.series_queries import NAMES, RUNS, A
@@ -135,25 +135,25 @@ def mark_outlier(spark, d):
 
 # --- tones in L, A, B ---
 
-@query("img_tone_apply")
-def tone_apply(spark, d):
-    """Contrast and brightness in B, G, R, then L, A, B moved; tests hold known colours against their Lab values."""
-    p = pixels(spark, d)
-    bright = p.withColumns({c: G.scaled(c, 1.25, -20.0) for c in G.CHANNELS})
-    return G.lab(bright).select("video_id", "frame", "x", "y", G.shifted("l", 9).alias("l"), G.shifted("a", -4).alias("a"), G.shifted("b2", 2).alias("b"))
-
-
 _LIN = "case when {c} / 255.0::double > 0.04045 then power(({c} / 255.0::double + 0.055) / 1.055, 2.4) else {c} / 255.0::double / 12.92 end"
 _F = "case when {t} > 0.008856 then cbrt({t}) else 7.787 * {t} + 16.0::double / 116 end"
 LAB = f"""{PIXELS}, li as (select video_id, frame, x as px, y as py, {", ".join(f"{_LIN.format(c=c)} as l{c}" for c in "rgb")} from px),
-xyz as (select video_id, frame, px, py, {", ".join(f"({m[0]} * lr + {m[1]} * lg + {m[2]} * lb) / {w} as {n}" for n, m, w in zip("xyz", G._XYZ, G._WHITE, strict=True))} from li),
+xyz as (select video_id, frame, px, py, {", ".join(f"({m[0]} * lr + {m[1]} * lg + {m[2]} * lb) / {w} as {n}" for n, m, w in zip("xyz", G._XYZ.tolist(), G._WHITE.tolist(), strict=True))} from li),
 lab as (select video_id, frame, px, py, cast(least(greatest(floor(case when y > 0.008856 then 116 * cbrt(y) - 16 else 903.3 * y end * 255 / 100 + 0.5), 0), 255) as integer) l, cast(least(greatest(floor(500 * ({_F.format(t='x')} - {_F.format(t='y')}) + 128.5), 0), 255) as integer) a, cast(least(greatest(floor(200 * ({_F.format(t='y')} - {_F.format(t='z')}) + 128.5), 0), 255) as integer) b from xyz)"""
 
 
+_BRIGHT = ", ".join(f"cast(least(round_even(abs({c} * 1.25::double - 20), 0), 255) as integer) {c}" for c in "bgr")
+
+
+@query("img_tone_apply", f"{LAB.replace(' from px)', f' from (select video_id, frame, x, y, {_BRIGHT} from px))', 1)} select video_id, frame, px as x, py as y, least(greatest(l + 9, 0), 255) l, least(greatest(a - 4, 0), 255) as a, least(greatest(b + 2, 0), 255) b from lab")
+def tone_apply(spark, d):
+    """Contrast and brightness in B, G, R, then L, A, B moved."""
+    return G.unpacked(G.toned(images(spark, d), 1.25, -20.0, (9, -4, 2)), ("l", "a", "b"))
+
+
 @query("agg_tone_hist", f"""{LAB}, ch as ({" union all ".join(f"select video_id, frame, '{c}' c, {c} v from lab" for c in "lab")}), bn as (select video_id, frame, c, k, count(*) filter (where v // 32 = k) n from ch, range(8) t(k) group by all),
 nm as (select *, coalesce((n - min(n) over w) / nullif(cast(max(n) over w - min(n) over w as double), 0), 0) t from bn window w as (partition by video_id, frame, c)), rf as (select video_id, c, k, avg(t) q from nm where frame % 10 = 0 group by all),
 ds as (select video_id, frame, c, sqrt(greatest(0, 1 - sum(sqrt(t * q)) / case when sum(t) * sum(q) > 0 then sqrt(sum(t) * sum(q)) else 1 end)) a from nm join rf using (video_id, c, k) group by all) select video_id, frame, round(avg(a), 6) distance, round(avg(a), 6) >= 0.1 kept from ds group by all""")
 def tone_hist(spark, d):
-    p = pixels(spark, d)
-    t = G.tones(G.lab(p).select("video_id", "frame", "x", "y", "l", "a", F.col("b2").alias("b")), channels=("l", "a", "b"))
-    return G.tone_distance(t, p.where("frame % 10 = 0").select("video_id", "frame").distinct()).select("video_id", "frame", R6("distance"), (F.round("distance", 6) >= 0.1).alias("kept"))
+    i = images(spark, d)
+    return G.tone_distance(G.tones(i), i.where("frame % 10 = 0").select("video_id", "frame")).select("video_id", "frame", R6("distance"), (F.round("distance", 6) >= 0.1).alias("kept"))

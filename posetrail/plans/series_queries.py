@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from posetrail.operators import numbers as N
 from posetrail.operators import runs as R
+from posetrail.operators import stitch
 from posetrail.operators.lineage import cut
 from posetrail.plans import fixtures as X
 from posetrail.plans.registry import query
@@ -94,6 +95,12 @@ blob("win_stable_single", lambda b: R.runs(b.withColumn("single", F.col("animal_
 blob("mrk_infer_nm", lambda b: b.where("animal_count >= 2").select("video_id", "frame").union(R.buffered(R.changes(b, "animal_count"), 20, last(b)).join(b.where("animal_count >= 2").select("video_id").distinct(), "video_id", "left_semi").select("video_id", "frame")).union(b.where("frame % 10 = 0").select("video_id", "frame")).distinct(), f", ch as (select video_id, frame from (select *, lag(animal_count) over w b from blobs {V}) where b <> animal_count), l as (select video_id, max(frame) last from blobs group by all) select video_id, frame from blobs where animal_count >= 2 union select video_id, unnest(generate_series(greatest(frame - 20, 0), least(frame + 20, last))) as frame from ch join l using (video_id) union select video_id, frame from blobs where frame % 10 = 0")
 
 
+@query("win_bout_stitch")
+def bout_stitch(spark, d):
+    """Label 0 is the neutral one; tests hold the layout against a walk over frames."""
+    return stitch.stitched(X.annot(spark, d).select("video_id", "frame", "label"), "label", (0,))
+
+
 @query("win_blob_clean")
 def blob_clean(spark, d):
     return R.blob_clean(X.blobs(spark, d))

@@ -7,17 +7,17 @@ import json
 from pyspark.sql import functions as F
 
 from posetrail.operators import files as O
+from posetrail.operators import frames as G
 from posetrail.operators import identity as I
 from posetrail.operators import learning as E
 from posetrail.operators import numbers as N
-from posetrail.operators import pixels as G
 from posetrail.operators import pose as P
 from posetrail.operators import repair as M
 from posetrail.operators import runs as R
 from posetrail.operators.lineage import cut, scratch
 from posetrail.plans import fixtures as X
 from posetrail.plans.identity_queries import CENTRES, Z
-from posetrail.plans.image_queries import PIXELS, pixels
+from posetrail.plans.image_queries import GRAY, PIXELS, images
 from posetrail.plans.pose_queries import INTERP, KEYS, MAX_GAP, R6, L, LB, interpolated, long6
 from posetrail.plans.registry import query
 from posetrail.plans.series_queries import NAMES, RUNS, A
@@ -378,20 +378,35 @@ def agree_smooth(spark, d):
 
 # --- pixels ---
 
-@query("img_blob_areas")
+# flood the rim's free pixels, then join filled pixels over corners; squares of three or four filled pixels make the area
+BLOBS = f"""{PIXELS.replace('with ', 'with recursive ', 1)}, fr as (select distinct video_id, frame from px), dark as (select video_id, frame, x, y from px where {GRAY} <= 110),
+pad as (select video_id, frame, cast(x as integer) x, cast(y as integer) y from fr, range(-1, 7) a(x), range(-1, 5) b(y)), free as (select * from pad anti join dark using (video_id, frame, x, y)),
+rim as (select video_id, frame, -1 as x, -1 as y from fr union select f.video_id, f.frame, f.x, f.y from rim, (values (0, 1), (1, 0), (0, -1), (-1, 0)) d(i, j), free f where f.video_id = rim.video_id and f.frame = rim.frame and f.x = rim.x + i and f.y = rim.y + j),
+fill as (select video_id, frame, x, y from px anti join rim using (video_id, frame, x, y)),
+near as (select video_id, frame, x, y, y * 6 + x s from fill union select f.video_id, f.frame, f.x, f.y, s from near n, (values (0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)) d(i, j), fill f where f.video_id = n.video_id and f.frame = n.frame and f.x = n.x + i and f.y = n.y + j),
+lab as (select video_id, frame, x, y, min(s) s from near group by all), num as (select video_id, frame, s, row_number() over (partition by video_id, frame order by s) - 1 as blob from (select distinct video_id, frame, s from lab)),
+sq as (select video_id, frame, x + i as x, y + j as y, any_value(s) s, count(*) n from lab, (values (0, 0), (0, -1), (-1, 0), (-1, -1)) d(i, j) group by video_id, frame, x + i, y + j)
+select video_id, frame, cast(blob as integer) blob, sum(case n when 4 then 1.0::double when 3 then 0.5 else 0 end) area from sq join num using (video_id, frame, s) group by all having area > 0"""
+
+
+@query("img_blob_areas", BLOBS)
 def blob_areas(spark, d):
-    """Blobs darker than the threshold in the small images; tests hold areas against the polygon rule."""
-    return G.blob_areas(pixels(spark, d).withColumn("gray", G.gray()), threshold=110, least=0.0)
+    """Blobs darker than the threshold in the small images."""
+    return G.blob_areas(images(spark, d), threshold=110, least=0.0)
 
 
-@query("img_cutouts", f"""{PIXELS}, c as (select distinct video_id, frame, frame % 360 as a from px), g as (select c.*, u, v, 3 + (u - 1.5) * cos(radians(a)) - (v - 1.5) * sin(radians(a)) x0, 2 + (u - 1.5) * sin(radians(a)) + (v - 1.5) * cos(radians(a)) y0 from c, range(3) t(u), range(3) s(v)),
+CUTOUTS = f"""{PIXELS}, c as (select distinct video_id, frame, frame % 360 as a from px), g as (select c.*, u, v, 3 + (u - 1.5) * cos(radians(a)) - (v - 1.5) * sin(radians(a)) x0, 2 + (u - 1.5) * sin(radians(a)) + (v - 1.5) * cos(radians(a)) y0 from c, range(3) t(u), range(3) s(v)),
 n as (select g.*, cast(floor(x0) + i as integer) x, cast(floor(y0) + j as integer) y, case when i = 1 then x0 - floor(x0) else 1 - x0 + floor(x0) end * case when j = 1 then y0 - floor(y0) else 1 - y0 + floor(y0) end w from g, range(2) p(i), range(2) q(j))
-select n.video_id, n.frame, u, v, round(sum(w * coalesce(px.g, 0)), 4) as value from n left join px on px.video_id = n.video_id and px.frame = n.frame and px.x = n.x and px.y = n.y group by all""")
-def img_cutouts(spark, d):
-    px = pixels(spark, d).withColumn("value", F.col("g"))
-    crops = px.select("video_id", "frame").distinct().select("video_id", "frame", F.lit(0).alias("instance"), F.lit(3.0).alias("cx"), F.lit(2.0).alias("cy"), (F.col("frame") % 360).cast("double").alias("angle"))
-    c = G.cutouts(px, crops, 3)
-    return c.select("video_id", "frame", F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), F.round("value", 4).alias("value"))
+select n.video_id, n.frame, u, v, cast(floor(round(sum(w * coalesce(px.g, 0)), 6) + 0.5) as integer) as value from n left join px on px.video_id = n.video_id and px.frame = n.frame and px.x = n.x and px.y = n.y group by all"""
+
+
+@query("idt_cutouts", CUTOUTS)
+@query("img_cutouts", CUTOUTS)
+def cutouts(spark, d):
+    i = images(spark, d)
+    crops = i.select("video_id", "frame", F.lit(0).alias("instance"), F.lit(3.0).alias("cx"), F.lit(2.0).alias("cy"), (F.col("frame") % 360).cast("double").alias("angle"))
+    rows = G.unpacked(G.cutouts(i, crops, 3), ("b", "g", "r"))
+    return rows.select("video_id", "frame", F.col("x").cast("bigint").alias("u"), F.col("y").cast("bigint").alias("v"), F.col("g").alias("value"))
 
 
 # --- scalars ---

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from posetrail.operators import files as O
 from posetrail.operators import identity as I
-from posetrail.operators import pixels as G
 from posetrail.operators import pose as P
 from posetrail.operators import runs as R
 from posetrail.plans import registry
@@ -162,25 +161,6 @@ def test_undistortion_undoes_the_lens(spark):
     assert np.allclose([tuple(r) for r in got], [(800 * x + 300, 800 * y + 300) for x, y in places])
 
 
-def test_pixels(spark):
-    px = spark.createDataFrame([(0, f, x, 0, 200, 200, 200) if x else (0, f, 0, 0, f, f, f) for f in range(200) for x in (0, 1)], "video_id bigint, frame bigint, x int, y int, b int, g int, r int")
-    near = [int(v) for v in np.linspace(0, 199, 100)]
-    b = {r.x: r for r in G.background(px, "b").collect()}
-    assert (b[0]["mean"], b[0].median, b[0].p5) == (int(np.mean(near)), int(np.median(near)), int(np.percentile(near, 5)))
-    assert b[1].least == b[1].most == b[1].p95 == 200
-    ground = spark.createDataFrame([(0, 0, 0, 60, 60, 60), (0, 1, 0, 200, 200, 200)], "video_id bigint, x int, y int, b int, g int, r int")
-    moved = [v for v in range(200) if abs(v - 60) >= 25]
-    want = [(0, 255)] if 60 <= 1.3 * np.percentile(moved, 20) else []
-    assert [(r.x, r["mask"]) for r in G.smart_mask(px, ground).collect()] == want
-    assert G.smart_mask(px, ground, least=500).count() == 0
-    areas = spark.createDataFrame([(0, 0, 5.0), (0, 0, 50.0), (0, 1, 5.0)], "video_id bigint, frame bigint, area double")
-    assert sorted(tuple(r) for r in G.blob_counts(areas, 50.0).collect()) == [(0, 0, 3, 1), (0, 1, 1, 0)]
-    flat = G.tones(px.where("x = 1")).where("frame = 0").first()
-    assert sorted(flat.tone) == [0.0] * 7 + [1.0]
-    same = G.tone_distance(G.tones(px.where("x = 1")), px.select("video_id", "frame").distinct()).first()
-    assert abs(same.distance) < 1e-6
-
-
 def test_agreement_flips_a_mostly_crossed_video(spark):
     s = spark.createDataFrame([(0, f, c, 1 - c if f < 3 else c, 0.9) for f in range(4) for c in (0, 1)] + [(0, 9, 0, 0, 0.1)], "video_id bigint, frame bigint, cluster int, motion_id int, confidence double")
     assert sorted((r.frame, r.agreement) for r in I.agreement(s).collect()) == [(0, 1.0), (1, 1.0), (2, 1.0), (3, 0.0)]

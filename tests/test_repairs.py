@@ -7,7 +7,6 @@ import pytest
 
 from posetrail.operators import identity as I
 from posetrail.operators import learning as E
-from posetrail.operators import pixels as G
 from posetrail.operators import pose as P
 from posetrail.operators import repair as M
 from posetrail.plans.identity_queries import CAMS
@@ -142,32 +141,6 @@ def test_bimodality_of_two_hills_and_one(spark):
     assert not E.bimodality(df(one), "d")["bimodal"] and not E.bimodality(df([1.0] * 100), "d")["bimodal"] and not E.bimodality(df([]), "d")["bimodal"]
 
 
-def test_blob_areas_by_the_polygon(spark):
-    """Rectangles, a ring, a diagonal and single pixels: areas of the polygons through their border pixels."""
-    def draw(f, cells):
-        return [(0, f, x, y, 10 if (x, y) in cells else 200) for x in range(14) for y in range(10)]
-
-    ring = {(x, y) for x in range(3, 9) for y in range(2, 8)} - {(x, y) for x in range(5, 7) for y in range(4, 6)}
-    frames = {
-        0: {(x, y) for x in range(1, 5) for y in range(1, 4)}, 1: ring, 2: {(k, k) for k in range(6)} | {(9, 9)}, 3: {(2, 2), (3, 2), (2, 3)},
-        4: {(0, y) for y in range(3)} | {(x, y) for x in (5, 6) for y in (5, 6)}, 5: set(),
-    }
-    px = spark.createDataFrame([r for f, c in frames.items() for r in draw(f, c)], "video_id bigint, frame bigint, x int, y int, gray int")
-    got: dict = {}
-    for r in G.blob_areas(px, threshold=100, least=0.0).collect():
-        got.setdefault(r.frame, []).append(r.area)
-    assert got == {0: [6.0], 1: [25.0], 3: [0.5], 4: [1.0]}
-    ground = spark.createDataFrame([(0, x, y, 200) for x in range(14) for y in range(10)], "video_id bigint, x int, y int, gray int")
-    assert {(r.frame, r.area) for r in G.blob_areas(px, ground, 25, 0.0).collect()} == {(f, a) for f, v in got.items() for a in v}
-    assert G.blob_areas(px, ground, 25, 0.0, dark=False).count() == 0
-    assert {(r.frame, r.area) for r in G.blob_areas(px, threshold=100, least=0.0, roi=(3, 0, 14, 10)).collect()} == {(0, 2.0), (1, 25.0), (4, 1.0)}
-
-
-def test_lab_of_known_colours(spark):
-    px = spark.createDataFrame([(0, 0, 0, 0, *c) for c in ((255, 255, 255), (0, 0, 0), (0, 0, 255), (255, 0, 0), (128, 128, 128))], "video_id bigint, frame bigint, x int, y int, b int, g int, r int")
-    assert [(r.l, r.a, r.b2) for r in G.lab(px).collect()] == [(255, 128, 128), (0, 128, 128), (136, 208, 195), (82, 207, 20), (137, 128, 128)]
-
-
 def test_triangulation_confidence(spark):
     rng, rows, want = np.random.default_rng(5), [], {}
     p = np.array(CAMS).reshape(-1, 3, 4)

@@ -12,7 +12,7 @@ from posetrail.operators import scan
 def rows():
     rng = random.Random(2)
     out = [(1, f, rng.choice([None, rng.randint(-9, 9)])) for f in rng.sample(range(20_000), 3_000)]
-    out += [(rng.choice([None, *range(2, 40)]), k, rng.choice([None, rng.randint(-9, 9)])) for k in range(6_000)]
+    out += [(rng.randint(2, 40), k, rng.choice([None, rng.randint(-9, 9)])) for k in range(6_000)]
     return out
 
 
