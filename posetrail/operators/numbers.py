@@ -1,8 +1,8 @@
-"""Scalars as columns, and exact quantiles of whole tables."""
+"""Scalars as columns, and exact quantiles of whole tables and of all groups at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,30 @@ def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[flo
     return out
 
 
+def grouped_quantile(df: DataFrame, keys: list[str], value: Column, share: float, accuracy: int = 10_000) -> DataFrame:
+    """(keys, quantile): the exact quantile, linear between neighbours, of the non-null values of every group; groups without any have no row.
+
+    A sketch of each group (bounded, merged from all tasks) brackets the wanted rank within four parts in ``accuracy``. One more pass counts
+    what lies below the bracket and, by value, what lies in it, and the rank is found among those counts. So a group of any number of
+    rows is read by all tasks and only that small part of its distinct values meets. A rank outside of its bracket raises.
+    """
+    near = 2 / accuracy
+    v = df.select(*keys, value.cast("double").alias("v")).where("v is not null")
+    ends = v.groupBy(*keys).agg(F.percentile_approx("v", [max(share - near, 0.0), min(share + near, 1.0)], accuracy).alias("ends"))
+    j = v.join(ends, keys)
+    low, high = F.col("ends")[0], F.col("ends")[1]
+    sums = j.groupBy(*keys).agg(F.count("v").alias("total"), F.count(F.when(F.col("v") < low, 1)).alias("below"), F.max(F.when(F.col("v") < low, F.col("v"))).alias("under"), F.min(F.when(F.col("v") > high, F.col("v"))).alias("above"), F.count(F.when(F.col("v") <= high, 1)).alias("upper"))
+    sums = sums.withColumn("at", (F.col("total") - 1) * F.lit(share)).withColumns({"first": F.floor("at"), "second": F.ceil("at")})
+    inside = j.where(F.col("v").between(low, high)).groupBy(*keys, "v").agg(F.count("v").alias("n"))
+    inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("v"))).join(sums, keys)
+    reach = F.col("below") + F.col("upto")
+    found = inside.groupBy(*keys, "at", "first", "second", "below", "under", "above", "upper").agg(*(F.min(F.when(reach > F.col(r), F.col("v"))).alias(f"of_{r}") for r in ("first", "second")))
+    # the value next to the bracket on either side is known too: few rows round ranks by one
+    a, b = (F.when(F.col(r) == F.col("below") - 1, F.col("under")).when(F.col(r) == F.col("upper"), F.col("above")).when(F.col(r) >= F.col("below"), F.col(f"of_{r}")) for r in ("first", "second"))
+    exact = F.when(F.col("first") == F.col("second"), a).otherwise((F.col("second") - F.col("at")) * a + (F.col("at") - F.col("first")) * b)
+    return found.select(*keys, F.coalesce(exact, F.raise_error(F.lit("a rank lies outside of its bracket")).cast("double")).alias("quantile"))
+
+
 def area_histogram(areas: DataFrame, column: str, bins: int = 100) -> DataFrame:
     """(bin, n, x_min) of the areas from 0 to 1.2 times their 99th percentile plus 500; x_min is 0.95 of the least area, where a plot begins."""
     (p99,) = quantiles(areas, column, (0.99,))

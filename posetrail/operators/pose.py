@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posetrail.operators import numbers as N
 from posetrail.operators import runs as R
 
 KEYS = ["video_id", "frame", "instance"]
@@ -238,7 +239,8 @@ def zoom_box(pose: DataFrame, padding: float = 100.0) -> DataFrame:
 def body_length(pose: DataFrame, head: int, tail: int) -> DataFrame:
     """(video_id, body_length): exact median of the head-tail distance."""
     h, t = F.get("kps", F.lit(head)), F.get("kps", F.lit(tail))
-    return pose.where(seen(h) & seen(t)).groupBy("video_id").agg(F.percentile(F.hypot(h["x"] - t["x"], h["y"] - t["y"]), 0.5).alias("body_length"))
+    lengths = N.grouped_quantile(pose.where(seen(h) & seen(t)), ["video_id"], F.hypot(h["x"] - t["x"], h["y"] - t["y"]), 0.5)
+    return lengths.withColumnRenamed("quantile", "body_length")
 
 
 # --- outlier masks ---
@@ -274,8 +276,8 @@ def bone_flags(pose: DataFrame, bones: list[tuple[int, int]], threshold: float =
     length = lambda a, b: F.hypot(F.col("kps")[a]["x"] - F.col("kps")[b]["x"], F.col("kps")[a]["y"] - F.col("kps")[b]["y"])
     all_bones = F.array(*(F.struct(F.lit(i).alias("bone"), F.lit(a).alias("a"), F.lit(b).alias("b"), length(a, b).alias("len")) for i, (a, b) in enumerate(bones)))
     e = pose.select(*KEYS, F.explode(all_bones).alias("e")).select(*KEYS, "e.*")
-    ref = e.groupBy("video_id", "bone").agg(F.greatest(F.coalesce(F.percentile("len", 0.75), F.lit(1.0)), F.lit(1e-8)).alias("ref"))
-    return e.join(ref, ["video_id", "bone"]).select(*KEYS, "bone", "a", "b", F.coalesce(F.col("len") / F.col("ref") > threshold, F.lit(False)).alias("bad"))
+    ref = N.grouped_quantile(e, ["video_id", "bone"], F.col("len"), 0.75).select("video_id", "bone", F.greatest("quantile", F.lit(1e-8)).alias("ref"))
+    return e.join(ref, ["video_id", "bone"], "left").select(*KEYS, "bone", "a", "b", F.coalesce(F.col("len") / F.col("ref") > threshold, F.lit(False)).alias("bad"))
 
 
 def active(bones: list[tuple[int, int]], ignored: tuple[tuple[int, int], ...]) -> list[tuple[int, int]]:
@@ -383,8 +385,8 @@ def weighted_vectors(pose: DataFrame, pairs: list[tuple[int, int, float]], least
 def cutout_size(aligned_pose: DataFrame, margin: float = 1.15) -> DataFrame:
     """(video_id, size): the larger 90th percentile of widths and heights with a margin, truncated, made even."""
     b = bbox(aligned_pose, 0.0)
-    side = F.greatest(F.percentile(F.col("x2") - F.col("x1"), 0.9), F.percentile(F.col("y2") - F.col("y1"), 0.9)) * margin
-    s = b.groupBy("video_id").agg(F.floor(F.round(side, 6)).cast("bigint").alias("s"))
+    sides = b.select("video_id", F.posexplode(F.array(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("axis", "side"))
+    s = N.grouped_quantile(sides, ["video_id", "axis"], F.col("side"), 0.9).groupBy("video_id").agg(F.floor(F.round(F.max("quantile") * margin, 6)).cast("bigint").alias("s"))
     return s.select("video_id", (F.col("s") + F.col("s") % 2).alias("size"))
 
 

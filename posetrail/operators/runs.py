@@ -8,29 +8,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from posetrail.operators import scan
 from posetrail.operators.lineage import cut
 
+#: Frames of a block of the windows over a video.
+BLOCK = 65_536
+
 
 def video():
     """The frames of a video in order."""
     return Window.partitionBy("video_id").orderBy("frame")
 
 
+def block() -> Column:
+    """The block of a frame: windows within (video, block) let a long video's frames be shared by many tasks."""
+    return F.floor(F.col("frame") / BLOCK)
+
+
 def spans(frames: DataFrame) -> DataFrame:
     """Contiguous inclusive spans (video_id, start, end) of a set of frames."""
-    f = frames.select("video_id", "frame").distinct().withColumn("g", F.col("frame") - F.row_number().over(video()))
-    return f.groupBy("video_id", "g").agg(F.min("frame").alias("start"), F.max("frame").alias("end")).drop("g")
+    f = frames.select("video_id", "frame").distinct().withColumn("_one", F.lit(1))
+    return runs(f, "_one", by_gap=True).select("video_id", "start", "end")
 
 
 def runs(series: DataFrame, value: str, by_gap: bool = False) -> DataFrame:
-    """(video_id, start, end, value, length) of equal neighbours in frame order; with by_gap a missing frame ends a run."""
-    before = F.lag(value).over(video())
-    change = ~before.eqNullSafe(F.col(value)) | F.lag("frame").over(video()).isNull()
+    """(video_id, start, end, value, length) of equal neighbours in frame order; with by_gap a missing frame ends a run.
+
+    Runs are made within blocks of frames. The first and the last of a block, which may go on next door, are joined by a window over
+    them alone: two rows a block; the others are done.
+    """
+    w = Window.partitionBy("video_id", "_block").orderBy("frame")
+    s = series.select("video_id", "frame", value, block().alias("_block"))
+    change = ~F.lag(value).over(w).eqNullSafe(F.col(value)) | F.lag("frame").over(w).isNull()
+    if by_gap:
+        change = change | (F.lag("frame").over(w) != F.col("frame") - 1)
+    s = s.withColumn("_change", change.cast("int")).withColumn("_run", F.sum("_change").over(w))
+    part = s.groupBy("video_id", "_block", "_run", value).agg(F.min("frame").alias("start"), F.max("frame").alias("end"), F.count(F.lit(1)).alias("length"))
+    part = part.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(Window.partitionBy("video_id", "_block"))))
+    edge = Window.partitionBy("video_id").orderBy("start")
+    apart = ~F.lag(value).over(edge).eqNullSafe(F.col(value)) | F.lag("_block").over(edge).eqNullSafe(F.col("_block")) | F.lag("start").over(edge).isNull()
     if by_gap:
-        change = change | (F.lag("frame").over(video()) != F.col("frame") - 1)
-    s = series.withColumn("_change", change.cast("int")).withColumn("_run", F.sum("_change").over(video()))
-    out = s.groupBy("video_id", "_run", value).agg(F.min("frame").alias("start"), F.max("frame").alias("end"), F.count(F.lit(1)).alias("length"))
-    return out.drop("_run")
+        apart = apart | (F.lag("end").over(edge) != F.col("start") - 1)
+    e = part.where("_edge").withColumn("_change", apart.cast("int")).withColumn("_run", F.sum("_change").over(edge))
+    e = e.groupBy("video_id", "_run", value).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("length").alias("length"))
+    columns = ["video_id", value, "start", "end", "length"]
+    return part.where(~F.col("_edge")).select(*columns).unionByName(e.select(*columns))
 
 
 def changes(series: DataFrame, value: str, first: bool = False) -> DataFrame:
@@ -53,9 +75,11 @@ def backwards():
 
 def next_change(series: DataFrame, value: str) -> DataFrame:
     """Column next: the next frame with a change after each frame, or the number of frames."""
-    s = series.withColumn("_change", F.when(F.lag(value).over(video()) != F.col(value), F.col("frame")))
-    total = F.max("frame").over(Window.partitionBy("video_id")) + 1
-    return s.withColumn("next", F.coalesce(F.min("_change").over(backwards().rowsBetween(Window.unboundedPreceding, -1)), total)).drop("_change")
+    starts = runs(series, value).select("video_id", F.col("start").alias("frame"), F.col("start").alias("_start"))
+    total = series.groupBy("video_id").agg((F.max("frame") + 1).alias("_total"))
+    s = series.join(starts, ["video_id", "frame"], "left")
+    s = scan.running(s, ["video_id"], ["frame"], block(), ahead={"next": (scan.MIN, F.col("_start"))}, exclusive=True)
+    return s.join(total, "video_id").withColumn("next", F.coalesce("next", "_total")).select(*series.columns, "next")
 
 
 def annotate_fill(series: DataFrame, edits: DataFrame, value: str = "label") -> DataFrame:
@@ -92,15 +116,12 @@ def interpolated(long: DataFrame, grid: DataFrame, columns: tuple[str, ...], key
     """Linear values of the columns on every grid frame of each key, edges held; grid has (keys, frame).
 
     With max_gap, frames of gaps longer than it are nulled again, where ``whole`` (keys by default) have no value at all: a track
-    of several keypoints, say, has a gap where all are absent. Windows run forwards and backwards, each at linear cost.
+    of several keypoints, say, has a gap where all are absent. Values run forwards and backwards in blocks of frames.
     """
-    back = Window.partitionBy(*keys).orderBy("frame")
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("frame"))
     g = grid.join(long.select(*keys, "frame", *columns), [*keys, "frame"], "left")
-    place = lambda c: F.struct(F.col("frame").alias("f"), F.col(c).alias("v"))
-    some = lambda c: F.when(F.col(c).isNotNull(), place(c))
-    g = g.withColumns({f"_b_{c}": F.last(some(c), True).over(back) for c in columns})
-    g = g.withColumns({f"_a_{c}": F.last(some(c), True).over(ahead) for c in columns})
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("frame").alias("f"), F.col(c).alias("v")))
+    back, ahead = ({f"_{way}_{c}": (scan.LAST, place(c)) for c in columns} for way in "ba")
+    g = scan.running(g, list(keys), ["frame"], block(), back, ahead)
     out = []
     for c in columns:
         b, a = F.col(f"_b_{c}"), F.col(f"_a_{c}")

@@ -37,27 +37,34 @@ LAST = Fold(lambda c: F.last(c, ignorenulls=True), lambda c: F.last(c, ignorenul
 
 
 def running(
-    df: DataFrame, keys: list[str], order: list[str | Column], block: Column, folds: dict[str, tuple[Fold, Column]], exclusive: bool = False, backwards: bool = False
-) -> DataFrame:
-    """df with a column for each fold: of the rows of its group up to each row in ``order``, without the row itself if exclusive.
+    df: DataFrame, keys: list[str], order: list[str | Column], block: Column, folds: dict[str, tuple[Fold, Column]] | None = None,
+    ahead: dict[str, tuple[Fold, Column]] | None = None, exclusive: bool = False,
+) -> DataFrame:
+    """df with a column for each fold: of the rows of its group up to each row in ``order`` (``ahead``: from the last row down to it), without
+    the row itself if exclusive. LAST and ``ahead`` need an order by column names.
 
-    ``block`` must not fall along the order (``backwards``: not rise; order is then given from the last row on). Rows of equal order
-    come as the sort leaves them. Keys and blocks are not null; a null one's rows count in their own block only. Columns of df with the
-    names of the folds are replaced.
+    ``block`` must not fall along the order. Rows of equal order come as the sort leaves them. Keys and blocks are not null; a null one's
+    rows count in their own block only. Columns of df with the names of the folds are replaced.
     """
-    names = [n for n in df.columns if n not in folds]
-    b, part, total = "__block", "__part_{}", "__total_{}"
-    blocked = df.select(*names, *(c.alias(f"__of_{n}") for n, (_, c) in folds.items()), block.alias(b))
-    rows = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
-    whole = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    within = blocked.withColumns({part.format(n): f.rows(F.col(f"__of_{n}")).over(rows) for n, (f, _) in folds.items()})
-    if LAST in (f for f, _ in folds.values()):  # totals that depend on the order come from a window too
-        sums = blocked.select(*keys, b, *(f.rows(F.col(f"__of_{n}")).over(whole).alias(total.format(n)) for n, (f, _) in folds.items())).distinct()
-    else:
-        sums = blocked.groupBy(*keys, b).agg(*(f.rows(F.col(f"__of_{n}")).alias(total.format(n)) for n, (f, _) in folds.items()))
-    before = Window.partitionBy(*keys).orderBy(F.desc(b) if backwards else F.asc(b)).rowsBetween(Window.unboundedPreceding, -1)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(b) if backwards else F.asc(b)))
-    carry = sums.select(*keys, b, *(f.totals(F.col(total.format(n))).over(before).alias(total.format(n)) for n, (f, _) in folds.items()), place.alias("__place"))
-    carry = carry.where("__place > 1").drop("__place")  # a group of one block carries nothing
+    every = {n: (f, c, False) for n, (f, c) in (folds or {}).items()} | {n: (f, c, True) for n, (f, c) in (ahead or {}).items()}
+    names, b = [n for n in df.columns if n not in every], "__block"
+    blocked = df.select(*names, *(c.alias(f"__of_{n}") for n, (_, c, _) in every.items()), block.alias(b))
+    last = -1 if exclusive else Window.currentRow
+
+    def part(name: str, fold: Fold, back: bool) -> Column:
+        way = [F.desc(o) for o in order] if back else order
+        return fold.rows(F.col(f"__of_{name}")).over(Window.partitionBy(*keys, b).orderBy(*way).rowsBetween(Window.unboundedPreceding, last))
+
+    def total(name: str, fold: Fold, back: bool) -> Column:
+        of = F.col(f"__of_{name}")
+        if fold is LAST:
+            return (F.min_by if back else F.max_by)(of, F.when(of.isNotNull(), F.struct(*order)))
+        return fold.rows(of)
+
+    within = blocked.withColumns({f"__part_{n}": part(n, f, back) for n, (f, _, back) in every.items()})
+    sums = blocked.groupBy(*keys, b).agg(*(total(n, f, back).alias(f"__total_{n}") for n, (f, _, back) in every.items()))
+    before = lambda back: Window.partitionBy(*keys).orderBy(F.desc(b) if back else F.asc(b)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (f.totals(F.col(f"__total_{n}")).over(before(back)).alias(f"__total_{n}") for n, (f, _, back) in every.items())
+    carry = sums.select(*keys, b, *carried, F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("__blocks")).where("__blocks > 1").drop("__blocks")
     joined = within.alias("l").join(carry.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*keys, b)], "left")
-    return joined.select(*(F.col(f"l.{n}") for n in names), *(f.both(F.col(f"r.{total.format(n)}"), F.col(f"l.{part.format(n)}")).alias(n) for n, (f, _) in folds.items()))
+    return joined.select(*(F.col(f"l.{n}") for n in names), *(f.both(F.col(f"r.__total_{n}"), F.col(f"l.__part_{n}")).alias(n) for n, (f, _, _) in every.items()))

@@ -9,10 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from posetrail.operators import scan
+from posetrail.operators import runs as R
 
-#: Frames of a block of the windows over frames.
-BLOCK = 8192
 #: Runs of an output batch.
 BATCH_RUNS = 10_000
 
@@ -108,15 +106,12 @@ def stitched(series: DataFrame, value: str, neutral: tuple[int, ...], eps: int =
     In a segment of three frames or more, labels of fewer than three frames first take the label before them. Frames of a label at most
     ``eps`` apart are a cluster. Clusters of at least ``least`` frames take the place about their centre, smallest first; the others fill what is
     free, by their centres; last, runs shorter than ``least`` take the label before. Neutral frames, null labels and short segments stay.
-    Windows over frames run in blocks; a segment's clusters, which are far fewer, stream through one task.
+    Runs come from blocks of frames; a segment's clusters, which are far fewer, stream through one task.
     """
     kept = series.where(~F.col(value).isin(*neutral)).select("video_id", "frame", F.col(value).alias("label"))
-    block = F.expr(f"frame div {BLOCK}")
-    f = scan.running(kept, ["video_id"], ["frame"], block, {"rank": (scan.COUNT, F.lit(1))}).withColumn("part", F.col("frame") - F.col("rank"))
-    f = scan.running(f, ["video_id"], ["frame"], block, {"last": (scan.LAST, F.struct("part", "label"))}, exclusive=True)
-    change = ~F.struct("part", "label").eqNullSafe(F.col("last"))
-    f = scan.running(f, ["video_id"], ["frame"], block, {"start": (scan.LAST, F.when(change, F.col("frame")))})
-    runs = _common(f.groupBy("video_id", "part", "label", "start").agg(F.count(F.lit(1)).alias("n")))
+    whole = R.spans(kept).select("video_id", F.col("start").alias("first"), F.explode(F.sequence("start", "end")).alias("frame"))
+    labels = kept.join(whole, ["video_id", "frame"]).withColumn("both", F.struct("first", "label"))  # a run ends with its segment
+    runs = _common(R.runs(labels, "both").select("video_id", "both.first", "both.label", "start", F.col("length").alias("n")))
 
     own = Window.partitionBy("video_id", "first", "label").orderBy("at")
     apart = F.coalesce(F.col("at") - F.lag(F.col("at") + F.col("n") - 1).over(own) > eps, F.lit(True))
@@ -131,10 +126,10 @@ def stitched(series: DataFrame, value: str, neutral: tuple[int, ...], eps: int =
 def _common(runs: DataFrame) -> DataFrame:
     """Runs of segments of three frames or more (first: the segment's first frame, at: the run's place in it). Labels of fewer than three frames
     there take the last common label before; at the start one such frame takes the next label, and several the larger of the first two."""
-    segment = Window.partitionBy("video_id", "part")
+    segment = Window.partitionBy("video_id", "first")
     inside = segment.orderBy("start")
     r = runs.withColumns({
-        "common": F.sum("n").over(Window.partitionBy("video_id", "part", "label")) >= 3, "first": F.min("start").over(segment), "frames": F.sum("n").over(segment), "k": F.row_number().over(inside),
+        "common": F.sum("n").over(Window.partitionBy("video_id", "first", "label")) >= 3, "frames": F.sum("n").over(segment), "k": F.row_number().over(inside),
     }).where("frames >= 3")
     r = r.withColumns({
         "label0": F.max(F.when(F.col("k") == 1, F.col("label"))).over(segment), "label1": F.max(F.when(F.col("k") == 2, F.col("label"))).over(segment),

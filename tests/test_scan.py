@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from posetrail.operators import runs as R
 from posetrail.operators import scan
 
 
@@ -33,8 +35,8 @@ def plain(rows, fold, exclusive, backwards):
 def test_folds_against_loops(spark, rows, exclusive, backwards):
     df = spark.createDataFrame(rows, "v int, frame int, x int").repartition(5)
     folds = {"total": (scan.SUM, F.col("x")), "low": (scan.MIN, F.col("x")), "high": (scan.MAX, F.col("x")), "mixed": (scan.XOR, F.col("x")), "previous": (scan.LAST, F.col("x"))}
-    order = [F.desc("frame")] if backwards else ["frame"]
-    got = scan.running(df.withColumn("total", F.lit("clash")), ["v"], order, F.expr("frame div 256"), folds, exclusive, backwards).collect()
+    way = {"ahead" if backwards else "folds": folds}
+    got = scan.running(df.withColumn("total", F.lit("clash")), ["v"], ["frame"], F.expr("frame div 256"), **way, exclusive=exclusive).collect()
     assert len(got) == len(rows)
     for name, fold in {"total": lambda a, b: a + b, "low": min, "high": max, "mixed": lambda a, b: a ^ b, "previous": lambda a, b: b}.items():
         assert {(r.v, r.frame): r[name] for r in got} == plain(rows, fold, exclusive, backwards), name
@@ -63,3 +65,56 @@ def test_no_task_reads_more_than_its_blocks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(r["count"] for r in counts) < 90_000 / 16 * 2 and got.agg(F.max("n")).first()[0] == 30_000
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 64)
+
+
+def series(rng, videos=4, n=700):
+    """Videos of runs of all lengths, some over many blocks, with frames missing; the first holds most of the rows."""
+    rows = []
+    for v in range(videos):
+        f = rng.choice([0, 37])
+        while f < (3 * n if v == 0 else n // 3):
+            x, k = rng.choice([None, 1, 2]), rng.choice([1, 2, 5, 64, 300])
+            rows += [(v, f + i, x) for i in range(k) if rng.random() < 0.97]
+            f += k
+    return rows
+
+
+def plain_runs(rows, by_gap):
+    out = []
+    for v, f, x in sorted(rows, key=lambda r: r[:2]):
+        if out and out[-1][0] == v and out[-1][3] == x and (not by_gap or out[-1][2] == f - 1):
+            out[-1][2], out[-1][4] = f, out[-1][4] + 1
+        else:
+            out.append([v, f, f, x, 1])
+    return sorted(map(tuple, out), key=str)
+
+
+@pytest.mark.parametrize("by_gap", [False, True])
+def test_runs_over_blocks(spark, small_blocks, by_gap):
+    rows = series(random.Random(4))
+    got = R.runs(spark.createDataFrame(rows, "video_id long, frame long, x int").repartition(5), "x", by_gap)
+    assert sorted((tuple(r) for r in got.select("video_id", "start", "end", "x", "length").collect()), key=str) == plain_runs(rows, by_gap)
+
+
+def test_spans_and_next_changes_over_blocks(spark, small_blocks):
+    rows = series(random.Random(5))
+    df = spark.createDataFrame(rows + rows[:40], "video_id long, frame long, x int")
+    assert sorted(map(tuple, R.spans(df).collect())) == sorted(r[:3] for r in plain_runs([(v, f, 1) for v, f, _ in rows], True))
+    starts = plain_runs(rows, False)
+    got = {(r.video_id, r.frame): r.next for r in R.next_change(df.distinct(), "x").collect()}
+    last = {v: max(f for w, f, _ in rows if w == v) + 1 for v in range(4)}
+    assert got == {(v, f): min((s for w, s, *_ in starts if w == v and s > f), default=last[v]) for v, f, _ in rows}
+
+
+def test_interpolation_over_blocks(spark, small_blocks):
+    rng = random.Random(6)
+    known = {f: rng.uniform(0, 9) for f in range(2000) if rng.random() < 0.02}
+    long = spark.createDataFrame([(0, f, v) for f, v in known.items()], "video_id long, frame long, x double")
+    grid = spark.range(2000).selectExpr("0L as video_id", "id as frame")
+    got = [r.x for r in R.interpolated(long, grid, ("x",), ("video_id",)).orderBy("frame").collect()]
+    assert np.allclose(got, np.interp(np.arange(2000), sorted(known), [known[f] for f in sorted(known)]))

@@ -2,7 +2,7 @@
 
 import random
 
-from posetrail.operators import stitch
+from posetrail.operators import runs, stitch
 
 
 def walked(seq, neutral, eps, least):
@@ -88,7 +88,7 @@ def test_other_parameters(spark):
 
 def test_long_segments(spark, monkeypatch):
     """Segments of 10,000 frames over many blocks, one of them without a neutral frame."""
-    monkeypatch.setattr(stitch, "BLOCK", 512)
+    monkeypatch.setattr(runs, "BLOCK", 512)
     rng = random.Random(3)
     check(spark, [bouts(rng, 10_000, [1, 2, 3, 4, 5], 12), bouts(rng, 10_000, [0, *range(1, 60)], 6)], (0,), 5, 3)
 
