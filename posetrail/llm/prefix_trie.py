@@ -133,7 +133,7 @@ def trie(turns: DataFrame, turnless: DataFrame, width: int = WIDTH) -> DataFrame
     repeat = {f"w{j}": F.when(F.col("r").isNull() | (place(j) < F.col("r")), F.coalesce(f"w{j}", F.lit(0))).otherwise(0) for j in range(1, width + 1)}
     own = rows.join(owners, "conv_id", "left").withColumns(repeat | {"leaf": F.coalesce("leaf", F.lit(0))})
     total = sum((F.col(f"w{j}") for j in range(1, width + 1)), F.lit(0))
-    later = scan.running(own, ["conv_id"], [F.desc("block")], F.expr("block div 1024"), {"later": (scan.SUM, total)}, exclusive=True, backwards=True)
+    later = scan.running(own, ["conv_id"], ["block"], F.expr("block div 1024"), ahead={"later": (scan.SUM, total)}, exclusive=True)
     later = later.withColumn("later", F.coalesce("later", F.lit(0)))
     suffix = {f"s{j}": sum((F.col(f"w{i}") for i in range(max(j, 1), width + 1)), F.col("later")) for j in range(width + 1)}
     sums = [*(f"sum(s{j}) as s{j}" for j in range(width + 1)), "sum(leaf) as n_leaves"]
