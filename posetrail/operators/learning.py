@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posetrail.operators import pose as P
 from posetrail.operators import runs as R
 
+#: Frames that a task convolves at once, and rows of a tile of cosines.
+BLOCK, TILE_ROWS = 8192, 512
+
 
 def eligible_frames(pose: DataFrame, lengths: DataFrame, head: int, center: int, tail: int, ambiguous: DataFrame | None = None, apart: float = 0.5,
                     strict: float = 0.3, size: tuple[float, float] = (0.7, 2.0), parts: int = 6, twist: float = 90.0) -> DataFrame:
@@ -55,24 +60,54 @@ def segments(frames: DataFrame, chunk: int = 1000, share: float = 1.0, least: in
     return h.join(rank, ["video_id", "start"]).select("video_id", "start", "segment", "frame")
 
 
-def similar_pairs(e: DataFrame) -> DataFrame:
-    """(segment, a, b, same, s) of all ordered pairs of different rows (segment, vec_id, motion_id, embedding) of a segment, with their cosine.
+def _segment(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vec_ids ascending, motion ids, unit rows) of a segment."""
+    table = table.sort_by("vec_id")
+    x = np.array(table.column("embedding").to_pylist(), dtype=np.float64).reshape(table.num_rows, -1)
+    z = np.sqrt((x * x).sum(axis=1))
+    some = z > 0  # a zero vector has no cosine
+    return table.column("vec_id").to_numpy()[some], table.column("motion_id").to_numpy()[some], x[some] / z[some, None]
+
+
+def _tiles(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of the matrix of cosines, a tile at a time, to twelve places, so that equal vectors tie."""
+    for k in range(0, len(x), TILE_ROWS):
+        yield k, np.round(x[k : k + TILE_ROWS] @ x.T, 12)
+
 
-    A segment is bounded by its chunk of frames, two rows for each.
+def _pair_values(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cosines of same-id and of different-id pairs, each pair once."""
+    same, other = [], []
+    for k, s in _tiles(x):
+        upper = np.arange(len(x)) > np.arange(k, k + len(s))[:, None]
+        alike = ids[k : k + len(s), None] == ids
+        same.append(s[upper & alike])
+        other.append(s[upper & ~alike])
+    none = np.zeros(0)
+    return np.concatenate([none, *same]), np.concatenate([none, *other])
+
+
+def pair_statistics(e: DataFrame) -> DataFrame:
+    """(segment, same, n, mean, p30, p70) of the cosines of all pairs of rows (segment, vec_id, motion_id, embedding) of a segment.
+
+    A segment, which its chunk of frames bounds, is one matrix product in tiles; only its statistics leave the task.
     """
-    z = e.withColumn("z", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)))
-    b = z.select("segment", F.col("vec_id").alias("b"), F.col("motion_id").alias("m2"), F.col("embedding").alias("e2"), F.col("z").alias("z2"))
-    p = z.join(b, "segment").where("vec_id <> b")
-    dot = F.aggregate(F.zip_with("embedding", "e2", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return p.select("segment", F.col("vec_id").alias("a"), "b", (F.col("motion_id") == F.col("m2")).alias("same"), (dot / (F.col("z") * F.col("z2"))).alias("s"))
 
+    def measured(table: pa.Table) -> pa.Table:
+        _, ids, x = _segment(table)
+        rows = [(table.column("segment")[0].as_py(), same, len(v), float(v.mean()), *np.percentile(v, [30, 70]).tolist()) for same, v in zip((True, False), _pair_values(ids, x), strict=True) if len(v)]
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["segment", "same", "n", "mean", "p30", "p70"])
+
+    rows = e.where("embedding is not null").select(F.col("segment").cast("bigint"), "vec_id", "motion_id", "embedding")
+    return rows.groupBy("segment").applyInArrow(measured, "segment bigint, same boolean, n bigint, mean double, p30 double, p70 double")
 
-def margins(pairs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+
+def margins(e: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """((segment, pairs, margin, p30, p70, good), (weighted_margin)): the gap of the mean cosine of same-id and different-id pairs, p30 of the
     former and p70 of the latter; a segment is good from ``least`` on; the mean margin is weighted by pairs. Pairs count once."""
-    once = pairs.where("a < b")
-    same, other = F.when(F.col("same"), F.col("s")), F.when(~F.col("same"), F.col("s"))
-    out = once.groupBy("segment").agg(F.count(F.lit(1)).alias("pairs"), (F.avg(same) - F.avg(other)).alias("margin"), F.percentile(same, 0.3).alias("p30"), F.percentile(other, 0.7).alias("p70"))
+    of = lambda c, same: F.max(F.when(F.col("same") == same, F.col(c)))
+    out = pair_statistics(e).groupBy("segment").agg(F.sum("n").alias("pairs"), (of("mean", True) - of("mean", False)).alias("margin"), of("p30", True).alias("p30"), of("p70", False).alias("p70"))
     out = out.withColumn("good", F.coalesce(F.col("margin") >= least, F.lit(False)))
     some = out.where("margin is not null")
     return out, some.agg((F.sum(F.col("margin") * F.col("pairs")) / F.sum("pairs")).alias("weighted_margin"))
@@ -82,30 +117,39 @@ def triplets(e: DataFrame, mode: str = "semihard", most: int = 5000, seed: int =
     """(segment, anchor, positive, negative) of good segments: positives have the anchor's id and a cosine under the segment's p30 of such
     pairs, negatives the other id and one over p70 of those. hard takes the farthest positive and nearest negative, median the middle
     candidate in order of vec_id, semihard the one nearest to midway between threshold and extreme, random a seeded choice. A segment
-    gives its first anchors up to its share of ``most``."""
-    pairs = similar_pairs(e)
-    of, _ = margins(pairs, -2.0)
+    gives its first anchors up to its share of ``most``. Candidates are chosen inside the tiles of a segment's matrix of cosines."""
+    if mode not in ("hard", "median", "semihard", "random"):
+        raise ValueError(f"no such mode: {mode}")
+    of, _ = margins(e, -2.0)
     count = of.where("good").count()
     quota = (most + 1) // max(count, 1) + 1
-    p = pairs.join(of.where("good").select("segment", "p30", "p70"), "segment")
-    p = p.where(F.when(F.col("same"), F.col("s") < F.col("p30")).otherwise(F.col("s") > F.col("p70")))
-    side = Window.partitionBy("segment", "a", "same")
-    if mode == "hard":
-        rank = F.when(F.col("same"), F.col("s")).otherwise(-F.col("s"))
-    elif mode == "median":
-        p = p.withColumn("k", F.row_number().over(side.orderBy("b")) - 1).withColumn("n", F.count(F.lit(1)).over(side))
-        rank = F.abs(F.col("k") - F.floor(F.col("n") / 2))
-    elif mode == "semihard":
-        p = p.withColumn("end", F.when(F.col("same"), F.min("s").over(side)).otherwise(F.max("s").over(side)))
-        rank = F.abs(F.col("s") - (F.when(F.col("same"), F.col("p30")).otherwise(F.col("p70")) + F.col("end")) / 2)
-    elif mode == "random":
-        rank = F.xxhash64("a", "b", F.lit(seed))
-    else:
-        raise ValueError(f"no such mode: {mode}")
-    best = p.groupBy("segment", "a", "same").agg(F.min_by("b", F.struct(rank.alias("r"), F.col("b"))).alias("b"))
-    both = best.groupBy("segment", "a").agg(F.max(F.when(F.col("same"), F.col("b"))).alias("positive"), F.max(F.when(~F.col("same"), F.col("b"))).alias("negative"))
-    both = both.where("positive is not null and negative is not null").withColumn("r", F.row_number().over(Window.partitionBy("segment").orderBy("a")))
-    return both.where(F.col("r") <= quota).select("segment", F.col("a").alias("anchor"), "positive", "negative")
+
+    def picked(s: np.ndarray, row: int, able: np.ndarray, end: float, bar: float) -> int:
+        """The candidate of one anchor: ``able`` are places in order of vec_id, ``end`` the extreme cosine (1 for the least)."""
+        v = s[able]
+        if mode == "median":
+            return able[len(able) // 2]
+        if mode == "random":
+            return able[int(np.random.default_rng((seed, row, len(able))).integers(len(able)))]
+        extreme = v.min() if end > 0 else v.max()
+        return able[int(np.argmin(end * v if mode == "hard" else np.round(np.abs(v - (bar + extreme) / 2), 12)))]
+
+    def chosen(table: pa.Table) -> pa.Table:
+        vec, ids, x = _segment(table)
+        same, other = _pair_values(ids, x)
+        rows: list[tuple] = []
+        if len(same) and len(other):
+            p30, p70 = np.percentile(same, 30), np.percentile(other, 70)
+            for k, tile in _tiles(x):
+                for i, s in enumerate(tile, k):
+                    alike = ids == ids[i]
+                    positive, negative = np.flatnonzero(alike & (s < p30) & (np.arange(len(s)) != i)), np.flatnonzero(~alike & (s > p70))
+                    if len(positive) and len(negative) and len(rows) < quota:
+                        rows.append((table.column("segment")[0].as_py(), int(vec[i]), int(vec[picked(s, int(vec[i]), positive, 1.0, p30)]), int(vec[picked(s, int(vec[i]), negative, -1.0, p70)])))
+        return pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["segment", "anchor", "positive", "negative"])
+
+    rows = e.where("embedding is not null").select(F.col("segment").cast("bigint"), F.col("vec_id").cast("bigint"), "motion_id", "embedding")
+    return rows.groupBy("segment").applyInArrow(chosen, "segment bigint, anchor bigint, positive bigint, negative bigint")
 
 
 # --- two peaks ---
@@ -175,21 +219,28 @@ def bimodality(values: DataFrame, column: str, bins: int = 8192, band: float = 0
 
 
 def smoothed(scores: DataFrame, grid: DataFrame, value: str, sigma: float = 40.0) -> DataFrame:
-    """(video_id, frame, value) on every grid frame: linear between scored frames, edges held, then a Gaussian of four sigmas on each side,
-    beyond the ends of the video its end values."""
+    """(video_id, frame, value) on every grid frame (consecutive frames of each video): linear between scored frames, edges held, then a Gaussian
+    of four sigmas on each side, beyond the ends of the video its end values.
+
+    A task convolves one block of frames; frames near its edges go to the neighbours too, once each.
+    """
     reach = int(4 * sigma + 0.5)
+    size = max(BLOCK, reach)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     kernel /= kernel.sum()
     line = R.interpolated(scores.select("video_id", "frame", value), grid.select("video_id", "frame"), (value,), ("video_id",)).where(F.col(value).isNotNull())
-    w = R.video()
-    near = line.withColumns({
-        "_v": F.collect_list(value).over(w.rowsBetween(-reach, reach)), "_at": F.least(F.row_number().over(w) - 1, F.lit(reach)),
-        "_first": F.first(value).over(w.rowsBetween(-reach, 0)), "_last": F.last(value).over(w.rowsBetween(0, reach)),
-    })
-    weights = F.array(*map(F.lit, kernel.tolist()))
-    tail = np.concatenate([[0.0], np.cumsum(kernel)]).tolist()
-    sums = F.array(*map(F.lit, tail))  # of the first k weights
-    inside = F.aggregate(F.zip_with("_v", F.slice(weights, reach - F.col("_at") + 1, F.size("_v")), lambda v, k: v * k), F.lit(0.0), lambda s, v: s + v)
-    before = F.get(sums, reach - F.col("_at"))
-    after = F.lit(1.0) - F.get(sums, reach - F.col("_at") + F.size("_v"))
-    return near.select("video_id", "frame", (inside + before * F.col("_first") + after * F.col("_last")).alias(value))
+    own = F.floor(F.col("frame") / size)
+    near = F.array(own, F.floor((F.col("frame") - reach) / size), F.floor((F.col("frame") + reach) / size))
+    rows = line.select(F.col("video_id").cast("bigint"), F.col("frame").cast("bigint"), F.col(value).cast("double").alias("v"), F.explode(F.array_distinct(near)).alias("block"))
+
+    def blurred(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame")
+        frame, v = table.column("frame").to_numpy(), table.column("v").to_numpy()
+        core = np.flatnonzero(frame // size == table.column("block")[0].as_py())
+        if not len(core):  # a neighbour without frames of its own
+            return table.slice(0, 0).select(["video_id", "frame", "v"])
+        left, right = reach - core[0], reach - (len(v) - 1 - core[-1])
+        out = np.convolve(np.pad(v, (max(left, 0), max(right, 0)), mode="edge"), kernel, mode="valid")
+        return pa.table([table.column("video_id").take(core), table.column("frame").take(core), pa.array(out[max(-left, 0) :][: len(core)])], names=["video_id", "frame", "v"])
+
+    return rows.groupBy("video_id", "block").applyInArrow(blurred, "video_id bigint, frame bigint, v double").withColumnRenamed("v", value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from posetrail.operators import learning as E_
 from posetrail.operators import numbers as N
 from posetrail.operators import runs as R
 from posetrail.operators import stitch
@@ -109,11 +110,8 @@ def blob_clean(spark, d):
 @query("agg_sim_stats", f"""{E}, n as (select *, sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))) z from emb), p as (select a.segment, a.motion_id = b.motion_id same, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda v: v[1]::double * v[2]::double)) / (a.z * b.z) s from n a join n b on a.segment = b.segment and a.vec_id < b.vec_id)
 select segment, same, count(*) n, round(avg(s), 6) mean, round(quantile_cont(s, 0.3), 6) p30, round(quantile_cont(s, 0.7), 6) p70 from p group by all""")
 def sim_stats(spark, d):
-    """Pairs meet inside a segment only, whose size is bounded (50 rows)."""
-    e = X.embeddings(spark, d).withColumn("z", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)))
-    b = e.select("segment", F.col("vec_id").alias("v2"), F.col("motion_id").alias("m2"), F.col("embedding").alias("e2"), F.col("z").alias("z2"))
-    p = e.join(b, "segment").where("vec_id < v2").select("segment", (F.col("motion_id") == F.col("m2")).alias("same"), (F.aggregate(F.zip_with("embedding", "e2", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) / (F.col("z") * F.col("z2"))).alias("s"))
-    return p.groupBy("segment", "same").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.percentile("s", 0.3), 6).alias("p30"), F.round(F.percentile("s", 0.7), 6).alias("p70"))
+    p = E_.pair_statistics(X.embeddings(spark, d))
+    return p.select("segment", "same", "n", *(F.round(c, 6).alias(c) for c in ("mean", "p30", "p70")))
 
 
 @query("scl_array_norm", f"{E} select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))), 6) norm from emb")

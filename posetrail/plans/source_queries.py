@@ -346,7 +346,7 @@ PAIRS = f"""{EMB}, n as (select *, sqrt(list_sum(list_transform(embedding, lambd
 
 @query("agg_sim_margin", f"""{PAIRS}, m as (select segment, count(*) pairs, avg(s) filter (where same) - avg(s) filter (where not same) margin from p where a < b group by all) select segment, pairs, round(margin, 6) margin, round(margin, 6) >= 0 as good, round((select sum(margin * pairs) / sum(pairs) from m), 6) weighted from m""")
 def sim_margin(spark, d):
-    of, total = E.margins(E.similar_pairs(X.embeddings(spark, d)), 0.0)
+    of, total = E.margins(X.embeddings(spark, d), 0.0)
     weighted = total.first()[0]
     return of.select("segment", "pairs", R6("margin"), (F.round("margin", 6) >= 0).alias("good"), F.lit(None if weighted is None else round(weighted, 6)).cast("double").alias("weighted"))
 
