@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from posetrail.operators import pose as P
 from posetrail.operators import runs as R
+from posetrail.operators import scan
 
 #: Half windows of an average pose: 30 frames, doubled nine times at most.
 RANGE, ATTEMPTS, ENOUGH = 30, 10, 30
+#: Numbers of the sums that are not of keypoints, and the sums.
+CENTROID, TURN, SUMS = -1, -2, ("x", "y", "conf", "n", "n_conf")
 
 
 def average_pose(pose: DataFrame, requests: DataFrame, total: DataFrame, head: int, center: int, tail: int, conf: float = 0.5, least: int = 3) -> DataFrame:
@@ -18,13 +21,14 @@ def average_pose(pose: DataFrame, requests: DataFrame, total: DataFrame, head: i
     The window is the frame and 30 on each side, shifted inwards at the ends of the video of (video_id, total) frames, and doubled up to
     nine times until it holds more than 30 usable poses: of mean confidence ``conf`` or more and ``least`` keypoints. Their keypoints are
     aligned about the centroid, averaged, turned by the circular mean of their angles and put at the mean centroid; a requested centre or
-    angle overrides these. A request without so many usable poses has no row. Usable poses are ranked once per track, the windows' ends
-    find their ranks by one running count, and ranks join by equality, so the work follows the windows, not requests times poses.
+    angle overrides these. A request without so many usable poses has no row.
+
+    Usable poses are ranked once per track, the windows' ends find their ranks by one running count, and every mean is the difference of
+    running sums (about the track's mean) at two ranks, by two equality joins, however wide the window. Running values go by blocks.
     """
     track = ["video_id", "instance"]
     usable = pose.where((P.visible() > 0) & ~P.out_bodypart(least) & ~P.out_confidence(conf))
-    w = Window.partitionBy(*track).orderBy("frame")
-    turned = P.aligned(usable, head, center, tail).withColumn("rank", F.row_number().over(w))
+    turned = scan.running(P.aligned(usable, head, center, tail), track, ["frame"], R.block(), {"rank": (scan.COUNT, F.lit(1))})
     for c, kind in (("cx", "double"), ("cy", "double"), ("angle", "double")):
         if c not in requests.columns:
             requests = requests.withColumn(c, F.lit(None).cast(kind))
@@ -37,19 +41,41 @@ def average_pose(pose: DataFrame, requests: DataFrame, total: DataFrame, head: i
     marks = ends.select(*track, "e.at", "frame", "attempt", "e.end", F.lit(0).alias("usable"))
     poses = turned.select(*track, F.col("frame").alias("at"), F.lit(None).cast("bigint").alias("frame"), F.lit(None).cast("int").alias("attempt"), F.lit(None).cast("string").alias("end"), F.lit(1).alias("usable"))
     # marks come before the pose of their frame: a window is half open
-    counted = marks.union(poses).withColumn("before", F.sum("usable").over(Window.partitionBy(*track).orderBy("at", "usable").rowsBetween(Window.unboundedPreceding, 0)))
+    counted = scan.running(marks.union(poses), track, ["at", "usable"], F.floor(F.col("at") / R.BLOCK), {"before": (scan.SUM, F.col("usable"))})
     counted = counted.where("usable = 0").groupBy(*track, "frame", "attempt").agg(F.max(F.when(F.col("end") == "low", F.col("before"))).alias("first"), F.max(F.when(F.col("end") == "high", F.col("before"))).alias("last"))
     found = counted.where(F.col("last") - F.col("first") > ENOUGH).groupBy(*track, "frame").agg(F.min_by(F.struct("first", "last"), "attempt").alias("r"))
-    wanted = found.select(*track, F.col("frame").alias("asked"), F.explode(F.sequence(F.col("r.first") + 1, F.col("r.last"))).alias("rank"))
-    near = wanted.join(turned.select(*track, "rank", "kps", "cx", "cy", "angle"), [*track, "rank"])
-    of = near.groupBy(*track, "asked").agg(F.avg("cx").alias("cx"), F.avg("cy").alias("cy"), F.atan2(F.avg(F.sin("angle")), F.avg(F.cos("angle"))).alias("angle"))
-    points = near.select(*track, "asked", F.posexplode("kps").alias("keypoint", "p")).groupBy(*track, "asked", "keypoint").agg(*(F.avg(f"p.{c}").alias(c) for c in ("x", "y", "conf")))
-    kps = points.groupBy(*track, "asked").agg(F.transform(F.sort_array(F.collect_list(F.struct("keypoint", "x", "y", "conf"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["conf"].alias("conf"))).alias("kps"))
-    j = of.join(kps, [*track, "asked"]).withColumnRenamed("asked", "frame").join(asked.drop("total"), ["video_id", "frame", "instance"])
+    sums = _running_sums(turned, track)
+    ranges = found.select(*track, F.col("frame").alias("asked"), "r.first", "r.last")
+    upto = ranges.join(sums.withColumnRenamed("rank", "last"), [*track, "last"])
+    before = sums.select(*track, "keypoint", F.col("rank").alias("first"), *(F.col(c).alias(f"_{c}") for c in SUMS))
+    d = upto.join(before, [*track, "keypoint", "first"], "left")
+    mean = lambda c, n: (F.col(c) - F.coalesce(f"_{c}", F.lit(0.0))) / F.nullif(F.col(n) - F.coalesce(f"_{n}", F.lit(0)), F.lit(0))
+    means = d.select(*track, "asked", "keypoint", (mean("x", "n") + F.col("mx")).alias("x"), (mean("y", "n") + F.col("my")).alias("y"), mean("conf", "n_conf").alias("conf"))
+    at = lambda k, c: F.max(F.when(F.col("keypoint") == k, F.col(c)))
+    points = F.sort_array(F.collect_list(F.when(F.col("keypoint") >= 0, F.struct("keypoint", "x", "y", "conf"))))  # the skeleton bounds it
+    kps = F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["conf"].alias("conf")))
+    j = means.groupBy(*track, "asked").agg(at(CENTROID, "x").alias("cx"), at(CENTROID, "y").alias("cy"), F.atan2(at(TURN, "x"), at(TURN, "y")).alias("angle"), kps.alias("kps"))
+    j = j.withColumnRenamed("asked", "frame").join(asked.drop("total"), ["video_id", "frame", "instance"])
     x, y, angle = F.coalesce("set_x", "cx"), F.coalesce("set_y", "cy"), F.coalesce("set_angle", "angle")
     return j.select(*P.KEYS, _placed("kps", x, y, angle).alias("kps"))
 
 
+def _running_sums(turned: DataFrame, track: list[str]) -> DataFrame:
+    """(track, keypoint, rank, mx, my and SUMS up to the rank, of x - mx and y - my): keypoints, the centroid, and sine and cosine of the angle."""
+    points = F.concat(
+        F.transform("kps", lambda p, k: F.struct(k.alias("keypoint"), p["x"].alias("x"), p["y"].alias("y"), p["conf"].alias("conf"))),
+        F.array(F.struct(F.lit(CENTROID).alias("keypoint"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit(None).cast("double").alias("conf"))),
+        F.array(F.struct(F.lit(TURN).alias("keypoint"), F.sin("angle").alias("x"), F.cos("angle").alias("y"), F.lit(None).cast("double").alias("conf"))),
+    )
+    rows = turned.select(*track, "rank", F.explode(points).alias("p")).select(*track, "rank", "p.*")
+    key = [*track, "keypoint"]
+    middle = rows.groupBy(*key).agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("mx"), F.coalesce(F.avg("y"), F.lit(0.0)).alias("my"))
+    rows = rows.join(middle, key)
+    of = {"x": F.coalesce(F.col("x") - F.col("mx"), F.lit(0.0)), "y": F.coalesce(F.col("y") - F.col("my"), F.lit(0.0)), "conf": F.coalesce("conf", F.lit(0.0))}
+    folds = {c: (scan.SUM, v) for c, v in of.items()} | {"n": (scan.COUNT, F.col("x")), "n_conf": (scan.COUNT, F.col("conf"))}
+    return scan.running(rows, key, ["rank"], F.floor(F.col("rank") / R.BLOCK), folds)
+
+
 def _placed(kps: str, x: Column, y: Column, angle: Column) -> Column:
     """Keypoints about the origin, turned and moved; the confidence stays."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from posetrail.operators.lineage import cut
 
 #: Frames of a block of the windows over a video.
 BLOCK = 65_536
+#: Rows of a track that the filter takes as one matrix product.
+STEPS = 512
 
 
 def video():
@@ -243,28 +246,83 @@ def streamed(rows: DataFrame, keys: list[str], order: str, columns: list[str], m
     return ordered.mapInArrow(run, ddl)
 
 
+class Filter:
+    """The constant-velocity filter as a linear map of a block of STEPS steps: gains depend on the step alone, and blocks are alike once the
+    covariance has settled. ``block(b)``: (positions by the block's inputs, positions by the state before it, state by inputs, state by state)."""
+
+    def __init__(self, q: float, r: float, p0: float):
+        self.q, self.r, self.begin, self.made = q, r, [(p0, 0.0, p0)], []
+
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        while len(self.made) <= b:
+            if len(self.made) > 1 and np.allclose(self.begin[-1], self.begin[-2], rtol=1e-15, atol=0):
+                return self.made[-1]
+            self._add()
+        return self.made[b]
+
+    def _add(self) -> None:
+        (a, b, d), first = self.begin[-1], not self.made
+        of_inputs, of_state = np.zeros((2, STEPS)), np.eye(2)
+        inputs, states = np.zeros((STEPS, 2, STEPS)), np.zeros((STEPS, 2, 2))
+        for t in range(STEPS):
+            a, b, d = a + 2 * b + d + self.q / 4, b + d + self.q / 2, d + self.q
+            g, h = a / (a + self.r), b / (a + self.r)
+            a, b, d = (1 - g) * a, (1 - g) * b, d - h * b
+            move = np.array([[1 - g, 1 - g], [-h, 1 - h]])
+            if first and t == 0:  # the filter starts at its first input, at rest
+                move, g, h = np.zeros((2, 2)), 1.0, 0.0
+            of_inputs, of_state = move @ of_inputs, move @ of_state
+            of_inputs[:, t] += (g, h)
+            inputs[t], states[t] = of_inputs, of_state
+        self.begin.append((a, b, d))
+        self.made.append((inputs[:, 0], states[:, 0], inputs, states))
+
+
 def kalman(track: DataFrame, keys: tuple[str, ...] = ("video_id", "instance"), q: float = 0.8, r: float = 0.7, p0: float = 50.0) -> DataFrame:
     """Constant-velocity filter of each track's (x, y) in frame order: (keys, frame, x, y) after each update; rows without x or y are left out.
 
     The process noise is that of a constant acceleration over a frame. The axes do not meet and the gains do not depend on the data, so
-    both share one 2 x 2 covariance.
+    a block of a track's rows is an affine map of the state before it: a matrix product a block gives its end, the ends (a row each) are
+    carried through a track in order, and a second product adds what the state before the block contributes.
     """
+    some = track.where("x is not null and y is not null").select(*keys, F.col("frame").cast("bigint").alias("frame"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    steps = scan.running(some, list(keys), ["frame"], block(), {"step": (scan.COUNT, F.lit(1))}).withColumn("block", F.expr(f"(step - 1) div {STEPS}"))
+    kinds = ", ".join(f"{k} {track.schema[k].dataType.simpleString()}" for k in keys)
+    made: list[Filter] = []
+
+    def maps(b: int) -> tuple[np.ndarray, ...]:
+        if not made:
+            made.append(Filter(q, r, p0))
+        return made[0].block(b)
 
-    def make():
-        state = {"c": (p0, 0.0, p0), "s": None}
+    def inputs(table: pa.Table) -> tuple[int, np.ndarray]:
+        return table.column("block")[0].as_py(), np.column_stack([table.column(c).to_numpy() for c in "xy"])
 
-        def step(_, x, y):
-            a, b, d = state["c"]
-            a, b, d = a + 2 * b + d + q / 4, b + d + q / 2, d + q
-            g, h = a / (a + r), b / (a + r)
-            state["c"] = ((1 - g) * a, (1 - g) * b, d - h * b)
-            px, vx, py, vy = state["s"] or (x, 0.0, y, 0.0)
-            ex, ey = x - (px + vx), y - (py + vy)
-            state["s"] = (px + vx + g * ex, vx + h * ex, py + vy + g * ey, vy + h * ey)
-            return state["s"][0], state["s"][2]
+    def ends(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame")
+        b, z = inputs(table)
+        (x, y), (vx, vy) = maps(b)[2][len(z) - 1][:, : len(z)] @ z
+        return pa.table([*(table.column(k)[:1] for k in (*keys, "block")), *(pa.array([v]) for v in (len(z), x, vx, y, vy))], names=[*keys, "block", "n", "ex", "evx", "ey", "evy"])
+
+    def carried():
+        state = {"s": np.zeros((2, 2))}
+
+        def step(b, n, ex, evx, ey, evy):
+            before = state["s"]
+            state["s"] = maps(b)[3][n - 1] @ before + [[ex, ey], [evx, evy]]
+            return tuple(before.ravel().tolist())
 
         return step
 
-    kinds = ", ".join(f"{k} {track.schema[k].dataType.simpleString()}" for k in keys)
-    some = track.where("x is not null and y is not null").withColumn("frame", F.col("frame").cast("bigint"))
-    return streamed(some, list(keys), "frame", ["x", "y"], make, f"{kinds}, frame bigint, x double, y double")
+    def filtered(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame")
+        b, z = inputs(table)
+        of_inputs, of_state, *_ = maps(b)
+        start = np.array([[table.column(c)[0].as_py() for c in names] for names in (("sx", "sy"), ("svx", "svy"))])
+        out = of_inputs[: len(z), : len(z)] @ z + of_state[: len(z)] @ start
+        return pa.table([*(table.column(k) for k in (*keys, "frame")), *(pa.array(v) for v in out.T)], names=[*keys, "frame", "x", "y"])
+
+    last = steps.groupBy(*keys, "block").applyInArrow(ends, f"{kinds}, block bigint, n bigint, ex double, evx double, ey double, evy double")
+    starts = streamed(last, list(keys), "block", ["n", "ex", "evx", "ey", "evy"], carried, f"{kinds}, block bigint, sx double, sy double, svx double, svy double")
+    whole = steps.join(starts, [*keys, "block"]).select(*keys, "block", "frame", "x", "y", "sx", "sy", "svx", "svy")
+    return whole.groupBy(*keys, "block").applyInArrow(filtered, f"{kinds}, frame bigint, x double, y double")

@@ -150,6 +150,14 @@ def interp_all(spark, d):
     return interpolated(spark, d, MAX_GAP).select("video_id", "instance", "keypoint", "frame", R6("x"), R6("y"), R6("conf"))
 
 
-@query("trk_kalman")
+# the covariance by step, then the state of every track by step
+@query("trk_kalman", f"""{L.replace('with ', 'with recursive ', 1)}, z as materialized (select video_id, instance, keypoint, frame, x, y, row_number() over (partition by video_id, instance, keypoint order by frame) k from pose_long), most as materialized (select max(k) m from z),
+c0 as (select 1 as k, 50.0::double a, 0.0::double b, 50.0::double d), gain as materialized (select k, a + 2 * b + d + 0.2 as a, b + d + 0.4 as b, d + 0.8 as d from c0
+    union all select k + 1, (1 - a / (a + 0.7)) * a + 2 * (1 - a / (a + 0.7)) * b + (d - b / (a + 0.7) * b) + 0.2, (1 - a / (a + 0.7)) * b + (d - b / (a + 0.7) * b) + 0.4, d - b / (a + 0.7) * b + 0.8 from gain, most where k < m),
+s as (select video_id, instance, keypoint, frame, k, x, y, 0.0::double vx, 0.0::double vy from z where k = 1
+    union all select z.video_id, z.instance, z.keypoint, z.frame, z.k, s.x + s.vx + g.a / (g.a + 0.7) * (z.x - s.x - s.vx), s.y + s.vy + g.a / (g.a + 0.7) * (z.y - s.y - s.vy), s.vx + g.b / (g.a + 0.7) * (z.x - s.x - s.vx), s.vy + g.b / (g.a + 0.7) * (z.y - s.y - s.vy)
+    from s join z on z.video_id = s.video_id and z.instance = s.instance and z.keypoint = s.keypoint and z.k = s.k + 1 join gain g on g.k = z.k)
+select video_id, instance, keypoint, frame, round(x, 6) x, round(y, 6) y from s""")
 def kalman(spark, d):
-    return R.kalman(X.pose_long(spark, d), ("video_id", "instance", "keypoint"))
+    tracks = R.kalman(X.pose_long(spark, d), ("video_id", "instance", "keypoint"))
+    return tracks.select("video_id", "instance", "keypoint", "frame", R6("x"), R6("y"))

@@ -242,3 +242,25 @@ def test_scalars(spark):
     got = df.select(N.round_half_up(F.col("v")), N.clipped(F.col("v"), -1, 1), N.sigmoid(F.col("v")), distance, degrees).collect()
     assert got[0][:2] == (3, 1.0) and got[1][:2] == (-2, -1.0) and got[2][0] is None and got[2][1] is None
     assert math.isclose(got[0][2], 1 / (1 + math.exp(-2.5))) and got[0][3] == 5.0 and math.isclose(got[0][4], math.degrees(math.atan2(4, 3)))
+
+
+def test_kalman_over_blocks(spark, monkeypatch):
+    """One track over many blocks of steps and of frames, with absent frames, against the filter step by step."""
+    monkeypatch.setattr(R, "BLOCK", 128)
+    monkeypatch.setattr(R, "STEPS", 50)
+    rng = np.random.default_rng(11)
+    tracks = {0: 1234, 1: 50, 2: 51, 3: 1}
+    rows = [(0, f, i, float(x), float(y)) for i, n in tracks.items() for f, (x, y) in enumerate(np.cumsum(rng.normal(0, 5, (n, 2)), axis=0)) if f == 0 or rng.random() < 0.8]
+    df = spark.createDataFrame(rows + [(0, 2000, 0, None, 1.0)], "video_id bigint, frame bigint, instance int, x double, y double")
+    got = {(r.instance, r.frame): (r.x, r.y) for r in R.kalman(df.repartition(3)).collect()}
+    assert len(got) == len(rows)
+    for i in tracks:
+        own = [(f, x, y) for _, f, j, x, y in rows if j == i]
+        for axis in (1, 2):
+            state, cov = np.array([own[0][axis], 0.0]), np.eye(2) * 50
+            move, noise = np.array([[1, 1], [0, 1.0]]), 0.8 * np.array([[0.25, 0.5], [0.5, 1]])
+            for row in own:
+                state, cov = move @ state, move @ cov @ move.T + noise
+                gain = cov[:, 0] / (cov[0, 0] + 0.7)
+                state, cov = state + gain * (row[axis] - state[0]), cov - np.outer(gain, cov[0])
+                assert math.isclose(got[i, row[0]][axis - 1], state[0], rel_tol=1e-9, abs_tol=1e-9)
