@@ -174,9 +174,9 @@ def _centres(rows: DataFrame, seed: int) -> tuple[Column, Column]:
 
 
 def centre_distances(rows: DataFrame, seed: int = 7) -> DataFrame:
-    """(distance) of every embedding to each of the two centres."""
+    """(d0, d1) of every embedding to the two centres."""
     a, b = _centres(rows, seed)
-    return rows.select(F.explode(F.array(a, b)).alias("distance"))
+    return rows.select(a.alias("d0"), b.alias("d1"))
 
 
 def two_clusters(rows: DataFrame, key: str = "vec_id", seed: int = 7) -> DataFrame:
@@ -360,3 +360,10 @@ def undistorted(points: DataFrame, k: tuple[float, float, float, float], lens: t
         dx, dy = 2 * p1 * x * y + p2 * (r2 + 2 * x * x), p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
         out = out.withColumns({"_x": (F.col("_x0") - dx) / radial, "_y": (F.col("_y0") - dy) / radial})
     return out.withColumns({"x": x * fx + cx, "y": y * fy + cy}).drop("_x0", "_y0", "_x", "_y")
+
+
+def roi_frames(speeds: DataFrame, scores: DataFrame, instance: int = 1, speed: float = 20.0, score: float = 50.0) -> DataFrame:
+    """(video_id, frame) worth a look: one animal's speed (video_id, frame, instance, speed) or the frame's swap score (video_id, frame, score)
+    reaches its bound."""
+    fast = speeds.where((F.col("instance") == instance) & (F.col("speed") >= speed)).select("video_id", "frame")
+    return fast.union(scores.where(F.col("score") >= score).select("video_id", "frame")).distinct()

@@ -218,6 +218,16 @@ def bimodality(values: DataFrame, column: str, bins: int = 8192, band: float = 0
     return shape | {"bimodal": True, "score": float(np.clip(0.7 * deep + 0.3 * (1 - deviation), 0, 1)), "peak_ratio": float(min(y[i], y[j]) / (max(y[i], y[j]) + 1e-6))}
 
 
+def separation(distances: DataFrame, least: int = 100) -> dict[str, float | bool]:
+    """The measures of ``bimodality`` over all distances (d0, d1) to two centres, confidence_cv (mean margin over its deviation), and whether
+    training may stop: clearly bimodal, even, with sure margins, on ``least`` points or more."""
+    found = bimodality(distances.select(F.explode(F.array("d0", "d1")).alias("distance")), "distance")
+    n, mean, deviation = distances.agg(F.count(F.lit(1)), F.avg(F.abs(F.col("d0") - F.col("d1"))), F.stddev_pop(F.abs(F.col("d0") - F.col("d1")))).first()
+    cv = mean / (deviation + 1e-6) if n else 0.0
+    clear = found["bimodal"] and found["score"] > 0.9 and found["center_deviation"] < 0.1 and found["valley_depth"] > 0.8
+    return found | {"confidence_cv": cv, "stop": bool(n >= least and clear and cv > 5)}
+
+
 def smoothed(scores: DataFrame, grid: DataFrame, value: str, sigma: float = 40.0) -> DataFrame:
     """(video_id, frame, value) on every grid frame (consecutive frames of each video): linear between scored frames, edges held, then a Gaussian
     of four sigmas on each side, beyond the ends of the video its end values.

@@ -1,4 +1,4 @@
-"""Cuts of lineage for loops whose plans would grow."""
+"""Cuts of lineage for loops whose plans would grow, and files that last as long as the application."""
 
 from __future__ import annotations
 
@@ -6,34 +6,67 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths to delete when an application ends, and folders made for local ones.
+_PATHS: dict[str, list[str]] = {}
+_ROOTS: dict[str, str] = {}
 
-def _root(spark: SparkSession) -> str:
+
+def delete(context: SparkContext, path: str) -> None:
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def gone_at_stop(spark: SparkSession, path: str) -> None:
+    """Delete the path as the context stops, or at the interpreter's exit where nobody stops it."""
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _PATHS:
+        _PATHS[app], stop = [], context.stop
+
+        def drop() -> None:
+            for known in _PATHS.pop(app, []):
+                if context._jsc is not None:
+                    delete(context, known)
+
+        def stopped() -> None:
+            try:
+                drop()
+            finally:
+                stop()
+
+        context.stop = stopped
+        atexit.register(drop)
+    if path not in _PATHS[app]:
+        _PATHS[app].append(path)
+
+
+def root(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a local session may leave that unset and gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not folder and not (master == "local" or master.startswith("local[")):
+    folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if folder:
+        return folder.rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp(prefix="posetrail-")
+    if context.applicationId not in _ROOTS:
+        _ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="posetrail-")
+        gone_at_stop(spark, _ROOTS[context.applicationId])
+    return _ROOTS[context.applicationId]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for files that last as long as the application."""
-    path, context = f"{_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", spark.sparkContext
-
-    def drop() -> None:
-        if context._jsc is not None:
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-
-    atexit.register(drop)
+    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    gone_at_stop(spark, path)
     return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in spark.checkpoint.dir."""
+    """df as a checkpoint in the application's folder below spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_root(df.sparkSession))
+        context.setCheckpointDir(root(df.sparkSession))
+    gone_at_stop(df.sparkSession, context.getCheckpointDir())
     return df.checkpoint()

@@ -53,6 +53,12 @@ def annot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").cast("bigint").alias("video_id"), (F.row_number().over(w) - 1).cast("bigint").alias("frame"), label[F.col("event_type")].alias("label"), F.col("value").alias("area"))
 
 
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, category, frame): frames marked with up to three categories each."""
+    kinds = F.array(F.when(F.col("label").isin(1, 2), "active"), F.when(F.col("area") > 50, "large"), F.when(F.col("frame") % 3 == 0, "third"))
+    return annot(spark, sf_dir).select("video_id", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("category"), "frame")
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     return e.selectExpr("vec_id", "cast(vec_id div 50 as bigint) segment", "cast(vec_id div 2 as bigint) frame", "cast(vec_id % 2 as int) motion_id", "label", "cast(embedding as array<double>) embedding")
@@ -62,7 +68,7 @@ LONG_SQL = """first_rows as (select l_orderkey, l_linenumber % 2 as inst, l_part
     row_number() over (partition by l_orderkey, l_linenumber % 2 order by l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity) as rn from lineitem),
 base as (select cast(l_orderkey // 2000 as bigint) as video_id, cast(l_orderkey % 2000 as bigint) as frame, cast(inst as integer) as instance, pk, sk, q from first_rows where rn = 1),
 based as (select *, case when ((frame // 100) % 5 = 3) <> (sk % 41 = 0) then 1 - instance else instance end as e from base),
-pose_long as (select video_id, frame, instance, cast(k as integer) as keypoint,
+pose_long as materialized (select video_id, frame, instance, cast(k as integer) as keypoint,
     cast(100 + (3 * frame + 250 * e) % 1000 + ox + (pk * (k + 3)) % 7 - 3 + case when k = 0 and q = 50 then 150 else 0 end as double) as x,
     cast(150 + 200 * e + (2 * frame) % 300 + oy + (sk * (k + 2)) % 5 - 2 as double) as y,
     cast((pk * (2 * k + 1) + sk) % 101 as double) / 100 as conf
@@ -76,3 +82,5 @@ ANNOT_SQL = """annot as (select cast(user_id as bigint) as video_id, cast(row_nu
     cast(case event_type when 'view' then 0 when 'click' then 1 when 'error' then 2 when 'purchase' then 3 when 'signup' then 4 end as integer) as label, value as area from events)"""
 
 EMB_SQL = """emb as (select vec_id, cast(vec_id // 50 as bigint) as segment, cast(vec_id // 2 as bigint) as frame, cast(vec_id % 2 as integer) as motion_id, label, embedding from embeddings)"""
+
+MARKS_SQL = f"""{ANNOT_SQL}, marks as (select video_id, 'active' as category, frame from annot where label in (1, 2) union all select video_id, 'large', frame from annot where area > 50 union all select video_id, 'third', frame from annot where frame % 3 = 0)"""

@@ -167,11 +167,16 @@ def undistort(spark, d):
     return p.select(*KEYS, "keypoint", R6("x"), R6("y"), "conf")
 
 
-@query("tri_roi_frames", f"select video_id, frame from ({oracle_sql()['win_velocity3d']}) where instance = 1 and speed >= 20")
+SCORED = "select video_id, frame, animal_count * 20 + frame % 37 as score from blobs"
+
+
+@query("tri_roi_frames", f"select video_id, frame from ({oracle_sql()['win_velocity3d']}) where instance = 1 and speed >= 20 union select video_id, frame from (with {X.BLOB_SQL} {SCORED}) where score >= 50")
 def roi_frames(spark, d):
+    """The swap score is an input; here it comes from the counts."""
     from posetrail.plans.identity_queries import velocity
 
-    return velocity(spark, d).where("instance = 1 and speed >= 20").select("video_id", "frame")
+    scores = X.blobs(spark, d).select("video_id", "frame", (F.col("animal_count") * 20 + F.col("frame") % 37).alias("score"))
+    return I.roi_frames(velocity(spark, d), scores)
 
 
 @query("tri_pose", f"{L} select video_id, frame, instance, k as keypoint, case when conf > 0 then round(x, 3) end x, case when conf > 0 then round(y, 3) end y, case when conf > 0 then round({Z.replace('keypoint', 'k')}, 3) end z from (select distinct video_id, frame, instance from pose_long where conf > 0) a cross join range(4) t(k) left join (select *, keypoint as k from pose_long) b using (video_id, frame, instance, k)")

@@ -23,6 +23,10 @@ def annot(name, make, sql):
     query(name, f"{A}{sql}")(lambda spark, d: make(X.annot(spark, d)))
 
 
+def marks(name, make, sql):
+    query(name, f"with {X.MARKS_SQL}{sql}")(lambda spark, d: make(X.marks(spark, d)))
+
+
 def blob(name, make, sql):
     query(name, f"{B}{sql}")(lambda spark, d: make(X.blobs(spark, d)))
 
@@ -59,7 +63,6 @@ def area_hist(spark, d):
     return N.area_histogram(sampled, "area")
 
 
-annot("agg_dup_entries", lambda a: a.groupBy("frame", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), " select frame, label, count(*) n from annot group by all having count(*) > 1")
 annot("win_agree_roll", lambda a: a.withColumn("m", F.avg((F.col("label") == 0).cast("double")).over(R.video().rangeBetween(-3, 3))).select("video_id", "frame", F.round("m", 6).alias("m"), F.when(F.col("m") > 0.6, 2).when(F.col("m") < 0.4, 1).otherwise(0).alias("class")), ", m as (select video_id, frame, avg(case when label = 0 then 1.0 else 0.0 end) over (partition by video_id order by frame range between 3 preceding and 3 following) m from annot) select video_id, frame, round(m, 6) m, cast(case when m > 0.6 then 2 when m < 0.4 then 1 else 0 end as integer) class from m")
 annot("ann_remove_category", lambda a: a.select("video_id", "frame", F.when(F.col("label") == 2, 0).when(F.col("label") > 2, F.col("label") - 1).otherwise(F.col("label")).alias("label")), " select video_id, frame, cast(case when label = 2 then 0 when label > 2 then label - 1 else label end as integer) label from annot")
 annot("ann_from_frames", lambda a: a.select("video_id", "frame", F.explode(F.array("label", (F.col("frame") % 3).cast("int"))).alias("l")).groupBy("video_id", "frame").agg(F.max("l").alias("label")), " select video_id, frame, cast(greatest(label, frame % 3) as integer) label from annot")
@@ -71,8 +74,9 @@ annot("smp_linspace", lambda a: R.evenly(a.select("video_id", "frame"), 10), ",
 annot("smp_chunks", lambda a: R.chunks(a.select("video_id", "frame"), 20), " select video_id, frame, cast((row_number() over (partition by video_id order by frame) - 1) // 20 as bigint) chunk from annot")
 annot("smp_segment_even", lambda a: R.runs(a, "label").where("length >= 2").withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy("start"))).where("r % 2 = 1").select("video_id", "start", "length"), f'{RUNS} select video_id, s as "start", n as length from (select *, row_number() over (partition by video_id order by s) q from runs where n >= 2) where q % 2 = 1')
 annot("set_union_any", lambda a: a.where("label in (1, 2)").select("video_id", "frame").distinct(), " select distinct video_id, frame from annot where label in (1, 2)")
-annot("set_intersect_all", lambda a: a.where("label in (1, 2)").groupBy("frame").agg(F.count_distinct("label").alias("n")).where("n = 2").select("frame"), " select frame from annot where label in (1, 2) group by frame having count(distinct label) = 2")
-annot("set_except", lambda a: a.where("label = 1").select("frame").distinct().join(a.where("label = 4").select("frame"), "frame", "left_anti"), " select distinct frame from annot where label = 1 and frame not in (select frame from annot where label = 4)")
+marks("set_intersect_all", lambda m: m.where("category in ('active', 'large')").groupBy("video_id", "frame").agg(F.count_distinct("category").alias("n")).where("n = 2").select("video_id", "frame"), " select video_id, frame from marks where category = 'active' intersect select video_id, frame from marks where category = 'large'")
+marks("set_except", lambda m: m.where("category = 'active'").select("video_id", "frame").join(m.where("category <> 'active'").select("video_id", "frame"), ["video_id", "frame"], "left_anti"), " select video_id, frame from marks where category = 'active' except select video_id, frame from marks where category <> 'active'")
+marks("agg_dup_entries", lambda m: m.groupBy("video_id", "frame").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), " select video_id, frame, count(*) n from marks group by all having count(*) > 1")
 annot("set_add_remove", lambda a: a.where("label = 1").select("video_id", "frame").union(a.where("label = 2").select("video_id", "frame")).distinct().join(a.where("frame % 5 = 0").select("video_id", "frame"), ["video_id", "frame"], "left_anti"), " select video_id, frame from annot where label in (1, 2) and frame % 5 <> 0")
 annot("set_len", lambda a: a.groupBy("label").agg(F.count(F.lit(1)).alias("n")), " select label, count(*) n from annot group by all")
 annot("mrk_resolve", lambda a: R.resolve(a.select("video_id", "frame", F.explode(F.array(F.lit("marked"), F.when(F.col("label") == 1, "labeled"), F.when(F.col("label") == 2, "merged"))).alias("category")).where("category is not null"), {"marked": 1, "labeled": 2, "merged": 3}), " select video_id, frame, case label when 1 then 'labeled' when 2 then 'merged' else 'marked' end category from annot")

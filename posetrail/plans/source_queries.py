@@ -140,7 +140,7 @@ def annot_txt(spark, d):
     path = scratch(spark, "annotations")
     T.write_annotation(bouts(spark, d), path, {k: (v[0].upper(), v[1]) for k, v in CATEGORIES.items()})
     rows = T.read_annotation(spark, path)
-    keys = T.read_categories(spark, path, rows)
+    keys = T.read_categories(spark, path)
     known = spark.createDataFrame([(n, k) for n, (k, _) in keys.items()], "category string, key string")
     return rows.join(F.broadcast(known), "category").select("video_id", "frame", "category", "key")
 
@@ -362,7 +362,7 @@ def idt_triplets(spark, d):
 def idt_bimodality(spark, d):
     """Distances of all embeddings to the two centres, as one row of measures."""
     e = X.embeddings(spark, d)
-    found = E.bimodality(I.centre_distances(e), "distance")
+    found = E.separation(I.centre_distances(e))
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "measure string, value double")
 
 

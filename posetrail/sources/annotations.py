@@ -40,34 +40,44 @@ def read_map(spark: SparkSession, path: str) -> Map:
     return {k: (v[0], v[1]) for k, v in json.loads(whole_text(spark, path)).get("behav_map", {}).items()}
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.text(path)
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, file, config, data): the two-word lines of each file's configuration block and the lines behind its header, as arrays of
+    (at, words). A file is small, a video's bouts, and is read whole."""
+    rows = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_path").alias("file"))
     video = F.col("video_id").cast("bigint") if "video_id" in rows.columns else F.lit(0).cast("bigint")
-    return rows.select(video.alias("video_id"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("t"))
+    lines = F.transform(F.split("value", "\n"), lambda v, k: F.struct(k.alias("at"), v.alias("v"), F.filter(F.split(v, r"\s+"), lambda w: w != "").alias("t")))
+    first = lambda mark: F.coalesce(F.array_min(F.transform(F.filter("l", lambda x: F.contains(x["v"], F.lit(mark))), lambda x: x["at"])), F.lit(2**31 - 1))
+    rows = rows.select(video.alias("video_id"), "file", lines.alias("l")).withColumns({"top": first("Configuration file:"), "head": first("start\tend\ttype")})
+    config = F.filter("l", lambda x: (x["at"] > F.col("top")) & (x["at"] < F.col("head")) & (F.size(x["t"]) == 2))
+    data = F.filter("l", lambda x: (x["at"] > F.col("head")) & (F.size(x["t"]) == 3))
+    return rows.select("video_id", "file", config.alias("config"), data.alias("data"))
+
+
+def _spans(spark: SparkSession, path: str) -> DataFrame:
+    t = _files(spark, path).select("video_id", "file", F.explode("data").alias("d")).select("video_id", "file", "d.at", "d.t")
+    span = t.select("video_id", "file", "at", F.expr("try_cast(t[0] as bigint)").alias("start"), F.expr("try_cast(t[1] as bigint)").alias("end"), F.col("t")[2].alias("category"))
+    return span.where("start is not null and end is not null")
 
 
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, frame, category) of annotation text: lines ``start end category`` of two whole numbers and one word, their inclusive
-    frames once each. Lines of another form, such as those of the configuration block, are passed over."""
-    t = _lines(spark, path).where(F.size("t") == 3)
-    span = t.select("video_id", F.expr("try_cast(t[0] as bigint)").alias("start"), F.expr("try_cast(t[1] as bigint)").alias("end"), F.col("t")[2].alias("category"))
-    span = span.where("start is not null and end >= start")
+    """(video_id, frame, category) of annotation text: behind the header, lines ``start end category`` of two whole numbers and one word, their
+    inclusive frames once each. Lines of another form are passed over."""
+    span = _spans(spark, path).where("end >= start")
     return span.select("video_id", F.explode(F.sequence("start", "end")).alias("frame"), "category").distinct()
 
 
-def read_categories(spark: SparkSession, path: str, labels: DataFrame, side: str | None = None) -> Map:
-    """The map of categories to (key, colour): that of the JSON beside the text, or else the configuration block's keys with the fixed
-    colours; a category without a key has its first letter. Categories are few and come to the driver."""
+def read_categories(spark: SparkSession, path: str, side: str | None = None) -> Map:
+    """The map of categories to (key, colour): that of the JSON beside the text, or else the configuration blocks' keys with the fixed
+    colours, in the order of their lines (by file; of a repeated name the last key counts). Categories without a key follow in the order of
+    the data lines and have their first letter. Categories are few and come to the driver."""
     if side is not None:
         return read_map(spark, side)
-    pairs = _lines(spark, path).where((F.size("t") == 2) & ~F.array_contains("t", "file:")).select(F.col("t")[0], F.col("t")[1]).distinct()
-    title = tuple(TITLE.split())
-    known = sorted((r[0], r[1]) for r in pairs.collect() if tuple(r) != title)
+    block = _files(spark, path).select("file", F.explode("config").alias("c")).select(F.struct("file", "c.at").alias("place"), F.col("c.t")[0].alias("name"), F.col("c.t")[1].alias("key"))
+    known = block.groupBy("name").agg(F.min("place").alias("first"), F.max_by("key", "place").alias("key")).orderBy("first").collect()
+    used = _spans(spark, path).groupBy("category").agg(F.min(F.struct("file", "at")).alias("first")).orderBy("first").collect()
     out: Map = {}
-    for name, key in known:
+    for name, key in [*((r["name"], r["key"]) for r in known), *((r["category"], r["category"][0]) for r in used)]:
         out.setdefault(name, (key, COLOURS[len(out) % len(COLOURS)]))
-    for (name,) in sorted(labels.select("category").distinct().collect()):
-        out.setdefault(name, (name[0], COLOURS[len(out) % len(COLOURS)]))
     return out
 
 
@@ -100,7 +110,8 @@ def read_onehot(spark: SparkSession, path: str, side: str) -> DataFrame:
 
     A behaviour that the map does not know raises. The place of a row within its video comes from its time.
     """
-    rows = spark.read.csv(path, header=True, inferSchema=True)
+    rows = spark.read.csv(path, header=True)
+    rows = rows.select(*(F.col(c) if c == "video_id" else F.expr(f"try_cast(`{c}` as {'double' if c == 'time' else 'int'})").alias(c) for c in rows.columns))
     if "video_id" not in rows.columns:
         rows = rows.withColumn("video_id", F.lit(0))
     meta = spark.read.schema("video_id bigint, used_frames array<bigint>, total_frames bigint, behav_map map<string, array<string>>").json(side)

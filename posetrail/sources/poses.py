@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +21,13 @@ def _rows(spark: SparkSession, path: str, columns: int) -> DataFrame:
     return spark.read.schema(schema).csv(path)
 
 
-def _width(spark: SparkSession, path: str) -> int:
-    """Columns of the widest header line, read from the header lines alone."""
-    lines = spark.read.text(path).where(F.col("value").rlike(f"^({'|'.join(HEADERS)}),"))
-    return lines.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 0
+def _headers(spark: SparkSession, path: str) -> list[list[str]]:
+    """The distinct header lines, in one pass over the text; more of them than one set raises."""
+    lines = spark.read.text(path).where(F.col("value").rlike(f"^({'|'.join(HEADERS)}),")).select("value").distinct().limit(len(HEADERS) + 1).collect()
+    heads = list(csv.reader(r["value"] for r in lines))
+    if len(heads) != len({h[0] for h in heads}):
+        raise ValueError(f"files of different columns at {path}")
+    return heads
 
 
 def read_poses(spark: SparkSession, path: str, project: Project) -> DataFrame:
@@ -33,23 +38,20 @@ def read_poses(spark: SparkSession, path: str, project: Project) -> DataFrame:
     as they like; rows whose frame does not parse are left out. Without likelihoods the confidence is 1 where x and y are there.
     Negative values and empty cells are null; poses without any value are left out. A file that lacks a column of the project raises.
     """
-    width = _width(spark, path)
+    heads = {h[0]: h for h in _headers(spark, path)}
+    width = max(map(len, heads.values()), default=0)
     if not width:
         raise ValueError(f"no header rows at {path}")
     rows = _rows(spark, path, width)
     if "video_id" not in rows.columns:
         rows = rows.withColumn("video_id", F.lit(0))
-    heads = {r["_c0"]: r for r in rows.where(F.col("_c0").isin(*HEADERS)).drop("video_id").distinct().limit(3 * len(HEADERS)).collect()}
-    count = rows.where(F.col("_c0").isin(*HEADERS)).drop("video_id").distinct().count()
-    if count != len(heads):
-        raise ValueError(f"files of different columns at {path}")
     animals = project.individuals or ("",)
     at: dict[tuple[int, int, str], int] = {}
     for i in range(1, width):
-        name = heads["bodyparts"][f"_c{i}"] if "bodyparts" in heads else None
-        who = heads["individuals"][f"_c{i}"] if "individuals" in heads else animals[0]
+        name = heads["bodyparts"][i] if "bodyparts" in heads else None
+        who = heads["individuals"][i] if "individuals" in heads else animals[0]
         if name in project.keypoints and (who in animals or "individuals" not in heads):
-            at[animals.index(who) if who in animals else 0, project.keypoints.index(name), heads["coords"][f"_c{i}"]] = i
+            at[animals.index(who) if who in animals else 0, project.keypoints.index(name), heads["coords"][i]] = i
     need = [(a, k, c) for a in range(len(animals)) for k in range(len(project.keypoints)) for c in ("x", "y")]
     if lost := [n for n in need if n not in at]:
         raise ValueError(f"{len(lost)} columns of the project are not in {path}, such as {lost[0]}")

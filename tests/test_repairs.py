@@ -216,8 +216,12 @@ def test_annotation_text_of_odd_lines(spark, tmp_path):
     path = write(tmp_path, "a.txt", text)
     rows = T.read_annotation(spark, path)
     assert sorted((r.frame, r.category) for r in rows.collect()) == [(3, "run"), (4, "run"), (5, "run"), (6, "run"), (8, "jump")]
-    kinds = T.read_categories(spark, path, rows)
-    assert {k: v[0] for k, v in kinds.items() if k in ("run", "rest", "jump")} == {"run": "r", "rest": "q", "jump": "j"}
+    assert T.read_categories(spark, path) == {"run": ("r", "#B8B8B8"), "rest": ("q", "#00BCD4"), "jump": ("j", "#FF9800")}
+    # the block's order, repeated names, data lines of two words, and data before the header
+    odd = "Configuration file:\nwalk\tw\neat\te\nwalk\tx\n\n3\t4\tearly\nS1:\tstart\tend\ttype\n5  9\n 1\t2\tsleep\n 3\t4\tdrink\n 9\t1\trear\n"
+    path = write(tmp_path, "b.txt", odd)
+    assert list(T.read_categories(spark, path).items()) == [("walk", ("x", "#B8B8B8")), ("eat", ("e", "#00BCD4")), ("sleep", ("s", "#FF9800")), ("drink", ("d", "#4CAF50")), ("rear", ("r", "#FFEB3B"))]
+    assert sorted((r.frame, r.category) for r in T.read_annotation(spark, path).collect()) == [(1, "sleep"), (2, "sleep"), (3, "drink"), (4, "drink")]
 
 
 def test_onehot_without_its_first_row(spark, tmp_path):
@@ -253,3 +257,14 @@ def test_repeats_and_empty_tables(spark):
     assert M.complete_frames(spark.createDataFrame([], "video_id bigint, instance int, keypoint int, frame bigint, x double, y double, conf double"), 2).count() == 0
     assert P.interpolated(P.to_long(p)).count() == 0
     assert E.segments(spark.createDataFrame([], "video_id bigint, frame bigint, eligible boolean, safe boolean")).count() == 0
+
+
+def test_separation_says_when_to_stop(spark):
+    rng = np.random.default_rng(8)
+    near, far = rng.normal(1, 0.1, 400), rng.normal(9, 0.1, 400)
+    clear = spark.createDataFrame([(float(a), float(b)) for a, b in zip(near, far, strict=True)], "d0 double, d1 double")
+    got = E.separation(clear)
+    margin = np.abs(near - far)
+    assert got["stop"] and got["bimodal"] and math.isclose(got["confidence_cv"], margin.mean() / (margin.std() + 1e-6), rel_tol=1e-9)
+    assert not E.separation(clear.limit(60))["stop"] and not E.separation(clear.limit(0))["stop"]
+    assert not E.separation(clear.withColumn("d1", F.col("d0") + 0.5))["stop"]
