@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from posetrail.llm import decontam, ngram_join, sentencepiece_bpe
 from posetrail.llm.queries import table, vocabulary
-from posetrail.llm.shared import stash
+from posetrail.llm.shared import free, stash
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stash(docs, f"stage-{k}")
+            free(before)  # nothing reads it any more
     return docs
