@@ -217,10 +217,11 @@ class Surrogates:
         return _FIND.sub(one, text), kinds
 
 
-def surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """docs with the text replaced, and pii_kinds array<string>: the kind of each replaced entity, in order. A narrow job."""
-    kept = docs.drop("pii_kinds")
-    schema = T.StructType([*kept.schema.fields, T.StructField("pii_kinds", T.ArrayType(T.StringType()))])
+def surrogates(docs: DataFrame, key: str = KEY, text: str = "text", kinds_name: str = "pii_kinds") -> DataFrame:
+    """docs with the text replaced, and pii_kinds array<string> (or another name): the kind of each replaced entity, in order; a column of
+    that name in docs is replaced. A narrow job."""
+    kept = docs.drop(kinds_name)
+    schema = T.StructType([*kept.schema.fields, T.StructField(kinds_name, T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Surrogates(key)
@@ -255,9 +256,10 @@ def collisions(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with surrogates in text, and n_chars after it where that column exists."""
-    out = surrogates(docs, key)
+    """docs with surrogates in text, and n_chars after it where that column exists; all other columns stay, whatever their names."""
+    kinds = shared.free_name(docs, "pii_kinds")
+    out = surrogates(docs, key, kinds_name=kinds)
     if "n_chars" in docs.columns:
-        changed = F.when(F.size("pii_kinds") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = F.when(F.size(kinds) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)
-    return out.drop("pii_kinds")
+    return out.drop(kinds)

@@ -176,10 +176,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
 
 
 def quality(docs: DataFrame, labels: DataFrame, fold: int = 0, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs, learned without the held-out fold; a narrow job once learned."""
+    """doc_id, held_out (false for a null id), score and predicted of every row of docs, learned without the held-out fold; a narrow job once learned."""
     rules, bias = learn(docs, labels, fold=fold)
     scored = with_statistics(docs.select("doc_id", "text"), list(STATS)).select("doc_id", compiled(rules, bias).alias("score"))
-    return scored.select("doc_id", (shared.crc_mod() == fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(shared.crc_mod() == fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fold: int = 0, threshold: float = 0.3) -> DataFrame:

@@ -5,12 +5,9 @@ Nulls count as empty texts everywhere in this subpackage unless a docstring says
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import re
 import sys
-import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -18,40 +15,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from posetrail.operators import lineage
+
 #: Bytes of text that the numpy helpers take at once; their temporaries are about 30 times that.
 SLICE_BYTES = 1_000_000
 
-_FOLDERS: dict[str, str] = {}
 _STASHED: weakref.WeakKeyDictionary[DataFrame, tuple[str, str | None]] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; only a local session (tests) may leave that unset and gets a temporary folder."""
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = tempfile.mkdtemp(prefix="posetrail-")
-        _FOLDERS[app] = f"{root.rstrip('/')}/posetrail-{app}"
-        context = spark.sparkContext
-
-        def drop(folder: str = _FOLDERS[app]) -> None:
-            if context._jsc is not None:
-                _delete(context, folder)
-
-        atexit.register(drop)
-    return _FOLDERS[app]
-
-
-def _delete(context: SparkContext, folder: str) -> None:
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    """This application's folder below spark.checkpoint.dir, which goes when the session stops; only a local session may leave that unset."""
+    folder = f"{lineage.root(spark)}/posetrail-{spark.sparkContext.applicationId}"
+    lineage.gone_at_stop(spark, folder)
+    return folder
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -83,7 +62,7 @@ def free(*stashes: DataFrame) -> None:
         if known := _STASHED.pop(df, None):
             if known[1]:
                 df.sparkSession.sql(f"DROP TABLE IF EXISTS {known[1]}")
-            _delete(df.sparkSession.sparkContext, known[0])
+            lineage.delete(df.sparkSession.sparkContext, known[0])
 
 
 def free_name(df: DataFrame, name: str) -> str:

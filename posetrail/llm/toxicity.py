@@ -115,6 +115,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 0, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs, learned without the held-out fold."""
+    """doc_id, held_out (false for a null id), score and predicted of every row of docs, learned without the held-out fold."""
     scored = score(docs, learn(docs, labels, fold=fold))
-    return scored.select("doc_id", (shared.crc_mod() == fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(shared.crc_mod() == fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
