@@ -67,6 +67,8 @@ def keep_newest(files: DataFrame, n: int) -> DataFrame:
     return files.withColumn("keep", F.row_number().over(w) <= n)
 
 
+#: Cameras whose matrices may travel with the tasks.
+CAMERAS = 10_000
 SWEEP_SILENCE = 10
 
 
@@ -122,40 +124,28 @@ def motion_sweep(centres: DataFrame, lengths: DataFrame, singles: DataFrame | No
             for i in (0, 1):
                 if place[i] is not None and frame - seen[i] > SWEEP_SILENCE:
                     place[i] = None
-            ref = [i for i in (0, 1) if place[i] is not None]
-            gap = lambda i, j: math.hypot(place[i][0] - now[j][0], place[i][1] - now[j][1])
-            swap, doubt, since, most = False, False, None, far * (length if length is not None else math.inf)
-            if ref and len(now) == 1:
-                (i,) = now
-                if len(ref) == 1:
-                    if lock and single:
-                        swap, checked[0] = i != locked, frame
-                    elif gap(ref[0], i) > most:
-                        return False, True, None
-                    else:
-                        swap = i != ref[0]
-                elif lock and single and before:
-                    swap, checked[0] = i != locked, frame
-                else:
-                    keep, cross = gap(i, i), gap(1 - i, i)
-                    if min(keep, cross) > most or lock and (blobs or 0) > 1 and keep + cross < (length or 0):
-                        return False, True, None
-                    doubt, swap = abs(keep - cross) < swap_gap * (keep + cross), keep > cross
-                    if lock and single:
-                        if (i if not swap else 1 - i) != locked and frame > checked[0] + 1:
-                            swap, doubt, since = not swap, True, checked[0] + 1
-                        checked[0] = frame
-            elif ref:
-                two = len(ref) == 2
-                keep = sum(gap(i, i) for i in ref)
-                cross = sum(gap(i, 1 - i) for i in ref)
-                if min(keep, cross) > most * (1.5 if two else 1):
+            # keeping or crossing pairs places with animals; what is missing costs nothing, and a choice without a pair is none
+            paths = {s: [math.dist(place[k], now[k ^ s]) for k in (0, 1) if place[k] is not None and k ^ s in now] for s in (0, 1)}
+            costs = {s: sum(d) for s, d in paths.items() if d}
+            alone = min(now) if len(now) == 1 else None
+            sure = lock and single and alone is not None and bool(costs)
+            swap, doubt, since, total = 0, False, None, sum(costs.values())
+            if sure and (before or len(costs) == 1):
+                swap, checked[0] = int(alone != locked), frame
+            elif costs:
+                swap = min(costs, key=costs.get)
+                bar = far * (length if length is not None else math.inf) * (1.5 if len(paths[0]) == len(paths[1]) == 2 else 1)
+                merged = lock and alone is not None and len(costs) == 2 and (blobs or 0) > 1 and total < (length or 0)
+                if costs[swap] > bar or merged:
                     return False, True, None
-                doubt, swap = abs(keep - cross) < swap_gap * (keep + cross), keep > cross
+                doubt = len(costs) == 2 and abs(costs[0] - costs[1]) < swap_gap * total
+                if sure:  # the lock overrules a sweep that comes back with the other id
+                    if alone ^ swap != locked and frame > checked[0] + 1:
+                        swap, doubt, since = 1 - swap, True, checked[0] + 1
+                    checked[0] = frame
             for i, p in now.items():
-                k = 1 - i if swap else i
-                place[k], seen[k] = p, frame
-            return swap, doubt, since
+                place[i ^ swap], seen[i ^ swap] = p, frame
+            return bool(swap), doubt, since
 
         return step
 
@@ -202,7 +192,9 @@ def swap_candidates(classes: DataFrame) -> DataFrame:
 # --- several cameras ---
 
 def project(points: DataFrame, cameras: DataFrame) -> DataFrame:
-    """points (.., x, y, z) seen by every camera (cam, p array of 12): u, v. Cameras are few and broadcast."""
+    """points (.., x, y, z) seen by every camera (cam, p array of 12): u, v. Cameras are few, which is checked, and broadcast."""
+    if not N.small(cameras, CAMERAS):
+        raise ValueError(f"more than {CAMERAS} cameras")
     j = points.crossJoin(F.broadcast(cameras))
     row = lambda i: F.col("p")[4 * i] * F.col("x") + F.col("p")[4 * i + 1] * F.col("y") + F.col("p")[4 * i + 2] * F.col("z") + F.col("p")[4 * i + 3]
     return j.withColumn("u", row(0) / row(2)).withColumn("v", row(1) / row(2)).drop("x", "y", "z")
@@ -219,7 +211,9 @@ def triangulate(views: DataFrame, cameras: DataFrame, keys: list[str], least: in
     import numpy as np
     import pyarrow as pa
 
-    matrices = {r[0]: r[1] for r in cameras.select(cameras_of, "p").collect()}
+    matrices = {r[0]: r[1] for r in cameras.select(cameras_of, "p").limit(CAMERAS + 1).collect()}
+    if len(matrices) > CAMERAS:
+        raise ValueError(f"more than {CAMERAS} cameras")
     order = {c: i for i, c in enumerate(sorted(matrices))}
     shipped = views.sparkSession.sparkContext.broadcast(np.array([matrices[c] for c in order]).reshape(-1, 3, 4))
     place = F.create_map(*(F.lit(x) for c, i in order.items() for x in (c, i)))[F.col(cameras_of)]

@@ -30,6 +30,11 @@ def polar(x: Column, y: Column) -> tuple[Column, Column, Column, Column]:
     return F.hypot(x, y), angle, F.degrees(angle), F.radians(F.degrees(angle))
 
 
+def small(table: DataFrame, rows: int = 100_000) -> bool:
+    """Whether a table has so few rows that a task can hold it; the check reads no more than that many."""
+    return table.limit(rows + 1).count() <= rows
+
+
 def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
     """Exact quantiles, linear between neighbours, of the non-null values; None where there are none.
 

@@ -106,7 +106,16 @@ def bout_stitch(spark, d):
     return stitch.stitched(X.annot(spark, d).select("video_id", "frame", "label"), "label", (0,))
 
 
-@query("win_blob_clean")
+def _settled(v, on):
+    """Frames with a base value and whether they lie near a longer run of ``on``, or follow such a run as single frames."""
+    return f"""{v}0 as (select *, case when lag({v}) over w is distinct from {v} then 1 else 0 end f from bs {V}), {v}1 as (select *, sum(f) over w r from {v}0 {V}), {v}2 as (select video_id, r, {v} v, min(frame) s, max(frame) e, count(*) n from {v}1 group by all),
+{v}3 as (select *, case when n > 1 then v else coalesce(last_value(case when n > 1 then v end ignore nulls) over up, last_value(v) over whole) end base, max(case when n > 1 and v = {on} then e + 5 end) over up reach, min(case when n > 1 and v = {on} then s - 5 end) over down nxt, last_value(case when n > 1 then e end ignore nulls) over up bef from {v}2
+    window up as (partition by video_id order by s rows between unbounded preceding and current row), down as (partition by video_id order by s rows between current row and unbounded following), whole as (partition by video_id order by s rows between unbounded preceding and unbounded following)),
+{v}4 as (select a.video_id, a.frame, base, coalesce(frame <= reach, false) or coalesce(frame >= nxt, false) near, n = 1 and coalesce(bef <= reach, false) follows from {v}1 a join {v}3 b on a.video_id = b.video_id and a.r = b.r)"""
+
+
+@query("win_blob_clean", f"""{B}, bs as (select video_id, frame, least(animal_count, 2) c, merged m from blobs), {_settled('c', 2)}, {_settled('m', 1)}
+select video_id, frame, cast(case when k.near or k.follows or k.base = 1 then 2 when j.near then 2 else j.base end as integer) animal_count, cast(k.near or k.follows or k.base = 1 as integer) merged from c4 j join m4 k using (video_id, frame)""")
 def blob_clean(spark, d):
     return R.blob_clean(X.blobs(spark, d))
 

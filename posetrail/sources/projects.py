@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from posetrail.operators.numbers import small
+
 
 @dataclass(frozen=True)
 class Project:
@@ -94,14 +96,9 @@ def output_names(paths: DataFrame, catalogue: DataFrame, marker: str = "Marathon
     day = lambda c: F.try_to_timestamp(c, F.lit("yyyyMMdd")).cast("date")
     later = F.when(F.col("sub").rlike(r"^\d{4}$"), F.datediff(day(F.concat(F.substring("date", 1, 4), F.col("sub"))), day(F.col("date"))) + 1)
     p = p.withColumn("day_num", F.coalesce(later, F.lit(1)).cast("int")).withColumn("cage", F.substring("subject", 1, 1))
-    j = p.join(F.broadcast(catalogue) if _small(catalogue) else catalogue, ["date", "cage"], "left")
+    j = p.join(F.broadcast(catalogue) if small(catalogue) else catalogue, ["date", "cage"], "left")
     first = F.substring(F.col("subject"), -2, 2) == "01"
     role = F.when(F.col("type").isNull() | F.col("subject").isNull(), F.lit(None)).when((F.col("type") == "L") == first, "sub").otherwise("dom")
     j = j.withColumn("role", role)
     name = F.concat(F.substring("date", 5, 4), F.lit("_"), F.col("role"), F.lit("_day"), F.col("day_num").cast("string"), F.lit("_"), F.col("subject"), F.lit(".csv"))
     return j.select("path", "type", "role", "day_num", name.alias("name"))
-
-
-def _small(table: DataFrame, rows: int = 100_000) -> bool:
-    """Whether a table has so few rows that a task can hold it; the check reads no more than that many."""
-    return table.limit(rows + 1).count() <= rows
