@@ -10,7 +10,7 @@ from posetrail.operators import pose as P
 from posetrail.operators import runs as R
 from posetrail.plans import fixtures as X
 from posetrail.plans.pose_queries import CANON, COUNTS, INST, KEYS, PAIR, R6, L, simple
-from posetrail.plans.registry import query
+from posetrail.plans.registry import oracle_sql, query
 
 CENTRES = f"{L}, {INST}"
 
@@ -72,7 +72,24 @@ def refine(spark, d):
 simple("idt_prepare", lambda p: I.prepared(p, 0, 1, 2)[1].groupBy("video_id", "frame").agg(F.count("cx").alias("n")), f"{PAIR}, dup as (select video_id, frame, cast(case when close > greatest(n_i, n_j) * 0.5 then case when c_i >= c_j then 1 else 0 end else case when n_i > n_j then 1 else 0 end end as integer) instance from pr where close > 0 and close >= least(n_i, n_j) * 0.5) select video_id, frame, count(*) n from inst anti join dup using (video_id, frame, instance) where n > 1 group by all")
 
 
-@query("idt_motion_sweep")
+CENTRES_SQL = f"{L}, {INST} select video_id, frame, instance, cx, cy from inst"
+_D = "sqrt((q{k}x - x{a}) ** 2 + (q{k}y - y{a}) ** 2)"
+_PLACE = ", ".join(f"case when off or not heir{k} then q{k}{c} else case when swap then {c}{1 - k} else {c}{k} end end p{k}{c}" for k in (0, 1) for c in "xy")
+# a state for each video, frame by frame: the last places and when they were seen; a frame with a place missing gives nulls, which cost nothing
+SWEEP = f"""with recursive cen as (select * from ({{centres}})), len as (select video_id, body_length from ({{lengths}})),
+fr as materialized (select video_id, frame, max(cx) filter (where instance = 0) x0, max(cy) filter (where instance = 0) y0, max(cx) filter (where instance = 1) x1, max(cy) filter (where instance = 1) y1, max(body_length) len, row_number() over (partition by video_id order by frame) i from cen join len using (video_id) group by video_id, frame),
+st as (select video_id, frame, i, x0 p0x, y0 p0y, x1 p1x, y1 p1y, case when x0 is not null then frame end t0, case when x1 is not null then frame end t1, false as swap, false as doubt from fr where i = 1
+union all select video_id, frame, i, {_PLACE}, case when off or not heir0 then t0 else frame end, case when off or not heir1 then t1 else frame end, swap and not off, off or doubt from (
+select *, case when swap then x1 else x0 end is not null heir0, case when swap then x0 else x1 end is not null heir1 from (
+select *, nk + nc > 0 and coalesce(case when swap then crossed else keep end > 1.2 * len * case when nk = 2 and nc = 2 then 1.5 else 1 end, false) off, nk > 0 and nc > 0 and abs(keep - crossed) < 0.15 * (keep + crossed) doubt from (
+select *, nc > 0 and (nk = 0 or crossed < keep) swap from (
+select *, coalesce(g00, 0) + coalesce(g11, 0) keep, coalesce(g01, 0) + coalesce(g10, 0) crossed, (g00 is not null)::int + (g11 is not null)::int nk, (g01 is not null)::int + (g10 is not null)::int nc from (
+select *, {", ".join(f"{_D.format(k=k, a=a)} g{k}{a}" for k in (0, 1) for a in (0, 1))} from (
+select f.*, t0, t1, {", ".join(f"case when f.frame - t{k} <= 10 then p{k}{c} end q{k}{c}" for k in (0, 1) for c in "xy")} from st join fr f on f.video_id = st.video_id and f.i = st.i + 1)))))))
+select video_id, frame, swap, doubt as ambiguous from st"""
+
+
+@query("idt_motion_sweep", SWEEP.format(centres=CENTRES_SQL, lengths=oracle_sql()["geo_body_length"]))
 def sweep(spark, d):
     return I.motion_sweep(centres(spark, d), P.body_length(X.pose(spark, d), 0, 2)).drop("locked_from")
 

@@ -87,7 +87,13 @@ annot("scl_img_path", lambda a: a.select("video_id", "frame", F.concat(F.lit("la
 annot("scl_seconds", lambda a: a.select("video_id", "frame", F.round(F.col("frame") / 30, 6).alias("seconds"), F.floor(F.col("area") + 0.5).cast("bigint").alias("rounded"), F.round(1 / (1 + F.exp(-(F.col("label") - 2.0))), 6).alias("sigmoid"), F.least(F.greatest(F.col("area"), F.lit(1.0)), F.lit(50.0)).alias("clipped")), ' select video_id, frame, round(frame / 30.0::double, 6) as "seconds", cast(floor(area + 0.5) as bigint) as rounded, round(1 / (1 + exp(-(label - 2.0::double))), 6) as sigmoid, least(greatest(area, 1.0::double), 50.0::double) as clipped from annot')
 
 
-@query("win_short_bout")
+# a pass: short inner bouts look at their neighbours as the pass found them, and equal neighbours merge; videos without a short one stop
+@query("win_short_bout", f"""{A.replace('with ', 'with recursive ', 1)}{RUNS}, st as (select 0 as pass, video_id, s, e, label v from runs
+union all select pass + 1, video_id, min(s), max(e), v from (select *, sum(ch) over (partition by pass, video_id order by s) q from (select *, case when lag(v) over w is distinct from v then 1 else 0 end ch from (
+select pass, video_id, s, e, last_value(case when not short then v0 when n_left < n_right then v_right end ignore nulls) over (partition by pass, video_id order by s rows between unbounded preceding and current row) v from (
+select *, max(short::int) over (partition by pass, video_id) open from (select *, n < 3 and n_left is not null and n_right is not null short from (
+select pass, video_id, s, e, v v0, e - s + 1 n, lag(e - s + 1) over w n_left, lead(e - s + 1) over w n_right, lead(v) over w v_right from st window w as (partition by pass, video_id order by s)))) where open = 1) window w as (partition by pass, video_id order by s))) group by pass, video_id, q, v)
+select video_id, s as "start", e as "end", v as label from (select *, max(pass) over (partition by video_id) m from st) where pass = m""")
 def short_bout(spark, d):
     return R.short_bouts(X.annot(spark, d), "label", 3)
 
