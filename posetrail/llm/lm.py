@@ -7,9 +7,8 @@ equal mass: the model gives the group from the context and the symbol from group
 batched matrix products normalise a token at the cost of two small products and every symbol has its probability.
 
 Training reads all training texts as symbol numbers, dealt by a hash of the row into shards of about SHARD_TOKENS tokens, so the model does
-not depend on how the table was cut. In each of ROUNDS rounds every shard starts from the common parameters and contrasts some CONTRASTED
-of its tokens, evenly spaced over all its texts and other ones in each round, with noise from the unigram shares; so training grows
-with the corpus, at an eighth of its tokens a round. The results are averaged by tokens, block by block.
+not depend on how the table was cut. Every shard starts from the common parameters and contrasts each of its tokens with noise from the
+unigram shares, in one pass; so no position is left out. The results are averaged by tokens, block by block.
 
 Null texts count as empty: one token, the end. Rows that repeat a doc_id are scored each. Words are named by 60-bit hashes, with the
 kind in the last 4 bits. Without training rows, all words are unknown and the kinds uniform.
@@ -31,9 +30,9 @@ from posetrail.llm.shared import free, stash
 
 #: Words with vectors at most and the counts that they need, and words whose counts travel with the tasks (16 bytes each); all others are joined.
 VECTORS, LEAST, CARRIED = 20_000, 5, 200_000
-WIDTH, NOISE, WORD_NOISE, LEARN_RATE, ROUNDS, BATCH = 16, 64, 4, 0.4, 2, 1024
-#: Tokens of a shard, and those of them, evenly spaced, that a round contrasts (other ones in each round).
-SHARD_TOKENS, CONTRASTED = 2_000_000, 250_000
+WIDTH, NOISE, WORD_NOISE, LEARN_RATE, BATCH = 16, 64, 1, 0.2, 4096
+#: Tokens of a shard.
+SHARD_TOKENS = 2_000_000
 #: Numbers of a block of parameters, and tokens scored at once.
 BLOCK, AT_ONCE = 65_536, 20_000
 #: Symbols 0 to RARE - 1 are the kinds of rare words; those of words follow the end and the start.
@@ -175,7 +174,7 @@ def nce(token: np.ndarray, one: np.ndarray, two: np.ndarray, layout: Layout, p:
     alone = np.diff(layout.cuts) == 1
 
     def step(name: str, at: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16), kind="stable")  # symbols, places and groups are fewer than 65,536: sorted by digits
         rows = at[order]
         first = np.flatnonzero(np.diff(rows, prepend=-1))
         total = np.add.reduceat(grad[order], first, axis=0)
@@ -240,6 +239,12 @@ def log_probabilities(token: np.ndarray, one: np.ndarray, two: np.ndarray, layou
     return out
 
 
+def fitted_shard(ids: np.ndarray, lengths: np.ndarray, layout: Layout, p: Parameters) -> tuple[int, np.ndarray]:
+    """(number of tokens, parameters one after the other) from all tokens of a shard's texts of so many symbols each."""
+    token, one, two, _ = _sequences(ids, np.repeat(np.arange(len(lengths)), lengths), len(lengths), ids)
+    return len(token), flat(nce(token, one, two, layout, p))
+
+
 def train(docs: DataFrame, names: np.ndarray, symbols: np.ndarray, layout: Layout, tokens: int) -> Parameters:
     """The averaged model of all texts, of about so many tokens; names are sorted words, symbols theirs."""
     spark = docs.sparkSession
@@ -279,43 +284,39 @@ def train(docs: DataFrame, names: np.ndarray, symbols: np.ndarray, layout: Layou
     shards = max(1, -(-tokens // SHARD_TOKENS))
     shard = sharded(dealt, shards)
     model = start(layout)
-    for turn in range(ROUNDS):
-        known = spark.sparkContext.broadcast(model)
-
-        def fit(batches: Iterator[pa.RecordBatch], turn: int = turn, known=known) -> Iterator[pa.RecordBatch]:
-            layout, held, last = shipped.value[2], [], None
-
-            def out() -> Iterator[pa.RecordBatch]:
-                ids, lengths = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (0, 1))
-                held.clear()
-                token, one, two, _ = _sequences(ids, np.repeat(np.arange(len(lengths)), lengths), len(lengths), ids)
-                step = max(1, len(token) // CONTRASTED)
-                at = np.arange(turn % step, len(token), step)
-                values = flat(nce(token[at], one[at], two[at], layout, known.value, 29 + turn))
-                for k in range(0, len(values), BLOCK):
-                    yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([len(token)]), pa.array([values[k : k + BLOCK].tobytes()])], names=["block", "tokens", "values"])
-
-            for batch in batches:
-                of = np.asarray(batch.column(0))
-                edges = np.flatnonzero(np.diff(of)) + 1
-                for a, b in zip([0, *edges], [*edges, len(of)], strict=True):
-                    if a == b:
-                        continue
-                    if held and of[a] != last:
-                        yield from out()
-                    last, lists, copies = of[a], batch.column(1).slice(a, b - a), np.asarray(batch.column(2))[a:b]
-                    if (copies > 1).any():
-                        lists = lists.take(pa.array(np.repeat(np.arange(b - a), copies)))
-                    held.append((np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))))
-            if held:
-                yield from out()
-
-        # shards are keys, so however many partitions there are, there are as many models as shards
-        fitted = shard.repartition(shards, "shard").sortWithinPartitions("shard", "row").select("shard", "ids", "copies").mapInArrow(shared.tidy(fit), "block int, tokens long, values binary")
-        blocks = fitted.repartition("block").sortWithinPartitions("block").mapInArrow(shared.tidy(summed), "block int, values binary").collect()  # the model's size
-        if blocks:
-            model = shaped(np.concatenate([np.frombuffer(r["values"], dtype=np.float32) for r in sorted(blocks)]), model)
-        known.unpersist()
+    known = spark.sparkContext.broadcast(model)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout, held, last = shipped.value[2], [], None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, lengths = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (0, 1))
+            held.clear()
+            tokens, values = fitted_shard(ids, lengths, layout, known.value)
+            for k in range(0, len(values), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([tokens]), pa.array([values[k : k + BLOCK].tobytes()])], names=["block", "tokens", "values"])
+
+        for batch in batches:
+            of = np.asarray(batch.column(0))
+            edges = np.flatnonzero(np.diff(of)) + 1
+            for a, b in zip([0, *edges], [*edges, len(of)], strict=True):
+                if a == b:
+                    continue
+                if held and of[a] != last:
+                    yield from out()
+                last, lists, copies = of[a], batch.column(1).slice(a, b - a), np.asarray(batch.column(2))[a:b]
+                if (copies > 1).any():
+                    lists = lists.take(pa.array(np.repeat(np.arange(b - a), copies)))
+                held.append((np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))))
+        if held:
+            yield from out()
+
+    # shards are keys, so however many partitions there are, there are as many models as shards
+    fitted = shard.repartition(shards, "shard").sortWithinPartitions("shard", "row").select("shard", "ids", "copies").mapInArrow(shared.tidy(fit), "block int, tokens long, values binary")
+    blocks = fitted.repartition("block").sortWithinPartitions("block").mapInArrow(shared.tidy(summed), "block int, values binary").collect()  # the model's size
+    if blocks:
+        model = shaped(np.concatenate([np.frombuffer(r["values"], dtype=np.float32) for r in sorted(blocks)]), model)
+    known.unpersist()
     free(dealt)
     return model
 
