@@ -4,8 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from posetrail.operators import frames as G
+from posetrail.operators import runs as R
 
 PIXEL = "video_id bigint, frame bigint, x int, y int, b int, g int, r int"
 
@@ -183,3 +185,26 @@ def test_cutouts_against_loops(spark, film):
                     if 0 <= px < 9 and 0 <= py < 7:
                         total += (1 - abs(x - px)) * (1 - abs(y - py)) * a[py, px]
                 assert (got[f, i][v, u] == np.floor(np.round(total, 6) + 0.5)).all()
+
+
+def test_kernels_see_stacks(spark, film):
+    """Images of a batch reach a kernel together, sizes and absent data apart, and large ones alone."""
+    other = images(spark, [(f, np.zeros((2, 2, 3))) for f in range(100, 105)])
+    none = other.limit(1).withColumns({"frame": F.lit(200).cast("bigint"), "data": F.lit(None).cast("binary")})
+    seen = G.kernel(images(spark, film).union(other).union(none).coalesce(1), lambda a: [(None, np.int32(len(a)))], "n int").collect()
+    assert sorted((r.frame, r.n) for r in seen) == [(f, 12) for f in range(12)] + [(f, 5) for f in range(100, 105)]
+
+
+def test_areas_of_many_images_at_once():
+    rng = np.random.default_rng(5)
+    on = rng.random((40, 6, 8)) < rng.choice([0.3, 0.6, 0.9], (40, 1, 1))
+    image, blob, area = G.areas_in(on)
+    for k in range(40):
+        assert area[image == k].tolist() == G.areas_of(on[k]).tolist() and blob[image == k].tolist() == list(range((image == k).sum()))
+
+
+def test_even_frames_by_their_ranks(spark):
+    for n, k in ((1, 1), (5, 1), (7, 3), (100, 100), (101, 100), (250, 100), (1000, 7)):
+        f = spark.range(n).select(F.lit(0).alias("video_id"), (F.col("id") * 3).alias("frame"))
+        want = range(n) if n <= k else {i * (n - 1) // max(k - 1, 1) for i in range(k)}
+        assert sorted(r.frame for r in R.evenly(f, k).collect()) == sorted(3 * i for i in want)
