@@ -64,9 +64,10 @@ def project_table(spark: SparkSession, project: Project) -> DataFrame:
 
 
 def save_workspace(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as Parquet below path, partitioned by video_id, so that one video's state is read alone."""
+    """Each table as Parquet below path, dealt and sorted by video_id, so that one video's state lies together and is read alone by the files'
+    statistics. A file holds many videos, and a large video may have several, so files grow with the rows and not with the videos."""
     for name, table in tables.items():
-        table.write.mode("overwrite").partitionBy("video_id").parquet(f"{path.rstrip('/')}/{name}")
+        table.hint("rebalance", "video_id").sortWithinPartitions("video_id").write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
 
 def load_workspace(spark: SparkSession, path: str, names: list[str], video: int | None = None) -> dict[str, DataFrame]:

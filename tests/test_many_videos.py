@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from posetrail.sources import annotations as T
+from posetrail.sources import projects as J
 
 VIDEOS = 40
 MAP = {"other": ("o", "#000"), "run": ("r", "#fff")}
@@ -43,3 +44,15 @@ def test_annotation_text_of_one_file_each(spark, tmp_path):
         (tmp_path / f"video_id={v}").mkdir()
         (tmp_path / f"video_id={v}" / "a.txt").write_text(f"Tool\fpage\nConfiguration file:\nrun\tr\n\nS1:\tstart\tend\ttype\n\t{v}\t{v}\trun\n")
     assert sorted(tuple(r) for r in T.read_annotation(spark, str(tmp_path)).collect()) == [(3, 3, "run"), (4, 4, "run")]
+
+
+def test_workspace(spark, tmp_path):
+    a = labels(spark).repartition(8)
+    J.save_workspace({"labels": a}, str(tmp_path))
+    assert len(files(tmp_path / "labels")) < VIDEOS
+    whole = J.load_workspace(spark, str(tmp_path), ["labels"])["labels"]
+    assert sorted(tuple(r) for r in whole.select(*a.columns).collect()) == sorted(tuple(r) for r in a.collect())
+    one = J.load_workspace(spark, str(tmp_path), ["labels"], video=5)["labels"]
+    assert sorted(tuple(r) for r in one.select("video_id", "frame", "label").collect()) == [(5, f, (5 + f) % 2) for f in range(6)]
+    # the filter reaches the files' statistics
+    assert "PushedFilters: [IsNotNull(video_id), EqualTo(video_id,5)]" in one._jdf.queryExecution().toString()
