@@ -98,6 +98,23 @@ def test_moves_and_deletions_of_keypoints(spark):
     assert [(r.frame, [tuple(k) for k in r.kps]) for r in M.delete_tracks(p, gone).collect()] == [(1, [(3.0, 4.0, 0.5), (None, None, None)])]
 
 
+def test_ranges_reach_their_frames_by_blocks(spark):
+    """A range has a row for each block, not for each frame; ranges cross blocks, overlap, repeat and cancel, and null instances match nothing."""
+    frames = (0, 1, 255, 256, 300, 511, 512, 513, 2_000_000)
+    p = table(spark, {(f, i): np.array([[f, i, 0.5], [1.0, 2.0, 0.6]]) for f in frames for i in (0, 1, 2)})
+    swaps = [(1, 300, 5), (255, 512, 5), (255, 512, 5), (256, 256, 5), (512, -1, 513), (7, 6, 5), (None, 9, 5)]
+    e = spark.createDataFrame([(0, *x) for x in [*swaps, (0, 2_200_000, 5)]], "video_id bigint, start bigint, end bigint, last bigint")
+    got = {(r.frame, r.instance): r.kps[0]["y"] for r in M.swap_tracks(p, e).collect()}
+    odd = lambda f: (1 + sum(a is not None and a <= f <= (last if b == -1 else b) for a, b, last in swaps)) % 2
+    assert got == {(f, 1 - i if odd(f) and i < 2 else i): i for f in frames for i in (0, 1, 2)}
+    assert M._edited(e, odd=True).count() <= 2_200_000 // M.EDITED + 1
+    gone = [(0, 255, 1, None), (255, 600, 0, 1), (300, 2_200_000, 2, 0), (511, 512, 2, 1), (511, 512, 2, 0), (0, 9999, None, None)]
+    e = spark.createDataFrame([(0, *x) for x in gone], "video_id bigint, start bigint, end bigint, instance int, keypoint int")
+    left = {(r.frame, r.instance): [k["x"] is not None for k in r.kps] for r in M.delete_tracks(p, e).collect()}
+    on = lambda f, i, k: any(a <= f <= b and i == j and k == m for a, b, j, m in gone)
+    assert left == {(f, i): [not on(f, i, k) for k in (0, 1)] for f in frames for i in (0, 1, 2) if not on(f, i, None)}
+
+
 def test_triplets_of_each_mode(spark):
     rng = np.random.default_rng(3)
     rows = [(s * 20 + k, s, k % 2, [float(v) for v in rng.normal(size=6) + 2 * (k % 2)]) for s in range(3) for k in range(20)]
