@@ -2,7 +2,8 @@
 
 A task inserts its distinct pre-tokens in one trie. A node holds the best forward score of its prefix and the tokens of that
 segmentation, computed once when the node is made, so pre-tokens share the work of their common prefixes; the node where a pre-token
-ends holds its count. The trie and the table of ends start anew when they are full.
+ends holds its count. The pieces that end at a character are found backwards, for as long as some piece ends in what was passed. The trie
+and the table of ends start anew when they are full.
 
 The vocabulary's file has merge ranks, not probabilities, and tokenizers are never trained here; so a piece's probability follows
 from its rank r by Zipf's law as 1 / (r + ZIPF), normalised over the vocabulary. The best segmentation has the largest sum of log
@@ -47,12 +48,10 @@ class Counter:
     """Counts of the best segmentation, in a trie."""
 
     def __init__(self, scores: dict[str, float], bytes_too: bool):
-        self.longest = max(map(len, scores), default=1)
-        self.scores, self.bytes_too = scores, bytes_too
+        self.bytes_too = bytes_too
         self.unknown = min(scores.values(), default=0.0) - 10
-        self.starts: dict[str, int] = {}  # longest piece by its first character
-        for p in scores:
-            self.starts[p[0]] = max(self.starts.get(p[0], 1), len(p))
+        #: What pieces end in, with the score of what is a piece itself.
+        self.tails: dict[str, float | None] = {p[k:]: None for p in scores for k in range(1, len(p))} | scores
         self.steps = 0  # nodes whose forward scores were computed
         self.clear()
 
@@ -63,26 +62,32 @@ class Counter:
 
     def insert(self, word: str) -> int:
         """The token count of a word; nodes of its prefixes that are not there yet are made."""
-        node, path, get = 0, [0], self.scores.get
+        node, path, find = 0, [0], self.tails.get
+        trie, best, tokens = self.below, self.best, self.tokens
         for end, c in enumerate(word, 1):
-            below = self.below[node]
+            below = trie[node]
             node = below.get(c, -1)
             if node < 0:
                 last = path[-1]
-                top, fewest = self.best[last] + self.unknown, self.tokens[last] + (len(c.encode("utf-8", "surrogatepass")) if self.bytes_too else 1)
-                for begin in range(max(0, end - self.longest), end):
-                    if end - begin <= self.starts.get(word[begin], 1) and (s := get(word[begin:end])) is not None:
-                        s += self.best[path[begin]]
-                        n = self.tokens[path[begin]] + 1
-                        if s > top or s == top and n < fewest:
+                top, fewest = best[last] + self.unknown, tokens[last] + (len(c.encode("utf-8", "surrogatepass")) if self.bytes_too else 1)
+                for begin in range(end - 1, -1, -1):
+                    s = find(word[begin:end], False)
+                    if s is None:
+                        continue
+                    if s is False:  # nothing ends in this
+                        break
+                    s += best[path[begin]]
+                    if s >= top:
+                        n = tokens[path[begin]] + 1
+                        if s > top or n < fewest:
                             top, fewest = s, n
-                node = below[c] = len(self.best)
-                self.below.append({})
-                self.best.append(top)
-                self.tokens.append(fewest)
+                node = below[c] = len(best)
+                trie.append({})
+                best.append(top)
+                tokens.append(fewest)
                 self.steps += 1
             path.append(node)
-        return self.tokens[node]
+        return tokens[node]
 
     parts = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 

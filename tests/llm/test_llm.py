@@ -78,6 +78,20 @@ def test_token_counts_by_brute_force(spark):
     assert [r.n_tokens for r in token_counts.token_counts(documents(spark, [None, ""]), vocabulary()).collect()] == [0, 0]
 
 
+def test_pieces_are_sought_only_as_far_as_one_can_end():
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+    counter = token_counts.Counter({"a": -3.0, "b": -2.0, "ab": -1.0, "a" * 16: -4.0}, False)
+    counter.tails = Asked(counter.tails)
+    assert counter.count(["ab" + "z" * 200, "a" * 16]) == [1 + 1 + 200, 1 + 1]  # the dummy prefix is unknown too
+    assert counter.tails.n < 3 * 203 + 17 * 17
+
+
 def test_token_counts_are_near_the_merges(spark, given, monkeypatch):
     """Frequent words are whole tokens: the counts are within a tenth of those of the merges, and a full trie that starts anew changes none."""
     import sentencepiece
