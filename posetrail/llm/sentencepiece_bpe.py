@@ -2,7 +2,7 @@
 
 Adjacent symbol pairs wait in an agenda ordered by score, then by place; the best pair merges, and its new neighbours join the
 agenda. A text is cut where no piece of the vocabulary can cross (before a run of spaces, around line ends), so each distinct
-part is encoded once per task and kept in a bounded table. Every newly encoded part of an Arrow batch is checked against the
+part is encoded once per task and kept in a bounded table, its ids as the bytes of 32-bit numbers. Every newly encoded part of an Arrow batch is checked against the
 sentencepiece library; a difference raises.
 
 Null and empty texts have no ids and decode to an empty text. Repeated rows and extra columns stay as they are.
@@ -13,7 +13,8 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ NEVER = np.int32(0x7FFFFFFF)
 SIDE_BY_SIDE = 40
 #: Parts kept by a task; beyond that the table starts anew.
 KEPT_PARTS = 150_000
-#: Bytes of the texts of an output batch.
-BATCH_BYTES = 2_000_000
+#: Bytes of the texts of an output batch, and new parts encoded and checked at once.
+BATCH_BYTES, NEW_PARTS = 400_000, 5_000
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -71,11 +72,11 @@ class Codec:
                 self.raw[i] = trainer.unk_surface.encode()
         self.blank_first = {i for i, p in normal if p.piece[0] == SPACE}
         self.parts = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
         self._pair_table()
 
-    def symbols_to_ids(self, symbols: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
+    def symbols_to_ids(self, symbols: list[str]) -> bytes:
+        out = array("i")
         for s in symbols:
             if (i := self.ids.get(s)) is not None:
                 out.append(i)
@@ -83,7 +84,7 @@ class Codec:
                 out.extend(self.bytes[b] for b in s.encode())
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return out.tobytes()
 
     def _pair_table(self) -> None:
         """Sorted keys of the pairs of symbols that merge, with their ranks and the pieces they make."""
@@ -101,7 +102,7 @@ class Codec:
         found = self.keys[at] == keys
         return np.where(found, self.pair_rank[at], NEVER), self.made[at]
 
-    def encode_parts(self, parts: list[str]) -> list[tuple[int, ...]]:
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
         """Parts of known characters merge side by side, a pair of each per round; long and other parts one by one."""
         out: list = [None] * len(parts)
         lengths = np.array([len(p) for p in parts], dtype=np.int64)
@@ -120,7 +121,7 @@ class Codec:
             out[i] = self.symbols_to_ids(self._long(list(parts[i])))
         return out
 
-    def _side_by_side(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, ...]]:
+    def _side_by_side(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """Each row is a part with its own agenda: the ranks of its adjacent pairs. A round merges the best pair, leftmost first, of each row."""
         out: list = [None] * len(starts)
         places = np.arange(int(lengths.max()))
@@ -129,8 +130,11 @@ class Codec:
         rows = np.arange(len(starts))
 
         def finished(done: np.ndarray) -> None:
-            for i, row in zip(rows[done].tolist(), symbols[done].tolist(), strict=True):
-                out[i] = tuple(row[: row.index(-1)] if row[-1] < 0 else row)
+            some = symbols[done].astype(np.int32, copy=False)
+            data, width = some.tobytes(), 4 * some.shape[1]
+            starts = range(0, width * len(some), width)
+            for i, a, n in zip(rows[done].tolist(), starts, (4 * (some >= 0).sum(axis=1)).tolist(), strict=True):
+                out[i] = data[a : a + n]
 
         while len(rows):
             if agenda.shape[1] == 0:
@@ -179,34 +183,34 @@ class Codec:
         return self.parts.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [memoryview(x).cast("i").tolist() for x in self.encoded(texts)]
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of 32-bit numbers."""
         split = [self.split(t) for t in texts]
         if len(self.kept) > KEPT_PARTS:
             self.kept = {}
         kept = self.kept
         new = list({p for parts in split for p in parts if p not in kept})
-        kept.update(zip(new, self.encode_parts(new), strict=True))
-        if self.library is not None and new:
-            self.checked(new)
-        out = []
-        for parts in split:
-            ids: list[int] = []
-            for p in parts:
-                ids += kept[p]
-            out.append(ids)
-        return out
+        for k in range(0, len(new), NEW_PARTS):
+            some = new[k : k + NEW_PARTS]
+            kept.update(zip(some, self.encode_parts(some), strict=True))
+            if self.library is not None:
+                self.checked(some)
+        return [b"".join(map(kept.__getitem__, parts)) for parts in split]
 
     def checked(self, parts: list[str]) -> None:
         # the library puts a dummy prefix before a text, so a part without one follows a line end; no piece holds a line end
         lead = [p[1:] + "\n" if p[0] == SPACE else f"\n{p}\n" for p in parts]
-        skip, end = [0 if p[0] == SPACE else 2 for p in parts], len(self.symbols_to_ids(["\n"]))
+        skip, end = [0 if p[0] == SPACE else 2 for p in parts], len(self.symbols_to_ids(["\n"])) // 4
         for p, k, ids in zip(parts, skip, self.library.encode(lead, num_threads=1), strict=True):
-            if tuple(ids[k:-end]) != self.kept[p]:
+            if array("i", ids[k:-end]).tobytes() != self.kept[p]:
                 raise ValueError(f"not as the sentencepiece library encodes it: {p[:80]!r}")
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """Pieces joined, bytes of one run read as UTF-8 (each invalid byte: U+FFFD), without the dummy prefix."""
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "each_byte")
-        return text[1:] if ids and ids[0] in self.blank_first else text
+        return text[1:] if len(ids) and ids[0] in self.blank_first else text
 
 
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", check: bool = True) -> DataFrame:
@@ -226,10 +230,12 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", check: b
                 while end < batch.num_rows and size + lengths[end] <= BATCH_BYTES:
                     size += lengths[end]
                     end += 1
-                ids = codec.encode_batch([t or "" for t in column.slice(at, end - at).to_pylist()])
+                ids = codec.encoded([t or "" for t in column.slice(at, end - at).to_pylist()])
                 part = batch.slice(at, end - at)
-                decoded = pa.array([codec.decode(x) if x else "" for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), decoded], names=[*part.schema.names, "piece_ids", "decoded"])
+                decoded = pa.array([codec.decode(memoryview(x).cast("i")) for x in ids], pa.string())
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, decoded], names=[*part.schema.names, "piece_ids", "decoded"])
                 at = end
 
     return docs.mapInArrow(shared.tidy(run), schema)

@@ -52,6 +52,17 @@ def test_sentencepiece_is_the_library(spark):
     assert d[1].n_tokens == 0 and d[3].ids_sha256 == hashlib.sha256(",".join(map(str, lib.encode("a"))).encode()).hexdigest()
 
 
+def test_kept_parts_of_sentencepiece_are_bytes(monkeypatch):
+    """A kept part holds four bytes for an id, no Python numbers; parts are encoded and checked a few at a time."""
+    monkeypatch.setattr(sentencepiece_bpe, "NEW_PARTS", 3)
+    with open(vocabulary(), "rb") as f:
+        codec = sentencepiece_bpe.Codec(f.read())
+    texts = ["the  cat sat\n on 2 mats", "", "\n", "x" * 100 + " \U0001f600 ünï", " ".join(f"w{k}" for k in range(50))]
+    assert codec.encode_batch(texts) == [codec.library.encode(t) for t in texts]
+    assert [codec.decode(x) for x in codec.encode_batch(texts)] == [codec.library.decode(codec.library.encode(t)) for t in texts]
+    assert all(isinstance(x, bytes) for x in codec.kept.values())
+
+
 def test_token_counts_by_brute_force(spark):
     scores, has_bytes = token_counts.pieces(vocabulary())
     worst = min(scores.values()) - 10
