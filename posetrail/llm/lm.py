@@ -35,6 +35,8 @@ WIDTH, NOISE, WORD_NOISE, LEARN_RATE, BATCH = 16, 64, 1, 0.2, 4096
 SHARD_TOKENS = 2_000_000
 #: Numbers of a block of parameters, and tokens scored at once.
 BLOCK, AT_ONCE = 65_536, 20_000
+#: Rows, and numbers, of a matrix of logits: it stays in a processor's cache.
+ROWS, CELLS = 1000, 250_000
 #: Symbols 0 to RARE - 1 are the kinds of rare words; those of words follow the end and the start.
 RARE = 16
 END, START = RARE, RARE + 1
@@ -173,42 +175,58 @@ def nce(token: np.ndarray, one: np.ndarray, two: np.ndarray, layout: Layout, p:
     log_word = np.log(WORD_NOISE * part / mass[layout.group]).astype(np.float32)
     alone = np.diff(layout.cuts) == 1
 
-    def step(name: str, at: np.ndarray, grad: np.ndarray) -> None:
+    def step(at: np.ndarray, **grads: np.ndarray) -> None:
+        """Parameters of the same rows move together, so that these are sorted once."""
         order = np.argsort(at.astype(np.uint16), kind="stable")  # symbols, places and groups are fewer than 65,536: sorted by digits
         rows = at[order]
         first = np.flatnonzero(np.diff(rows, prepend=-1))
-        total = np.add.reduceat(grad[order], first, axis=0)
         rows = rows[first]
-        past[name][rows] += total * total
-        p[name][rows] -= LEARN_RATE * total / np.sqrt(past[name][rows])
+        for name, grad in grads.items():
+            total = np.add.reduceat(grad[order], first, axis=0)
+            seen = past[name][rows] + total * total
+            past[name][rows] = seen
+            p[name][rows] -= LEARN_RATE * total / np.sqrt(seen)
 
     def wrong(logit: np.ndarray, truth: bool) -> np.ndarray:
-        """The derivative of the loss of telling a token (or noise) apart."""
-        chance = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        return chance - 1 if truth else chance
+        """The derivative of the loss of telling a token (or noise) apart; takes the place of the logits."""
+        np.clip(logit, -30, 30, out=logit)
+        np.exp(np.negative(logit, out=logit), out=logit)
+        logit += 1
+        np.divide(1, logit, out=logit)
+        if truth:
+            logit -= 1
+        return logit
 
     order = random.permutation(len(token))
     for k in range(0, len(order), BATCH):
         at = order[k : k + BATCH]
         w, x, y = layout.place[token[at]], one[at], two[at]
         g = layout.group[w]
-        context = p["c1"] * p["q"][x] + p["c2"] * p["q"][y]
+        q_one, q_two = p["q"][x], p["q"][y]
+        context = p["c1"] * q_one + p["c2"] * q_two
         other = np.minimum(np.searchsorted(group_ends, random.random(NOISE)), len(mass) - 1)
-        true = wrong(np.einsum("ij,ij->i", context, p["t"][g]) + p["a"][g] - log_group[g], True)
-        false = wrong(context @ p["t"][other].T + p["a"][other] - log_group[other], False)
-        lean = true[:, None] * p["t"][g] + false @ p["t"][other]
-        drawn = ends[layout.cuts[g]][:, None] - part[layout.cuts[g]][:, None] + random.random((len(at), WORD_NOISE)) * mass[g][:, None]
-        noise = np.clip(np.searchsorted(ends, drawn), layout.cuts[g][:, None], layout.cuts[g + 1][:, None] - 1)
+        t_true, t_other = p["t"][g], p["t"][other]
+        true = wrong(np.einsum("ij,ij->i", context, t_true) + p["a"][g] - log_group[g], True)
+        false = context @ t_other.T
+        false += p["a"][other]
+        false -= log_group[other]
+        false = wrong(false, False)
+        lean = true[:, None] * t_true + false @ t_other
+        low = layout.cuts[g]
+        drawn = ends[low][:, None] - part[low][:, None] + random.random((len(at), WORD_NOISE)) * mass[g][:, None]
+        noise = np.clip(np.searchsorted(ends, drawn), low[:, None], layout.cuts[g + 1][:, None] - 1)
         counts = (~alone[g]).astype(np.float32)
-        word = wrong(np.einsum("ij,ij->i", context, p["r"][w]) + p["b"][w] - log_word[w], True) * counts
-        not_word = wrong(np.einsum("ij,ikj->ik", context, p["r"][noise]) + p["b"][noise] - log_word[noise], False) * counts[:, None]
-        lean += word[:, None] * p["r"][w] + np.einsum("ik,ikj->ij", not_word, p["r"][noise])
-        step("t", np.concatenate([g, other]), np.concatenate([true[:, None] * context, false.T @ context]))
-        step("a", np.concatenate([g, other]), np.concatenate([true, false.sum(axis=0)]))
-        step("r", np.concatenate([w, noise.ravel()]), np.concatenate([word[:, None] * context, (not_word[:, :, None] * context[:, None]).reshape(-1, WIDTH)]))
-        step("b", np.concatenate([w, noise.ravel()]), np.concatenate([word, not_word.ravel()]))
-        lean_one, lean_two = (lean * p["q"][x]).sum(axis=0), (lean * p["q"][y]).sum(axis=0)
-        step("q", np.concatenate([x, y]), np.concatenate([lean * p["c1"], lean * p["c2"]]))
+        r_true, r_noise = p["r"][w], p["r"][noise]
+        word = wrong(np.einsum("ij,ij->i", context, r_true) + p["b"][w] - log_word[w], True) * counts
+        not_word = wrong(np.einsum("ij,ikj->ik", context, r_noise) + p["b"][noise] - log_word[noise], False) * counts[:, None]
+        lean += word[:, None] * r_true + np.einsum("ik,ikj->ij", not_word, r_noise)
+        step(np.concatenate([g, other]), t=np.concatenate([true[:, None] * context, false.T @ context]), a=np.concatenate([true, false.sum(axis=0)]))
+        step(
+            np.concatenate([w, noise.ravel()]), r=np.concatenate([word[:, None] * context, (not_word[:, :, None] * context[:, None]).reshape(-1, WIDTH)]),
+            b=np.concatenate([word, not_word.ravel()]),
+        )
+        lean_one, lean_two = (lean * q_one).sum(axis=0), (lean * q_two).sum(axis=0)
+        step(np.concatenate([x, y]), q=np.concatenate([lean * p["c1"], lean * p["c2"]]))
         for name, grad in (("c1", lean_one), ("c2", lean_two)):
             past[name] += grad * grad
             p[name] -= LEARN_RATE * grad / np.sqrt(past[name])
@@ -219,22 +237,29 @@ def log_probabilities(token: np.ndarray, one: np.ndarray, two: np.ndarray, layou
     """Natural logarithms of the tokens' probabilities after the two symbols before, normalised over all symbols."""
     out = np.empty(len(token))
 
-    def settled(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        top = logits.max(axis=1)
-        return logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+    def settled(context: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+        logits = context @ vectors
+        logits += bias
+        mine, top = logits[np.arange(len(at)), at], logits.max(axis=1)
+        logits -= top[:, None]
+        return mine - top - np.log(np.exp(logits, out=logits).sum(axis=1))
 
     for k in range(0, len(token), AT_ONCE):
         w = layout.place[token[k : k + AT_ONCE]]
         g = layout.group[w]
         context = p["c1"] * p["q"][one[k : k + AT_ONCE]] + p["c2"] * p["q"][two[k : k + AT_ONCE]]
-        now = settled(context @ p["t"].T + p["a"], g).astype(float)
-        order = np.argsort(g, kind="stable")
+        now = np.empty(len(w))
+        for m in range(0, len(w), ROWS):
+            now[m : m + ROWS] = settled(context[m : m + ROWS], p["t"].T, p["a"], g[m : m + ROWS])
+        order = np.argsort(g.astype(np.uint16), kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
             low, high = layout.cuts[g[rows[0]]] if len(rows) else 0, layout.cuts[g[rows[0]] + 1] if len(rows) else 0
             if high - low > 1:
-                for m in range(0, len(rows), 2000):
-                    some = rows[m : m + 2000]
-                    now[some] += settled(context[some] @ p["r"][low:high].T + p["b"][low:high], w[some] - low)
+                vectors, bias = p["r"][low:high].T, p["b"][low:high]
+                step = max(1, min(ROWS, CELLS // int(high - low)))
+                for m in range(0, len(rows), step):
+                    some = rows[m : m + step]
+                    now[some] += settled(context[some], vectors, bias, w[some] - low)
         out[k : k + AT_ONCE] = now
     return out
 

@@ -27,3 +27,17 @@ def test_a_fact_of_one_place_is_learned():
     p = lm.shaped(values, lm.start(layout))
     said = lambda p: lm.log_probabilities(np.array([lm.FIRST + 61]), np.array([lm.FIRST + 60]), np.array([lm.FIRST + 3]), layout, p)[0]
     assert said(p) > said(lm.start(layout)) + 1
+
+
+def test_chunks_of_logits_change_no_probability(monkeypatch):
+    """Logits are worked out in small matrices, in place, and every symbol's probability is normalised all the same."""
+    rng = np.random.default_rng(5)
+    layout = lm.Layout.of(rng.integers(1, 500, 60).astype(float))
+    p = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in lm.start(layout).items()}
+    can = np.array([s for s in range(60) if s != lm.START])
+    one, two = np.full(len(can), 20), np.full(len(can), 21)
+    whole = lm.log_probabilities(can, one, two, layout, p)
+    assert np.isclose(np.exp(whole).sum(), 1, atol=1e-5)
+    monkeypatch.setattr(lm, "ROWS", 7)
+    monkeypatch.setattr(lm, "CELLS", 20)
+    assert np.allclose(lm.log_probabilities(can, one, two, layout, p), whole, atol=1e-5)
