@@ -4,9 +4,10 @@ Equal vectors are merged first (a vector with its number of copies) and scaled b
 overflows and no cosine notices. Vectors of one length meet only each other. Those of a length with more than BLOCK vectors are
 rotated to its principal axes and dealt to cells of a k-d tree over leading axes (fitted on a bounded sample); rarer lengths keep their
 axes and have one cell. Cells are cut into blocks. Boxes are compared down the tree, level by level, so far-apart parts are never
-paired. Two blocks accumulate products of leading axes, bound the rest by the norms of the suffixes, and stop once no cosine can
-reach the threshold; pairs that remain are decided in double precision on the scaled vectors. A comparison returns link counts and a
-spanning forest, not pairs.
+paired. The pairs of blocks are worked on by tiles: a task holds a group of neighbouring blocks, bounded in bytes, and streams the
+blocks of another past it, so a block moves once for each group that it meets and not for each block. Two blocks accumulate products of
+leading axes, bound the rest by the norms of the suffixes, and stop once no cosine can reach the threshold; pairs that remain are
+decided in double precision on the scaled vectors. A comparison returns link counts and a spanning forest, not pairs.
 
 Vectors that are null, zero or empty, or hold null or non-finite components, and rows without a vec_id, link with nothing. Rows that
 repeat a vec_id and vector count as copies of each other; different vectors under one vec_id have their own counts.
@@ -33,6 +34,8 @@ TREE_ROWS = 20_000
 AXES = 8
 #: Binary splits that one step down the tree takes, and those of the level that it starts from.
 STRIDE, TOP = 3, 5
+#: Bytes of vectors in a group of blocks, at most, and tiles that a core has at least, as far as there are blocks.
+HELD, TILES = 64 << 20, 3
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -114,7 +117,7 @@ def _linked(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray,
     i, j = np.nonzero(possible)
     keep = []
     for k in range(0, len(i), 50_000):
-        x, y = raw_a[i[k : k + 50_000]], raw_b[j[k : k + 50_000]]
+        x, y = (np.asarray(raw[at[k : k + 50_000]], dtype=np.float64) for raw, at in ((raw_a, i), (raw_b, j)))
         cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
         keep.append(cosine >= threshold)
     keep = np.concatenate(keep)
@@ -187,6 +190,31 @@ def _near_blocks(blocks: DataFrame, depth: dict[int, int], threshold: float) ->
     return out.select(F.least("block_a", "block_b").alias("a"), F.greatest("block_a", "block_b").alias("b")).distinct()
 
 
+def _shape(dim: int, leaves: int, cores: int) -> tuple[int, int]:
+    """(leaves of a group, blocks of each of them in a group), powers of two, for vectors of a length in so many cells."""
+    most = max(1, HELD // (BLOCK * dim * 8))
+    groups = int(np.ceil((np.sqrt(8 * TILES * cores + 1) - 1) / 2))  # which make so many pairs, their own included
+    wide = 1 << max(0, min(most, leaves // groups).bit_length() - 1)
+    return wide, max(1, most // wide)
+
+
+def _members(near: DataFrame, blocks: DataFrame, shapes: dict[int, tuple[int, int]], others: int) -> DataFrame:
+    """(group_a, group_b, block, partners): the blocks of each tile. Those without partners are held, then each of the others meets its
+    partners among them. ``others`` is the number of blocks in a group of lengths that have no shape."""
+    wide, deep = F.lit(1), F.lit(others)
+    for dim, (w, d) in shapes.items():
+        wide, deep = F.when(F.col("dim") == dim, w).otherwise(wide), F.when(F.col("dim") == dim, d).otherwise(deep)
+    group = F.struct("dim", F.floor(F.col("leaf") / wide).alias("leaves"), F.floor(F.col("part") / deep).alias("parts"))
+    of = lambda s: blocks.select(F.col("block").alias(s), group.alias(f"group_{s}"))
+    pairs = near.join(of("a"), "a").join(of("b"), "b")
+    flip = F.col("group_a") > F.col("group_b")
+    either = lambda c, d: F.when(flip, F.col(d)).otherwise(F.col(c))
+    pairs = pairs.select(*(either(f"{c}_{s}" if c else s, f"{c}_{r}" if c else r).alias(f"{c}_{s}" if c else s) for c in ("group", "") for s, r in ("ab", "ba")))
+    held = pairs.select("group_a", "group_b", F.col("a").alias("block"), F.lit(None).cast("array<bigint>").alias("partners")).distinct()
+    met = pairs.groupBy("group_a", "group_b", F.col("b").alias("block")).agg(F.collect_list("a").alias("partners"))
+    return held.unionByName(met)
+
+
 def _down(pairs: DataFrame, now: DataFrame, side) -> DataFrame:
     """Pairs of the children of each pair of nodes, with their boxes; also those of a node with itself, in one order."""
     p = pairs.select("dim", F.col("node_a").alias("up_a"), F.col("node_b").alias("up_b"))
@@ -201,11 +229,12 @@ def _down(pairs: DataFrame, now: DataFrame, side) -> DataFrame:
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per row of the table."""
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "float" if table.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("fine", F.coalesce(F.col("vec_id").isNotNull() & finite, F.lit(False)))
     # -0.0 equals 0.0 in the key; equal vectors are one class, numbered as they are written
-    key = F.transform("embedding", lambda v: v + F.lit(0.0))
+    key = F.transform("embedding", lambda v: v + F.lit(0.0).cast(kind))
     classes = rows.where("fine").groupBy(key.alias("embedding")).agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("copies"))
     classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     common = classes.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).collect()
@@ -229,16 +258,19 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(dims), pa.array(leaf), *batch.columns], names=["dim", "leaf", "embedding", "node", "copies"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of a cell, named after their first vector; the rows come sorted by cell and vector."""
-        held, n, last = [], 0, None
+        """Blocks of a cell, numbered in it and named after their first vector; the rows come sorted by cell and vector. Vectors are
+        kept in single precision where that holds all of them exactly."""
+        held, n, last, part = [], 0, None, 0
 
         def block() -> pa.RecordBatch:
             node, copies, x = (np.concatenate([h[k] for h in held]) for k in range(3))
             held.clear()
             lead = leading(last[0], x)
-            values = [last[0], last[1], int(node[0]), node.tobytes(), copies.tobytes(), x.tobytes(), lead.min(axis=0).tolist(), lead.max(axis=0).tolist()]
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["dim", "leaf", "block", "nodes", "copies", "vectors", "low", "high"])
+            single = x.astype(np.float32)
+            kept = single if np.array_equal(single, x) else x
+            values = [last[0], last[1], part, int(node[0]), node.tobytes(), copies.tobytes(), kept.tobytes(), lead.min(axis=0).tolist(), lead.max(axis=0).tolist()]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["dim", "leaf", "part", "block", "nodes", "copies", "vectors", "low", "high"])
 
         for batch in batches:
             dims, leaf = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -247,10 +279,10 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             for a, b in zip([0, *edges], [*edges, len(leaf)], strict=True):
                 if a == b:
                     continue
-                if n and (int(dims[a]), int(leaf[a])) != last:
-                    yield block()
-                    n = 0
-                last = (int(dims[a]), int(leaf[a]))
+                if last != (int(dims[a]), int(leaf[a])):
+                    if n:
+                        yield block()
+                    last, n, part = (int(dims[a]), int(leaf[a])), 0, 0
                 ((_, _, x),) = _by_length(batch.column(2).slice(a, b - a))
                 while a < b:
                     c = min(b, a + BLOCK - n)
@@ -258,53 +290,67 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
                     n, a = n + c - a, c
                     if n == BLOCK:
                         yield block()
-                        n = 0
+                        n, part = 0, part + 1
         if n:
             yield block()
 
-    dealt = classes.select("embedding", "node", "copies").mapInArrow(shared.tidy(deal), "dim int, leaf long, embedding array<double>, node long, copies long")
-    ddl = "dim int, leaf long, block long, nodes binary, copies binary, vectors binary, low array<double>, high array<double>"
+    dealt = classes.select("embedding", "node", "copies").mapInArrow(shared.tidy(deal), f"dim int, leaf long, embedding array<{kind}>, node long, copies long")
+    ddl = "dim int, leaf long, part long, block long, nodes binary, copies binary, vectors binary, low array<double>, high array<double>"
     blocks = stash(dealt.repartition("dim", "leaf").sortWithinPartitions("dim", "leaf", "node").mapInArrow(shared.tidy(cut), ddl), "blocks")
     near = stash(_near_blocks(blocks, depth, threshold), "near")
-    of = lambda s: blocks.select(F.col("block").alias(s), "dim", *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "copies", "vectors")))
-    tiles = near.join(of("a"), "a").join(of("b").drop("dim"), "b").repartition("a", "b")
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    members = _members(near, blocks, {dim: _shape(dim, 1 << d, cores) for dim, d in depth.items()}, 1)
+    tiles = members.join(blocks.select("block", "dim", "nodes", "copies", "vectors"), "block").repartition("group_a", "group_b")
+    tiles = tiles.sortWithinPartitions("group_a", "group_b", F.col("partners").isNotNull(), "block")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unpack(row: dict, side: str):
-            raw = np.frombuffer(row[f"vectors_{side}"]).reshape(-1, row["dim"])
-            return np.frombuffer(row[f"nodes_{side}"], dtype=np.int64), np.frombuffer(row[f"copies_{side}"], dtype=np.int64), raw, turned(row["dim"], raw)
+        def unpack(row: dict) -> tuple[np.ndarray, ...]:
+            node, copies = (np.frombuffer(row[c], dtype=np.int64) for c in ("nodes", "copies"))
+            kind = np.float32 if len(row["vectors"]) == 4 * len(node) * row["dim"] else np.float64
+            raw = np.frombuffer(row["vectors"], dtype=kind).reshape(-1, row["dim"])
+            return node, copies, raw, turned(row["dim"], raw.astype(np.float64))
 
+        tile, held = None, {}
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {name: batch.column(k)[r].as_py() for k, name in enumerate(batch.schema.names)}
-                node_a, copies_a, raw_a, a = unpack(row, "a")
-                node_b, copies_b, raw_b, b = unpack(row, "b")
-                same = node_a[0] == node_b[0]
-                links_a, links_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-                nodes, roots = [], []
-                for k in range(0, len(a), 1024):
-                    for m in range(k if same else 0, len(b), 1024):
-                        i, j = _linked(a[k : k + 1024], b[m : m + 1024], raw_a[k : k + 1024], raw_b[m : m + 1024], threshold)
-                        i, j = i + k, j + m
-                        if same:
-                            i, j = i[i < j], j[i < j]
-                        if not len(i):
-                            continue
-                        links_a += np.bincount(i, weights=copies_b[j], minlength=len(a)).astype(np.int64)
-                        links_b += np.bincount(j, weights=copies_a[i], minlength=len(b)).astype(np.int64)
-                        node, root = _forest(node_a[i], node_b[j])
-                        nodes.append(node)
-                        roots.append(root)
-                if nodes:
-                    node, root = _forest(np.concatenate(nodes), np.concatenate(roots))
-                    some_a, some_b = np.flatnonzero(links_a), np.flatnonzero(links_b)
-                    n = len(some_a) + len(some_b)
-                    columns = [
-                        np.concatenate([node_a[some_a], node_b[some_b], node]), np.concatenate([links_a[some_a], links_b[some_b], np.zeros(len(node), dtype=np.int64)]),
-                    ]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([None] * n + root.tolist(), pa.int64())], names=["node", "links", "root"])
-
-    found = tiles.select("dim", *(f"{c}_{s}" for s in "ab" for c in ("nodes", "copies", "vectors")))
+                if row["tile"] != tile:
+                    tile, held = row["tile"], {}
+                if row["partners"] is None:
+                    held[row["block"]] = unpack(row)
+                    continue
+                mine = held[row["block"]] if row["block"] in held else unpack(row)
+                for other in row["partners"]:
+                    yield from links_of(held[other], mine)
+
+    def links_of(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        (node_a, copies_a, raw_a, a), (node_b, copies_b, raw_b, b) = one, other
+        same = node_a[0] == node_b[0]
+        links_a, links_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        nodes, roots = [], []
+        for k in range(0, len(a), 1024):
+            for m in range(k if same else 0, len(b), 1024):
+                i, j = _linked(a[k : k + 1024], b[m : m + 1024], raw_a[k : k + 1024], raw_b[m : m + 1024], threshold)
+                i, j = i + k, j + m
+                if same:
+                    i, j = i[i < j], j[i < j]
+                if not len(i):
+                    continue
+                links_a += np.bincount(i, weights=copies_b[j], minlength=len(a)).astype(np.int64)
+                links_b += np.bincount(j, weights=copies_a[i], minlength=len(b)).astype(np.int64)
+                node, root = _forest(node_a[i], node_b[j])
+                nodes.append(node)
+                roots.append(root)
+        if nodes:
+            node, root = _forest(np.concatenate(nodes), np.concatenate(roots))
+            some_a, some_b = np.flatnonzero(links_a), np.flatnonzero(links_b)
+            n = len(some_a) + len(some_b)
+            columns = [
+                np.concatenate([node_a[some_a], node_b[some_b], node]), np.concatenate([links_a[some_a], links_b[some_b], np.zeros(len(node), dtype=np.int64)]),
+            ]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([None] * n + root.tolist(), pa.int64())], names=["node", "links", "root"])
+
+    found = tiles.select(F.struct("group_a", "group_b").alias("tile"), "block", "partners", "dim", "nodes", "copies", "vectors")
     found = stash(found.mapInArrow(shared.tidy(compare), "node long, links long, root long"), "links")
     free(near, blocks)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
