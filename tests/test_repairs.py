@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from posetrail.operators import identity as I
 from posetrail.operators import learning as E
 from posetrail.operators import pose as P
@@ -88,6 +89,19 @@ def test_average_poses_and_absent_animals(spark):
     assert np.allclose([(p["x"], p["y"]) for p in full[130, 0]], SHAPE + 200)
 
 
+@pytest.mark.filterwarnings("ignore:Mean of empty slice")
+def test_average_poses_over_blocks_of_a_track(spark, monkeypatch):
+    monkeypatch.setattr(M, "TRACK", 64)
+    test_average_poses_and_absent_animals(spark)
+
+
+@pytest.mark.parametrize("query", ["fix_average_pose", "fix_missing_inst"])
+def test_average_poses_move_poses_once(spark, query):
+    """Poses go to their tracks by one shuffle, beside those of small tables; 30 and more before."""
+    plan = entry.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 10
+
+
 def test_moves_and_deletions_of_keypoints(spark):
     nan = float("nan")
     p = table(spark, {(0, 0): np.array([[1.0, 2, 0.5], [nan] * 3]), (1, 0): np.array([[3.0, 4, 0.5], [5, 6, 0.7]])})
