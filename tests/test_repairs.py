@@ -97,7 +97,7 @@ def test_average_poses_over_blocks_of_a_track(spark, monkeypatch):
 
 @pytest.mark.parametrize("query", ["fix_average_pose", "fix_missing_inst"])
 def test_average_poses_move_poses_once(spark, query):
-    """Poses go to their tracks by one shuffle, beside those of small tables; 30 and more before."""
+    """Poses go to their tracks by one shuffle, beside those of small tables; 31 and 53 before."""
     plan = entry.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 10
 
